@@ -7,8 +7,10 @@ whatever their names, never meet an operator's own names.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,125 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+
+
+#: Bytes of text that the array kernels take at a time; bounds their memory.
+SLICE_BYTES = 1 << 21
+
+
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and where each row starts (one entry more than rows)."""
+    if not isinstance(column, pa.LargeBinaryArray):
+        column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
+
+
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes; a longer row is a range of its own."""
+    first, rows = 0, len(offsets) - 1
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of flags between offsets."""
+    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+TO_LOWER = np.arange(256, dtype=np.uint8)
+TO_LOWER[65:91] += 32
+#: Random 64-bit values of the bytes, and an odd base, for polynomial hashes modulo 2**64.
+BYTE_VALUE = splitmix(np.arange(1, 257, dtype=np.uint64))
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, SLICE_BYTES + 1)
+        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _POWERS[0], _POWERS[1]
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end]; equal ranges have equal hashes, wherever they are."""
+    up, down = powers(len(values) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return splitmix((total[ends] - total[starts]) * down[starts])
+
+
+def word_table(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash) of each word of rows offsets[i]:offsets[i + 1] of data; start and end are places in data."""
+    first, last = int(offsets[0]), int(offsets[-1])
+    edges = np.zeros(last - first + 1, bool)
+    edges[offsets - first] = True
+    parts, at = [], first
+    while at < last:
+        stop = min(last, at + SLICE_BYTES)
+        while stop < last and not edges[stop - first] and not IS_SPACE[data[stop]]:  # to the end of a word
+            ahead = min(last, stop + 4096)
+            more = np.flatnonzero(IS_SPACE[data[stop:ahead]] | edges[stop - first : ahead - first])
+            stop = stop + int(more[0]) if len(more) else ahead
+        piece = data[at:stop]
+        word = ~IS_SPACE[piece]
+        edge = edges[at - first : stop - first]
+        starts = word.copy()
+        starts[1:] &= ~word[:-1] | edge[1:]
+        ends = word.copy()
+        ends[:-1] &= ~word[1:] | edge[1:]
+        s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        parts.append((s + at, e + at, range_hashes(BYTE_VALUE[TO_LOWER[piece] if lower else piece], s, e)))
+        at = stop
+    if not parts:
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, np.uint64)
+    s, e, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return np.searchsorted(offsets, s, "right") - 1, s, e, h
+
+
+def window_hashes(row: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every run of ``size`` words that lies in one row."""
+    if len(h) < size:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    n = len(h) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(BASE) + h[k : k + n]
+    at = np.flatnonzero(row[:n] == row[size - 1 :])
+    return at, splitmix(out[at])
+
+
+def grouped(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups, in tables of one batch or little more; the input is sorted by keys."""
+    rest: pa.Table | None = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        change = group_starts(t, keys)
+        cut = change[-1]
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)

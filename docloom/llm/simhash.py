@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, connected_components, roots, splitmix, text_bytes, unite
+from docloom.llm.common import checkpoint, connected_components, group_starts, grouped, roots, splitmix, text_bytes, unite
 
 #: Rows of a group beyond which it is split into cells; bounds the memory of a task.
 GROUP_ROWS = 20_000
@@ -128,32 +128,6 @@ class GrayIndex:
                 yield i, node
 
 
-def grouped(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups, in tables of one batch or little more; the input is sorted by keys."""
-    rest: pa.Table | None = None
-    for b in it:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        change = group_starts(t, keys)
-        cut = change[-1]
-        if cut:
-            yield t.slice(0, cut)
-        rest = t.slice(cut)
-    if rest is not None:
-        yield rest
-
-
-def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.zeros(t.num_rows, bool)
-    new[0] = True
-    for k in keys:
-        v = t.column(k).to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new)
-
-
 def block_masks(n: int, radius: int) -> list[int]:
     """The masks of the tables for n fingerprints, as signed longs."""
     k = radius + 1
