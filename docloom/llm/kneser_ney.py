@@ -160,8 +160,8 @@ def log_probabilities(g: np.ndarray, order: int, part: dict) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n, loss): the grams of each text and their summed negative log probability, a row for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("loss"))
+    """(doc_id, lang, th, n, loss): the grams of each text and their summed negative log probability, a row for each row of docs; th tells texts of one id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("loss"))
     order, parts = model.order, shards(model)
     for i, shard in enumerate(parts):
         last = i == len(parts) - 1
@@ -169,8 +169,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def batches(it: Iterator[pa.RecordBatch], shard=shard, last=last) -> Iterator[pa.RecordBatch]:
             s, of, part = shard.value
             for b in it:
-                data, offsets = text_buffer(b.column(2))
-                n, loss = b.column(3).to_numpy().copy(), b.column(4).to_numpy().copy()
+                data, offsets = text_buffer(b.column(3))
+                n, loss = b.column(4).to_numpy().copy(), b.column(5).to_numpy().copy()
                 for a, e in slices(offsets):
                     g, at = grams(data, offsets[a : e + 1], order)
                     coded = pa.array(g).dictionary_encode()
@@ -180,9 +180,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     total = np.concatenate(([0.0], np.cumsum(value[where])))
                     loss[a:e] -= total[at[1:]] - total[at[:-1]]
                     n[a:e] += per_row(mine[where], at)
-                yield pa.RecordBatch.from_arrays([*b.columns[: 2 if last else 3], pa.array(n), pa.array(loss)], ["doc_id", "lang", *([] if last else ["text"]), "n", "loss"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: 3 if last else 4], pa.array(n), pa.array(loss)], ["doc_id", "lang", "th", *([] if last else ["text"]), "n", "loss"])
 
-        rows = rows.mapInArrow(batches, "doc_id long, lang string, " + ("" if last else "text binary, ") + "n long, loss double")
+        rows = rows.mapInArrow(batches, "doc_id long, lang string, th long, " + ("" if last else "text binary, ") + "n long, loss double")
     return rows
 
 
@@ -204,6 +204,11 @@ def entropy(mean: Column) -> Column:
 
 def verdicts(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, n_grams, cross_entropy, perplexity, threshold, kept), a row for each row of docs."""
+    return judged(docs, labels, order, quantile, margin).drop("th")
+
+
+def judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, margin: float) -> DataFrame:
+    """The verdicts, with th."""
     trusted = checkpoint(trusted_ids(labels))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     model = train(semi_join(narrow, trusted.where("not held_out").select("doc_id")), order)
@@ -211,10 +216,18 @@ def verdicts(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     held = scored.join(trusted.where("held_out").select("doc_id"), "doc_id", "left_semi").where("n > 0")
     mean = held.agg((F.sum("loss") / F.sum("n")).alias("m")).first()["m"] if model.rows else None
     if mean is None:  # nothing trusted, or nothing held out
-        return scored.select("doc_id", "lang", F.col("n").alias("n_grams"), (F.col("loss") / F.col("n")).alias("cross_entropy"), F.exp(F.col("loss") / F.col("n")).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return scored.select("doc_id", "lang", "th", F.col("n").alias("n_grams"), (F.col("loss") / F.col("n")).alias("cross_entropy"), F.exp(F.col("loss") / F.col("n")).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     held = held.withColumn("e", entropy(F.lit(mean)))
     whole = held.agg(F.percentile_approx("e", quantile, 10_000)).first()[0]
     of_lang = held.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.percentile_approx("e", quantile, 10_000).alias("q")).where((F.col("docs") >= MIN_HELD_OUT) & F.col("lang").isNotNull()).select("lang", "q")
     e = entropy(F.lit(mean))
     threshold = F.coalesce("q", F.lit(whole)) + margin
-    return scored.join(of_lang, "lang", "left").select("doc_id", "lang", F.col("n").alias("n_grams"), e.alias("cross_entropy"), F.exp(e).alias("perplexity"), threshold.alias("threshold"), ((F.col("n") == 0) | (e <= threshold)).alias("kept"))
+    return scored.join(of_lang, "lang", "left").select("doc_id", "lang", "th", F.col("n").alias("n_grams"), e.alias("cross_entropy"), F.exp(e).alias("perplexity"), threshold.alias("threshold"), ((F.col("n") == 0) | (e <= threshold)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs that the classifier keeps; a row of a rejected id is kept if its own text passes."""
+    gone = checkpoint(judged(docs, labels, order, quantile, margin).where("not kept").select("doc_id", "th").distinct())
+    small = gone.count() <= BROADCAST_IDS
+    rows, gone = docs.alias("d"), (F.broadcast(gone) if small else gone).alias("g")
+    return rows.join(gone, F.expr("cast(d.doc_id as long) <=> g.doc_id and xxhash64(d.text) = g.th"), "left_anti")
