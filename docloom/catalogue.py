@@ -1,15 +1,515 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library over the supplied tables, each with its SQL for DuckDB where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+from docloom.functions.classify import RULES, classify
+from docloom.operators import catalog, chunking, duplicates, models, search, tagging, vectors
+from docloom.plans import engine
+from docloom.sources import extract, files
+from docloom.streaming import refresh
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Extensions that synthetic paths take in turn, and headers of files.
+EXTENSIONS = (".txt", ".md", ".html", ".pdf", ".docx", ".zip", "", ".webp")
+HEADERS = ("", "25504446", "504B0304", "52494646", "4D5A9000", "FFD8FFE0", "1F8B0800", "D0CF11E0")
+S = T.SPACES
+STRIP = lambda c: f"regexp_replace({c}, '^{S}+|{S}+$', '', 'g')"
+EXT_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS)) + " END"
+DOCS = f"d AS (SELECT doc_id, text, lang, source, n_chars, '/' || source || '/' || lang || '/' || doc_id || ({EXT_SQL}) AS path, (doc_id * 7919 % 1000)::BIGINT AS mtime FROM documents)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(at, values: tuple[str, ...]):
+    return F.get(F.array(*map(F.lit, values)), at)
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a path and a time."""
+    ext = pick((F.col("doc_id") % 8).cast("int"), EXTENSIONS)
+    return table(spark, sf_dir, "documents").withColumns({"path": F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), ext), "mtime": (F.col("doc_id") * 7919 % 1000).cast("long")})
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+def vector_chunks(spark: SparkSession, sf_dir: str, docs_n: int = 50) -> DataFrame:
+    """Vectors as chunks of documents."""
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % docs_n).alias("doc_id"), F.col("vec_id").alias("chunk_index"), F.lit("").alias("text"), F.col("embedding").alias("vector"))
+
+
+QV = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+DOT = "least(greatest(list_dot_product(embedding::DOUBLE[], q), 0), 1)"
+
+
+@query(f"WITH {QV} SELECT vec_id, round({DOT}, 6) AS score, (row_number() OVER (ORDER BY {DOT} DESC, vec_id) - 1)::INT AS rank FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 80")
+def dense_search_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"), F.col("embedding").alias("vector"))
+    return search.dense_leg(rows, query_vector(spark, sf_dir)).where("rank < 80").select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {QV}, s AS (SELECT vec_id % 50 AS doc_id, vec_id AS chunk_index, {DOT} AS score FROM embeddings, q), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS k FROM s) SELECT doc_id, chunk_index, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM b WHERE k = 1")
+def dense_best_chunk_per_doc(spark, sf_dir):
+    return search.dense_leg(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir)).select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {QV} SELECT vec_id, round(least(greatest(list_cosine_similarity(list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 3)), list_transform(q, lambda x: 2 * x)), 0), 1), 6) AS score FROM embeddings, q WHERE vec_id % 3 > 0 UNION ALL SELECT vec_id, 0.0 FROM embeddings WHERE vec_id % 3 = 0")
+def cosine_unnormalized(spark, sf_dir):
+    scaled = F.transform("embedding", lambda x: x * (F.col("vec_id") % 3))
+    q = [2 * x for x in query_vector(spark, sf_dir)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(search.similarity(scaled, q, normalized=False), 6).alias("score"))
+
+
+def bm25_sql(phrases: list[str], rows: str = "SELECT doc_id, text FROM documents", where: str | None = None) -> str:
+    """Phrases must not overlap themselves here."""
+    f = lambda p: f"((length(lower(text)) - length(replace(lower(text), '{p}', ''))) / {len(p)})"
+    stats = ", ".join(f"sum(contains(lower(text), '{p}')::INT) AS p{i}" for i, p in enumerate(phrases))
+    part = " + ".join(f"(CASE WHEN (n - p{i} + 0.5) / (p{i} + 0.5) > 1 THEN ln((n - p{i} + 0.5) / (p{i} + 0.5)) ELSE 1e-6 END) * {f(p)} * 2.2 / ({f(p)} + 1.2 * (0.25 + 0.75 * greatest(length(text) - 2, 0) / a))" for i, p in enumerate(phrases))
+    cond = where or " AND ".join(f"contains(lower(text), '{p}')" for p in phrases)
+    return f"WITH r AS ({rows}), st AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS a, {stats} FROM r), h AS (SELECT doc_id, -({part}) AS score FROM r, st WHERE {cond})"
+
+
+RANKED = " SELECT doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h ORDER BY score, doc_id LIMIT 1000"
+
+
+def keyword(spark, sf_dir, q: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    return search.keyword_leg(rows, q).select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(bm25_sql(["license"]) + RANKED)
+def keyword_search_bm25(spark, sf_dir):
+    return keyword(spark, sf_dir, "License")
+
+
+@query(bm25_sql(["the and", "license"]) + RANKED)
+def keyword_multi_phrase(spark, sf_dir):
+    return keyword(spark, sf_dir, '"the and" license')
+
+
+@query(bm25_sql(["apache"]) + RANKED)
+def keyword_short_term_dropped(spark, sf_dir):
+    return keyword(spark, sf_dir, "apache zz")
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS score, 0 AS rank FROM documents WHERE false")
+def keyword_syntax_error_empty(spark, sf_dir):
+    return keyword(spark, sf_dir, "what's license?")
+
+
+@query(bm25_sql(["apache", "mit license"], where="contains(lower(text), 'apache') OR contains(lower(text), 'mit license')") + RANKED)
+def keyword_or(spark, sf_dir):
+    return keyword(spark, sf_dir, 'apache OR "MIT License"')
+
+
+@query(bm25_sql(["license"], where="contains(lower(text), 'license') AND NOT contains(lower(text), 'apache')") + RANKED)
+def keyword_not(spark, sf_dir):
+    return keyword(spark, sf_dir, "license NOT apache")
+
+
+TAGS = "SELECT doc_id, (CASE WHEN quality = 1 THEN 'quality good' ELSE 'quality poor' END) || ' ' || (CASE WHEN toxic = 1 THEN 'toxic' ELSE 'harmless' END) || ' ' || lang AS text FROM labels JOIN documents USING (doc_id)"
+
+
+def label_tags(spark, sf_dir) -> DataFrame:
+    """(doc_id, name, at): labels and languages as tags."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    names = F.array(F.when(F.col("quality") == 1, "quality good").otherwise("quality poor"), F.when(F.col("toxic") == 1, "toxic").otherwise("harmless"), F.col("lang"))
+    return rows.select("doc_id", F.posexplode(names).alias("at", "name"))
+
+
+def tag_texts(spark, sf_dir) -> DataFrame:
+    return tagging.tags_text(label_tags(spark, sf_dir).withColumnRenamed("doc_id", "document_id")).withColumnRenamed("document_id", "doc_id")
+
+
+@query(bm25_sql(["poor"], TAGS) + " SELECT doc_id, '[标签命中] ' || text AS text, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h JOIN r USING (doc_id) ORDER BY score, doc_id LIMIT 1000")
+def tag_search_bm25(spark, sf_dir):
+    return search.tag_leg(tag_texts(spark, sf_dir), "poor").select("doc_id", "text", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {DOCS}, t AS (SELECT doc_id, unnest([CASE WHEN quality = 1 THEN 'quality good' ELSE 'quality poor' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'harmless' END, lang]) AS name, quality FROM labels JOIN documents USING (doc_id)) SELECT doc_id, any_value(path) AS path, string_agg(name, ', ' ORDER BY name) AS tags FROM t JOIN d USING (doc_id) WHERE quality = 0 GROUP BY doc_id")
+def tag_filter_report(spark, sf_dir):
+    names = label_tags(spark, sf_dir).withColumnRenamed("doc_id", "document_id").withColumn("confidence", F.lit(1.0))
+    results = names.select("document_id").distinct().withColumns({"created_at": F.lit("2024-01-01").cast("timestamp"), "status": F.lit("tagged"), "confidence": F.lit(1.0), "reasoning": F.lit("")})
+    hits = search.tag_leg(tag_texts(spark, sf_dir), "poor").select(F.col("doc_id").alias("document_id"))
+    rows = tagging.tag_report(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "path"), results, names, hits)
+    return rows.select(F.col("document_id").alias("doc_id"), "path", F.array_join(F.transform("tags", lambda x: x["name"]), ", ").alias("tags"))
+
+
+LEGS = (
+    "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), dense AS (SELECT vec_id AS doc_id, (row_number() OVER (ORDER BY " + DOT + " DESC, vec_id) - 1) AS rank FROM embeddings JOIN documents ON vec_id = doc_id, q), "
+    "kw AS (SELECT * FROM (" + bm25_sql(["license"]) + RANKED + ")), tg AS (SELECT * FROM (" + bm25_sql(["license"], TAGS) + RANKED + ")), "
+    "legs AS (SELECT doc_id, 0 AS leg, rank FROM dense WHERE rank < 1000 UNION ALL SELECT doc_id, 1, rank FROM kw UNION ALL SELECT doc_id, 2, rank FROM tg), "
+    "fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(leg) AS first_leg, arg_min(rank, leg) AS first_rank FROM legs GROUP BY doc_id), "
+    "pool AS (SELECT * FROM fused ORDER BY rrf DESC, first_leg, first_rank, doc_id LIMIT 80)"
+)
+
+
+def hybrid_pool(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    dense = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    return search.pool(search.fuse(search.dense_leg(dense, query_vector(spark, sf_dir)), search.keyword_leg(d, "license"), search.tag_leg(tag_texts(spark, sf_dir), "license")))
+
+
+@query(LEGS + " SELECT doc_id, round(rrf, 9) AS rrf, first_leg, first_rank::INT AS first_rank FROM pool")
+def rrf_fusion(spark, sf_dir):
+    return hybrid_pool(spark, sf_dir).select("doc_id", F.round("rrf", 9).alias("rrf"), "first_leg", "first_rank")
+
+
+SNIP = f"CASE WHEN length({STRIP(f"regexp_replace(text, '{S}+', ' ', 'g')")}) > 220 THEN regexp_replace({STRIP(f"regexp_replace(text, '{S}+', ' ', 'g')")}[1:220], '{S}+$', '') || '...' ELSE {STRIP(f"regexp_replace(text, '{S}+', ' ', 'g')")} END"
+LOGIT = "round(ln((contains(lower(snippet), 'license')::INT + 0.01) / (1.01 - contains(lower(snippet), 'license')::INT)), 6)"
+
+
+@query(LEGS + f", s AS (SELECT doc_id, {SNIP} AS snippet FROM pool JOIN documents USING (doc_id)) SELECT doc_id, snippet, {LOGIT}::DOUBLE AS score FROM s ORDER BY score DESC, doc_id LIMIT 5")
+def hybrid_search(spark, sf_dir):
+    return search.rerank(hybrid_pool(spark, sf_dir), search.lexical_score("license"), floor=-100.0).select("doc_id", "snippet", "score")
+
+
+@query(LEGS + f", s AS (SELECT doc_id, {SNIP} AS snippet FROM pool JOIN documents USING (doc_id)) SELECT doc_id, {LOGIT}::DOUBLE AS score FROM s WHERE {LOGIT} >= -2.5 ORDER BY score DESC, doc_id LIMIT 5")
+def rerank_floor_topk(spark, sf_dir):
+    return search.rerank(hybrid_pool(spark, sf_dir), search.lexical_score("license")).select("doc_id", "score")
+
+
+def doc_files(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select("path", F.octet_length("text").cast("long").alias("size"), "mtime", "source", F.col("text").alias("content"))
+
+
+FILES = DOCS + ", f AS (SELECT path, source, strlen(text)::BIGINT AS size, mtime, sha256(text) AS sha256 FROM d)"
+
+
+@query(f"WITH {FILES} SELECT sha256, any_value(size) AS size, count(*) AS n, (any_value(size) * (count(*) - 1))::BIGINT AS wasted FROM f GROUP BY sha256 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return duplicates.groups(duplicates.hashed(doc_files(spark, sf_dir)))
+
+
+@query(f"WITH {FILES} SELECT path, size FROM f WHERE size IN (SELECT size FROM f GROUP BY size HAVING count(*) > 1)")
+def size_prefilter(spark, sf_dir):
+    return duplicates.same_size(doc_files(spark, sf_dir)).select("path", "size")
+
+
+@query(f"WITH {FILES} SELECT sha256, count(DISTINCT source) AS n_sources, count(*) AS n FROM f GROUP BY sha256 HAVING count(DISTINCT source) > 1")
+def cross_source_duplicates(spark, sf_dir):
+    rows = duplicates.hashed(doc_files(spark, sf_dir)).groupBy("sha256", "source").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n")).where("n_sources > 1")
+
+
+@query(f"WITH {FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY mtime, length(path), path) AS k, count(*) OVER (PARTITION BY sha256) AS n FROM f) SELECT sha256, path, k = 1 AS keep FROM k WHERE n > 1")
+def duplicate_keeper(spark, sf_dir):
+    return duplicates.members(duplicates.hashed(doc_files(spark, sf_dir))).select("sha256", "path", "keep")
+
+
+@query(f"WITH {FILES}, g AS (SELECT any_value(size) AS size, count(*) AS n FROM f GROUP BY sha256 HAVING count(*) > 1) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_files, sum(size * (n - 1))::BIGINT AS wasted FROM g")
+def duplicate_summary(spark, sf_dir):
+    return duplicates.groups(duplicates.hashed(doc_files(spark, sf_dir))).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_files"), F.sum("wasted").alias("wasted"))
+
+
+@query(f"WITH {FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY mtime, length(path), path) AS k, count(*) OVER (PARTITION BY sha256) AS n, first_value(path) OVER (PARTITION BY sha256 ORDER BY mtime, length(path), path) AS kept FROM f) SELECT sha256, kept AS kept_path, path AS deleted_path, size AS size_bytes FROM k WHERE n > 1 AND k > 1")
+def cleanup_plan(spark, sf_dir):
+    return duplicates.cleanup_plan(duplicates.hashed(doc_files(spark, sf_dir)))
+
+
+@query(f"WITH {FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY mtime, length(path), path) AS k, count(*) OVER (PARTITION BY sha256) AS n FROM f) SELECT sha256, path AS restore_to, CASE WHEN length(path) % 2 = 0 THEN 'occupied' ELSE 'restore' END AS status FROM k WHERE n > 1 AND k > 1 AND size % 3 > 0")
+def cleanup_undo_plan(spark, sf_dir):
+    plan = duplicates.cleanup_plan(duplicates.hashed(doc_files(spark, sf_dir)))
+    log = plan.withColumn("restored_path", F.lit(None).cast("string")).unionByName(plan.where("size_bytes % 3 = 0").select("sha256", F.lit(None).cast("string").alias("kept_path"), F.lit(None).cast("string").alias("deleted_path"), "size_bytes", F.col("deleted_path").alias("restored_path")))
+    trash = plan.select(F.concat(F.lit("/trash"), "deleted_path").alias("path"), F.col("size_bytes").alias("size"), "sha256")
+    existing = plan.where(F.length("deleted_path") % 2 == 0).select(F.col("deleted_path").alias("path"))
+    return duplicates.undo_plan(log, trash, existing).select("sha256", "restore_to", "status")
+
+
+def _classify_sql() -> str:
+    magic = " ".join(f"WHEN starts_with(h, '{s}') THEN '{c}'" for c, _, ss in RULES for s in ss)
+    ext = " ".join(f"WHEN e IN ({', '.join(repr(x) for x in es)}) THEN '{c}'" for c, es, _ in RULES)
+    head = "CASE (doc_id // 8) % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(HEADERS)) + " END"
+    return f"WITH {DOCS}, a AS (SELECT doc_id, {EXT_SQL} AS e, {head} AS h FROM d), b AS (SELECT doc_id, CASE {magic} END AS m, CASE {ext} END AS x FROM a) SELECT doc_id, CASE WHEN m = 'archive' AND x <> 'archive' THEN x ELSE coalesce(m, x, 'unknown') END AS basic_type, CASE WHEN m = 'archive' AND x <> 'archive' THEN 'extension_override' WHEN m IS NOT NULL THEN 'magic_bytes' WHEN x IS NOT NULL THEN 'extension' END AS matched_by FROM b"
+
+
+@query(_classify_sql())
+def classify_basic_type(spark, sf_dir):
+    header = pick((F.floor(F.col("doc_id") / 8) % 8).cast("int"), HEADERS)
+    return docs(spark, sf_dir).select("doc_id", classify(F.col("path"), header).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE '本机' END AS label FROM d")
+def volume_label(spark, sf_dir):
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "/Volumes").otherwise("/home"), "path")
+    return docs(spark, sf_dir).select("doc_id", T.volume_label(path).alias("label"))
+
+
+@query("WITH s AS (SELECT doc_id, (n_chars * n_chars * (doc_id % 90 + 1))::BIGINT AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0) ELSE printf('%.1fGB', n / 1073741824.0) END AS label FROM s")
+def format_bytes(spark, sf_dir):
+    n = (F.col("n_chars") * F.col("n_chars") * (F.col("doc_id") % 90 + 1)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", T.format_bytes(F.col("n")).alias("label"))
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT '/' || source || '/' || lang AS dir, lang || '_' || sha256('/' || source || '/' || lang)[1:8] AS tag FROM d")
+def report_tag(spark, sf_dir):
+    return docs(spark, sf_dir).select(T.parent(F.col("path")).alias("dir")).distinct().select("dir", T.report_tag(F.col("dir")).alias("tag"))
+
+
+NOISY = "replace(text, '. ', '. [link](http://x.y/z) ![pic](a.png)' || chr(13) || chr(10) || '  ' || chr(10) || chr(10) || chr(9))"
+
+
+def noisy():
+    return F.replace("text", F.lit(". "), F.lit(". [link](http://x.y/z) ![pic](a.png)\r\n  \n\n\t"))
+
+
+@query(f"WITH a AS (SELECT doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace({NOISY}, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '$', '') AS t FROM documents), b AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: {STRIP('x')}), chr(10)) AS t FROM a) SELECT doc_id, {STRIP("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM b")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(noisy()).alias("text"))
+
+
+@query(f"SELECT doc_id, {SNIP} AS text FROM documents")
+def compact_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.compact_text(F.col("text")).alias("text"))
+
+
+def spread_sql(c: str, most: int, pieces: int) -> str:
+    size = max(most // pieces, 1)
+    parts = [f"{c}[(CASE WHEN length({c}) <= {size} THEN 0 ELSE floor({i} * (length({c}) - {size}) / {max(pieces - 1, 1)})::BIGINT END) + 1 : (CASE WHEN length({c}) <= {size} THEN 0 ELSE floor({i} * (length({c}) - {size}) / {max(pieces - 1, 1)})::BIGINT END) + {size}]" for i in range(pieces)]
+    return STRIP((" || chr(10) || '...' || chr(10) || ").join(parts))
+
+
+@query(f"SELECT doc_id, {spread_sql('text', 500, 5)} AS text FROM documents")
+def spread_sample(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.spread_sample(F.col("text"), 500).alias("text"))
+
+
+@query(f"WITH {DOCS}, a AS (SELECT doc_id, {STRIP(f"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{S}+', ' ', 'g')")} AS t, ({EXT_SQL}) AS e FROM d), b AS (SELECT doc_id, CASE WHEN e = '.html' AND length(t) > 400 THEN t[201:] WHEN e = '.pdf' AND length(t) > 600 THEN t[351:] ELSE t END AS t FROM a) SELECT doc_id, CASE WHEN length(t) > 15000 THEN {spread_sql('t', 1500, 5)} ELSE {STRIP('t[1:1500]')} END AS text FROM b")
+def snippet(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.snippet(F.col("text"), F.col("path")).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) > 1000 THEN '（提示：原文共 ' || length(text) || ' 字符，数量过多，这里是均匀抽样保留的代表性内容，不是完整原文）' || chr(10) || {spread_sql('text', 1000, 10)} ELSE text END AS text FROM documents")
+def stored_text_cap(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.stored_text(F.col("text"), 1000, 10).alias("text"))
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS pos, count(*) OVER (PARTITION BY role) AS n FROM conversations), p AS (SELECT DISTINCT role, floor(i * (n / 25.0))::BIGINT AS pos FROM n, range(0, 25) t(i) WHERE n > 25) SELECT role, conv_id, turn FROM n WHERE n <= 25 UNION ALL SELECT role, conv_id, turn FROM n JOIN p USING (role, pos)")
+def sample_evenly(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
+    return chunking.sample_evenly(rows, "role", "k", 25).select("role", "conv_id", "turn")
+
+
+@query()
+def html_visible_text(spark, sf_dir):
+    return extract.visible_text(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT 'success' AS status, count(*) AS n FROM pages")
+def extraction_status_counts(spark, sf_dir):
+    return extract.visible_text(table(spark, sf_dir, "pages")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    return chunking.chunk_text(table(spark, sf_dir, "documents"))
+
+
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 800 THEN 1 ELSE 1 + ceil((length(text) - 800) / 700.0) END::BIGINT AS n FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', 'x', 'g') AS text FROM documents)")
+def chunk_stats(spark, sf_dir):
+    """Chunks of texts without separators: hard cuts only, so that SQL can count them."""
+    solid = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "x").alias("text"))
+    return chunking.chunk_text(solid).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH n AS (SELECT doc_id, CASE WHEN length(text) <= 800 THEN 1 ELSE 1 + ceil((length(text) - 800) / 700.0) END::BIGINT AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, least(n, 8))) AS i FROM n) SELECT doc_id, CASE WHEN n <= 8 THEN i ELSE floor(i * (n / 8.0)) END::INT AS chunk_index FROM i")
+def chunk_cap(spark, sf_dir):
+    solid = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "x").alias("text"))
+    return chunking.sample_evenly(chunking.chunk_text(solid), "doc_id", "chunk_index", 8).select("doc_id", "chunk_index")
+
+
+def order_tables(spark, sf_dir) -> DataFrame:
+    """A table of orders as text for each nation, with the header first."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    line = F.concat_ws("\t", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return o.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("body")).select("doc_id", F.concat(F.lit("key\tstatus\tpriority\n"), "body").alias("text"))
+
+
+@query("SELECT c_nationkey::BIGINT AS doc_id, count(*) AS n_rows, true AS headed FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def chunk_tabular(spark, sf_dir):
+    """Every row is in one chunk, and every chunk begins with the header."""
+    c = chunking.chunk_tabular(order_tables(spark, sf_dir))
+    return c.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n")) - 1).cast("long").alias("n_rows"), F.every(F.col("text").startswith("key\tstatus\tpriority\n")).alias("headed"))
+
+
+@query("WITH e AS (SELECT vec_id % 50 AS doc_id, (vec_id % 5)::DOUBLE AS w, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT doc_id, pos, CASE WHEN sum(w) = 0 THEN avg(v) ELSE sum(w * v) / sum(w) END AS m FROM e GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(m * m)) AS norm FROM m GROUP BY doc_id) SELECT doc_id, pos::INT AS place, round(m / norm, 6) AS v FROM m JOIN n USING (doc_id)")
+def document_vectors(spark, sf_dir):
+    c = vector_chunks(spark, sf_dir).withColumn("weight", F.col("chunk_index") % 5)
+    return vectors.pool_vectors(c).select("doc_id", F.posexplode("vector").alias("place", "v")).withColumn("v", F.round("v", 6))
+
+
+@query("WITH t AS (SELECT label, embedding::DOUBLE[] AS tv FROM embeddings WHERE vec_id < 10), d AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id AS doc_id, round(avg(CASE WHEN vec_id % 7 = 0 THEN 0.5 ELSE least(greatest(list_dot_product(tv, v), 0), 1) END), 6) AS confidence FROM d JOIN t USING (label) GROUP BY vec_id")
+def tag_confidence(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    tags = e.join(e.where("vec_id < 10").select("label", F.col("vec_id").alias("tag"), F.col("embedding").alias("tag_vector")), "label").select(F.col("vec_id").alias("doc_id"), F.col("tag").cast("string").alias("name"), "tag_vector")
+    scored = vectors.tag_confidence(tags, e.where("vec_id % 7 > 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
+    return tagging.mean_confidence(scored).withColumn("confidence", F.round("confidence", 6))
+
+
+def catalog_documents(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("n_chars").alias("size_bytes"), F.col("mtime").alias("mtime_ns"), F.when(F.col("doc_id") % 11 == 0, "project").when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise("document").alias("basic_type"), F.lit("x").alias("volume_label"), (F.col("doc_id") % 5 > 0).alias("is_present"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3).alias("last_seen_run_id"))
+
+
+@query(f"WITH {DOCS} SELECT path FROM d WHERE doc_id % 4 = 0 OR doc_id % 6 > 0 OR doc_id % 10 = 0")
+def incremental_skip(spark, sf_dir):
+    """Files of which every fourth changed, all but every sixth have no vectors, and every tenth is newly listed."""
+    d = catalog_documents(spark, sf_dir)
+    listed = d.select("path", F.when(F.col("id") % 4 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"), "mtime_ns")
+    return catalog.changed(listed, d.where("id % 10 > 0"), d.where("id % 6 = 0").select(F.col("id").alias("document_id"))).select("path")
+
+
+@query(f"WITH {DOCS} SELECT doc_id AS id, doc_id % 5 > 0 AND NOT (source = 'src1' AND doc_id % 3 <> 2) AS is_present FROM d")
+def ghost_marking(spark, sf_dir):
+    return catalog.mark_ghosts(catalog_documents(spark, sf_dir), 2, "/src1/").select("id", "is_present")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def upsert_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return catalog.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+
+
+@query(f"WITH {DOCS} SELECT path, doc_id % 2 > 0 OR doc_id % 5 > 0 AS is_present, (doc_id % 2 > 0)::INT AS seen FROM d")
+def upsert_documents(spark, sf_dir):
+    d = catalog_documents(spark, sf_dir)
+    seen = d.where("id % 2 > 0").select("path", "size_bytes", "mtime_ns", "basic_type", "volume_label")
+    return catalog.upsert_documents(d, seen, 9).select("path", "is_present", F.col("last_seen_run_id").eqNullSafe(F.lit(9)).cast("int").alias("seen"))
+
+
+@query("SELECT DISTINCT '/' || source AS target_dir FROM documents WHERE source <> 'src3'")
+def target_dirs(spark, sf_dir):
+    return catalog.target_dirs(table(spark, sf_dir, "documents").select(F.when(F.col("source") != "src3", F.concat(F.lit("/"), "source")).alias("target_dir")))
+
+
+@query(f"WITH {DOCS} SELECT path FROM d WHERE doc_id % 5 > 0 AND starts_with(path, '/src1/')")
+def present_paths_under(spark, sf_dir):
+    return catalog.present_paths(catalog_documents(spark, sf_dir), "/src1/")
+
+
+def ts(c):
+    return F.timestamp_seconds(F.lit(1_700_000_000) + c)
+
+
+def extractions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("doc_id % 9 > 0").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 7 == 0, "error").otherwise("success").alias("status"), F.col("text").alias("full_text"), ts(F.col("doc_id") % 3).alias("created_at"))
+
+
+def results(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), ts(F.lit(1)).alias("created_at"), F.when(F.col("quality") == 1, "tagged").otherwise("untagged").alias("status"))
+
+
+@query(f"WITH {DOCS} SELECT d.doc_id AS document_id FROM d LEFT JOIN labels l USING (doc_id) WHERE doc_id % 9 > 0 AND doc_id % 7 > 0 AND doc_id % 5 > 0 AND doc_id % 11 > 0 AND doc_id % 13 > 0 AND (l.doc_id IS NULL OR doc_id % 3 > 1)")
+def pending_tagging(spark, sf_dir):
+    return tagging.pending(catalog_documents(spark, sf_dir), extractions(spark, sf_dir), results(spark, sf_dir)).select("document_id")
+
+
+@query(f"WITH {DOCS} SELECT doc_id AS document_id, (CASE WHEN doc_id % 11 = 0 THEN 'project' WHEN doc_id % 13 = 0 THEN 'unknown' ELSE 'document' END) || '|' || coalesce(nullif(({EXT_SQL})[2:], ''), '无扩展名') AS tags FROM d WHERE doc_id % 5 > 0 AND (doc_id % 9 = 0 OR doc_id % 7 = 0) AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def basic_tagging(spark, sf_dir):
+    rows = tagging.basic_tags(catalog_documents(spark, sf_dir), extractions(spark, sf_dir), results(spark, sf_dir))
+    return rows.select("document_id", F.array_join(F.transform("tags", lambda x: x["name"]), "|").alias("tags"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE length({STRIP('text')}) < 30")
+def untagged_short(spark, sf_dir):
+    return tagging.too_short(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("full_text"))).select("doc_id")
+
+
+@query("WITH t AS (SELECT doc_id, unnest([CASE WHEN quality = 1 THEN 'quality good' ELSE 'quality poor' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'harmless' END, lang]) AS name FROM labels JOIN documents USING (doc_id)) SELECT doc_id, string_agg(name, ',' ORDER BY name) AS tags FROM t GROUP BY doc_id")
+def tags_per_document(spark, sf_dir):
+    return label_tags(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("tags"))
+
+
+@query("SELECT CASE WHEN quality = 1 THEN 'tagged' ELSE 'untagged' END AS status, count(*) AS n FROM labels GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return tagging.status_counts(results(spark, sf_dir))
+
+
+@query("WITH n AS (SELECT DISTINCT lang AS name FROM documents WHERE lang <> 'en') SELECT 7::BIGINT AS id, 'en' AS name UNION ALL SELECT 7 + row_number() OVER (ORDER BY name), name FROM n")
+def tag_dictionary(spark, sf_dir):
+    known = spark.range(1).select(F.lit(7).cast("long").alias("id"), F.lit("en").alias("name"))
+    return catalog.with_ids(known, table(spark, sf_dir, "documents").select(F.col("lang").alias("name")))
+
+
+@query("WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), a AS (SELECT user_id, event_id, ts, k, ts AS last, true AS accepted FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.ts, e.k, CASE WHEN epoch(e.ts) - epoch(a.last) >= 1800 THEN e.ts ELSE a.last END, epoch(e.ts) - epoch(a.last) >= 1800 FROM e JOIN a ON e.user_id = a.user_id AND e.k = a.k + 1) SELECT event_id, accepted FROM a")
+def refresh_throttle(spark, sf_dir):
+    return refresh.throttle(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "accepted")
+
+
+@query("WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) SELECT event_id FROM e WHERE after IS NULL OR after > ts + INTERVAL 3 HOUR")
+def refresh_fallback(spark, sf_dir):
+    return refresh.needs_fallback(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id")
+
+
+@query("WITH r AS (SELECT event_id AS run_id, user_id AS target, ts AS started, ts + to_minutes((event_id % 600)::INT) AS ended FROM events), b AS (SELECT *, max(ended) OVER (PARTITION BY target ORDER BY started, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM r) SELECT run_id FROM b WHERE started < busy")
+def run_overlap(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    runs = e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("target"), F.col("ts").alias("started"), (F.col("ts") + F.make_interval(mins=(F.col("event_id") % 600).cast("int"))).alias("ended"))
+    return refresh.overlapping(runs).select("run_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def event_latest_state(spark, sf_dir):
+    return refresh.latest(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
+SITE = "p AS (SELECT page_id, '/w/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || CASE page_id % 5 WHEN 0 THEN 'package.json' WHEN 1 THEN 'node_modules/a.js' WHEN 2 THEN '.cache/x' WHEN 3 THEN 'src/a.py' ELSE 'page.html' END AS path FROM pages)"
+
+
+def site_paths(spark, sf_dir) -> DataFrame:
+    tail = pick((F.col("page_id") % 5).cast("int"), ("package.json", "node_modules/a.js", ".cache/x", "src/a.py", "page.html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/w/"), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), tail).alias("path"))
+
+
+@query(f"WITH {SITE} SELECT DISTINCT regexp_extract(path, '^(/w/[^/]*)/', 1) AS root FROM p WHERE page_id % 5 = 0")
+def project_roots(spark, sf_dir):
+    return files.project_roots(site_paths(spark, sf_dir).select("path"), "/w")
+
+
+@query(f"WITH {SITE}, r AS (SELECT DISTINCT regexp_extract(path, '^(/w/[^/]*)/', 1) AS root FROM p WHERE page_id % 5 = 0) SELECT page_id, path FROM p WHERE page_id % 5 IN (3, 4) AND regexp_extract(path, '^(/w/[^/]*)/', 1) NOT IN (SELECT root FROM r)")
+def filtered_files(spark, sf_dir):
+    return files.walk(site_paths(spark, sf_dir), "/w").select("page_id", "path")
+
+
+@query("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS ok FROM events WHERE false")
+def search_regression_empty(spark, sf_dir):
+    """Queries that must find nothing."""
+    rows = keyword(spark, sf_dir, "zz").unionByName(keyword(spark, sf_dir, "qqqxyz"))
+    return rows.select(F.col("doc_id").alias("event_id"), F.lit(True).alias("ok"))
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text")
+    return models.embed_chunks(rows, engine.embedder, 1).select("document_id", F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("v"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,0 +1,108 @@
+"""Tags: what needs tagging, basic tags, validated tags of a pluggable tagger, reports."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions.text import looks_complete, snippet, strip, suffix
+
+MIN_CHARS = 30
+NO_EXTENSION = "无扩展名"
+BASIC_REASON = "非文档类型或未成功提取文本，仅做基础类型识别，未做语义内容分析"
+DEFAULT_CONFIDENCE = 0.5
+RESULT = "document_id long, tags array<struct<name:string,confidence:double>>, confidence double, status string, reasoning string"
+
+
+def pending(documents: DataFrame, extractions: DataFrame, results: DataFrame) -> DataFrame:
+    """Extracted documents (projects apart) that have no result, or one older than their extraction."""
+    docs = documents.where("is_present and basic_type <> 'project'").select(F.col("id").alias("document_id"), "path", "basic_type")
+    rows = docs.join(extractions.where("status = 'success'").select("document_id", "full_text", F.col("created_at").alias("extracted_at")), "document_id")
+    return rows.join(results.select("document_id", F.col("created_at").alias("tagged_at")), "document_id", "left").where("tagged_at is null or extracted_at > tagged_at").drop("tagged_at")
+
+
+def too_short(rows: DataFrame) -> DataFrame:
+    return rows.where(F.length(strip(F.col("full_text"))) < MIN_CHARS)
+
+
+def long_enough(rows: DataFrame) -> DataFrame:
+    return rows.where(F.length(strip(F.col("full_text"))) >= MIN_CHARS)
+
+
+def basic_tags(documents: DataFrame, extractions: DataFrame, results: DataFrame, force: bool = False) -> DataFrame:
+    """Results with type and extension for documents without extracted text."""
+    rows = documents.where("is_present").join(extractions.where("status = 'success'").select(F.col("document_id").alias("id")), "id", "left_anti")
+    if not force:
+        rows = rows.join(results.select(F.col("document_id").alias("id")), "id", "left_anti")
+    ext = F.substring(suffix(F.col("path")), 2, 1_000)
+    tag = lambda c: F.struct(c.alias("name"), F.lit(1.0).alias("confidence"))
+    tags = F.array(tag(F.coalesce("basic_type", F.lit("unknown"))), tag(F.when(ext == "", NO_EXTENSION).otherwise(ext)))
+    return rows.select(F.col("id").alias("document_id"), tags.alias("tags"), F.lit(0.0).alias("confidence"), F.lit("basic").alias("status"), F.lit(BASIC_REASON).alias("reasoning"))
+
+
+def frequent_words(texts: pd.Series) -> list[tuple[str, list[str]]]:
+    """The stand-in for a language model: the most frequent longer words."""
+    out = []
+    for t in texts:
+        words = pd.Series([w for w in str(t).lower().split() if len(w) > 4 and w.isalpha()], dtype=object)
+        counts = words.value_counts().reset_index()
+        counts.columns = ["word", "n"]
+        top = counts.sort_values(["n", "word"], ascending=[False, True])["word"].head(3).tolist()
+        out.append((f"Frequent words: {', '.join(top)}.", top))
+    return out
+
+
+def tag_documents(rows: DataFrame, tagger: Callable[[pd.Series], list[tuple[str, list[str]]]] = frequent_words) -> DataFrame:
+    """Results of a tagger over pending rows; a result without tags or a whole sentence as its reason counts as untagged."""
+    ready = long_enough(rows).select("document_id", snippet(F.col("full_text"), F.col("path")).alias("snippet"))
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            found = tagger(b["snippet"])
+            yield pd.DataFrame({"document_id": b["document_id"], "reasoning": [r for r, _ in found], "names": [n for _, n in found]})
+
+    raw = ready.mapInPandas(batches, "document_id long, reasoning string, names array<string>")
+    names = F.array_distinct(F.filter(F.transform("names", strip), lambda x: x != ""))
+    good = (F.size(names) > 0) & looks_complete(F.col("reasoning"))
+    tags = F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(DEFAULT_CONFIDENCE).alias("confidence")))
+    empty = F.array().cast("array<struct<name:string,confidence:double>>")
+    done = raw.select("document_id", F.when(good, tags).otherwise(empty).alias("tags"), F.when(good, DEFAULT_CONFIDENCE).otherwise(0.0).alias("confidence"), F.when(good, "tagged").otherwise("untagged").alias("status"), "reasoning")
+    short = too_short(rows).select("document_id", empty.alias("tags"), F.lit(0.0).alias("confidence"), F.lit("untagged").alias("status"), F.lit("").alias("reasoning"))
+    return done.unionByName(short)
+
+
+def mean_confidence(tags: DataFrame) -> DataFrame:
+    return tags.groupBy("doc_id").agg(F.avg("confidence").alias("confidence"))
+
+
+def clean_tags(results: DataFrame) -> DataFrame:
+    """(document_id, name, confidence, at): blank names dropped; of a name that repeats the last confidence counts."""
+    each = results.select("document_id", F.posexplode("tags").alias("at", "t")).select("document_id", "at", strip(F.col("t.name")).alias("name"), "t.confidence").where("name <> ''")
+    return each.groupBy("document_id", "name").agg(F.max_by("confidence", "at").alias("confidence"), F.min("at").alias("at"))
+
+
+def tags_text(tags: DataFrame) -> DataFrame:
+    """(document_id, tags_text): names in input order, for tag search."""
+    ordered = F.sort_array(F.collect_list(F.struct("at", "name")))
+    return tags.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), " ").alias("tags_text"))
+
+
+def tag_report(documents: DataFrame, results: DataFrame, tags: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(document_id, path, status, confidence, reasoning, created_at, tags), newest first; tags in the order of their names."""
+    names = tags.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("name", F.col("confidence").alias("c")))).alias("tags"))
+    rows = results.join(documents.select(F.col("id").alias("document_id"), "path"), "document_id").join(names, "document_id", "left")
+    rows = rows if only is None else rows.join(only, "document_id", "left_semi")
+    return rows.orderBy(F.col("created_at").desc(), "document_id")
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """The report as lines of Markdown, one a document; ``n`` is their order."""
+    tags = F.array_join(F.transform("tags", lambda t: F.format_string("%s (%.2f)", t["name"], t["c"])), ", ")
+    return rows.select("document_id", F.concat_ws(" | ", F.col("path"), F.col("status"), F.format_string("%.2f", "confidence"), tags).alias("line"))
+
+
+def status_counts(results: DataFrame) -> DataFrame:
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
