@@ -17,9 +17,9 @@ DEFAULT_CONFIDENCE = 0.5
 RESULT = "document_id long, tags array<struct<name:string,confidence:double>>, confidence double, status string, reasoning string"
 
 
-def pending(documents: DataFrame, extractions: DataFrame, results: DataFrame) -> DataFrame:
-    """Extracted documents (projects apart) that have no result, or one older than their extraction."""
-    docs = documents.where("is_present and basic_type <> 'project'").select(F.col("id").alias("document_id"), "path", "basic_type")
+def pending(documents: DataFrame, extractions: DataFrame, results: DataFrame, projects: bool = False) -> DataFrame:
+    """Extracted documents, or projects, that have no result, or one older than their extraction."""
+    docs = documents.where("is_present").where(f"basic_type {'=' if projects else '<>'} 'project'").select(F.col("id").alias("document_id"), "path", "basic_type")
     rows = docs.join(extractions.where("status = 'success'").select("document_id", "full_text", F.col("created_at").alias("extracted_at")), "document_id")
     return rows.join(results.select("document_id", F.col("created_at").alias("tagged_at")), "document_id", "left").where("tagged_at is null or extracted_at > tagged_at").drop("tagged_at")
 
@@ -74,6 +74,12 @@ def tag_documents(rows: DataFrame, tagger: Callable[[pd.Series], list[tuple[str,
     return done.unionByName(short)
 
 
+def tag_projects(rows: DataFrame, tagger: Callable[[pd.Series], list[tuple[str, list[str]]]] = frequent_words) -> DataFrame:
+    """Results over pending projects, by their summaries; their type is a sure tag."""
+    sure = F.array(F.struct(F.lit("project").alias("name"), F.lit(1.0).alias("confidence")))
+    return tag_documents(rows.withColumn("full_text", F.substring("full_text", 1, 2500)), tagger).withColumn("tags", F.concat(sure, "tags"))
+
+
 def mean_confidence(tags: DataFrame) -> DataFrame:
     return tags.groupBy("doc_id").agg(F.avg("confidence").alias("confidence"))
 

@@ -86,7 +86,7 @@ def tag(db: Catalog, tagger: Callable = tagging.frequent_words, force: bool = Fa
     """Tags what is pending, and gives basic tags to what has no text."""
     documents, extractions, old = db.read("documents"), db.read("extractions"), db.read("tagging_results")
     known = old.where("false") if force else old
-    rows = tagging.tag_documents(tagging.pending(documents, extractions, known), tagger).unionByName(tagging.basic_tags(documents, extractions, old, force))
+    rows = tagging.tag_documents(tagging.pending(documents, extractions, known), tagger).unionByName(tagging.tag_projects(tagging.pending(documents, extractions, known, projects=True), tagger)).unionByName(tagging.basic_tags(documents, extractions, old, force))
     staged = rows.withColumn("created_at", F.current_timestamp())
     folder = f"{db.root}/staged-tags/v={len(db.versions('tagging_results')) + 1}"
     staged.write.mode("overwrite").parquet(folder)
