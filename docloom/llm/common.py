@@ -41,6 +41,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Estimated bytes up to which ``join_few`` broadcasts.
+BROADCAST_BYTES = 16 << 20
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined to few, which has one row for each key: broadcast if its measured size allows.
+
+    Beyond that size both sides are shuffled as they are, not as the output of an aggregate, so that adaptive
+    execution can split the rows of a hot key.
+    """
+    few = checkpoint(few)
+    width = F.lit(16)
+    for c, kind in few.dtypes:
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.size(c) * 32 if kind.startswith("array") else F.lit(8))
+    size = few.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
+    return rows.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, on, how)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A well mixed permutation of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

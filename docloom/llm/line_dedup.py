@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, join_few
 
 DEPTH = 3
 CONSTANT = 0.8
@@ -60,7 +60,7 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, min_contexts: int) -> Data
     constant = F.when(F.col("top.n") >= CONSTANT * F.col("all"), F.col("top.token"))
     shape = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("shape"), F.avg(constant.isNotNull().cast("double")).alias("share")).where(F.col("share") >= SHARE)
     agrees = F.forall("shape", lambda s: s["token"].isNull() | (s["token"] == F.get("words", s["place"])))
-    return found.join(shape, "leaf").where(agrees).select("doc_id", "th", "at", F.col("leaf").alias("template"))
+    return join_few(found, shape, "leaf").where(agrees).select("doc_id", "th", "at", F.col("leaf").alias("template"))
 
 
 def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
@@ -71,7 +71,7 @@ def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFr
     of = checkpoint(lines.alias("l").join(general.alias("g"), same, "left").select("l.doc_id", "l.th", "l.at", "l.context", F.coalesce("g.template", "l.own").alias("template")))
     contexts = of.groupBy("template", "doc_id").agg(F.min_by("context", F.struct("at", "context")).alias("context")).groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
     recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts).select("template")
-    return of.join(recurring, "template").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
+    return join_few(of, recurring, "template").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
