@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, join_few
 
 MIN_COSINE = 0.55
 FILE_SHARE = 0.5
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, mi
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir")))
     nearest = dirs.select("own_dir", F.explode(above).alias("a")).select("own_dir", "a.depth", "a.dir").join(speaks, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "dir_licence")).alias("b")).select("own_dir", F.col("b.dir").alias("inherited_from"), "b.dir_licence")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", directory(F.col("path")).alias("own_dir"))
-    rows = rows.alias("d").join(own.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.path <=> o.path"), "left").select("d.*", "o.own_licence", "o.cosine", "o.is_file").join(nearest, "own_dir", "left")
+    rows = join_few(rows.alias("d").join(own.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.path <=> o.path"), "left").select("d.*", "o.own_licence", "o.cosine", "o.is_file"), nearest, "own_dir", "left")
     inherits = F.col("own_licence").isNull() & F.col("dir_licence").isNotNull()
     origin = F.when(F.col("own_licence").isNull(), F.when(F.col("dir_licence").isNull(), "none").otherwise("inherited")).when(F.col("is_file"), "file").otherwise("header")
     return rows.select("doc_id", "path", "own_licence", "cosine", F.when(inherits, F.col("inherited_from")).alias("inherited_from"), F.coalesce("own_licence", "dir_licence").alias("licence"), origin.alias("origin"))
