@@ -51,10 +51,14 @@ def join_few(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "i
     Beyond that size both sides are shuffled as they are, not as the output of an aggregate, so that adaptive
     execution can split the rows of a hot key.
     """
-    few = checkpoint(few)
+    return join_written(rows, checkpoint(few), on, how)
+
+
+def join_written(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``join_few`` for a side that is already written (a checkpoint or a table)."""
     width = F.lit(16)
     for c, kind in few.dtypes:
-        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.size(c) * 32 if kind.startswith("array") else F.lit(8))
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.size(c) * 32 if kind.startswith("array") else F.lit(8))
     size = few.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
     return rows.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, on, how)
 
@@ -94,8 +98,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); component is the smallest node reachable.
 
     Alternating large and small stars: each round points neighbours at the smallest node near them, so the
-    depth falls geometrically. Minima are aggregated before the shuffle and joined back, so that a hub with
-    very many neighbours is never gathered in one task. Every round is checkpointed.
+    depth falls geometrically. Minima are aggregated before the shuffle, written and joined back by ``join_few``,
+    so that a hub with very many neighbours is never gathered in one task. Every round is checkpointed.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
     state = None
@@ -106,9 +110,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = tuple(seen)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_few(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = join_written(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 

@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, connected_components, group_starts, grouped, roots, splitmix, text_bytes, unite
+from docloom.llm.common import checkpoint, connected_components, group_starts, grouped, join_few, join_written, roots, splitmix, text_bytes, unite
 
 #: Rows of a group beyond which it is split into cells; bounds the memory of a task.
 GROUP_ROWS = 20_000
-#: The same for groups whose rows carry a sketch.
-SKETCH_ROWS = 4_000
+#: Rows of a group of candidates beyond which all are compared to one of them first.
+HOT_ROWS = 256
+#: Rows of each side of a cell in which the rest of such a group is compared.
+SKETCH_ROWS = 2_000
 #: Average rows of unrelated fingerprints that a group may have; beyond, more blocks are used.
 GROUP_MEAN = 64
 #: Smallest distinct shingle hashes that a sketch keeps: similarity is exact up to so many distinct shingles of two texts together.
@@ -226,33 +228,79 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & within[:, 1:]).sum(axis=1) / n
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: float = 0.8, radius: int = 22, group_rows: int = SKETCH_ROWS) -> DataFrame:
+def against_leaders(rows: DataFrame, min_similarity: float) -> DataFrame:
+    """rows of hot groups (key, n, node, fp, sketch), with the group's leader and whether it is alike.
+
+    The leader is the row whose SimHash is nearest to the bitwise majority of the group, ties to the smallest node:
+    copies of one text that differ from each other in many places are still near to what they have in common.
+    """
+    bits = [(2 * F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))) > F.count(F.lit(1))).cast("long") for i in range(64)]
+    middle = bits[0]
+    for i in range(1, 64):
+        middle = middle.bitwiseOR(F.shiftleft(bits[i], i))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    near = join_few(rows.select("key", "node", "fp"), rows.groupBy("key").agg(middle.alias("middle")), "key")
+    leaders = near.groupBy("key").agg(F.min(F.struct(far.alias("far"), "node")).alias("x")).select("key", F.col("x.node").alias("node"))
+    leaders = join_few(rows.select("key", "node", F.col("sketch").alias("leader_sketch")), leaders, ["key", "node"]).select("key", F.col("node").alias("leader"), "leader_sketch").dropDuplicates(["key"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own, leader = (b.column(b.schema.get_field_index(c)) for c in ("sketch", "leader_sketch"))
+            parts = [sketch_similarity(sketch_rows(own[at : at + 2048].to_pylist()), sketch_rows(leader[at : at + 2048].to_pylist())) >= min_similarity for at in range(0, b.num_rows, 2048)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))], ["key", "n", "node", "fp", "sketch", "leader", "alike"])
+
+    both = join_few(rows, leaders, "key").select("key", "n", "node", "fp", "sketch", "leader", "leader_sketch")
+    return both.mapInArrow(compare, "key long, n long, node long, fp long, sketch binary, leader long, alike boolean")
+
+
+def rest_cells(led: DataFrame, most: int) -> DataFrame:
+    """Rows (node, fp, sketch, key, i, j, done) of cells in which each row that is not like its leader meets every row of its group."""
+    rest = led.groupBy("key").agg(F.sum((~F.col("alike")).cast("long")).alias("r")).where("r > 0").select("key", F.ceil(F.col("r") / most).cast("int").alias("of_rest"))
+    rows = join_few(led, rest, "key").withColumn("of_all", F.ceil(F.col("n") / most).cast("int"))
+    i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("of_all", "of_rest"))
+    members = rows.select("node", "fp", "sketch", "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"), F.col("alike").alias("done"))
+    others = rows.where("not alike").select("node", "fp", "sketch", "key", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("done"))
+    return members.unionByName(others)
+
+
+def sketch_rows(raw: list[bytes]) -> np.ndarray:
+    """Sketches as rows of numbers, filled up with 2**32."""
+    out = np.full((len(raw), SKETCH), 1 << 32, np.int64)
+    for k, s in enumerate(raw):
+        out[k, : len(s) // 4] = np.frombuffer(s, np.uint32)
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: float = 0.8, radius: int = 22, hot_rows: int = HOT_ROWS, cell_rows: int = SKETCH_ROWS) -> DataFrame:
     """(doc_id, component_id) of texts whose word shingles are alike, a row for each row of docs.
 
     Texts meet in a group if they share the two least shingle hashes of one of BANDS orders; the Gray-order index
     of a group leaves out pairs whose SimHashes are too far apart for that similarity, and sketches of the least
     shingle hashes decide: exactly where two texts have SKETCH distinct shingles or fewer together.
-    Texts of equal words are one from the start.
+    Texts of equal words are one from the start. A group of over ``hot_rows`` texts is never gathered: all of it is
+    compared to a leader, wherever the rows lie; those that are alike are then one, and only the rest meets the
+    group again, in cells of up to twice ``cell_rows``.
     """
     feats = checkpoint(features(docs, shingle_words))
     words = checkpoint(feats.groupBy("words_key").agg(F.min("doc_id").alias("node")))
     one = feats.withColumnRenamed("doc_id", "node").join(words, ["words_key", "node"], "left_semi").dropDuplicates(["words_key"]).select("node", "fp", "sketch", "bands")
     rows = one.select("node", F.explode(F.array_distinct("bands")).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = cells(rows.join(shared, "key"), ["key"], group_rows, "node").join(one.select("node", "fp", "sketch"), "node").withColumn("gray", gray_rank(F.col("fp")))
-    keys = ["key", "cell"]
+    shared = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = join_written(rows, shared, "key").join(one.select("node", "fp", "sketch"), "node").select("key", "n", "node", "fp", "sketch")
+    cold = rows.where(F.col("n") <= hot_rows).select("node", "fp", "sketch", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("done"))
+    keys = ["key", "i", "j"]
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it, keys):
             x, node = t.column("fp").to_numpy().astype(np.uint64), t.column("node").to_numpy()
-            raw = t.column("sketch").to_pylist()
+            raw, done = t.column("sketch").to_pylist(), t.column("done").to_numpy()
             starts = group_starts(t, keys).tolist()
             u, v = [], []
             for a, e in zip(starts, [*starts[1:], len(x)], strict=True):
-                sketch = np.full((e - a, SKETCH), 1 << 32, np.int64)
-                for k, s in enumerate(raw[a:e]):
-                    sketch[k, : len(s) // 4] = np.frombuffer(s, np.uint32)
+                sketch = sketch_rows(raw[a:e])
                 own = np.arange(e - a)
+                one_already = np.flatnonzero(done[a:e])
+                own[one_already] = one_already[:1]
                 for i, j in GrayIndex(x[a:e]).pairs(radius, 256):
                     for at in range(0, len(i), 2048):
                         p, q = i[at : at + 2048], j[at : at + 2048]
@@ -265,7 +313,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
                 v.append(node[a:e][out])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    parts = connected_components(rows.repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "sketch", *keys).mapInArrow(links, "u long, v long"))
+    meet, edges = cold, None
+    if shared.where(F.col("n") > hot_rows).limit(1).count():
+        led = checkpoint(against_leaders(checkpoint(rows.where(F.col("n") > hot_rows)), min_similarity))
+        meet, edges = cold.unionByName(rest_cells(led, cell_rows)), led.where("alike").select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    found = meet.withColumn("gray", gray_rank(F.col("fp"))).repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "sketch", "done", *keys).mapInArrow(links, "u long, v long")
+    parts = connected_components(found if edges is None else found.unionByName(edges))
     labels = words.join(parts, "node", "left").select("words_key", F.coalesce("component", "node").alias("component_id"))
     return feats.select("doc_id", "words_key").join(labels, "words_key").select("doc_id", "component_id")
 
