@@ -2,10 +2,11 @@
 
 ``train`` counts the ``order``-grams of all trusted texts (summed per batch before the shuffle), derives the
 continuation counts of the lower orders, the three discounts of each order and, by joins on contexts and suffixes,
-the interpolated probabilities. The table is cut into shards by the last byte of the context, each of at most
-``SHARD_ROWS`` rows on average, so that what a task holds is bounded; documents pass the shards one after the other
-and gather the log probabilities of their grams. A document is rejected if its cross-entropy is above the threshold
-of its language: a quantile over trusted documents that were held out of training, plus a margin.
+the interpolated probabilities. A model of ``BROADCAST_ROWS`` rows or fewer is sent to all tasks. A larger one stays
+where it is: the documents are cut into slices of about 2 MB, the distinct grams of all slices are joined to the
+model, level by level, and each slice gets the values of its own grams back, so that what a task holds is bounded.
+A document is rejected if its cross-entropy is above the threshold of its language: a quantile over trusted documents
+that were held out of training, plus a margin.
 
 Cases: null, empty and very short texts have no grams and are kept; short texts are drawn towards the mean by
 ``PRIOR`` bytes, so that chance does not reject them; a language without ``MIN_HELD_OUT`` held-out documents (or a
@@ -15,20 +16,21 @@ contradicting labels make a document untrusted; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, per_row, slices, text_buffer, text_bytes
+from docloom.llm.common import checkpoint, slices, text_buffer, text_bytes
 
 ORDER = 5
-#: Average rows of a shard of the model.
-SHARD_ROWS = 4_000_000
+#: Rows up to which the model is broadcast (12 bytes each); beyond, documents and model meet in joins.
+BROADCAST_ROWS = 4_000_000
 #: Ids up to which the trusted ones are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: One of so many trusted documents is held out for the thresholds.
@@ -118,23 +120,18 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     return Model(table, order, table.count())
 
 
-def shards(model: Model) -> list[Broadcast]:
-    """Each shard as sorted arrays by (kind, n); the orders that need no context byte are in every shard."""
-    of = min(256, max(1, -(-model.rows // SHARD_ROWS)))
-    last = F.when(F.col("kind") == "p", F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(255))
-    out = []
-    for s in range(of):
-        rows = model.table.where((F.col("n") == 1) | (last % of == s)).toArrow()
-        kind, n = rows.column("kind").to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
-        gram, value = rows.column("gram").to_numpy(), np.log(rows.column("value").to_numpy())
-        part = {}
-        for k in range(1, model.order + 1):
-            for x in ("p", "w"):
-                at = np.flatnonzero((kind == x) & (n == k))
-                at = at[np.argsort(gram[at])]
-                part[x, k] = gram[at], value[at].astype(np.float32)
-        out.append(model.table.sparkSession.sparkContext.broadcast((s, of, part)))
-    return out
+def sent(model: Model) -> Broadcast:
+    """The model as sorted arrays by (kind, n); only for models of at most BROADCAST_ROWS rows."""
+    rows = model.table.toArrow()
+    kind, n = rows.column("kind").to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
+    gram, value = rows.column("gram").to_numpy(), np.log(rows.column("value").to_numpy())
+    tables = {}
+    for k in range(1, model.order + 1):
+        for x in ("p", "w"):
+            at = np.flatnonzero((kind == x) & (n == k))
+            at = at[np.argsort(gram[at])]
+            tables[x, k] = gram[at], value[at].astype(np.float32)
+    return model.table.sparkSession.sparkContext.broadcast(tables)
 
 
 def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,45 +142,101 @@ def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[n
     return known[at] == keys, value[at]
 
 
-def log_probabilities(g: np.ndarray, order: int, part: dict) -> np.ndarray:
+def log_probabilities(g: np.ndarray, order: int, tables: dict) -> np.ndarray:
     """Of the last byte of each gram, after the others."""
     out, left = np.zeros(len(g)), np.arange(len(g))
     for k in range(order, 0, -1):
         own = g[left] & ((1 << 8 * k) - 1)
-        found, value = looked_up(part["p", k], own)
+        found, value = looked_up(tables["p", k], own)
         out[left[found]] += value[found]
         left, own = left[~found], own[~found]
-        found, value = looked_up(part["w", k], own >> 8)
+        found, value = looked_up(tables["w", k], own >> 8)
         out[left[found]] += value[found]
     out[left] += np.log(1 / 256)
     return out
 
 
+SCORED = "doc_id long, lang string, th long, n long, loss double"
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, th, n, loss): the grams of each text and their summed negative log probability, a row for each row of docs; th tells texts of one id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("loss"))
-    order, parts = model.order, shards(model)
-    for i, shard in enumerate(parts):
-        last = i == len(parts) - 1
-
-        def batches(it: Iterator[pa.RecordBatch], shard=shard, last=last) -> Iterator[pa.RecordBatch]:
-            s, of, part = shard.value
-            for b in it:
-                data, offsets = text_buffer(b.column(3))
-                n, loss = b.column(4).to_numpy().copy(), b.column(5).to_numpy().copy()
-                for a, e in slices(offsets):
-                    g, at = grams(data, offsets[a : e + 1], order)
-                    coded = pa.array(g).dictionary_encode()
-                    kinds, where = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-                    mine = (kinds >> 8 & 255) % of == s
-                    value = np.where(mine, log_probabilities(kinds, order, part), 0.0)
-                    total = np.concatenate(([0.0], np.cumsum(value[where])))
-                    loss[a:e] -= total[at[1:]] - total[at[:-1]]
-                    n[a:e] += per_row(mine[where], at)
-                yield pa.RecordBatch.from_arrays([*b.columns[: 3 if last else 4], pa.array(n), pa.array(loss)], ["doc_id", "lang", "th", *([] if last else ["text"]), "n", "loss"])
-
-        rows = rows.mapInArrow(batches, "doc_id long, lang string, th long, " + ("" if last else "text binary, ") + "n long, loss double")
-    return rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
+    return score_by_broadcast(rows, model) if model.rows <= BROADCAST_ROWS else score_by_joins(rows, model)
+
+
+def summed(data: np.ndarray, offsets: np.ndarray, order: int, values: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(n, loss) of each row; values gives the log probabilities of distinct grams."""
+    g, at = grams(data, offsets, order)
+    coded = pa.array(g).dictionary_encode()
+    total = np.concatenate(([0.0], np.cumsum(values(coded.dictionary.to_numpy())[coded.indices.to_numpy()], dtype=np.float64)))
+    return np.diff(at), total[at[:-1]] - total[at[1:]]
+
+
+def score_by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+    order, tables = model.order, sent(model)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            data, offsets = text_buffer(b.column(3))
+            parts = [summed(data, offsets[a : e + 1], order, lambda g: log_probabilities(g, order, tables.value)) for a, e in slices(offsets)]
+            n, loss = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(loss)], ["doc_id", "lang", "th", "n", "loss"])
+
+    return rows.mapInArrow(batches, SCORED)
+
+
+def gram_values(needed: DataFrame, model: Model) -> DataFrame:
+    """(gram, value): log probabilities of the distinct grams ``needed``, from joins to each order of the model.
+
+    Tables of at most 65,536 rows (bytes and pairs of bytes) are broadcast; all others are joined by a shuffle.
+    """
+    value = F.lit(float(np.log(1 / 256)))
+    rows = needed
+    for k in range(1, model.order + 1):
+        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        for kind, key, most in (("p", own, 2), ("w", F.shiftright(own, 8), 3)):
+            table = model.table.where((F.col("kind") == kind) & (F.col("n") == k)).select(F.col("gram").alias("key"), F.log("value").alias(f"{kind}{k}"))
+            rows = rows.withColumn("key", key).join(F.broadcast(table) if k <= most else table, "key", "left").drop("key")
+        value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) + value)
+    return rows.select("gram", value.alias("value"))
+
+
+def score_by_joins(rows: DataFrame, model: Model) -> DataFrame:
+    order = model.order
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of this partition: rows with their packed texts, and one row with the distinct grams of all."""
+        squeeze, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        for b in it:
+            data, offsets = text_buffer(b.column(3))
+            for a, e in slices(offsets):
+                g, _ = grams(data, offsets[a : e + 1], order)
+                texts = [squeeze(x.as_py()) for x in b.column(3)[a:e]]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * (e - a + 1), pa.int64()), *[pa.concat_arrays([b.column(k)[a:e], pa.nulls(1, b.column(k).type)]) for k in range(3)], pa.array([*texts, None], pa.binary()), pa.array([None] * (e - a) + [squeeze(np.unique(g).tobytes())], pa.binary())], ["slice", "doc_id", "lang", "th", "text", "grams"])
+                number += 1
+
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for b in it:
+            for s, packed in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                g = np.frombuffer(expand(packed.as_py()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), s)), pa.array(g)], ["slice", "gram"])
+
+    def add(texts: pa.Table, values: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        data, offsets = text_buffer(pa.array([expand(x.as_py()) for x in texts.column("text")], pa.large_binary()))
+        gram, value = values.column("gram").to_numpy(), values.column("value").to_numpy()
+        by = np.argsort(gram)
+        gram, value = gram[by], value[by]
+        n, loss = summed(data, offsets, order, lambda g: value[np.searchsorted(gram, g)])
+        return texts.select(["doc_id", "lang", "th"]).append_column("n", pa.array(n)).append_column("loss", pa.array(loss))
+
+    parts = checkpoint(rows.mapInArrow(cut, "slice long, doc_id long, lang string, th long, text binary, grams binary"))
+    needs = parts.where("grams is not null").select("slice", "grams").mapInArrow(unpack, "slice long, gram long")
+    values = checkpoint(gram_values(needs.select("gram").distinct(), model))
+    of_slice = needs.join(values, "gram").select("slice", "gram", "value")
+    return parts.where("text is not null").drop("grams").groupBy("slice").cogroup(of_slice.groupBy("slice")).applyInArrow(add, SCORED)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

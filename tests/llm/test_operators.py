@@ -123,6 +123,31 @@ def test_near_duplicates(spark, none):
     assert [r["doc_id"] for r in simhash.keep_one(docs).orderBy("doc_id").collect()] == list(range(0, 120, 3))
 
 
+def brute_similarity(a, b):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+@pytest.mark.parametrize("hot_rows,cell_rows", [(256, 2000), (3, 2000), (3, 4)])
+def test_large_groups_of_near_copies(spark, hot_rows, cell_rows):
+    """Groups are compared to a leader, and the rest in cells: no link is lost."""
+    rng = random.Random(5)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(24):  # like the base, often not like each other
+            words = list(base)
+            for at in rng.sample(range(5, 95), 2 if k % 2 else 1):
+                words[at] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        for _ in range(6):  # share the start with the others and are not like them
+            texts.append(" ".join([*base[:60], *(f"u{rng.randrange(10**6)}" for _ in range(60))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = components(range(len(texts)), lambda i, j: brute_similarity(texts[i], texts[j]) >= 0.8)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, hot_rows=hot_rows, cell_rows=cell_rows).collect()}
+    assert found == dict(enumerate(want))
+
+
 def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
     assert line_dedup.drop_recurring_lines(odd).columns == [*SCHEMA.replace(",", "").split()[::2], "n_dropped_lines"]
@@ -257,7 +282,7 @@ def test_decontamination(spark, odd, none):
 def test_kneser_ney_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("abracadabra abracadabra",), ("banana band",), (None,)], "text string")
     model = kneser_ney.train(texts, 3)
-    part = kneser_ney.shards(model)[0].value[2]
+    part = kneser_ney.sent(model).value
     for context in (b"ab", b"an", b"zz", b" b"):
         g = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)])
         assert abs(np.exp(kneser_ney.log_probabilities(g, 3, part)).sum() - 1) < 1e-3
@@ -275,13 +300,16 @@ def test_classifier(spark, odd, none):
     assert kneser_ney.verdicts(none, labels).count() == 0 and kneser_ney.keep_good(odd, labels).columns == odd.columns
 
 
-def test_shards_score_alike(spark, monkeypatch):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = kneser_ney.train(docs.where("doc_id < 60"), 4)
-    one = {r["doc_id"]: r["loss"] for r in kneser_ney.score(docs, model).collect()}
-    monkeypatch.setattr(kneser_ney, "SHARD_ROWS", max(1, model.rows // 5))
-    many = {r["doc_id"]: r["loss"] for r in kneser_ney.score(docs, model).collect()}
-    assert len(kneser_ney.shards(model)) > 3 and all(abs(one[d] - many[d]) < 1e-6 * max(1, one[d]) for d in one)
+def test_joins_score_like_the_broadcast(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    model = kneser_ney.train(docs.where("doc_id < 60"), 5)
+    rows = docs.unionByName(odd.select("doc_id", "lang", "text")).select("doc_id", "lang", F.xxhash64("text").alias("th"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    one, many = order(kneser_ney.score_by_broadcast(rows, model)), order(kneser_ney.score_by_joins(rows, model))
+    assert len(one) == len(many) == rows.count()
+    for a, b in zip(one, many, strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= 1e-5 * max(1, a[4])
+    assert kneser_ney.score_by_joins(rows.where("false"), model).count() == 0
 
 
 def test_pipeline(spark):
