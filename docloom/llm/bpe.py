@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, slices, text_buffer, text_bytes
+from docloom.llm.common import bounded, checkpoint, slices, text_buffer, text_bytes
 
 FOLD_BYTES = 64
 DICTIONARY_WORDS = 100_000
@@ -142,7 +142,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                     counts.update(split(t.decode("utf-8", "replace")))
                 yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded(docs).select(text_bytes().alias("text")).mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = D
                 back = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, ids binary, decoded binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

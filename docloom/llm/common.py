@@ -27,6 +27,18 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+#: Bytes of an Arrow batch, where the session does not say otherwise; Spark's own bound by rows lets long texts grow a batch without end.
+BATCH_BYTES = "8m"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, in a session that bounds the bytes that go to Python at a time (a longer row is a batch of its own)."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return docs
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of this process."""
     sc = spark.sparkContext

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices, text_buffer, text_bytes, window_hashes, word_table
+from docloom.llm.common import bounded, slices, text_buffer, text_bytes, window_hashes, word_table
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -32,8 +32,8 @@ MIN_SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 BLOCK_ITEMS = 2_000
-#: Words of windows that are fingerprinted at a time.
-WINDOW_WORDS = 1 << 16
+#: Shingles of windows that are fingerprinted at a time, at 320 bytes each.
+WINDOW_WORDS = 1 << 18
 
 
 def simhashes(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -122,7 +122,7 @@ class ItemIndex:
                 w = w[w + size <= row_start[row[w] + 1]]
                 whole = np.zeros(len(h), np.uint64)
                 whole[at] = s
-                for part in np.array_split(w, max(1, -(-len(w) * n // (16 * WINDOW_WORDS)))):
+                for part in np.array_split(w, max(1, -(-len(w) * n // WINDOW_WORDS))):
                     self._verify(out, row, row_start, whole, part, n, size, min_similarity)
         return out
 
@@ -164,7 +164,7 @@ def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[li
 
 def contaminations(docs: DataFrame, items: DataFrame, min_similarity: float = MIN_SIMILARITY, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows) of every document and item that a window matches."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     schema = "doc_id long, item_id long, similarity double, start_word long, n_windows long"
     out = None
     for block in item_blocks(items, block_items):
@@ -201,5 +201,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, min_similarity: float =
                     clean[[a + r for r, _ in index.matches(data, offsets[a : e + 1], min_similarity)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(batches, schema)
+        docs = bounded(docs).mapInArrow(batches, schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, slices, text_buffer, text_bytes
+from docloom.llm.common import bounded, checkpoint, slices, text_buffer, text_bytes
 
 ORDER = 5
 #: Rows up to which the model is broadcast (12 bytes each); beyond, documents and model meet in joins.
@@ -79,7 +79,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
                 found = pa.array(g).value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["gram", "c"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(batches, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return bounded(docs).select(text_bytes().alias("text")).mapInArrow(batches, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -161,7 +161,7 @@ SCORED = "doc_id long, lang string, th long, n long, loss double"
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, th, n, loss): the grams of each text and their summed negative log probability, a row for each row of docs; th tells texts of one id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
     return score_by_broadcast(rows, model) if model.rows <= BROADCAST_ROWS else score_by_joins(rows, model)
 
 

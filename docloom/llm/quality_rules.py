@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BASE, IS_SPACE, per_row, slices, splitmix, text_buffer, text_bytes, window_hashes, word_table
+from docloom.llm.common import BASE, IS_SPACE, bounded, per_row, slices, splitmix, text_buffer, text_bytes, window_hashes, word_table
 
 WINDOW = 5
 #: Fixed value: the symbols that are counted.
@@ -98,7 +98,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 got = measures(data, offsets[a : e + 1])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), *map(pa.array, got)], ["doc_id", *MEASURES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def ledger(measured: DataFrame) -> DataFrame:

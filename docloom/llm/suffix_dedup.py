@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BYTE_VALUE, checkpoint, group_starts, grouped, range_hashes, slices, splitmix, text_buffer, text_bytes
+from docloom.llm.common import BYTE_VALUE, bounded, checkpoint, group_starts, grouped, range_hashes, slices, splitmix, text_buffer, text_bytes
 
 MIN_BYTES = 200
 #: Bytes of a minimizer.
@@ -170,7 +170,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = text_bytes()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def unpacked(b: pa.RecordBatch | pa.Array) -> Iterator[bytes]:
