@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, connected_components, group_starts, grouped, join_few, join_written, roots, splitmix, text_bytes, unite
+from docloom.llm.common import bounded, checkpoint, connected_components, group_starts, grouped, join_few, join_written, roots, splitmix, text_bytes, unite
 
 #: Rows of a group beyond which it is split into cells; bounds the memory of a task.
 GROUP_ROWS = 20_000
 #: Rows of a group of candidates beyond which all are compared to one of them first.
 HOT_ROWS = 256
 #: Rows of each side of a cell in which the rest of such a group is compared.
-SKETCH_ROWS = 2_000
+SKETCH_ROWS = 256
 #: Average rows of unrelated fingerprints that a group may have; beyond, more blocks are used.
 GROUP_MEAN = 64
 #: Smallest distinct shingle hashes that a sketch keeps: similarity is exact up to so many distinct shingles of two texts together.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
             fps = [simhash(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -214,7 +214,7 @@ def features(docs: DataFrame, shingle_words: int) -> DataFrame:
                 bands.append(splitmix(least[::2] ^ splitmix(least[1::2] + np.arange(BANDS, dtype=np.uint64))).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_key", "fp", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, words_key binary, fp long, sketch binary, bands array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, words_key binary, fp long, sketch binary, bands array<long>")
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,12 +254,12 @@ def against_leaders(rows: DataFrame, min_similarity: float) -> DataFrame:
 
 
 def rest_cells(led: DataFrame, most: int) -> DataFrame:
-    """Rows (node, fp, sketch, key, i, j, done) of cells in which each row that is not like its leader meets every row of its group."""
+    """Rows (node, fp, sketch, key, i, j, done, side) of cells in which each row that is not like its leader (side 2) meets every row of its group (side 1)."""
     rest = led.groupBy("key").agg(F.sum((~F.col("alike")).cast("long")).alias("r")).where("r > 0").select("key", F.ceil(F.col("r") / most).cast("int").alias("of_rest"))
     rows = join_few(led, rest, "key").withColumn("of_all", F.ceil(F.col("n") / most).cast("int"))
     i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("of_all", "of_rest"))
-    members = rows.select("node", "fp", "sketch", "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"), F.col("alike").alias("done"))
-    others = rows.where("not alike").select("node", "fp", "sketch", "key", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("done"))
+    members = rows.select("node", "fp", "sketch", "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"), F.col("alike").alias("done"), F.lit(1).alias("side"))
+    others = rows.where("not alike").select("node", "fp", "sketch", "key", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("done"), F.lit(2).alias("side"))
     return members.unionByName(others)
 
 
@@ -287,21 +287,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
     rows = one.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     shared = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = join_written(rows, shared, "key").join(one.select("node", "fp", "sketch"), "node").select("key", "n", "node", "fp", "sketch")
-    cold = rows.where(F.col("n") <= hot_rows).select("node", "fp", "sketch", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("done"))
+    cold = rows.where(F.col("n") <= hot_rows).select("node", "fp", "sketch", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("done"), F.lit(0).alias("side"))
     keys = ["key", "i", "j"]
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it, keys):
             x, node = t.column("fp").to_numpy().astype(np.uint64), t.column("node").to_numpy()
-            raw, done = t.column("sketch").to_pylist(), t.column("done").to_numpy()
+            raw, done, sides = t.column("sketch").to_pylist(), t.column("done").to_numpy(), t.column("side").to_numpy()
             starts = group_starts(t, keys).tolist()
             u, v = [], []
             for a, e in zip(starts, [*starts[1:], len(x)], strict=True):
                 sketch = sketch_rows(raw[a:e])
                 own = np.arange(e - a)
-                one_already = np.flatnonzero(done[a:e])
+                side, one_already = sides[a:e], np.flatnonzero(done[a:e])
                 own[one_already] = one_already[:1]
                 for i, j in GrayIndex(x[a:e]).pairs(radius, 256):
+                    across = (side[i] != side[j]) | (side[i] == 0)
+                    i, j = i[across], j[across]
                     for at in range(0, len(i), 2048):
                         p, q = i[at : at + 2048], j[at : at + 2048]
                         apart = own[p] != own[q]
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
     if shared.where(F.col("n") > hot_rows).limit(1).count():
         led = checkpoint(against_leaders(checkpoint(rows.where(F.col("n") > hot_rows)), min_similarity))
         meet, edges = cold.unionByName(rest_cells(led, cell_rows)), led.where("alike").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    found = meet.withColumn("gray", gray_rank(F.col("fp"))).repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "sketch", "done", *keys).mapInArrow(links, "u long, v long")
+    found = meet.withColumn("gray", gray_rank(F.col("fp"))).repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "sketch", "done", "side", *keys).mapInArrow(links, "u long, v long")
     parts = connected_components(found if edges is None else found.unionByName(edges))
     labels = words.join(parts, "node", "left").select("words_key", F.coalesce("component", "node").alias("component_id"))
     return feats.select("doc_id", "words_key").join(labels, "words_key").select("doc_id", "component_id")
