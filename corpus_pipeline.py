@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, kneser_ney, line_dedup, simhash
-from docloom.llm.common import checkpoint_folder, table
+from docloom.llm.common import checkpoint, checkpoint_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without recurring lines; n_chars follows the text."""
+    """Without lines that recur in several groups of near copies; n_chars follows the text."""
     names = docs.columns
-    rows = line_dedup.drop_recurring_lines(docs)
+    rows = line_dedup.drop_recurring_lines(docs, votes=checkpoint(simhash.near_duplicates(docs)))
     changed = F.col("n_dropped_lines") > 0
     return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
 

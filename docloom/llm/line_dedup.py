@@ -7,6 +7,10 @@ Any other line is its own template. A template that recurs in ``MIN_CONTEXTS`` c
 document counts one context: the lines before and after. So the lines of copied documents, which keep their
 neighbours, are left alone; finding copies is another operator's task.
 
+Neighbours tell exact copies only: in edited copies each edit is a context of its own. Where ``votes`` name the group
+of near copies that a document belongs to, a template must recur in as many groups too, and the ``DEPTH`` tokens that
+led to a leaf do not count in its SHARE: they are constant in any leaf.
+
 Cases: lines without a token are never dropped; a null text stays null; a text may become empty; repeated rows count
 once and are all cleaned; documents of a null id count as one; an empty table gives an empty result; all other
 columns pass unread, whatever their names.
@@ -48,8 +52,8 @@ def parsed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", F.explode(F.filter(each, lambda x: x["own"].isNotNull())).alias("line")).select("doc_id", "th", "line.*")
 
 
-def leaf_templates(docs: DataFrame, lines: DataFrame, min_contexts: int) -> DataFrame:
-    """(doc_id, th, at, template) of lines that belong to the template of their leaf."""
+def leaf_templates(docs: DataFrame, lines: DataFrame, min_contexts: int, skip: int = 0) -> DataFrame:
+    """(doc_id, th, at, template) of lines that belong to the template of their leaf; its first ``skip`` places do not count in SHARE."""
     leaves = checkpoint(lines.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owns")).where((F.col("n") >= min_contexts) & (F.col("owns") > 1)).select("leaf"))
     leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -58,26 +62,34 @@ def leaf_templates(docs: DataFrame, lines: DataFrame, min_contexts: int) -> Data
     counts = found.select("leaf", F.posexplode("words").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= CONSTANT * F.col("all"), F.col("top.token"))
-    shape = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("shape"), F.avg(constant.isNotNull().cast("double")).alias("share")).where(F.col("share") >= SHARE)
+    share = F.avg(F.when(F.col("place") >= skip, constant.isNotNull().cast("double")) if skip else constant.isNotNull().cast("double"))
+    shape = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("shape"), share.alias("share")).where(F.col("share") >= SHARE)
     agrees = F.forall("shape", lambda s: s["token"].isNull() | (s["token"] == F.get("words", s["place"])))
     return join_few(found, shape, "leaf").where(agrees).select("doc_id", "th", "at", F.col("leaf").alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, votes: DataFrame | None = None) -> DataFrame:
     """(doc_id, th, places) of the texts that have lines to drop; th tells texts of one id apart."""
     lines = checkpoint(parsed(docs))
-    general = leaf_templates(docs, lines, min_contexts).dropDuplicates(["doc_id", "th", "at"])
+    general = leaf_templates(docs, lines, min_contexts, 0 if votes is None else DEPTH).dropDuplicates(["doc_id", "th", "at"])
     same = F.expr("l.doc_id <=> g.doc_id and l.th = g.th and l.at = g.at")
     of = checkpoint(lines.alias("l").join(general.alias("g"), same, "left").select("l.doc_id", "l.th", "l.at", "l.context", F.coalesce("g.template", "l.own").alias("template")))
     contexts = of.groupBy("template", "doc_id").agg(F.min_by("context", F.struct("at", "context")).alias("context")).groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
     recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts).select("template")
+    if votes is not None:
+        each = votes.groupBy("doc_id").agg(F.min("component_id").alias("vote"))  # a null id has no vote: one group
+        groups = join_few(of.select("template", "doc_id").distinct(), each, "doc_id", "left").select("template", "vote").distinct()
+        recurring = recurring.join(groups.groupBy("template").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= min_contexts), "template", "left_semi")
     return join_few(of, recurring, "template").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """docs with the recurring lines taken out of ``text``, and ``n_dropped_lines`` added under that name."""
+def drop_recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, votes: DataFrame | None = None) -> DataFrame:
+    """docs with the recurring lines taken out of ``text``, and ``n_dropped_lines`` added under that name.
+
+    votes is (doc_id, component_id), the groups of near copies.
+    """
     names = docs.columns
-    gone = recurring_lines(docs, min_contexts)
+    gone = recurring_lines(docs, min_contexts, votes)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
     rows = d.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.doc_id and d.th = g.th"), "left").select("d.row", "g.places")
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")

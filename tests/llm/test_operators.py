@@ -159,6 +159,32 @@ def test_line_dedup(spark, odd, none):
     assert all(kept[100 + i].count("copied") == 3 for i in range(30))
 
 
+def piped_lines(spark, docs):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return dict(got(corpus_pipeline.lines(spark, rows, SF).select("doc_id", "text")))
+
+
+def test_edited_copies_keep_their_lines(spark):
+    """Each edit changes the contexts of its neighbours; the copies still have one vote."""
+    rng = random.Random(4)
+    base = [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(12)) for _ in range(40)]
+    docs = []
+    for i in range(60):
+        lines = list(base)
+        lines[rng.randrange(40)] = f"edit of {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} was made"
+        docs.append((i, "\n".join(lines)))
+    kept = piped_lines(spark, docs)
+    assert all(sum(x in base for x in kept[i].split("\n")) == 39 for i in range(60))
+
+
+def test_leading_tokens_do_not_make_a_template(spark):
+    """Of five places three chose the leaf: the other two vary, so there is no template."""
+    docs = [(i, f"{n} came\nthe last of {n} {m}\n{m} left") for i, (n, m) in enumerate(zip(["ann", "bob", "cyd", "dan", "eve", "fay"], ["oak", "elm", "ash", "yew", "fir", "bay"], strict=True))]
+    assert piped_lines(spark, docs) == dict(docs)
+
+
 def test_template_of_a_leaf(spark):
     """A field without digits is found as a place that varies in its leaf."""
     names = ["anna", "bert", "carl", "dora", "emil", "fred", "gina"]
