@@ -7,9 +7,10 @@ Any other line is its own template. A template that recurs in ``MIN_CONTEXTS`` c
 document counts one context: the lines before and after. So the lines of copied documents, which keep their
 neighbours, are left alone; finding copies is another operator's task.
 
-Neighbours tell exact copies only: in edited copies each edit is a context of its own. Where ``votes`` name the group
-of near copies that a document belongs to, a template must recur in as many groups too, and the ``DEPTH`` tokens that
-led to a leaf do not count in its SHARE: they are constant in any leaf.
+Neighbours tell exact copies only: in edited copies each edit is a context of its own, and the inner lines of a block, or
+a line between blank lines, have one context wherever they are. Where ``votes`` name the group of near copies that a
+document belongs to, groups are counted instead of contexts: different documents, less copies. The ``DEPTH`` tokens
+that led to a leaf then do not count in its SHARE: they are constant in any leaf.
 
 Cases: lines without a token are never dropped; a null text stays null; a text may become empty; repeated rows count
 once and are all cleaned; documents of a null id count as one; an empty table gives an empty result; all other
@@ -74,12 +75,12 @@ def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, votes: Da
     general = leaf_templates(docs, lines, min_contexts, 0 if votes is None else DEPTH).dropDuplicates(["doc_id", "th", "at"])
     same = F.expr("l.doc_id <=> g.doc_id and l.th = g.th and l.at = g.at")
     of = checkpoint(lines.alias("l").join(general.alias("g"), same, "left").select("l.doc_id", "l.th", "l.at", "l.context", F.coalesce("g.template", "l.own").alias("template")))
-    contexts = of.groupBy("template", "doc_id").agg(F.min_by("context", F.struct("at", "context")).alias("context")).groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
-    recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts).select("template")
-    if votes is not None:
-        each = votes.groupBy("doc_id").agg(F.min("component_id").alias("vote"))  # a null id has no vote: one group
-        groups = join_few(of.select("template", "doc_id").distinct(), each, "doc_id", "left").select("template", "vote").distinct()
-        recurring = recurring.join(groups.groupBy("template").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= min_contexts), "template", "left_semi")
+    if votes is None:
+        voices = of.groupBy("template", "doc_id").agg(F.min_by("context", F.struct("at", "context")).alias("voice"))
+    else:
+        each = votes.groupBy("doc_id").agg(F.min("component_id").alias("voice"))  # a null id has none: one group
+        voices = join_few(of.select("template", "doc_id").distinct(), each, "doc_id", "left")
+    recurring = voices.select("template", "voice").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("voices")).where(F.col("voices") >= min_contexts).select("template")
     return join_few(of, recurring, "template").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
 
 

@@ -185,6 +185,20 @@ def test_leading_tokens_do_not_make_a_template(spark):
     assert piped_lines(spark, docs) == dict(docs)
 
 
+def test_recurring_blocks(spark):
+    """Lines of a block have the same neighbours everywhere, and a line between blank lines has none."""
+    rng = random.Random(6)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    blocks = ["all of our rights\nremain with the owner\nof this very page\nas the law says", "\nshare this with all friends\n", "terms of use apply\nask us for more"]
+    texts = [(own(), block, own() if k < 2 else None) for k, block in enumerate(blocks) for _ in range(8)]
+    docs = [(i, "\n".join(x for x in t if x is not None)) for i, t in enumerate(texts)]
+    docs += [(100 + i, f"{own()}\nonly in few texts\n{own()}") for i in range(4)]
+    kept = piped_lines(spark, docs)
+    for i, (a, block, b) in enumerate(texts):
+        assert [x for x in kept[i].split("\n") if x] == [x for x in (a, b) if x is not None]
+    assert all(kept[100 + i] == docs[24 + i][1] for i in range(4))
+
+
 def test_template_of_a_leaf(spark):
     """A field without digits is found as a place that varies in its leaf."""
     names = ["anna", "bert", "carl", "dora", "emil", "fred", "gina"]
