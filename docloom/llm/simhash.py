@@ -34,8 +34,10 @@ HOT_ROWS = 256
 SKETCH_ROWS = 256
 #: Average rows of unrelated fingerprints that a group may have; beyond, more blocks are used.
 GROUP_MEAN = 64
-#: Smallest distinct shingle hashes that a sketch keeps: similarity is exact up to so many distinct shingles of two texts together.
+#: Smallest distinct shingle hashes that a sketch keeps.
 SKETCH = 256
+#: Pairs whose sketches are less similar than asked by this are not compared by all their shingles: six deviations of a sketch at 0.8, 4.8 at 0.5.
+SKETCH_MARGIN = 0.15
 BANDS = 5
 FANOUT = 16
 
@@ -196,25 +198,52 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 4, radius: int = 4, gro
 
 
 def features(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, words_key, fp, sketch, bands): what near_duplicates compares."""
+    """(doc_id, words_key, fp, bands): what near_duplicates groups by."""
     odd = splitmix(np.arange(2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys, fps, sketches, bands = [], [], [], []
+            keys, fps, bands = [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 h = shingle_hashes(text, shingle_words)
-                keys.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
+                keys.append(words_key(text))
                 fps.append(simhash(h))
                 h = np.unique(h)
-                sketches.append(np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
                 least = splitmix(h)[:, None] * odd if len(h) else np.zeros((1, 2 * BANDS), np.uint64)
                 least = (least ^ (least >> np.uint64(29))).min(axis=0)
                 bands.append(splitmix(least[::2] ^ splitmix(least[1::2] + np.arange(BANDS, dtype=np.uint64))).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_key", "fp", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_key", "fp", "bands"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, words_key binary, fp long, sketch binary, bands array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, words_key binary, fp long, bands array<long>")
+
+
+def words_key(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
+def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, words_key, shingles): all distinct shingle hashes, sorted, as 64-bit numbers."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(1).to_pylist()
+            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(words_key, texts), pa.binary()), pa.array(sets, pa.binary())], ["node", "words_key", "shingles"])
+
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text")).mapInArrow(batches, "node long, words_key binary, shingles binary")
+
+
+def alike(sets: list[bytes], sketch: np.ndarray, p: np.ndarray, q: np.ndarray, min_similarity: float) -> np.ndarray:
+    """Which pairs of places (p, q) are as similar: by all shingles, where sketches are not far too different."""
+    out = np.zeros(len(p), bool)
+    for at in range(0, len(p), 2048):
+        near = at + np.flatnonzero(sketch_similarity(sketch[p[at : at + 2048]], sketch[q[at : at + 2048]]) >= min_similarity - SKETCH_MARGIN)
+        for k in near.tolist():
+            a, b = np.frombuffer(sets[p[k]], np.uint64), np.frombuffer(sets[q[k]], np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[k] = both >= min_similarity * max(1, len(a) + len(b) - both)
+    return out
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,7 +258,7 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def against_leaders(rows: DataFrame, min_similarity: float) -> DataFrame:
-    """rows of hot groups (key, n, node, fp, sketch), with the group's leader and whether it is alike.
+    """rows of hot groups (key, n, node, fp, shingles), with the group's leader and whether it is alike.
 
     The leader is the row whose SimHash is nearest to the bitwise majority of the group, ties to the smallest node:
     copies of one text that differ from each other in many places are still near to what they have in common.
@@ -241,33 +270,37 @@ def against_leaders(rows: DataFrame, min_similarity: float) -> DataFrame:
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
     near = join_few(rows.select("key", "node", "fp"), rows.groupBy("key").agg(middle.alias("middle")), "key")
     leaders = near.groupBy("key").agg(F.min(F.struct(far.alias("far"), "node")).alias("x")).select("key", F.col("x.node").alias("node"))
-    leaders = join_few(rows.select("key", "node", F.col("sketch").alias("leader_sketch")), leaders, ["key", "node"]).select("key", F.col("node").alias("leader"), "leader_sketch").dropDuplicates(["key"])
+    leaders = join_few(rows.select("key", "node", F.col("shingles").alias("leader_shingles")), leaders, ["key", "node"]).select("key", F.col("node").alias("leader"), "leader_shingles").dropDuplicates(["key"])
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            own, leader = (b.column(b.schema.get_field_index(c)) for c in ("sketch", "leader_sketch"))
-            parts = [sketch_similarity(sketch_rows(own[at : at + 2048].to_pylist()), sketch_rows(leader[at : at + 2048].to_pylist())) >= min_similarity for at in range(0, b.num_rows, 2048)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))], ["key", "n", "node", "fp", "sketch", "leader", "alike"])
+            own, leader = (b.column(b.schema.get_field_index(c)) for c in ("shingles", "leader_shingles"))
+            parts = [np.zeros(0, bool)]
+            for at in range(0, b.num_rows, 2048):
+                x, y = own[at : at + 2048].to_pylist(), leader[at : at + 2048].to_pylist()
+                parts.append(alike(x + y, sketch_rows(x + y), np.arange(len(x)), len(x) + np.arange(len(x)), min_similarity))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts))], ["key", "n", "node", "fp", "shingles", "leader", "alike"])
 
-    both = join_few(rows, leaders, "key").select("key", "n", "node", "fp", "sketch", "leader", "leader_sketch")
-    return both.mapInArrow(compare, "key long, n long, node long, fp long, sketch binary, leader long, alike boolean")
+    both = join_few(rows, leaders, "key").select("key", "n", "node", "fp", "shingles", "leader", "leader_shingles")
+    return both.mapInArrow(compare, "key long, n long, node long, fp long, shingles binary, leader long, alike boolean")
 
 
 def rest_cells(led: DataFrame, most: int) -> DataFrame:
-    """Rows (node, fp, sketch, key, i, j, done, side) of cells in which each row that is not like its leader (side 2) meets every row of its group (side 1)."""
+    """Rows (node, fp, shingles, key, i, j, done, side) of cells in which each row that is not like its leader (side 2) meets every row of its group (side 1)."""
     rest = led.groupBy("key").agg(F.sum((~F.col("alike")).cast("long")).alias("r")).where("r > 0").select("key", F.ceil(F.col("r") / most).cast("int").alias("of_rest"))
     rows = join_few(led, rest, "key").withColumn("of_all", F.ceil(F.col("n") / most).cast("int"))
     i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("of_all", "of_rest"))
-    members = rows.select("node", "fp", "sketch", "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"), F.col("alike").alias("done"), F.lit(1).alias("side"))
-    others = rows.where("not alike").select("node", "fp", "sketch", "key", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("done"), F.lit(2).alias("side"))
+    members = rows.select("node", "fp", "shingles", "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"), F.col("alike").alias("done"), F.lit(1).alias("side"))
+    others = rows.where("not alike").select("node", "fp", "shingles", "key", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("done"), F.lit(2).alias("side"))
     return members.unionByName(others)
 
 
-def sketch_rows(raw: list[bytes]) -> np.ndarray:
-    """Sketches as rows of numbers, filled up with 2**32."""
-    out = np.full((len(raw), SKETCH), 1 << 32, np.int64)
-    for k, s in enumerate(raw):
-        out[k, : len(s) // 4] = np.frombuffer(s, np.uint32)
+def sketch_rows(sets: list[bytes]) -> np.ndarray:
+    """Sketches of sorted sets as rows of numbers, filled up with 2**32."""
+    out = np.full((len(sets), SKETCH), 1 << 32, np.int64)
+    for k, x in enumerate(sets):
+        least = np.unique(np.frombuffer(x, np.uint64)[: SKETCH + 64] >> np.uint64(32))[:SKETCH]
+        out[k, : len(least)] = least
     return out
 
 
@@ -275,25 +308,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
     """(doc_id, component_id) of texts whose word shingles are alike, a row for each row of docs.
 
     Texts meet in a group if they share the two least shingle hashes of one of BANDS orders; the Gray-order index
-    of a group leaves out pairs whose SimHashes are too far apart for that similarity, and sketches of the least
-    shingle hashes decide: exactly where two texts have SKETCH distinct shingles or fewer together.
+    of a group leaves out pairs whose SimHashes are too far apart for that similarity, sketches of the least shingle
+    hashes those that are far from it, and all distinct shingles decide. They are made for texts that share a band only.
     Texts of equal words are one from the start. A group of over ``hot_rows`` texts is never gathered: all of it is
     compared to a leader, wherever the rows lie; those that are alike are then one, and only the rest meets the
     group again, in cells of up to twice ``cell_rows``.
     """
     feats = checkpoint(features(docs, shingle_words))
     words = checkpoint(feats.groupBy("words_key").agg(F.min("doc_id").alias("node")))
-    one = feats.withColumnRenamed("doc_id", "node").join(words, ["words_key", "node"], "left_semi").dropDuplicates(["words_key"]).select("node", "fp", "sketch", "bands")
-    rows = one.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    one = feats.withColumnRenamed("doc_id", "node").join(words, ["words_key", "node"], "left_semi").dropDuplicates(["words_key"]).select("node", "words_key", "fp", "bands")
+    rows = one.select("node", "words_key", "fp", F.explode(F.array_distinct("bands")).alias("key"))
     shared = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = join_written(rows, shared, "key").join(one.select("node", "fp", "sketch"), "node").select("key", "n", "node", "fp", "sketch")
-    cold = rows.where(F.col("n") <= hot_rows).select("node", "fp", "sketch", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("done"), F.lit(0).alias("side"))
+    rows = checkpoint(join_written(rows, shared, "key").select("key", "n", "node", "words_key", "fp"))
+    wanted = checkpoint(rows.select("node", "words_key").distinct())
+    texts = join_written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), checkpoint(wanted.select(F.col("node").alias("doc_id")).distinct()), "doc_id")
+    sets = checkpoint(join_written(shingle_sets(texts, shingle_words), wanted, ["node", "words_key"]).dropDuplicates(["node", "words_key"]))
+    rows = rows.join(sets, ["node", "words_key"]).select("key", "n", "node", "fp", "shingles")
+    cold = rows.where(F.col("n") <= hot_rows).select("node", "fp", "shingles", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("done"), F.lit(0).alias("side"))
     keys = ["key", "i", "j"]
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it, keys):
             x, node = t.column("fp").to_numpy().astype(np.uint64), t.column("node").to_numpy()
-            raw, done, sides = t.column("sketch").to_pylist(), t.column("done").to_numpy(), t.column("side").to_numpy()
+            raw, done, sides = t.column("shingles").to_pylist(), t.column("done").to_numpy(), t.column("side").to_numpy()
             starts = group_starts(t, keys).tolist()
             u, v = [], []
             for a, e in zip(starts, [*starts[1:], len(x)], strict=True):
@@ -304,12 +341,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
                 for i, j in GrayIndex(x[a:e]).pairs(radius, 256):
                     across = (side[i] != side[j]) | (side[i] == 0)
                     i, j = i[across], j[across]
-                    for at in range(0, len(i), 2048):
-                        p, q = i[at : at + 2048], j[at : at + 2048]
+                    for at in range(0, len(i), 512):
+                        p, q = i[at : at + 512], j[at : at + 512]
                         apart = own[p] != own[q]
                         p, q = p[apart], q[apart]
-                        alike = sketch_similarity(sketch[p], sketch[q]) >= min_similarity if len(p) else np.zeros(0, bool)
-                        own = unite(own, p[alike], q[alike])
+                        one_text = alike(raw[a:e], sketch, p, q, min_similarity)
+                        own = unite(own, p[one_text], q[one_text])
                 out = np.flatnonzero(own != np.arange(e - a))
                 u.append(node[a:e][own[out]])
                 v.append(node[a:e][out])
@@ -319,7 +356,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: flo
     if shared.where(F.col("n") > hot_rows).limit(1).count():
         led = checkpoint(against_leaders(checkpoint(rows.where(F.col("n") > hot_rows)), min_similarity))
         meet, edges = cold.unionByName(rest_cells(led, cell_rows)), led.where("alike").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    found = meet.withColumn("gray", gray_rank(F.col("fp"))).repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "sketch", "done", "side", *keys).mapInArrow(links, "u long, v long")
+    found = meet.withColumn("gray", gray_rank(F.col("fp"))).repartition(*keys).sortWithinPartitions(*keys, "gray").select("node", "fp", "shingles", "done", "side", *keys).mapInArrow(links, "u long, v long")
     parts = connected_components(found if edges is None else found.unionByName(edges))
     labels = words.join(parts, "node", "left").select("words_key", F.coalesce("component", "node").alias("component_id"))
     return feats.select("doc_id", "words_key").join(labels, "words_key").select("doc_id", "component_id")
