@@ -198,7 +198,7 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 4, radius: int = 4, gro
 
 
 def features(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, words_key, fp, bands): what near_duplicates groups by."""
+    """(doc_id, words_key, fp, bands): what near_duplicates groups by. fp is of distinct shingles, as is the similarity."""
     odd = splitmix(np.arange(2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +206,9 @@ def features(docs: DataFrame, shingle_words: int) -> DataFrame:
             keys, fps, bands = [], [], []
             for t in b.column(1):
                 text = t.as_py()
-                h = shingle_hashes(text, shingle_words)
+                h = np.unique(shingle_hashes(text, shingle_words))
                 keys.append(words_key(text))
                 fps.append(simhash(h))
-                h = np.unique(h)
                 least = splitmix(h)[:, None] * odd if len(h) else np.zeros((1, 2 * BANDS), np.uint64)
                 least = (least ^ (least >> np.uint64(29))).min(axis=0)
                 bands.append(splitmix(least[::2] ^ splitmix(least[1::2] + np.arange(BANDS, dtype=np.uint64))).view(np.int64).tolist())

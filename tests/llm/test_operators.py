@@ -176,6 +176,17 @@ def test_near_duplicates_of_long_texts(spark, hot_rows):
     assert all(found[i] in (want[i], i) for i in want) and missed <= 1  # bands miss 0.006 of pairs
 
 
+def test_near_duplicates_with_repeated_sentences(spark):
+    """Similarity is of sets: a sentence that is added 40 times counts once."""
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base, *[f"s{rng.randrange(10**6)}" for _ in range(10)] * 40])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(docs).orderBy("doc_id").collect()] == list(range(0, 80, 2))
+
+
 def piped_lines(spark, docs):
     import corpus_pipeline
 
