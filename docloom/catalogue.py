@@ -152,7 +152,7 @@ def tag_search_bm25(spark, sf_dir):
 def tag_filter_report(spark, sf_dir):
     names = label_tags(spark, sf_dir).withColumnRenamed("doc_id", "document_id").withColumn("confidence", F.lit(1.0))
     results = names.select("document_id").distinct().withColumns({"created_at": F.lit("2024-01-01").cast("timestamp"), "status": F.lit("tagged"), "confidence": F.lit(1.0), "reasoning": F.lit("")})
-    hits = search.tag_leg(tag_texts(spark, sf_dir), "poor").select(F.col("doc_id").alias("document_id"))
+    hits = search.tag_matches(tag_texts(spark, sf_dir), "poor").select(F.col("doc_id").alias("document_id"))
     rows = tagging.tag_report(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "path"), results, names, hits)
     return rows.select(F.col("document_id").alias("doc_id"), "path", F.array_join(F.transform("tags", lambda x: x["name"]), ", ").alias("tags"))
 

@@ -126,6 +126,14 @@ def tag_leg(tags: DataFrame, query: str) -> DataFrame:
     return rows.withColumn("text", F.concat(F.lit(TAG_HIT), "text"))
 
 
+def tag_matches(tags: DataFrame, query: str) -> DataFrame:
+    """(doc_id) of all documents whose tags match, without ranks and without a cut: a filter for reports."""
+    parsed = parse(query)
+    if parsed is None or not parsed.any_of:
+        return tags.select("doc_id").where("false")
+    return tags.where(matches(F.col("tags_text"), parsed)).select("doc_id").distinct()
+
+
 def similarity(vector: Column, query: list[float], normalized: bool = True) -> Column:
     """Dot product, or cosine, clipped to [0, 1]; a zero norm counts as one."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -102,7 +102,7 @@ def tag(db: Catalog, tagger: Callable = tagging.frequent_words, force: bool = Fa
 def tags_report(db: Catalog, query: str | None = None) -> DataFrame:
     """All tagging results, or those whose tags match a query."""
     names = db.read("document_tags").join(db.read("tags").select(F.col("id").alias("tag_id"), "name"), "tag_id").withColumn("at", F.col("tag_id"))
-    only = None if query is None else search.tag_leg(tagging.tags_text(names).withColumnRenamed("document_id", "doc_id"), query).select(F.col("doc_id").alias("document_id"))
+    only = None if query is None else search.tag_matches(tagging.tags_text(names).withColumnRenamed("document_id", "doc_id"), query).select(F.col("doc_id").alias("document_id"))
     return tagging.tag_report(db.read("documents"), db.read("tagging_results"), names, only)
 
 

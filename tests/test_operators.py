@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docloom import catalogue
 from docloom.functions import text as T
 from docloom.functions.classify import classify
 from docloom.operators import chunking, search
@@ -154,3 +155,11 @@ def test_refresh_stream_sees_each_file_once(spark, tmp_path):
 def test_throttle_is_greedy(spark):
     rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate([0, 1799, 1800, 3000, 3600])], "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["accepted"] for r in refresh.throttle(rows, "user_id", "ts").orderBy("event_id").collect()] == [True, False, True, False, True]
+
+
+def test_tag_reports_are_whole(spark, tmp_path):
+    """A report over more documents than a ranking shows has all of them."""
+    ids = list(range(2_500))
+    spark.createDataFrame([(i, f"text {i}", "s", "en", 8) for i in ids], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["doc_id"] for r in catalogue.tag_filter_report(spark, str(tmp_path)).collect()) == ids
