@@ -7,6 +7,9 @@ in ``RADIUS`` bits or fewer: 64 bits are cut into ``BLOCKS`` blocks, at least on
 RADIUS // BLOCKS bits or fewer, and all such values of each item's blocks are listed. Candidates are verified by the
 exact similarity of weighted shingles (the weight of a shingle is its number): sum of minima over sum of maxima.
 
+A text of fewer words than an item has no such window; all of it is then compared to the item in the same way, if it is
+not too short to be as similar.
+
 Items are taken in blocks of ``BLOCK_ITEMS``, each of which is sent to all tasks; every block meets every document.
 
 Cases: words are lower-cased (A-Z); texts and items without words never match; an item of fewer words than a shingle
@@ -115,6 +118,7 @@ class ItemIndex:
                 own = at[found[np.isin(s[found], hashes)]]
                 if not len(own):
                     continue
+                self._short(out, row, row_start, h, at, s, own, k, size, min_similarity)
                 flag = np.zeros(len(h) + 1, np.int64)
                 np.add.at(flag, np.maximum(own - n + 1, row_start[row[own]]), 1)
                 np.add.at(flag, own + 1, -1)
@@ -126,6 +130,18 @@ class ItemIndex:
                     self._verify(out, row, row_start, whole, part, n, size, min_similarity)
         return out
 
+    def _short(self, out: dict, row: np.ndarray, row_start: np.ndarray, h: np.ndarray, at: np.ndarray, s: np.ndarray, own: np.ndarray, k: int, size: int, min_similarity: float) -> None:
+        """Texts of fewer words than the item, each as one window."""
+        rows = np.unique(row[own])
+        words = row_start[rows + 1] - row_start[rows]
+        able = (words < size) & (words - k + 1 >= min_similarity * (size - k + 1) - 1e-9)
+        if not able.any():
+            return
+        whole = np.zeros(len(h), np.uint64)
+        whole[at] = s
+        for m in np.unique(words[able]).tolist():
+            self._verify(out, row, row_start, whole, row_start[rows[able & (words == m)]], m - k + 1, size, min_similarity)
+
     def _verify(self, out: dict, row: np.ndarray, row_start: np.ndarray, whole: np.ndarray, w: np.ndarray, n: int, size: int, min_similarity: float) -> None:
         if not len(w):
             return
@@ -141,7 +157,7 @@ class ItemIndex:
         for a, i in zip(w[q].tolist(), item.tolist(), strict=True):
             window, own = Counter(whole[a : a + n].tolist()), self.shingles[i]
             least = sum((window & own).values())
-            similarity = least / (2 * n - least)
+            similarity = least / (n + size - min(size, self.shingle) + 1 - least)
             if similarity >= min_similarity:
                 key = int(row[a]), i
                 best, at, n_windows = out.get(key, (0.0, 0, 0))

@@ -347,6 +347,31 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, bench.where("false")).count() == len(rows())
 
 
+def test_decontamination_of_short_texts(spark):
+    """A text of fewer words than the item is one window; similarity is of weighted shingles, each side with its own length."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"Q{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate([40] * 12 + [15, 20, 60, 6, 5, 3])]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        texts += [" ".join(w[:-c]) for c in (1, 2, 3, 6, 8, 9) if c < len(w)] + [" ".join(w[2:]), " ".join([*w[1 : len(w) // 2], "x", *w[len(w) // 2 + 2 :]])]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string").coalesce(1)
+    shingles = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, u in items:
+            w, v = t.lower().split(), u.lower().split()
+            k = min(5, len(v))
+            x = shingles(v, k)
+            windows = [shingles(w[a : a + len(v)], k) for a in range(max(1, len(w) - len(v) + 1))]
+            best = max(sum((m & x).values()) / sum((m | x).values()) for m in windows)
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    assert sum(len(texts[d].split()) < len(items[i][1].split()) for d, i in want) > 40
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.contaminations(docs, bench).collect()} == want
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("abracadabra abracadabra",), ("banana band",), (None,)], "text string")
     model = kneser_ney.train(texts, 3)
