@@ -40,10 +40,13 @@ def bounded(docs: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of this process."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; on one machine (tests), where it is unset, one of this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -54,25 +57,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Estimated bytes up to which ``join_few`` broadcasts.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
-def join_few(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """rows joined to few, which has one row for each key: broadcast if its measured size allows.
+def join_few(rows: DataFrame, few_: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined to few_, which has one row for each key: broadcast if its measured size allows.
 
     Beyond that size both sides are shuffled as they are, not as the output of an aggregate, so that adaptive
     execution can split the rows of a hot key.
     """
-    return join_written(rows, checkpoint(few), on, how)
+    return join_written(rows, checkpoint(few_), on, how)
 
 
-def join_written(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def join_written(rows: DataFrame, few_: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``join_few`` for a side that is already written (a checkpoint or a table)."""
+    return rows.join(few(few_), on, how)
+
+
+def few(written: DataFrame) -> DataFrame:
+    """A written side of a join, marked for broadcast if its measured size is within BROADCAST_BYTES."""
     width = F.lit(16)
-    for c, kind in few.dtypes:
+    for c, kind in written.dtypes:
         width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.size(c) * 32 if kind.startswith("array") else F.lit(8))
-    size = few.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
-    return rows.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, on, how)
+    size = written.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -1,38 +1,39 @@
-"""Quality by an interpolated modified Kneser-Ney model of bytes, trained on trusted text.
+"""Quality by interpolated modified Kneser-Ney models of bytes, trained on trusted and on toxic text.
 
-``train`` counts the ``order``-grams of all trusted texts (summed per batch before the shuffle), derives the
-continuation counts of the lower orders, the three discounts of each order and, by joins on contexts and suffixes,
-the interpolated probabilities. A model of ``BROADCAST_ROWS`` rows or fewer is sent to all tasks. A larger one stays
-where it is: the documents are cut into slices of about 2 MB, the distinct grams of all slices are joined to the
-model, level by level, and each slice gets the values of its own grams back, so that what a task holds is bounded.
-A document is rejected if its cross-entropy is above the threshold of its language: a quantile over trusted documents
-that were held out of training, plus a margin.
+``train`` counts the ``ORDER``-grams of the trusted and of the toxic texts (summed per slice before the shuffle) and the
+continuation counts of all lower orders, with the totals and interpolation weights of all contexts. Nothing of it is
+collected or broadcast but the discounts (six numbers an order): ``score`` cuts the documents into slices, joins the
+distinct grams of all slices to the counts, dealt by key, and gives each slice the log probabilities of its own grams,
+so that what a task holds is bounded.
+
+A document is rejected if its cross-entropy under the trusted model is above the threshold of its language, or if in
+some window of ``WINDOW`` grams the toxic model exceeds the trusted one by more nats than the toxic threshold of its
+language. Both are quantiles over trusted documents that were held out of training, plus a margin.
 
 Cases: null, empty and very short texts have no grams and are kept; short texts are drawn towards the mean by
 ``PRIOR`` bytes, so that chance does not reject them; a language without ``MIN_HELD_OUT`` held-out documents (or a
-null one) takes the quantile of all; without trusted text nothing is rejected; repeated rows are scored alike;
-contradicting labels make a document untrusted; other columns are never read.
+null one) takes the quantile of all; without trusted text nothing is rejected, without toxic text nothing for
+toxicity; repeated rows are scored alike; documents with contradicting labels train neither model; other columns are
+never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, checkpoint, slices, text_buffer, text_bytes
+from docloom.llm.common import bounded, checkpoint, few, join_few, join_written, slices, text_buffer, text_bytes
 
+#: Bytes of a gram; a key holds at most seven and a tag.
 ORDER = 5
-#: Rows up to which the model is broadcast (12 bytes each); beyond, documents and model meet in joins.
-BROADCAST_ROWS = 4_000_000
-#: Ids up to which the trusted ones are broadcast (8 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: One of so many trusted documents is held out for the thresholds.
 HELD_OUT = 5
 MIN_HELD_OUT = 30
@@ -41,15 +42,35 @@ QUANTILE = 0.99
 MARGIN = 0.15
 #: Bytes of mean text that every document counts as having besides its own.
 PRIOR = 150
+#: Grams of a window that is tried for toxicity, and nats added to the quantile of held-out documents.
+WINDOW = 16
+TOXIC_MARGIN = 3.0
+#: Bytes of text whose distinct grams are looked up together.
+SLICE_BYTES = 1 << 24
 
 
 @dataclass
 class Model:
-    """Interpolated probabilities by order and gram, weights of the next lower order by order and context."""
+    """Counts of grams and statistics of contexts, for a trusted (a) and a toxic (b) model.
+
+    ``table`` has key, a1, a2, b1, b2: for a gram of k bytes (key(0, k, gram)) its counts a1 and b1; for a context of
+    a k-gram (key(1, k, context)) totals a1, b1 and weights of the next lower order a2, b2. ``discounts`` has six
+    numbers an order.
+    """
 
-    table: DataFrame  # kind ('p' or 'w'), n, gram, value
+    table: DataFrame
     order: int
-    rows: int
+    discounts: list[list[float]]
+
+
+def mask(k: int) -> int:
+    return (1 << 8 * k) - 1
+
+
+def key(kind: int, k: Column | int, gram: Column) -> Column:
+    """Of a gram (kind 0) or context (kind 1) of order k, from 1 on."""
+    tag = F.shiftleft((k if isinstance(k, Column) else F.lit(k)).cast("long"), 57)
+    return gram.bitwiseOR(tag).bitwiseOR(F.lit(kind << 56).cast("long"))
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,153 +89,141 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     return g[kept], np.concatenate(([0], np.cumsum(ends - (offsets[:-1] - base))))
 
 
-def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over all texts."""
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """(gram, a, b): how often trusted and toxic texts have a gram; texts is (text, toxic)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data, offsets = text_buffer(b.column(0))
-            for a, e in slices(offsets):
-                g, _ = grams(data, offsets[a : e + 1], order)
-                found = pa.array(g).value_counts()
-                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["gram", "c"])
+            for toxic in (False, True):
+                rows = b.filter(b.column(1) if toxic else pc.invert(b.column(1)))
+                data, offsets = text_buffer(rows.column(0))
+                for at, end in slices(offsets):
+                    found = pa.array(grams(data, offsets[at : end + 1], order)[0]).value_counts()
+                    none = pa.array(np.zeros(len(found), np.int64))
+                    counts = [none, found.field("counts")] if toxic else [found.field("counts"), none]
+                    yield pa.RecordBatch.from_arrays([found.field("values"), *counts], ["gram", "a", "b"])
 
-    return bounded(docs).select(text_bytes().alias("text")).mapInArrow(batches, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    rows = bounded(texts).select(text_bytes().alias("text"), "toxic").mapInArrow(batches, "gram long, a long, b long")
+    return rows.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """The discounts of counts 1, 2 and 3 or more."""
-    got = {r["c"]: r["n"] for r in counts.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n2, n3, n4 = (got.get(k, 0) for k in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """The discounts of counts 1, 2 and 3 or more, from the numbers of grams of count 1 to 4."""
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
 
 
+def of_order(values: list[float], k: Column) -> Column:
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), k - 1)
+
+
 def train(texts: DataFrame, order: int = ORDER) -> Model:
-    """The model of the texts."""
-    counts = {order: checkpoint(count_grams(texts, order))}
-    for k in range(order - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        if k == order - 1:
-            counts[k] = checkpoint(counts[k])
-    lower: DataFrame | None = None
-    parts = []
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts(counts[k])
-        rows = counts[k].withColumn("context", F.shiftright("gram", 8))
-        sums = rows.groupBy("context").agg(F.sum("c").alias("total"), *[F.sum(F.when(c, d).otherwise(0.0)).alias(n) for c, d, n in ((F.col("c") == 1, d1, "a"), (F.col("c") == 2, d2, "b"), (F.col("c") > 2, d3, "e"))])
-        sums = sums.select("context", "total", ((F.col("a") + F.col("b") + F.col("e")) / F.col("total")).alias("weight"))
-        own = F.col("c") - F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = rows.join(sums, "context").withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-        below = F.lit(1 / 256)
-        if lower is not None:
-            rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-            below = F.col("below")
-        lower = checkpoint(rows.select("gram", (own / F.col("total") + F.col("weight") * below).alias("p")))
-        parts += [lower.select(F.lit("p").alias("kind"), F.lit(k).alias("n"), "gram", F.col("p").alias("value")), sums.select(F.lit("w").alias("kind"), F.lit(k).alias("n"), F.col("context").alias("gram"), F.col("weight").alias("value"))]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    table = checkpoint(table)
-    return Model(table, order, table.count())
-
-
-def sent(model: Model) -> Broadcast:
-    """The model as sorted arrays by (kind, n); only for models of at most BROADCAST_ROWS rows."""
-    rows = model.table.toArrow()
-    kind, n = rows.column("kind").to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
-    gram, value = rows.column("gram").to_numpy(), np.log(rows.column("value").to_numpy())
-    tables = {}
-    for k in range(1, model.order + 1):
-        for x in ("p", "w"):
-            at = np.flatnonzero((kind == x) & (n == k))
-            at = at[np.argsort(gram[at])]
-            tables[x, k] = gram[at], value[at].astype(np.float32)
-    return model.table.sparkSession.sparkContext.broadcast(tables)
-
-
-def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, value = table
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return known[at] == keys, value[at]
-
-
-def log_probabilities(g: np.ndarray, order: int, tables: dict) -> np.ndarray:
-    """Of the last byte of each gram, after the others."""
-    out, left = np.zeros(len(g)), np.arange(len(g))
-    for k in range(order, 0, -1):
-        own = g[left] & ((1 << 8 * k) - 1)
-        found, value = looked_up(tables["p", k], own)
-        out[left[found]] += value[found]
-        left, own = left[~found], own[~found]
-        found, value = looked_up(tables["w", k], own >> 8)
-        out[left[found]] += value[found]
-    out[left] += np.log(1 / 256)
-    return out
-
-
-SCORED = "doc_id long, lang string, th long, n long, loss double"
+    """The model of texts (text, toxic); order is 2 to 7."""
+    if not 2 <= order <= 7:
+        raise ValueError("order must be 2 to 7")
+    top = checkpoint(count_grams(texts, order))
+    # a lower gram counts the different bytes before it: the different grams one byte longer that end with it
+    longer = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(mask(k + 1))).alias("g")) for k in range(1, order)])).alias("x")
+    types = top.select(longer, (F.col("a") > 0).alias("a"), (F.col("b") > 0).alias("b")).groupBy("x.k", "x.g").agg(F.max("a").cast("long").alias("a"), F.max("b").cast("long").alias("b"))
+    own = F.lit(0).cast("long")
+    for k in range(1, order):
+        own = F.when(F.col("k") == k, F.col("g").bitwiseAND(F.lit(mask(k)))).otherwise(own)
+    lower = types.select("k", own.alias("gram"), "a", "b").groupBy("k", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = checkpoint(lower.unionByName(top.select(F.lit(order).alias("k"), "gram", "a", "b")))
+    number = [F.sum((F.col(m) == c).cast("long")).alias(f"{m}{c}") for m in "ab" for c in (1, 2, 3, 4)]
+    got = {r["k"]: [*discounts(*r[1:5]), *discounts(*r[5:9])] for r in counts.groupBy("k").agg(*number).collect()}  # a row an order
+    found = [got.get(k, [0.5, 1.0, 1.5] * 2) for k in range(1, order + 1)]
+    sums = counts.groupBy("k", F.shiftright("gram", 8).alias("context")).agg(*[F.sum(m).alias(m) for m in "ab"], *[F.sum((F.col(m) == c).cast("long") if c < 3 else (F.col(m) > 2).cast("long")).alias(f"{m}{c}") for m in "ab" for c in (1, 2, 3)])
+    weight = [sum(F.col(f"{m}{c}") * of_order([d[i * 3 + c - 1] for d in found], F.col("k")) for c in (1, 2, 3)) / F.when(F.col(m) > 0, F.col(m)) for i, m in enumerate("ab")]
+    contexts = sums.select(key(1, F.col("k"), F.col("context")).alias("key"), F.col("a").cast("double").alias("a1"), weight[0].alias("a2"), F.col("b").cast("double").alias("b1"), weight[1].alias("b2"))
+    none = F.lit(None).cast("double")
+    table = counts.select(key(0, F.col("k"), F.col("gram")).alias("key"), F.col("a").cast("double").alias("a1"), none.alias("a2"), F.col("b").cast("double").alias("b1"), none.alias("b2")).unionByName(contexts)
+    return Model(checkpoint(table), order, found)
+
+
+def looked_up(rows: DataFrame, model: Model, first: int, last: int) -> DataFrame:
+    """rows (gram, below_a, below_b) with the probabilities pa, pb of order ``last``; below are those of the order before ``first``."""
+    at = [(kind, k, F.shiftright("gram", 8).bitwiseAND(F.lit(mask(k - 1))) if kind else F.col("gram").bitwiseAND(F.lit(mask(k)))) for k in range(first, last + 1) for kind in (0, 1)]
+    found = rows.select("gram", F.explode(F.array(*[key(kind, k, g) for kind, k, g in at])).alias("key")).join(model.table, "key")
+    place = F.shiftright("key", 56)
+    got = found.groupBy("gram").agg(*[F.max(F.when(place == 2 * k + kind, F.col(c))).alias(f"{c}_{kind}{k}") for kind, k, _ in at for c in (("a1", "a2", "b1", "b2") if kind else ("a1", "b1"))])
+    p = []
+    for i, m in enumerate("ab"):
+        below = F.col(f"below_{m}")
+        for k in range(first, last + 1):
+            count, total, weight = F.coalesce(F.col(f"{m}1_0{k}"), F.lit(0.0)), F.col(f"{m}1_1{k}"), F.col(f"{m}2_1{k}")
+            d1, d2, d3 = model.discounts[k - 1][3 * i : 3 * i + 3]
+            own = F.when(count == 0, 0.0).when(count == 1, 1 - d1).when(count == 2, 2 - d2).otherwise(count - d3)
+            below = F.when(total > 0, own / total + weight * below).otherwise(below)
+        p.append(below.alias(f"p{m}"))
+    return rows.join(got, "gram", "left").select("gram", *p)
+
+
+def log_probabilities(needed: DataFrame, model: Model) -> DataFrame:
+    """(gram, a, b): log probability of the last byte of each distinct gram after the others, by both models.
+
+    Many grams end alike: the orders up to ``order`` - 2 are looked up once for all of them.
+    """
+    low = max(1, model.order - 2)
+    ends = needed.select(F.col("gram").bitwiseAND(F.lit(mask(low))).alias("gram")).distinct()
+    flat = [F.lit(1 / 256).alias(f"below_{m}") for m in "ab"]
+    part = looked_up(ends.select("gram", *flat), model, 1, low)
+    if low < model.order:
+        rows = needed.withColumn("end", F.col("gram").bitwiseAND(F.lit(mask(low))))
+        part = join_few(rows, part.select(F.col("gram").alias("end"), F.col("pa").alias("below_a"), F.col("pb").alias("below_b")), "end")
+        part = looked_up(part.select("gram", "below_a", "below_b"), model, low + 1, model.order)
+    return part.select("gram", F.log("pa").alias("a"), F.log("pb").alias("b"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, th, n, loss): the grams of each text and their summed negative log probability, a row for each row of docs; th tells texts of one id apart."""
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
-    return score_by_broadcast(rows, model) if model.rows <= BROADCAST_ROWS else score_by_joins(rows, model)
+SCORED = "doc_id long, lang string, th long, n long, loss double, toxicity double"
 
 
-def summed(data: np.ndarray, offsets: np.ndarray, order: int, values: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, loss) of each row; values gives the log probabilities of distinct grams."""
+def summed(data: np.ndarray, offsets: np.ndarray, order: int, gram: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, loss, toxicity) of each row, where a and b are the log probabilities of the sorted grams ``gram``."""
     g, at = grams(data, offsets, order)
+    n = np.diff(at)
+    if not len(g):
+        return n, np.zeros(len(n)), np.zeros(len(n))
     coded = pa.array(g).dictionary_encode()
-    total = np.concatenate(([0.0], np.cumsum(values(coded.dictionary.to_numpy())[coded.indices.to_numpy()], dtype=np.float64)))
-    return np.diff(at), total[at[:-1]] - total[at[1:]]
-
+    own = np.searchsorted(gram, coded.dictionary.to_numpy())[coded.indices.to_numpy()]
+    loss = np.concatenate(([0.0], np.cumsum(a[own])))
+    ratio = np.concatenate(([0.0], np.cumsum(b[own] - a[own])))
+    end = np.minimum(np.arange(len(g)) + WINDOW, np.repeat(at[1:], n))
+    window = ratio[end] - ratio[:-1]
+    full = n > 0
+    toxicity = np.zeros(len(n))
+    toxicity[full] = np.maximum.reduceat(window, at[:-1][full])
+    return n, loss[at[:-1]] - loss[at[1:]], toxicity
 
-def score_by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
-    order, tables = model.order, sent(model)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            data, offsets = text_buffer(b.column(3))
-            parts = [summed(data, offsets[a : e + 1], order, lambda g: log_probabilities(g, order, tables.value)) for a, e in slices(offsets)]
-            n, loss = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(loss)], ["doc_id", "lang", "th", "n", "loss"])
-
-    return rows.mapInArrow(batches, SCORED)
-
-
-def gram_values(needed: DataFrame, model: Model) -> DataFrame:
-    """(gram, value): log probabilities of the distinct grams ``needed``, from joins to each order of the model.
-
-    Tables of at most 65,536 rows (bytes and pairs of bytes) are broadcast; all others are joined by a shuffle.
-    """
-    value = F.lit(float(np.log(1 / 256)))
-    rows = needed
-    for k in range(1, model.order + 1):
-        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        for kind, key, most in (("p", own, 2), ("w", F.shiftright(own, 8), 3)):
-            table = model.table.where((F.col("kind") == kind) & (F.col("n") == k)).select(F.col("gram").alias("key"), F.log("value").alias(f"{kind}{k}"))
-            rows = rows.withColumn("key", key).join(F.broadcast(table) if k <= most else table, "key", "left").drop("key")
-        value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) + value)
-    return rows.select("gram", value.alias("value"))
-
-
-def score_by_joins(rows: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """SCORED, a row for each row of docs: number of grams, their summed negative log probability, the most that the
+    toxic model exceeds the trusted one by in a window; th tells texts of one id apart."""
     order = model.order
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices of this partition: rows with their packed texts, and one row with the distinct grams of all."""
+        """Rows with their packed texts and the number of their slice; after a slice, one row with its distinct grams."""
         squeeze, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        names, found, size = ["slice", "doc_id", "lang", "th", "text", "grams"], [], 0
+
+        def last() -> pa.RecordBatch:
+            packed = squeeze(np.unique(np.concatenate(found)).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
+
         for b in it:
             data, offsets = text_buffer(b.column(3))
-            for a, e in slices(offsets):
-                g, _ = grams(data, offsets[a : e + 1], order)
-                texts = [squeeze(x.as_py()) for x in b.column(3)[a:e]]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * (e - a + 1), pa.int64()), *[pa.concat_arrays([b.column(k)[a:e], pa.nulls(1, b.column(k).type)]) for k in range(3)], pa.array([*texts, None], pa.binary()), pa.array([None] * (e - a) + [squeeze(np.unique(g).tobytes())], pa.binary())], ["slice", "doc_id", "lang", "th", "text", "grams"])
-                number += 1
+            for at, end in slices(offsets):
+                if size and size + offsets[end] - offsets[at] > SLICE_BYTES:
+                    yield last()
+                    number, found, size = number + 1, [], 0
+                found.append(np.unique(grams(data, offsets[at : end + 1], order)[0]))
+                size += int(offsets[end] - offsets[at])
+                texts = pa.array([squeeze(x.as_py()) for x in b.column(3)[at:end]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, number)), *[b.column(k)[at:end] for k in range(3)], texts, pa.nulls(end - at, pa.binary())], names)
+        if found:
+            yield last()
 
     def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -225,29 +234,31 @@ def score_by_joins(rows: DataFrame, model: Model) -> DataFrame:
 
     def add(texts: pa.Table, values: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
-        data, offsets = text_buffer(pa.array([expand(x.as_py()) for x in texts.column("text")], pa.large_binary()))
-        gram, value = values.column("gram").to_numpy(), values.column("value").to_numpy()
+        gram, a, b = (values.column(c).to_numpy() for c in ("gram", "a", "b"))
         by = np.argsort(gram)
-        gram, value = gram[by], value[by]
-        n, loss = summed(data, offsets, order, lambda g: value[np.searchsorted(gram, g)])
-        return texts.select(["doc_id", "lang", "th"]).append_column("n", pa.array(n)).append_column("loss", pa.array(loss))
+        gram, a, b = gram[by], a[by], b[by]
+        parts = []
+        for t in texts.to_batches(2048):
+            raw = [expand(x.as_py()) for x in t.column("text")]
+            data, offsets = text_buffer(pa.array(raw, pa.large_binary()))
+            parts += [summed(data, offsets[i : j + 1], order, gram, a, b) for i, j in slices(offsets)]
+        out = texts.select(["doc_id", "lang", "th"])
+        for name, values_ in zip(("n", "loss", "toxicity"), map(np.concatenate, zip(*parts, strict=True)), strict=True):
+            out = out.append_column(name, pa.array(values_))
+        return out
 
     parts = checkpoint(rows.mapInArrow(cut, "slice long, doc_id long, lang string, th long, text binary, grams binary"))
     needs = parts.where("grams is not null").select("slice", "grams").mapInArrow(unpack, "slice long, gram long")
-    values = checkpoint(gram_values(needs.select("gram").distinct(), model))
-    of_slice = needs.join(values, "gram").select("slice", "gram", "value")
+    values = checkpoint(log_probabilities(checkpoint(needs.select("gram").distinct()), model))
+    of_slice = needs.join(values, "gram").select("slice", "gram", "a", "b")
     return parts.where("text is not null").drop("grams").groupBy("slice").cogroup(of_slice.groupBy("slice")).applyInArrow(add, SCORED)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out) of documents that every label calls good and none toxic."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"))
-    return good.where("q = 1 and t = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
-
-
-def semi_join(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+def roles(labels: DataFrame) -> DataFrame:
+    """(doc_id, role): trusted (every label good, none toxic), held out (one trusted in HELD_OUT), or toxic (every label)."""
+    of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"), F.min(F.coalesce("toxic", F.lit(0))).alias("all"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    return of.select("doc_id", F.when((F.col("q") == 1) & (F.col("t") == 0), F.when(held, "held out").otherwise("trusted")).when(F.col("all") == 1, "toxic").alias("role")).where("role is not null")
 
 
 def entropy(mean: Column) -> Column:
@@ -255,32 +266,37 @@ def entropy(mean: Column) -> Column:
     return (F.col("loss") + PRIOR * mean) / (F.col("n") + PRIOR)
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, lang, n_grams, cross_entropy, perplexity, threshold, kept), a row for each row of docs."""
-    return judged(docs, labels, order, quantile, margin).drop("th")
+def verdicts(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, toxic_margin: float = TOXIC_MARGIN) -> DataFrame:
+    """(doc_id, lang, n_grams, cross_entropy, perplexity, threshold, toxicity, toxic_threshold, kept), a row for each row of docs."""
+    return judged(docs, labels, order, quantile, margin, toxic_margin).drop("th")
 
 
-def judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, margin: float) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, margin: float, toxic_margin: float) -> DataFrame:
     """The verdicts, with th."""
-    trusted = checkpoint(trusted_ids(labels))
+    of = checkpoint(roles(labels))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    model = train(semi_join(narrow, trusted.where("not held_out").select("doc_id")), order)
+    model = train(join_written(narrow, of.where("role <> 'held out'"), "doc_id").select("text", (F.col("role") == "toxic").alias("toxic")), order)
     scored = checkpoint(score(narrow, model))
-    held = scored.join(trusted.where("held_out").select("doc_id"), "doc_id", "left_semi").where("n > 0")
-    mean = held.agg((F.sum("loss") / F.sum("n")).alias("m")).first()["m"] if model.rows else None
+    held = join_written(scored, of.where("role = 'held out'"), "doc_id").where("n > 0")
+    total = model.table.where(F.col("key") == F.lit(1 << 57 | 1 << 56)).select("a1", "b1").first()  # totals of all bytes
+    mean = held.agg((F.sum("loss") / F.sum("n")).alias("m")).first()["m"] if total is not None and total["a1"] else None
+    none = F.lit(None).cast("double")
     if mean is None:  # nothing trusted, or nothing held out
-        return scored.select("doc_id", "lang", "th", F.col("n").alias("n_grams"), (F.col("loss") / F.col("n")).alias("cross_entropy"), F.exp(F.col("loss") / F.col("n")).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    held = held.withColumn("e", entropy(F.lit(mean)))
-    whole = held.agg(F.percentile_approx("e", quantile, 10_000)).first()[0]
-    of_lang = held.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.percentile_approx("e", quantile, 10_000).alias("q")).where((F.col("docs") >= MIN_HELD_OUT) & F.col("lang").isNotNull()).select("lang", "q")
+        alone = F.col("loss") / F.when(F.col("n") > 0, F.col("n"))
+        return scored.select("doc_id", "lang", "th", F.col("n").alias("n_grams"), alone.alias("cross_entropy"), F.exp(alone).alias("perplexity"), none.alias("threshold"), none.alias("toxicity"), none.alias("toxic_threshold"), F.lit(True).alias("kept"))
     e = entropy(F.lit(mean))
-    threshold = F.coalesce("q", F.lit(whole)) + margin
-    return scored.join(of_lang, "lang", "left").select("doc_id", "lang", "th", F.col("n").alias("n_grams"), e.alias("cross_entropy"), F.exp(e).alias("perplexity"), threshold.alias("threshold"), ((F.col("n") == 0) | (e <= threshold)).alias("kept"))
+    near = [F.percentile_approx(c, quantile, 10_000).alias(n) for c, n in ((e, "q"), (F.col("toxicity"), "tq"))]
+    whole = held.agg(*near).first()
+    of_lang = held.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *near).where((F.col("docs") >= MIN_HELD_OUT) & F.col("lang").isNotNull()).select("lang", "q", "tq")
+    threshold = F.coalesce("q", F.lit(whole["q"])) + margin
+    toxicity, most = (F.col("toxicity"), F.coalesce("tq", F.lit(whole["tq"])) + toxic_margin) if total["b1"] else (none, none)
+    kept = (F.col("n") == 0) | ((e <= threshold) & F.coalesce(toxicity <= most, F.lit(True)))
+    return join_few(scored, of_lang, "lang", "left").select("doc_id", "lang", "th", F.col("n").alias("n_grams"), e.alias("cross_entropy"), F.exp(e).alias("perplexity"), threshold.alias("threshold"), toxicity.alias("toxicity"), most.alias("toxic_threshold"), kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps; a row of a rejected id is kept if its own text passes."""
-    gone = checkpoint(judged(docs, labels, order, quantile, margin).where("not kept").select("doc_id", "th").distinct())
-    small = gone.count() <= BROADCAST_IDS
-    rows, gone = docs.alias("d"), (F.broadcast(gone) if small else gone).alias("g")
+    settings = {"order": ORDER, "quantile": QUANTILE, "margin": MARGIN, "toxic_margin": TOXIC_MARGIN} | options
+    gone = checkpoint(judged(docs, labels, **settings).where("not kept").select("doc_id", "th").distinct())
+    rows, gone = docs.alias("d"), few(gone).alias("g")
     return rows.join(gone, F.expr("cast(d.doc_id as long) <=> g.doc_id and xxhash64(d.text) = g.th"), "left_anti")

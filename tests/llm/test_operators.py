@@ -372,13 +372,56 @@ def test_decontamination_of_short_texts(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.contaminations(docs, bench).collect()} == want
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("abracadabra abracadabra",), ("banana band",), (None,)], "text string")
-    model = kneser_ney.train(texts, 3)
-    part = kneser_ney.sent(model).value
-    for context in (b"ab", b"an", b"zz", b" b"):
-        g = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)])
-        assert abs(np.exp(kneser_ney.log_probabilities(g, 3, part)).sum() - 1) < 1e-3
+def brute_model(texts, order):
+    """Interpolated modified Kneser-Ney by dictionaries: the probability of a gram's last byte after the others."""
+    counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in {g[order - k - 1 :] for g in counts[order]})
+    number = {k: [sum(c == m for c in counts[k].values()) for m in (1, 2, 3, 4)] for k in counts}
+    off = {k: kneser_ney.discounts(*number[k]) for k in counts}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        follow = [c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]]
+        if not follow:
+            return p(g[1:])
+        d = lambda c: off[len(g)][min(c, 3) - 1]
+        c = counts[len(g)].get(g, 0)
+        return ((c - d(c)) if c else 0) / sum(follow) + sum(map(d, follow)) / sum(follow) * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_kneser_ney_equals_brute_force(spark, order):
+    good, bad = ["abracadabra abracadabra", "banana band banana", "", "ab", "cabbage a cab"], ["you scum", "such scum, scum!"]
+    texts = spark.createDataFrame([(t, False) for t in [*good, None]] + [(t, True) for t in bad], "text string, toxic boolean").repartition(3)
+    model = kneser_ney.train(texts, order)
+    a, b = brute_model([t.encode() for t in good], order), brute_model([t.encode() for t in bad], order)
+    tried = ["abraxas bandana", "some scum", "é", "", "zzzzzzzzzzzzzzzzzzzzzzzzzz", *good]
+    docs = [(i, "en", t) for i, t in enumerate([*tried, None, tried[0]])]
+    found = {r["doc_id"]: r for r in kneser_ney.score(spark.createDataFrame(docs, "doc_id long, lang string, text string"), model).collect()}
+    for i, _, t in docs:
+        x = (t or "").encode()
+        pa, pb = ([np.log(p(x[j : j + order])) for j in range(len(x) - order + 1)] for p in (a, b))
+        ratio = np.subtract(pb, pa)
+        most = max([ratio[j : j + kneser_ney.WINDOW].sum() for j in range(len(ratio))], default=0)
+        assert found[i]["n"] == len(pa) and abs(found[i]["loss"] + sum(pa)) < 1e-8 and abs(found[i]["toxicity"] - most) < 1e-8
+    context = spark.createDataFrame([(int.from_bytes(b"ab"[: order - 1] + bytes([x]), "big"),) for x in range(256)], "gram long") if order <= 3 else None
+    if context is not None:
+        assert abs(sum(np.exp(r["a"]) for r in kneser_ney.log_probabilities(context, model).collect()) - 1) < 1e-9
+
+
+def test_classifier_languages_labels_and_odd_rows(spark, odd, none):
+    """Few held-out documents of a language: the quantile of all; contradicting labels train nothing; nulls and empty texts are kept."""
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, 1, 0), (4, None, None), (5, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["role"]) for r in kneser_ney.roles(labels).collect()} <= {(3, "trusted"), (3, "held out"), (5, "toxic")}
+    docs, known = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang"))).select("doc_id", "text", "lang").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", "lang"))
+    got_ = {r["doc_id"]: r for r in kneser_ney.verdicts(docs, known).where("doc_id is not null").collect()}
+    assert len({r["threshold"] for r in got_.values() if r["lang"] in ("xx", None)}) == 1
+    assert all(got_[10**6 + i]["kept"] for i, t in enumerate(TEXTS) if len((t or "").encode()) < kneser_ney.ORDER)
 
 
 def test_classifier(spark, odd, none):
@@ -387,24 +430,15 @@ def test_classifier(spark, odd, none):
     known = labels.collect()
     good, bad = [r["doc_id"] for r in known if r["quality"] == 1 and r["toxic"] == 0], [r["doc_id"] for r in known if r["quality"] == 0]
     assert sum(judged[d] for d in good) >= 0.99 * len(good) and sum(not judged[d] for d in bad) >= 0.8 * len(bad)
+    toxic = [r["doc_id"] for r in known if r["toxic"] == 1]
+    english = {r["doc_id"] for r in docs.where("lang = 'en'").select("doc_id").collect()}
+    assert sum(not judged[d] for d in toxic if d in english) >= 0.95 * len(english & set(toxic))
     kept = {r["doc_id"] for r in kneser_ney.keep_good(docs, labels).select("doc_id").collect()}
     assert kept == {d for d, k in judged.items() if k}
     assert kneser_ney.keep_good(odd, labels.where("false")).count() == len(rows())
     assert kneser_ney.verdicts(none, labels).count() == 0 and kneser_ney.keep_good(odd, labels).columns == odd.columns
 
 
-def test_joins_score_like_the_broadcast(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
-    model = kneser_ney.train(docs.where("doc_id < 60"), 5)
-    rows = docs.unionByName(odd.select("doc_id", "lang", "text")).select("doc_id", "lang", F.xxhash64("text").alias("th"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
-    one, many = order(kneser_ney.score_by_broadcast(rows, model)), order(kneser_ney.score_by_joins(rows, model))
-    assert len(one) == len(many) == rows.count()
-    for a, b in zip(one, many, strict=True):
-        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= 1e-5 * max(1, a[4])
-    assert kneser_ney.score_by_joins(rows.where("false"), model).count() == 0
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
