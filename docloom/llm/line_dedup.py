@@ -2,19 +2,21 @@
 
 A line is parsed at a fixed depth: its number of tokens, then its first ``DEPTH`` tokens, lead to a leaf; tokens with
 a digit are variable fields. In a leaf of several lines a place is constant if one token has ``CONSTANT`` of it; if
-``SHARE`` of the places are constant, they are the leaf's template and the lines that agree with them belong to it.
-Any other line is its own template. A template that recurs in ``MIN_CONTEXTS`` contexts is dropped, where each
-document counts one context: the lines before and after. So the lines of copied documents, which keep their
-neighbours, are left alone; finding copies is another operator's task.
+``SHARE`` of the places after the leading tokens are constant, they are the leaf's template and the lines that agree
+with them belong to it. Any other line is its own template.
 
-Neighbours tell exact copies only: in edited copies each edit is a context of its own, and the inner lines of a block, or
-a line between blank lines, have one context wherever they are. Where ``votes`` name the group of near copies that a
-document belongs to, groups are counted instead of contexts: different documents, less copies. The ``DEPTH`` tokens
-that led to a leaf then do not count in its SHARE: they are constant in any leaf.
+A template is dropped if it recurs across documents that are not copies of each other: the documents that have it
+must fall into ``MIN_FAMILIES`` families at least, and into one for each ``PER_FAMILY`` different texts. A family is
+found from ``VOICES`` least hashes of the three-word shingles of a text: texts with two common voices are kin, and take
+the least voice among their kin, and among the kin of their kin. Copies, however many and wherever edited, are one family or
+few; finding them is another operator's task. Unrelated documents with a common block are kin only by chance.
+
+Texts are tokenised once, into a row of hashes for each document; what else is shuffled are the different texts of a
+template, and the lines of leaves with several lines.
 
 Cases: lines without a token are never dropped; a null text stays null; a text may become empty; repeated rows count
-once and are all cleaned; documents of a null id count as one; an empty table gives an empty result; all other
-columns pass unread, whatever their names.
+once and are all cleaned; null ids are ids like others; an empty table gives an empty result; a column that is called
+``n_dropped_lines`` is replaced; all other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, join_few
+from docloom.llm.common import checkpoint, few, join_few, let
 
 DEPTH = 3
 CONSTANT = 0.8
 SHARE = 0.6
-MIN_CONTEXTS = 5
-#: Leaves up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_LEAVES = 500_000
+MIN_FAMILIES = 5
+PER_FAMILY = 200
+VOICES = 4
+SHINGLE = 3
+#: Lines of a leaf below which it has no template.
+MIN_LINES = 5
 FIELD = "<*>"
 SPACE = r"\x20\x09-\x0D"
 
@@ -40,59 +45,64 @@ def tokens(line: Column) -> Column:
     return F.filter(F.split(masked, f"[{SPACE}]+"), lambda t: t != "")
 
 
-def leaf(words: Column) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))
+def voices(words: Column) -> Column:
+    """The least hashes of the shingles of a text; 15 hex digits of MD5 as a number."""
+    shingle = lambda ws: lambda w, i: F.md5(F.concat_ws(" ", w, *[F.get(ws, i + k) for k in range(1, SHINGLE)]))
+    all_ = let(words, lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (SHINGLE - 1), F.lit(1))), shingle(ws)))
+    return F.transform(F.slice(F.array_sort(F.array_distinct(all_)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, leaf, own, context) of each line with tokens; own is the line's own template."""
-    lines = F.transform(F.split("text", "\n"), tokens)
-    own = F.transform("words", lambda w: F.when(F.size(w) > 0, F.xxhash64(w)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("words")).select("doc_id", "th", F.transform("words", leaf).alias("leaf"), own.alias("own"))
-    each = F.transform("own", lambda o, i: F.struct(i.alias("at"), F.get("leaf", i).alias("leaf"), o.alias("own"), F.xxhash64(F.coalesce(F.get("own", i - 1), F.lit(0)), F.coalesce(F.get("own", i + 1), F.lit(0))).alias("context")))
-    return rows.select("doc_id", "th", F.explode(F.filter(each, lambda x: x["own"].isNotNull())).alias("line")).select("doc_id", "th", "line.*")
-
-
-def leaf_templates(docs: DataFrame, lines: DataFrame, min_contexts: int, skip: int = 0) -> DataFrame:
-    """(doc_id, th, at, template) of lines that belong to the template of their leaf; its first ``skip`` places do not count in SHARE."""
-    leaves = checkpoint(lines.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owns")).where((F.col("n") >= min_contexts) & (F.col("owns") > 1)).select("leaf"))
-    leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    words = each.select("doc_id", "th", "at", tokens(F.col("line")).alias("words")).where(F.size("words") > 0).select("doc_id", "th", "at", leaf(F.col("words")).alias("leaf"), "words")
-    found = checkpoint(words.join(leaves, "leaf").select("doc_id", "th", "at", "leaf", F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
+    """(th, voices, lines) of each different text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
+    line = lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)).alias("leaf"), F.xxhash64(w).alias("own"), F.transform(w, lambda t: F.hash(t)).alias("words"))
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.transform(F.split("text", "\n"), tokens).alias("words"))
+    rows = rows.select("th", voices(F.flatten("words")).alias("voices"), F.filter(F.transform("words", line), lambda x: F.size(x["words"]) > 0).alias("lines"))
+    return rows.where(F.size("lines") > 0)
+
+
+def families(texts: DataFrame) -> DataFrame:
+    """(th, family) of texts (th, voices): the least voice of the kin of a text's kin."""
+    pairs = F.flatten(F.transform("voices", lambda v, i: F.transform(F.slice("voices", i + 2, F.lit(VOICES)), lambda w: F.xxhash64(v, w))))
+    keys = F.when(F.size("voices") > 1, pairs).otherwise(F.transform("voices", lambda v: F.xxhash64(v)))
+    of = texts.select("th", F.explode(keys).alias("key"), F.array_min("voices").alias("family"))
+    for last in (False, True):
+        least = of.groupBy("key").agg(F.min("family").alias("least"))
+        near = of.select("th", "key").join(least, "key").groupBy("th").agg(F.min("least").alias("family"))
+        of = near if last else texts.select("th", F.explode(keys).alias("key")).join(near, "th")
+    return of
+
+
+def leaf_templates(lines: DataFrame) -> DataFrame:
+    """(th, at, leaf) of lines (th, at, leaf, own, words) that belong to the template of their leaf."""
+    several = lines.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owns")).where((F.col("n") >= MIN_LINES) & (F.col("owns") > 1)).select("leaf")
+    found = checkpoint(join_few(lines, several, "leaf").where(F.size("words") > DEPTH).select("th", "at", "leaf", "words"))
     counts = found.select("leaf", F.posexplode("words").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= CONSTANT * F.col("all"), F.col("top.token"))
-    share = F.avg(F.when(F.col("place") >= skip, constant.isNotNull().cast("double")) if skip else constant.isNotNull().cast("double"))
+    share = F.avg(F.when(F.col("place") >= DEPTH, constant.isNotNull().cast("double")))
     shape = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("shape"), share.alias("share")).where(F.col("share") >= SHARE)
     agrees = F.forall("shape", lambda s: s["token"].isNull() | (s["token"] == F.get("words", s["place"])))
-    return join_few(found, shape, "leaf").where(agrees).select("doc_id", "th", "at", F.col("leaf").alias("template"))
-
-
-def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, votes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, th, places) of the texts that have lines to drop; th tells texts of one id apart."""
-    lines = checkpoint(parsed(docs))
-    general = leaf_templates(docs, lines, min_contexts, 0 if votes is None else DEPTH).dropDuplicates(["doc_id", "th", "at"])
-    same = F.expr("l.doc_id <=> g.doc_id and l.th = g.th and l.at = g.at")
-    of = checkpoint(lines.alias("l").join(general.alias("g"), same, "left").select("l.doc_id", "l.th", "l.at", "l.context", F.coalesce("g.template", "l.own").alias("template")))
-    if votes is None:
-        voices = of.groupBy("template", "doc_id").agg(F.min_by("context", F.struct("at", "context")).alias("voice"))
-    else:
-        each = votes.groupBy("doc_id").agg(F.min("component_id").alias("voice"))  # a null id has none: one group
-        voices = join_few(of.select("template", "doc_id").distinct(), each, "doc_id", "left")
-    recurring = voices.select("template", "voice").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("voices")).where(F.col("voices") >= min_contexts).select("template")
-    return join_few(of, recurring, "template").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, votes: DataFrame | None = None) -> DataFrame:
-    """docs with the recurring lines taken out of ``text``, and ``n_dropped_lines`` added under that name.
-
-    votes is (doc_id, component_id), the groups of near copies.
-    """
-    names = docs.columns
-    gone = recurring_lines(docs, min_contexts, votes)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
-    rows = d.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.doc_id and d.th = g.th"), "left").select("d.row", "g.places")
+    return join_few(found, shape, "leaf").where(agrees).select("th", "at", "leaf")
+
+
+def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+    """(th, places) of the texts that have lines to drop; th is the text's hash."""
+    texts = checkpoint(parsed(docs).dropDuplicates(["th"]))
+    lines = texts.select("th", F.explode("lines").alias("x")).select("th", "x.at", "x.leaf", "x.own", "x.words")
+    general = leaf_templates(lines)
+    of = lines.select("th", "at", "own").join(general, ["th", "at"], "left").select("th", "at", F.coalesce("leaf", "own").alias("template"))
+    of = checkpoint(of.groupBy("th", "template").agg(F.collect_set("at").alias("places")))
+    # each family counts once for a template: texts are summed before families are counted
+    votes = of.select("th", "template").join(checkpoint(families(texts.select("th", "voices"))), "th").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
+    recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("texts")).where((F.col("families") >= min_families) & (F.col("families") * PER_FAMILY >= F.col("texts")))
+    return join_few(of, recurring.select("template"), "template").groupBy("th").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+
+def drop_recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+    """docs with the recurring lines taken out of ``text``, and ``n_dropped_lines`` added under that name."""
+    names = [c for c in docs.columns if c != "n_dropped_lines"]
+    gone = few(checkpoint(recurring_lines(docs, min_families)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("th")).join(gone, "th", "left").select("row", "places")
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
     text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept)
     return rows.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped_lines"))

@@ -94,24 +94,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 O
   (r0::BIGINT + 2 * r1::BIGINT + 4 * r2::BIGINT + 8 * r3::BIGINT + 16 * r4::BIGINT + 32 * r5::BIGINT)::BIGINT AS failed
 FROM f"""
 OP3 = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS pos FROM d),
-w AS (SELECT doc_id, pos, line, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS words FROM l),
-o AS (SELECT doc_id, pos, line, words, len(words)::VARCHAR || ' ' || array_to_string(words[1:3], ' ') AS leaf, CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') END AS own FROM w),
-c AS (SELECT *, struct_pack(a := lag(own) OVER x, b := lead(own) OVER x) AS context FROM o WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
-x AS (SELECT * FROM c WHERE own IS NOT NULL),
+WITH d AS (SELECT DISTINCT text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT text, unnest(parts) AS line, unnest(range(0, len(parts))) AS pos FROM d),
+w AS (SELECT text, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS words FROM l),
+x AS (SELECT text, pos, words, len(words)::VARCHAR || ' ' || array_to_string(words[1:3], ' ') AS leaf, array_to_string(words, ' ') AS own FROM w WHERE len(words) > 0),
 leaves AS (SELECT leaf FROM (SELECT leaf, own, count(*) AS n FROM x GROUP BY ALL) GROUP BY leaf HAVING sum(n) >= 5 AND count(*) > 1),
-found AS (SELECT doc_id, pos, leaf, words FROM x JOIN leaves USING (leaf)),
+found AS (SELECT text, pos, leaf, words FROM x JOIN leaves USING (leaf) WHERE len(words) > 3),
 tokens AS (SELECT leaf, unnest(range(0, len(words))) AS place, unnest(words) AS token FROM found),
 places AS (SELECT leaf, place, CASE WHEN max(n) >= 0.8 * sum(n) THEN arg_max(token, n) END AS token FROM (SELECT leaf, place, token, count(*) AS n FROM tokens GROUP BY ALL) GROUP BY leaf, place),
-shape AS (SELECT leaf, list(token ORDER BY place) AS shape FROM places GROUP BY leaf HAVING avg((token IS NOT NULL)::INT::DOUBLE) >= 0.6),
-agree AS (SELECT doc_id, pos, leaf FROM (SELECT doc_id, pos, leaf, unnest(words) AS a, unnest(shape) AS b FROM found JOIN shape USING (leaf)) GROUP BY ALL HAVING bool_and(b IS NULL OR a = b)),
-t AS (SELECT x.doc_id, x.pos, x.context, coalesce('L' || agree.leaf, 'O' || own) AS template FROM x LEFT JOIN agree USING (doc_id, pos)),
-contexts AS (SELECT template, context FROM (SELECT template, doc_id, arg_min(context, pos) AS context FROM t GROUP BY ALL) GROUP BY ALL),
-recurring AS (SELECT template FROM contexts GROUP BY template HAVING count(*) >= 5),
-gone AS (SELECT doc_id, pos FROM t JOIN recurring USING (template)),
-kept AS (SELECT doc_id, count(g.pos) AS n_dropped_lines, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text FROM l LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
-SELECT doc_id, coalesce(n_dropped_lines, 0)::BIGINT AS n_dropped_lines, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS kept_sha256 FROM documents LEFT JOIN kept k USING (doc_id)"""
+shape AS (SELECT leaf, list(token ORDER BY place) AS shape FROM places GROUP BY leaf HAVING avg((token IS NOT NULL)::INT::DOUBLE) FILTER (WHERE place >= 3) >= 0.6),
+agree AS (SELECT text, pos, leaf FROM (SELECT text, pos, leaf, unnest(words) AS a, unnest(shape) AS b FROM found JOIN shape USING (leaf)) GROUP BY ALL HAVING bool_and(b IS NULL OR a = b)),
+t AS (SELECT x.text, x.pos, coalesce('L' || agree.leaf, 'O' || own) AS template FROM x LEFT JOIN agree USING (text, pos)),
+all_words AS (SELECT text, flatten(list(words ORDER BY pos)) AS ws FROM x GROUP BY text),
+heard AS (SELECT text, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: md5(array_to_string(ws[i:i + 2], ' ')))))[1:4] AS voices FROM all_words),
+v AS (SELECT text, unnest(CASE WHEN len(voices) = 1 THEN voices ELSE flatten(list_transform(range(1, len(voices)), lambda i: list_transform(range(i + 1, len(voices) + 1), lambda j: voices[i] || voices[j]))) END) AS voice, voices[1] AS family FROM heard),
+kin1 AS (SELECT text, min(least) AS family FROM v JOIN (SELECT voice, min(family) AS least FROM v GROUP BY voice) USING (voice) GROUP BY text),
+v1 AS (SELECT v.text, voice, kin1.family FROM v JOIN kin1 USING (text)),
+kin AS (SELECT text, min(least) AS family FROM v1 JOIN (SELECT voice, min(family) AS least FROM v1 GROUP BY voice) USING (voice) GROUP BY text),
+recurring AS (SELECT template FROM (SELECT DISTINCT template, text FROM t) JOIN kin USING (text) GROUP BY template HAVING count(DISTINCT family) >= 5 AND count(DISTINCT family) * 200 >= count(*)),
+gone AS (SELECT text, pos FROM t JOIN recurring USING (template)),
+kept AS (SELECT l.text AS whole, count(g.pos) AS n_dropped_lines, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text FROM l LEFT JOIN gone g USING (text, pos) GROUP BY l.text)
+SELECT doc_id, coalesce(n_dropped_lines, 0)::BIGINT AS n_dropped_lines, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS kept_sha256 FROM documents LEFT JOIN kept k ON documents.text = k.whole"""
 OP4 = rf"""
 WITH t(name, unit) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.TEMPLATES)}),
 d AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{license_scan.CUE}')) AS ls FROM documents),

@@ -152,10 +152,15 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
     assert line_dedup.drop_recurring_lines(odd).columns == [*SCHEMA.replace(",", "").split()[::2], "n_dropped_lines"]
     assert got(line_dedup.drop_recurring_lines(odd).select("doc_id", "text")) == sorted([(r[0], r[1]) for r in rows()], key=str)
-    docs = [(i, f"start {'abcdefgh'[i]} own\nfooter of page {i} here now\nend {'hgfedcba'[i]} own") for i in range(8)]
+    rng = random.Random(14)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    docs = [(i, f"start {own()}\nfooter of page {i} here now\nend {own()}") for i in range(8)] + [(None, f"{own()}\nfooter of page 9 here now")]
     docs += [(100 + i, "copied first line\ncopied second line\ncopied third line") for i in range(30)]
-    kept = dict(got(line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text")))
-    assert all("footer" not in kept[i] and "start" in kept[i] for i in range(8))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_dropped_lines", F.lit("x"))
+    clean = line_dedup.drop_recurring_lines(table)
+    assert clean.columns == ["doc_id", "text", "n_dropped_lines"]
+    kept = dict(got(clean.select("doc_id", "text")))
+    assert all("footer" not in kept[i] and kept[i].count("start") == 1 for i in range(8)) and "footer" not in kept[None]
     assert all(kept[100 + i].count("copied") == 3 for i in range(30))
 
 
@@ -230,7 +235,7 @@ def test_recurring_blocks(spark):
 def test_template_of_a_leaf(spark):
     """A field without digits is found as a place that varies in its leaf."""
     names = ["anna", "bert", "carl", "dora", "emil", "fred", "gina"]
-    docs = [(i, f"{n} wrote this\nlast seen online by user {n} on our site\nbye {n} dear") for i, n in enumerate(names)]
+    docs = [(i, f"{' '.join(n + w for w in WORDS * 4)}\nlast seen online by user {n} on our site\nbye {n} dear") for i, n in enumerate(names)]
     kept = dict(got(line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text")))
     assert all("online" not in t for t in kept.values())
 
