@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, kneser_ney, line_dedup, simhash
-from docloom.llm.common import checkpoint, checkpoint_folder, table
-
-#: Documents that share most of their shingles have one vote in line dedup; sets of this similarity differ in 17 of 64 bits on average, with a deviation of 3.5.
-VOTE_SIMILARITY, VOTE_RADIUS = 0.5, 28
+from docloom.llm.common import checkpoint_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that recur in several groups of near copies; n_chars follows the text."""
+    """Without lines that recur in several families of documents; n_chars follows the text."""
     names = docs.columns
-    rows = line_dedup.drop_recurring_lines(docs, votes=checkpoint(simhash.near_duplicates(docs, min_similarity=VOTE_SIMILARITY, radius=VOTE_RADIUS)))
+    rows = line_dedup.drop_recurring_lines(docs)
     changed = F.col("n_dropped_lines") > 0
     return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
 
