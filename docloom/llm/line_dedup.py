@@ -33,6 +33,7 @@ MIN_FAMILIES = 5
 PER_FAMILY = 200
 VOICES = 4
 SHINGLE = 3
+EVERY = 4
 #: Lines of a leaf below which it has no template.
 MIN_LINES = 5
 FIELD = "<*>"
@@ -46,18 +47,24 @@ def tokens(line: Column) -> Column:
 
 
 def voices(words: Column) -> Column:
-    """The least hashes of the shingles of a text; 15 hex digits of MD5 as a number."""
-    shingle = lambda ws: lambda w, i: F.md5(F.concat_ws(" ", w, *[F.get(ws, i + k) for k in range(1, SHINGLE)]))
-    all_ = let(words, lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (SHINGLE - 1), F.lit(1))), shingle(ws)))
-    return F.transform(F.slice(F.array_sort(F.array_distinct(all_)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
+    """The least hashes of the shingles of a text, 15 hex digits of MD5 as a number, over the shingles whose first
+    word has a multiple of ``EVERY`` characters; over all shingles if those are fewer than VOICES."""
+
+    def of(ws: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0)))
+        some = F.filter(places, lambda i: F.length(F.get(ws, i)) % EVERY == 0)
+        hashes = lambda at: F.transform(at, lambda i: F.md5(F.concat_ws(" ", *[F.get(ws, i + k) for k in range(SHINGLE)])))
+        all_ = let(some, lambda x: F.when(F.size(x) < VOICES, hashes(places)).otherwise(hashes(x)))
+        return F.transform(F.slice(F.array_sort(F.array_distinct(all_)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
+
+    return let(words, lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(of(ws)))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(th, voices, lines) of each different text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
+    """(th, voices, lines) of each text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
     line = lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)).alias("leaf"), F.xxhash64(w).alias("own"), F.transform(w, lambda t: F.hash(t)).alias("words"))
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.transform(F.split("text", "\n"), tokens).alias("words"))
-    rows = rows.select("th", voices(F.flatten("words")).alias("voices"), F.filter(F.transform("words", line), lambda x: F.size(x["words"]) > 0).alias("lines"))
-    return rows.where(F.size("lines") > 0)
+    both = let(F.transform(F.split("text", "\n"), tokens), lambda ws: F.struct(voices(F.flatten(ws)).alias("voices"), F.filter(F.transform(ws, line), lambda x: F.size(x["words"]) > 0).alias("lines")))
+    return docs.where("text is not null").select(F.xxhash64("text").alias("th"), both.alias("x")).select("th", "x.voices", "x.lines")
 
 
 def families(texts: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
     """(th, places) of the texts that have lines to drop; th is the text's hash."""
-    texts = checkpoint(parsed(docs).dropDuplicates(["th"]))
+    texts = checkpoint(parsed(docs)).dropDuplicates(["th"])
     lines = texts.select("th", F.explode("lines").alias("x")).select("th", "x.at", "x.leaf", "x.own", "x.words")
     general = leaf_templates(lines)
     of = lines.select("th", "at", "own").join(general, ["th", "at"], "left").select("th", "at", F.coalesce("leaf", "own").alias("template"))
