@@ -48,11 +48,11 @@ def tokens(line: Column) -> Column:
 
 def voices(words: Column) -> Column:
     """The least hashes of the shingles of a text, 15 hex digits of MD5 as a number, over the shingles whose first
-    word has a multiple of ``EVERY`` characters; over all shingles if those are fewer than VOICES."""
+    word has a first character and a length that sum up to a multiple of ``EVERY``; over all shingles if those are fewer than VOICES."""
 
     def of(ws: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0)))
-        some = F.filter(places, lambda i: F.length(F.get(ws, i)) % EVERY == 0)
+        some = F.filter(places, lambda i: let(F.get(ws, i), lambda w: (F.ascii(w) + F.length(w)) % EVERY == 0))
         hashes = lambda at: F.transform(at, lambda i: F.md5(F.concat_ws(" ", *[F.get(ws, i + k) for k in range(SHINGLE)])))
         all_ = let(some, lambda x: F.when(F.size(x) < VOICES, hashes(places)).otherwise(hashes(x)))
         return F.transform(F.slice(F.array_sort(F.array_distinct(all_)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))

@@ -107,7 +107,7 @@ agree AS (SELECT text, pos, leaf FROM (SELECT text, pos, leaf, unnest(words) AS
 t AS (SELECT x.text, x.pos, coalesce('L' || agree.leaf, 'O' || own) AS template FROM x LEFT JOIN agree USING (text, pos)),
 all_words AS (SELECT text, flatten(list(words ORDER BY pos)) AS ws FROM x GROUP BY text),
 spots AS (SELECT text, ws, range(1, greatest(len(ws) - 2, 1) + 1) AS p FROM all_words),
-heard AS (SELECT text, list_sort(list_distinct(list_transform(CASE WHEN len(list_filter(p, lambda i: length(ws[i]) % 4 = 0)) < 4 THEN p ELSE list_filter(p, lambda i: length(ws[i]) % 4 = 0) END, lambda i: md5(array_to_string(ws[i:i + 2], ' ')))))[1:4] AS voices FROM spots),
+heard AS (SELECT text, list_sort(list_distinct(list_transform(CASE WHEN len(list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0)) < 4 THEN p ELSE list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0) END, lambda i: md5(array_to_string(ws[i:i + 2], ' ')))))[1:4] AS voices FROM spots),
 v AS (SELECT text, unnest(CASE WHEN len(voices) = 1 THEN voices ELSE flatten(list_transform(range(1, len(voices)), lambda i: list_transform(range(i + 1, len(voices) + 1), lambda j: voices[i] || voices[j]))) END) AS voice, voices[1] AS family FROM heard),
 kin1 AS (SELECT text, min(least) AS family FROM v JOIN (SELECT voice, min(family) AS least FROM v GROUP BY voice) USING (voice) GROUP BY text),
 v1 AS (SELECT v.text, voice, kin1.family FROM v JOIN kin1 USING (text)),
