@@ -1,43 +1,44 @@
 """Byte-level BPE encoding and decoding of a corpus by a given rank table.
 
-Texts are split into words by the tokenizer's pattern and the words of the whole corpus are counted. The distinct
-words are encoded by Spark higher-order functions: a word is an array of byte pieces over which ``aggregate`` folds
-the merges, each step joining the leftmost pair of least rank, which a literal map of ranks gives. At most
-``DICTIONARY_WORDS`` of them, the most frequent, are encoded this way and sent to all tasks (words of ``FOLD_BYTES``
-bytes at most, so the size is bounded). Other words are encoded in the task that meets them, by the same merges over a
-heap: a join for them would move a row for each word and batch, more than the texts themselves. Decoding
-concatenates the pieces of the ids.
-
-Cases: null is empty; an empty text has no ids; repeated rows and empty tables are no special case. The rank file
-is a parameter and is read on the driver (about 50,000 rows, a fixed size).
+Texts are split into words by the tokenizer's pattern, and the distinct words of batches of texts meet by a shuffle.
+Each distinct word (of ``SLICE_BATCHES`` batches) is encoded once, by Spark higher-order functions: a word is an array of bytes over
+which ``aggregate`` folds the merges, each step joining all pairs of the least rank, which a literal map of ranks
+gives; the ids are joined back to the words of each batch, and the batch puts them in the order of its texts. Decoding
+concatenates the binary pieces of the ids, from a literal list.
+
+The rank map holds, for each mergeable pair of ids, the id of the joined piece. Ranks are those of a trained BPE: the
+bytes of every piece merge, by lower ranks, into two pieces. Then a pair can only be of those two, joining a pair never
+makes one of lower rank, and all pairs of the least rank can be joined in one step. A rank file that is not like this is
+refused. Three arrays are the map: a pair (x, y) lies at offset[x] + y, where its entry names x.
+
+Cases: null is empty; an empty text has no ids; very long words take as many steps as they have different merges;
+repeated rows and empty tables are no special case. The rank file is a parameter and is read on the driver (about
+50,000 rows, a fixed size).
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, checkpoint, slices, text_buffer, text_bytes
+from docloom.llm.common import bounded, checkpoint, group_starts, grouped, let, text_buffer, text_bytes
 
-FOLD_BYTES = 64
-DICTIONARY_WORDS = 100_000
-#: Words beyond the dictionary that a task remembers before it starts anew.
-REMEMBERED_WORDS = 300_000
-#: Buckets of the literal rank map: a map is searched from end to end, a bucket has a few entries.
-BUCKETS = 16_384
-#: Bytes of text whose words are counted together.
+#: Bytes of text whose distinct words are joined together.
 BATCH_BYTES = 1 << 24
-NONE = 1 << 30
+#: Batches whose words are encoded together; bounds the places of a frequent word.
+SLICE_BATCHES = 1024
+#: Ranks are below it; an entry of the map holds a rank, whether it joins twins, and the first id.
+MAX_RANK = 1 << 19
+NONE = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,152 +46,214 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def bucket(piece: Column) -> Column:
-    return F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")
+def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The pair of ids that each piece of several bytes is joined from."""
+    out = {}
+    for piece, rank in ranks.items():
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            least, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if least >= rank:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 2 or any(p not in ranks for p in parts) or len(parts) == 2 and rank <= max(ranks[p] for p in parts):
+            raise ValueError(f"the ranks are not those of a trained BPE: {piece!r} is not joined from two pieces of lower rank")
+        if len(parts) == 2:
+            out[ranks[parts[0]], ranks[parts[1]]] = rank
+    if len(ranks) and (max(ranks.values()) >= MAX_RANK or any(bytes([b]) not in ranks for b in range(256))):
+        raise ValueError(f"ranks must be below {MAX_RANK} and hold every byte")
+    return out
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """An array of BUCKETS maps from pieces, in hex, to ranks."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        maps[zlib.crc32(piece.hex().upper().encode()) % BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(entries, offsets): the entry of the pair (x, y), at offsets[x] + y, is x << 20 | rank << 1 | (x == y)."""
+    ids = max(ranks.values(), default=-1) + 1
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (x, y), rank in merges(ranks).items():
+        rows.setdefault(x, []).append((y, rank))
+    room = 4 * sum(map(len, rows.values())) + 4 * ids
+    taken, entries, offsets = np.zeros(room, bool), np.full(room, NONE), np.zeros(ids, np.int64)
+    low = 0
+    for x, row in sorted(rows.items(), key=lambda r: -len(r[1])):  # the longest rows first, each at the first place that fits
+        y = np.array([a for a, _ in row])
+        low += int(np.argmin(taken[low:]))
+        at = max(0, low - int(y.min()))
+        while True:
+            tried = np.arange(at, at + 512)
+            fits = ~taken[tried[:, None] + y[None, :16]].any(axis=1)
+            place = next((int(t) for t in tried[fits] if not taken[t + y].any()), None)
+            if place is not None:
+                break
+            at += 512
+        offsets[x] = place
+        taken[place + y] = True
+        entries[place + y] = [x << 20 | rank << 1 | (x == b) for b, rank in row]
+    return entries[: int(np.flatnonzero(taken)[-1]) + ids + 1 if taken.any() else ids].tolist(), offsets.tolist()
+
+
+def literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def fold(word: Column, entries: Column, offsets: Column, byte_ids: Column) -> Column:
+    """The ids of a word, an array of bytes, by folding merges over it."""
+
+    def ranked(ids: Column) -> Column:
+        """The entry of each neighbouring pair, less its first id; MAX_RANK << 1 and more where there is no pair."""
+        return F.transform(ids, lambda x, i: F.get(entries, F.get(offsets, x) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(x, 20)))
+
+    def joined(ids: Column, pairs: Column, least: Column) -> Column:
+        return F.filter(F.transform(ids, lambda x, i: F.when(F.get(pairs, i) == least, F.shiftright(least, 1)).when(F.get(pairs, i - 1) == least, F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+
+    def every_other(pairs: Column, least: Column) -> Column:
+        """Of a run of overlapping pairs of twins, the first, third and so on."""
+        marks = F.array_join(F.transform(pairs, lambda p: F.when(p == least, F.lit("1")).otherwise(F.lit("0"))), "")
+        return F.transform(F.split(F.regexp_replace(marks, "11", "10"), ""), lambda c: F.when(c == "1", least))
 
+    def step(state: Column, _: Column) -> Column:
+        ids, pairs = state["ids"], state["pairs"]
 
-def piece_list(ranks: dict[bytes, int]) -> Column:
-    """The pieces by rank, in hex."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        def join(least: Column) -> Column:
+            new = F.when(least.bitwiseAND(F.lit(1).cast("long")) == 1, let(every_other(pairs, least), lambda p: joined(ids, p, least))).otherwise(joined(ids, pairs, least))
+            return F.when(least < 2 * MAX_RANK, let(new, lambda n: F.struct(n.alias("ids"), ranked(n).alias("pairs")))).otherwise(state)
 
+        return let(F.array_min(pairs), join)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    start = let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: F.struct(ids.alias("ids"), ranked(ids).alias("pairs")))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
+    return F.aggregate(steps, start, step, lambda s: F.transform(s["ids"], lambda x: x.cast("int")))
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of a word, by folding merges over its bytes."""
-    rank = lambda piece: F.coalesce(F.element_at(F.get(ranks, bucket(piece)), piece), F.lit(NONE))
-    hexed = F.hex(word)
-    start = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
+def cut(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
+    """Rows (batch, doc_id, words, text): the texts of a batch as packed numbers of words, then its packed different words."""
 
-    state = F.struct(start.alias("pieces"), F.transform(F.slice(start, F.lit(1), F.size(start) - 1), lambda p, i: rank(F.concat(p, F.get(start, i + 1)))).alias("ranks"))
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+        batch, ids, texts, index, size = TaskContext.get().partitionId() << 24, [], [], {}, 0
+
+        def flush() -> pa.RecordBatch:
+            often = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(index)), kind="stable")
+            number = np.empty(len(index), np.int32)  # frequent words have small numbers, which pack well
+            number[often] = np.arange(len(index), dtype=np.int32)
+            known = [w.encode() for w in index]
+            known = [known[i] for i in often.tolist()]
+            words = squeeze(np.fromiter(map(len, known), np.int32, len(known)).tobytes() + b"".join(known))
+            packed = [squeeze(number[t].tobytes()) for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array([batch] * (len(ids) + 1), pa.int64()), pa.array([*ids, len(index)], pa.int64()), pa.array([None] * len(ids) + [words], pa.binary()), pa.array([*packed, None], pa.binary())], ["batch", "doc_id", "words", "text"])
 
-    def step(state: Column, _: Column) -> Column:
-        """The leftmost pair of least rank is joined; only its neighbours get new ranks."""
-        pieces, ranks_ = state["pieces"], state["ranks"]
-        n = F.size(pieces)
-
-        def join(at: Column) -> Column:
-            joined = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
-            left = F.when(at > 1, F.concat(F.slice(ranks_, F.lit(1), at - 2), F.array(rank(F.concat(F.get(pieces, at - 2), joined))))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < n, F.concat(F.array(rank(F.concat(joined, F.get(pieces, at + 1)))), F.slice(ranks_, at + 2, n))).otherwise(F.array().cast("array<int>"))
-            return F.struct(F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, n)).alias("pieces"), F.concat(left, right).alias("ranks"))
-
-        least = F.array_min(ranks_)
-        return F.when((n < 2) | (least == NONE), state).otherwise(let(F.array_position(ranks_, least).cast("int"), join))
-
-    whole = F.element_at(F.get(ranks, bucket(hexed)), hexed)
-    steps = F.when(whole.isNull(), F.sequence(F.lit(2), F.length(word))).otherwise(F.array().cast("array<int>"))
-    merged = F.aggregate(steps, state, step, lambda s: F.transform(s["pieces"], rank))
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged)
-
-
-def decoded(ids: Column, pieces: Column) -> Column:
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
-
-
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges by a heap of ranked pairs over linked pieces."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    end = list(range(1, n + 1))  # of the piece that starts here; 0: no piece
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, a, e = heapq.heappop(heap)
-        b = end[a]
-        if not b or b >= n or end[b] != e:  # a piece has changed
-            continue
-        end[a], end[b] = e, 0
-        if e < n:
-            before[e] = a
-            if (r := ranks.get(word[a : end[e]])) is not None:
-                heapq.heappush(heap, (r, a, end[e]))
-        if a and (r := ranks.get(word[before[a] : e])) is not None:
-            heapq.heappush(heap, (r, before[a], e))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : end[i]]])
-        i = end[i]
-    return out
+        for b in it:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = text.as_py()
+                if size and size + len(raw) > batch_bytes:
+                    yield flush()
+                    batch, ids, texts, index, size = batch + 1, [], [], {}, 0
+                ids.append(doc_id)
+                texts.append(np.array([index.setdefault(w, len(index)) for w in split(raw.decode("utf-8", "replace"))], np.int32))
+                size += len(raw)
+        if ids:
+            yield flush()
+
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return rows.mapInArrow(batches, "batch long, doc_id long, words binary, text binary")
+
+
+def words_of(packed: DataFrame) -> DataFrame:
+    """(word, batch, at) of the different words of each batch; packed is (batch, n, words)."""
+
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for b in it:
+            for batch, n, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = expand(words)
+                ends = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int32, n)))).astype(np.int32)
+                column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[4 * n :])])
+                rows = pa.RecordBatch.from_arrays([column, pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32))], ["word", "batch", "at"])
+                yield from (rows.slice(i, 50_000) for i in range(0, n, 50_000))
 
+    return packed.mapInArrow(unpack, "word binary, batch long, at int")
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all texts."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        for b in it:
-            for a, e in slices(text_buffer(b.column(0))[1], BATCH_BYTES):
-                counts: Counter[str] = Counter()
-                for t in b.column(0).slice(a, e - a).to_pylist():
-                    counts.update(split(t.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    return bounded(docs).select(text_bytes().alias("text")).mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
-    """(word, ids, decoded) of the words whose number is in the highest classes that hold ``most`` words together."""
-    level = F.floor(8 * F.log2("n")).cast("int")
-    counts = checkpoint(word_counts(docs, pattern).where((F.length("word") <= FOLD_BYTES) & (F.col("n") > 1)).withColumn("level", level))
-    sizes = sorted(((r["level"], r["words"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    total, least = 0, None
-    for at, words in sizes:
-        total += words
-        if total > most:
-            break
-        least = at
-    chosen = counts.where(F.col("level") >= least if least is not None else F.lit(False)).select("word")
-    n = docs.sparkSession.sparkContext.defaultParallelism * 2
-    return chosen.repartition(n, "word").select("word", let(rank_map(ranks), lambda r: fold(F.col("word"), r)).alias("ids")).select("word", "ids", let(piece_list(ranks), lambda p: decoded(F.col("ids"), p)).alias("decoded"))
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
-    """(doc_id, ids, decoded), a row for each row of docs: ids as little-endian unsigned 32-bit integers, decoded as bytes."""
-    context = docs.sparkSession.sparkContext
-    known = dictionary(docs, ranks, pattern, most).select("word", "ids").toArrow()
-    sent = context.broadcast(dict(zip((w.decode() for w in known.column("word").to_pylist()), (np.array(x, "<u4").tobytes() for x in known.column("ids").to_pylist()), strict=True)))
-    table = context.broadcast(ranks)
+def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, word, batch, at) that are sorted by part and word, a row (bytes, places) for each different word."""
+    for t in grouped(it, ["part", "word"]):
+        rows = t.combine_chunks()
+        heads = np.append(group_starts(rows, ["part", "word"]), rows.num_rows).astype(np.int32)
+        data, offsets = text_buffer(flat(rows.column("word").take(pa.array(heads[:-1]))))
+        letters = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(data[offsets[0] : offsets[-1]].astype(np.int16)))
+        places = pa.StructArray.from_arrays([flat(rows.column("batch")), flat(rows.column("at"))], ["batch", "at"])
+        yield pa.RecordBatch.from_arrays([letters, pa.ListArray.from_arrays(pa.array(heads), places)], ["bytes", "places"])
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, common, ranks = regex.compile(pattern).findall, sent.value.get, table.value
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        rest: dict[str, bytes] = {}
-
-        def rare(word: str) -> bytes:
-            if (ids := rest.get(word)) is None:
-                if len(rest) >= REMEMBERED_WORDS:
-                    rest.clear()
-                ids = rest[word] = np.array(merge(word.encode(), ranks), "<u4").tobytes()
-            return ids
 
-        for b in it:
-            for a, e in slices(text_buffer(b.column(1))[1], BATCH_BYTES):
-                ids = [b"".join([common(w) or rare(w) for w in split(t.decode("utf-8", "replace"))]) for t in b.column(1).slice(a, e - a).to_pylist()]
-                back = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+def flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(batches, "doc_id long, ids binary, decoded binary")
+def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (ids, places), rows (batch, packed): the ids of words of a batch, with the words' numbers."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in it:
+        ids, places = b.column(0), b.column(1)
+        if not b.num_rows:
+            continue
+        word = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))
+        batch, at = (places.flatten().field(c).to_numpy() for c in ("batch", "at"))
+        order = np.argsort(batch, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(batch[order]) != 0))
+        of, packed = [], []
+        for part in np.split(order, heads[1:]):
+            got = ids.take(pa.array(word[part]))
+            of.append(int(batch[part[0]]))
+            packed.append(squeeze(np.array([len(part)], np.int32).tobytes() + at[part].astype(np.int32).tobytes() + np.diff(got.offsets.to_numpy()).astype(np.int32).tobytes() + got.flatten().to_numpy().astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(packed, pa.binary())], ["batch", "packed"])
+
+
+def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """(doc_id, ids) of the texts of a batch."""
+    expand = zstandard.ZstdDecompressor().decompress
+    at, sizes, ids = [], [], []
+    for x in words.column("packed"):
+        raw = np.frombuffer(expand(x.as_py()), np.int32)
+        n = int(raw[0])
+        at.append(raw[1 : n + 1])
+        sizes.append(raw[n + 1 : 2 * n + 1])
+        ids.append(raw[2 * n + 1 :])
+    at, sizes, ids = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (at, sizes, ids))
+    size, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    size[at], start[at] = sizes, np.cumsum(sizes) - sizes
+    out = []
+    for x in texts.column("text"):
+        own = np.frombuffer(expand(x.as_py()), np.int32)
+        n = size[own]
+        ends = np.cumsum(n)
+        out.append(ids[np.arange(ends[-1] if len(n) else 0) + np.repeat(start[own] - (ends - n), n)])
+    offsets = np.cumsum([0, *map(len, out)])
+    return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(out) if out else [], pa.int32()))})
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_bytes: int = BATCH_BYTES, slice_batches: int = SLICE_BATCHES) -> DataFrame:
+    """(doc_id, ids), a row for each row of docs; ids as an array."""
+    entries, offsets = rank_map(ranks)
+    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    parts = checkpoint(cut(docs, pattern, batch_bytes))
+    packed = parts.where("words is not null").select("batch", F.col("doc_id").alias("n"), "words")
+    slices_ = -(-packed.count() // slice_batches)
+    rows = words_of(packed).withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(max(1, slices_))).cast("int"))
+    words = rows.repartition("part", "word").sortWithinPartitions("part", "word").select("part", "word", "batch", "at").mapInArrow(gathered, "bytes array<smallint>, places array<struct<batch:long,at:int>>")
+    folded = let(literal(entries, "bigint"), lambda e: let(literal(offsets, "bigint"), lambda o: let(literal(byte_ids, "bigint"), lambda b: fold(F.col("bytes"), e, o, b))))
+    of_batch = words.select(folded.alias("ids"), "places").mapInArrow(dealt, "batch long, packed binary")
+    return parts.where("text is not null").select("batch", "doc_id", "text").groupBy("batch").cogroup(of_batch.groupBy("batch")).applyInArrow(assembled, "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded (doc_id, ids) with ``decoded``, the bytes of the ids."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    return encoded.withColumn("decoded", let(literal(pieces, "string"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
+    four = lambda i: F.hex(i.bitwiseAND(F.lit(255)) * (1 << 24) + F.shiftright(i, 8).bitwiseAND(F.lit(255)) * (1 << 16) + F.shiftright(i, 16).bitwiseAND(F.lit(255)) * 256 + F.shiftrightunsigned(i, 24) + F.lit(1 << 32))
+    little = F.unhex(F.array_join(F.transform("ids", lambda i: F.substring(four(i.cast("long")), 2, 8)), ""))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -299,16 +299,26 @@ def test_sharding(spark, odd, none):
     assert all(sum(abs(a[k] - b[k]) for k in range(3)) == 1 for a, b in zip(path, path[1:], strict=False))  # neighbours on the curve are neighbours in space
 
 
-@pytest.mark.parametrize("most", [bpe.DICTIONARY_WORDS, 5, 0])
-def test_bpe(odd, none, most):
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+@pytest.mark.parametrize("batch_bytes,slice_batches", [(bpe.BATCH_BYTES, 1024), (3000, 2)])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe(spark, odd, none, name, batch_bytes, slice_batches):
+    ranks = bpe.read_ranks(public_tokenizers.path(name))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert bpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
+    assert bpe.decode(bpe.encode(none, ranks, public_tokenizers.PATTERN), ranks).count() == 0
+    runs = spark.createDataFrame([(i, t) for i, t in enumerate(["a" * 999 + "b" * 7, "=" * 4001, "\n \n" * 300 + "x", "ab" * 1500, " " * 500 + "\u3000\x1c\x85 q", "".join(RNG.choice("abcdefghijk") for _ in range(3000))], 500)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(runs)
     want = []
-    for d, t, *_ in rows():
+    for d, t in docs.collect():
         ids = np.array(own.encode_ordinary(t or ""), "<u4")
         want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert got(bpe.digests(bpe.encode(odd, ranks, public_tokenizers.PATTERN, most))) == sorted(want, key=str)
+    assert got(bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, batch_bytes, slice_batches), ranks))) == sorted(want, key=str)
+
+
+def test_bpe_refuses_other_ranks():
+    ranks = {bytes([b]): b for b in range(256)}
+    assert bpe.merges(ranks | {b"ab": 256, b"abc": 257}) == {(97, 98): 256, (256, 99): 257}
+    with pytest.raises(ValueError):
+        bpe.merges(ranks | {b"abc": 256})
 
 
 def test_url_filters(spark):
