@@ -99,16 +99,48 @@ def test_simhash_groups(spark, none):
 
 
 @pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 40])
-def test_hamming_links_find_all(spark, group_rows):
+@pytest.mark.parametrize("n", [150, 10**6, 10**9])
+def test_hamming_links_find_all(spark, group_rows, n):
+    """Within one node of the index, and with upper nodes of one or two bit ranges."""
     rng = random.Random(3)
     x = [rng.getrandbits(64) for _ in range(150)]
     x = list(dict.fromkeys(x + [v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))) for v in x for _ in range(2)]))
     nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(x)], "fp long, node long")
     label = dict(enumerate(components(range(len(x)), lambda i, j: (x[i] ^ x[j]).bit_count() <= 4)))
-    found = {r["node"]: r["component"] for r in connected_components(simhash.hamming_links(nodes, 4, group_rows)).collect()}
+    links = simhash.hamming_links(nodes, 4, group_rows, simhash.block_orders(n, 4))
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert {i: found.get(i, i) for i in label} == label
 
 
+def test_gray_index_finds_all_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    x = np.concatenate([base ^ sum(np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64) for _ in range(k)) for k in range(8)])
+    group = np.sort(rng.choice([1, 2, 3, 9], len(x), p=[0.02, 0.1, 0.2, 0.68]))
+    order = np.lexsort((simhash.gray_ranks(x), group))
+    x, starts = x[order], np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if group[i] == group[j] and int(x[i] ^ x[j]).bit_count() <= 5}
+    got_ = [(int(i), int(j)) for a, b in simhash.GrayIndex(x, starts).pairs(5) for i, j in zip(a, b, strict=True)]
+    assert len(got_) == len(set(got_)) and set(got_) == want
+
+
+def test_keep_one_of_odd_rows(spark, odd):
+    """Null ids and rows of one id with different texts stay; equal words are one group; a repeated row stays once."""
+    texts = {None if t is None else t for t in TEXTS}
+    words = {" ".join((t or "").encode().lower().decode().split(" ")).strip() for t in texts}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    groups = {}
+    for d, t, *_ in rows():
+        groups.setdefault(tuple(simhash.shingle_hashes((t or "").encode(), 5).tolist()) and frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()), []).append((d is None, d or 0))
+    similar = [frozenset(g) for g in groups]
+    label = components(list(range(len(similar))), lambda i, j: len(similar[i] & similar[j]) >= 0.8 * max(1, len(similar[i] | similar[j])))
+    want = Counter(min(x for i, g in enumerate(groups.values()) if label[i] == c for x in g)[1] for c in set(label))
+    assert Counter(r["doc_id"] or 0 for r in kept.select("doc_id").collect()) == want and words
+    apart = spark.createDataFrame([(1, BASE), (1, " ".join(reversed(BASE.split()))), (None, "quite another text of six words"), (1, BASE)], "doc_id long, text string")
+    assert Counter(r["text"] for r in simhash.keep_one(apart).collect()) == Counter({r["text"] for r in apart.collect()})
+
+
 def test_near_duplicates(spark, none):
     assert simhash.keep_one(none).count() == 0
     rng = random.Random(5)
