@@ -7,6 +7,7 @@ whatever their names, never meet an operator's own names.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the checkpoint folder: compressed, and read by columns."""
+    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Estimated bytes up to which ``join_few`` broadcasts.
 BROADCAST_BYTES = 16 << 20
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, checkpoint, few, join_few, join_written, slices, text_buffer, text_bytes
+from docloom.llm.common import bounded, checkpoint, few, join_few, join_written, slices, text_buffer, text_bytes, written
 
 #: Bytes of a gram; a key holds at most seven and a tag.
 ORDER = 5
@@ -122,7 +122,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     """The model of texts (text, toxic); order is 2 to 7."""
     if not 2 <= order <= 7:
         raise ValueError("order must be 2 to 7")
-    top = checkpoint(count_grams(texts, order))
+    top = written(count_grams(texts, order))
     # a lower gram counts the different bytes before it: the different grams one byte longer that end with it
     longer = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(mask(k + 1))).alias("g")) for k in range(1, order)])).alias("x")
     types = top.select(longer, (F.col("a") > 0).alias("a"), (F.col("b") > 0).alias("b")).groupBy("x.k", "x.g").agg(F.max("a").cast("long").alias("a"), F.max("b").cast("long").alias("b"))
@@ -130,7 +130,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     for k in range(1, order):
         own = F.when(F.col("k") == k, F.col("g").bitwiseAND(F.lit(mask(k)))).otherwise(own)
     lower = types.select("k", own.alias("gram"), "a", "b").groupBy("k", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = checkpoint(lower.unionByName(top.select(F.lit(order).alias("k"), "gram", "a", "b")))
+    counts = written(lower.unionByName(top.select(F.lit(order).alias("k"), "gram", "a", "b")))
     number = [F.sum((F.col(m) == c).cast("long")).alias(f"{m}{c}") for m in "ab" for c in (1, 2, 3, 4)]
     got = {r["k"]: [*discounts(*r[1:5]), *discounts(*r[5:9])] for r in counts.groupBy("k").agg(*number).collect()}  # a row an order
     found = [got.get(k, [0.5, 1.0, 1.5] * 2) for k in range(1, order + 1)]
@@ -139,7 +139,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     contexts = sums.select(key(1, F.col("k"), F.col("context")).alias("key"), F.col("a").cast("double").alias("a1"), weight[0].alias("a2"), F.col("b").cast("double").alias("b1"), weight[1].alias("b2"))
     none = F.lit(None).cast("double")
     table = counts.select(key(0, F.col("k"), F.col("gram")).alias("key"), F.col("a").cast("double").alias("a1"), none.alias("a2"), F.col("b").cast("double").alias("b1"), none.alias("b2")).unionByName(contexts)
-    return Model(checkpoint(table), order, found)
+    return Model(written(table), order, found)
 
 
 def looked_up(rows: DataFrame, model: Model, first: int, last: int) -> DataFrame:
@@ -176,6 +176,7 @@ def log_probabilities(needed: DataFrame, model: Model) -> DataFrame:
     return part.select("gram", F.log("pa").alias("a"), F.log("pb").alias("b"))
 
 
+ROW = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("th", pa.int64())])
 SCORED = "doc_id long, lang string, th long, n long, loss double, toxicity double"
 
 
@@ -204,13 +205,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), text_bytes().alias("text"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their packed texts and the number of their slice; after a slice, one row with its distinct grams."""
-        squeeze, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
-        names, found, size = ["slice", "doc_id", "lang", "th", "text", "grams"], [], 0
+        """Blocks of rows with their packed texts and the number of their slice; after a slice, its packed distinct grams."""
+        squeeze, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
+        names, found, size = ["slice", "rows", "sizes", "packed"], [], 0
+
+        def row(rows: pa.Array | None, sizes: np.ndarray, packed: bytes) -> pa.RecordBatch:
+            block = pa.nulls(1, pa.list_(ROW)) if rows is None else pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([number]), block, pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names)
 
         def last() -> pa.RecordBatch:
-            packed = squeeze(np.unique(np.concatenate(found)).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
+            g = np.unique(np.concatenate(found))
+            return row(None, np.array([len(g)]), squeeze(np.diff(g, prepend=0).tobytes()))
 
         for b in it:
             data, offsets = text_buffer(b.column(3))
@@ -220,8 +225,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     number, found, size = number + 1, [], 0
                 found.append(np.unique(grams(data, offsets[at : end + 1], order)[0]))
                 size += int(offsets[end] - offsets[at])
-                texts = pa.array([squeeze(x.as_py()) for x in b.column(3)[at:end]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, number)), *[b.column(k)[at:end] for k in range(3)], texts, pa.nulls(end - at, pa.binary())], names)
+                rows = pa.StructArray.from_arrays([b.column(k)[at:end] for k in range(3)], fields=list(ROW))
+                yield row(rows, np.diff(offsets[at : end + 1]), squeeze(data[offsets[at] : offsets[end]].tobytes()))
         if found:
             yield last()
 
@@ -229,29 +234,39 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         for b in it:
             for s, packed in zip(b.column(0).to_numpy(), b.column(1), strict=True):
-                g = np.frombuffer(expand(packed.as_py()), np.int64)
+                g = np.cumsum(np.frombuffer(expand(packed.as_py()), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), s)), pa.array(g)], ["slice", "gram"])
 
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed values of each slice in a batch."""
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in it:
+            s, g, a_, b_ = (c.to_numpy() for c in b.columns)
+            by = np.lexsort((g, s))
+            for part in np.split(by, np.flatnonzero(np.diff(s[by])) + 1):
+                if len(part):
+                    packed = squeeze(np.diff(g[part], prepend=0).tobytes() + a_[part].tobytes() + b_[part].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([s[part[0]]]), pa.array([len(part)], pa.int64()), pa.array([packed], pa.binary())], ["slice", "n", "packed"])
+
     def add(texts: pa.Table, values: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
-        gram, a, b = (values.column(c).to_numpy() for c in ("gram", "a", "b"))
+        known = [np.frombuffer(expand(x.as_py()), np.int64).reshape(3, -1) for x in values.column("packed")]
+        gram = np.concatenate([np.cumsum(x[0]) for x in known] or [np.empty(0, np.int64)])
+        a, b = (np.concatenate([x[k].view(np.float64) for x in known] or [np.empty(0)]) for k in (1, 2))
         by = np.argsort(gram)
         gram, a, b = gram[by], a[by], b[by]
-        parts = []
-        for t in texts.to_batches(2048):
-            raw = [expand(x.as_py()) for x in t.column("text")]
-            data, offsets = text_buffer(pa.array(raw, pa.large_binary()))
-            parts += [summed(data, offsets[i : j + 1], order, gram, a, b) for i, j in slices(offsets)]
-        out = texts.select(["doc_id", "lang", "th"])
-        for name, values_ in zip(("n", "loss", "toxicity"), map(np.concatenate, zip(*parts, strict=True)), strict=True):
-            out = out.append_column(name, pa.array(values_))
-        return out
-
-    parts = checkpoint(rows.mapInArrow(cut, "slice long, doc_id long, lang string, th long, text binary, grams binary"))
-    needs = parts.where("grams is not null").select("slice", "grams").mapInArrow(unpack, "slice long, gram long")
-    values = checkpoint(log_probabilities(checkpoint(needs.select("gram").distinct()), model))
-    of_slice = needs.join(values, "gram").select("slice", "gram", "a", "b")
-    return parts.where("text is not null").drop("grams").groupBy("slice").cogroup(of_slice.groupBy("slice")).applyInArrow(add, SCORED)
+        out = []
+        for rows, sizes, packed in zip(texts.column("rows"), texts.column("sizes"), texts.column("packed"), strict=True):
+            n, loss, toxicity = summed(np.frombuffer(expand(packed.as_py()), np.uint8), np.concatenate(([0], np.cumsum(sizes.as_py()))).astype(np.int64), order, gram, a, b)
+            own = rows.values
+            out.append(pa.table({**{f.name: own.field(f.name) for f in ROW}, "n": pa.array(n), "loss": pa.array(loss), "toxicity": pa.array(toxicity)}))
+        return pa.concat_tables(out)
+
+    parts = written(rows.mapInArrow(cut, "slice long, rows array<struct<doc_id:long,lang:string,th:long>>, sizes array<long>, packed binary"))
+    needs = parts.where("rows is null").select("slice", "packed").mapInArrow(unpack, "slice long, gram long")
+    values = written(log_probabilities(written(needs.select("gram").distinct()), model))
+    of_slice = needs.join(values, "gram").select("slice", "gram", "a", "b").mapInArrow(deal, "slice long, n long, packed binary")
+    return parts.where("rows is not null").groupBy("slice").cogroup(of_slice.groupBy("slice")).applyInArrow(add, SCORED)
 
 
 def roles(labels: DataFrame) -> DataFrame:

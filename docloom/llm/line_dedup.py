@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, few, join_few, let
+from docloom.llm.common import checkpoint, few, join_few, let, written
 
 DEPTH = 3
 CONSTANT = 0.8
@@ -83,7 +83,7 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
     """(th, at, leaf) of lines (th, at, leaf, own, words) that belong to the template of their leaf."""
     different = lines.groupBy("leaf", "own", "th", "at").agg(F.count(F.lit(1))).groupBy("leaf", "own")  # equal texts count once
     several = different.agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owns")).where((F.col("n") >= MIN_LINES) & (F.col("owns") > 1)).select("leaf")
-    found = checkpoint(join_few(lines, several, "leaf").where(F.size("words") > DEPTH).select("th", "at", "leaf", "words").dropDuplicates(["th", "at"]))
+    found = written(join_few(lines, several, "leaf").where(F.size("words") > DEPTH).select("th", "at", "leaf", "words").dropDuplicates(["th", "at"]))
     counts = found.select("leaf", F.posexplode("words").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= CONSTANT * F.col("all"), F.col("top.token"))
@@ -95,11 +95,11 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
     """(th, places) of the texts that have lines to drop; th is the text's hash."""
-    texts = checkpoint(parsed(docs))
+    texts = written(parsed(docs))
     lines = texts.select("th", F.explode("lines").alias("x")).select("th", "x.at", "x.leaf", "x.own", "x.words")
     general = leaf_templates(lines)
     of = lines.select("th", "at", "own").distinct().join(general, ["th", "at"], "left").select("th", "at", F.coalesce("leaf", "own").alias("template"))
-    of = checkpoint(of.groupBy("th", "template").agg(F.collect_set("at").alias("places")))
+    of = written(of.groupBy("th", "template").agg(F.collect_set("at").alias("places")))
     # each family counts once for a template: texts are summed before families are counted
     votes = of.select("th", "template").join(checkpoint(families(texts.select("th", "voices").dropDuplicates(["th"]))), "th").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("texts")).where((F.col("families") >= min_families) & (F.col("families") * PER_FAMILY >= F.col("texts")))
