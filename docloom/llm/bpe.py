@@ -72,23 +72,20 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     for (x, y), rank in merges(ranks).items():
         rows.setdefault(x, []).append((y, rank))
     room = 4 * sum(map(len, rows.values())) + 4 * ids
-    taken, entries, offsets = np.zeros(room, bool), np.full(room, NONE), np.zeros(ids, np.int64)
-    low = 0
-    for x, row in sorted(rows.items(), key=lambda r: -len(r[1])):  # the longest rows first, each at the first place that fits
-        y = np.array([a for a, _ in row])
-        low += int(np.argmin(taken[low:]))
-        at = max(0, low - int(y.min()))
-        while True:
-            tried = np.arange(at, at + 512)
-            fits = ~taken[tried[:, None] + y[None, :16]].any(axis=1)
-            place = next((int(t) for t in tried[fits] if not taken[t + y].any()), None)
-            if place is not None:
-                break
-            at += 512
-        offsets[x] = place
-        taken[place + y] = True
-        entries[place + y] = [x << 20 | rank << 1 | (x == b) for b, rank in row]
-    return entries[: int(np.flatnonzero(taken)[-1]) + ids + 1 if taken.any() else ids].tolist(), offsets.tolist()
+    taken, entries, offsets, low = bytearray(room), np.full(room, NONE), np.zeros(ids, np.int64), ids
+    for x, row in sorted(rows.items(), key=lambda r: -len(r[1])):  # the longest rows first, each at the next place that fits
+        others = [y - row[0][0] for y, _ in row[1:]]
+        at, tried = taken.find(0, low), 0
+        while any(taken[at + d] for d in others):
+            at = taken.find(0, at + 1)
+            tried += 1
+        low += tried // 8  # crowded: later rows begin further on
+        offsets[x] = at - row[0][0]
+        for y, rank in row:
+            place = at + y - row[0][0]
+            taken[place] = 1
+            entries[place] = x << 20 | rank << 1 | (x == y)
+    return entries[: max(taken.rfind(1), 0) + ids + 1].tolist(), offsets.tolist()
 
 
 def literal(values: list, kind: str) -> Column:
