@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded, checkpoint, group_starts, grouped, let, text_buffer, text_bytes
 
 #: Bytes of text whose distinct words are joined together.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 #: Batches whose words are encoded together; bounds the places of a frequent word.
 SLICE_BATCHES = 1024
 #: Ranks are below it; an entry of the map holds a rank, whether it joins twins, and the first id.
 MAX_RANK = 1 << 19
-NONE = 1 << 62
+NONE = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -249,8 +249,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.withColumn("decoded", let(literal(pieces, "string"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
-    four = lambda i: F.hex(i.bitwiseAND(F.lit(255)) * (1 << 24) + F.shiftright(i, 8).bitwiseAND(F.lit(255)) * (1 << 16) + F.shiftright(i, 16).bitwiseAND(F.lit(255)) * 256 + F.shiftrightunsigned(i, 24) + F.lit(1 << 32))
-    little = F.unhex(F.array_join(F.transform("ids", lambda i: F.substring(four(i.cast("long")), 2, 8)), ""))
+def digests(decoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded); ids are hashed as little-endian unsigned 32-bit integers."""
+    words = literal([i.to_bytes(4, "little").hex() for i in range(max(ranks.values(), default=-1) + 1)], "string")
+    little = let(words, lambda w: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(w, i)), "")))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

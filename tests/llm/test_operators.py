@@ -343,7 +343,7 @@ def test_bpe(spark, odd, none, name, batch_bytes, slice_batches):
     for d, t in docs.collect():
         ids = np.array(own.encode_ordinary(t or ""), "<u4")
         want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert got(bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, batch_bytes, slice_batches), ranks))) == sorted(want, key=str)
+    assert got(bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, batch_bytes, slice_batches), ranks), ranks)) == sorted(want, key=str)
 
 
 def test_bpe_refuses_other_ranks():
