@@ -66,8 +66,8 @@ DOT = "least(greatest(list_dot_product(embedding::DOUBLE[], q), 0), 1)"
 
 @query(f"WITH {QV} SELECT vec_id, round({DOT}, 6) AS score, (row_number() OVER (ORDER BY {DOT} DESC, vec_id) - 1)::INT AS rank FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 80")
 def dense_search_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"), F.col("embedding").alias("vector"))
-    return search.dense_leg(rows, query_vector(spark, sf_dir)).where("rank < 80").select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("vector"))
+    return search.dense_leg(rows, query_vector(spark, sf_dir), most=80).select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {QV}, s AS (SELECT vec_id % 50 AS doc_id, vec_id AS chunk_index, {DOT} AS score FROM embeddings, q), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS k FROM s) SELECT doc_id, chunk_index, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM b WHERE k = 1")
@@ -91,7 +91,7 @@ def bm25_sql(phrases: list[str], rows: str = "SELECT doc_id, text FROM documents
     return f"WITH r AS ({rows}), st AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS a, {stats} FROM r), h AS (SELECT doc_id, -({part}) AS score FROM r, st WHERE {cond})"
 
 
-RANKED = " SELECT doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h ORDER BY score, doc_id LIMIT 1000"
+RANKED = " SELECT doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h ORDER BY score, doc_id"
 
 
 def keyword(spark, sf_dir, q: str) -> DataFrame:
@@ -114,6 +114,23 @@ def keyword_short_term_dropped(spark, sf_dir):
     return keyword(spark, sf_dir, "apache zz")
 
 
+TURNS = "SELECT conv_id AS doc_id, turn AS chunk_index, text FROM conversations"
+
+
+@query(bm25_sql(["the and"], TURNS).replace("SELECT doc_id, -(", "SELECT doc_id, chunk_index, -(") + ", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, chunk_index) AS k FROM h WHERE doc_id % 4 > 0) SELECT doc_id, chunk_index, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM b WHERE k = 1")
+def keyword_best_turn(spark, sf_dir):
+    """Several chunks a document; absent documents count in the statistics and are left out of the hits."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text")
+    return search.keyword_leg(rows, '"the and"', F.col("doc_id") % 4 > 0).select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text FROM (SELECT doc_id, unnest(['zz ' || lang, 'the language ' || lang, source]) AS x, unnest([2, 1, 3]) AS k FROM documents) GROUP BY doc_id) SELECT doc_id, text AS tags FROM t")
+def tags_in_input_order(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    names = F.array(F.struct(F.lit(2).alias("at"), F.concat(F.lit("zz "), "lang").alias("name")), F.struct(F.lit(1).alias("at"), F.concat(F.lit("the language "), "lang").alias("name")), F.struct(F.lit(3).alias("at"), F.col("source").alias("name")))
+    return tagging.tags_text(d.select(F.col("doc_id").alias("document_id"), F.explode(names).alias("n")).select("document_id", "n.*")).select(F.col("document_id").alias("doc_id"), F.col("tags_text").alias("tags"))
+
+
 @query("SELECT doc_id, 0.0::DOUBLE AS score, 0 AS rank FROM documents WHERE false")
 def keyword_syntax_error_empty(spark, sf_dir):
     return keyword(spark, sf_dir, "what's license?")
@@ -143,9 +160,10 @@ def tag_texts(spark, sf_dir) -> DataFrame:
     return tagging.tags_text(label_tags(spark, sf_dir).withColumnRenamed("doc_id", "document_id")).withColumnRenamed("document_id", "doc_id")
 
 
-@query(bm25_sql(["poor"], TAGS) + " SELECT doc_id, '[标签命中] ' || text AS text, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h JOIN r USING (doc_id) ORDER BY score, doc_id LIMIT 1000")
+@query(bm25_sql(["poor"], TAGS) + " SELECT doc_id, '[标签命中] ' || text AS text, round(score, 6) AS score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS rank FROM h JOIN r USING (doc_id)")
 def tag_search_bm25(spark, sf_dir):
-    return search.tag_leg(tag_texts(spark, sf_dir), "poor").select("doc_id", "text", F.round("score", 6).alias("score"), "rank")
+    tags = tag_texts(spark, sf_dir)
+    return search.tag_leg(tags, "poor").join(tags, "doc_id").select("doc_id", F.concat(F.lit(search.TAG_HIT), "tags_text").alias("text"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DOCS}, t AS (SELECT doc_id, unnest([CASE WHEN quality = 1 THEN 'quality good' ELSE 'quality poor' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'harmless' END, lang]) AS name, quality FROM labels JOIN documents USING (doc_id)) SELECT doc_id, any_value(path) AS path, string_agg(name, ', ' ORDER BY name) AS tags FROM t JOIN d USING (doc_id) WHERE quality = 0 GROUP BY doc_id")
@@ -160,16 +178,18 @@ def tag_filter_report(spark, sf_dir):
 LEGS = (
     "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), dense AS (SELECT vec_id AS doc_id, (row_number() OVER (ORDER BY " + DOT + " DESC, vec_id) - 1) AS rank FROM embeddings JOIN documents ON vec_id = doc_id, q), "
     "kw AS (SELECT * FROM (" + bm25_sql(["license"]) + RANKED + ")), tg AS (SELECT * FROM (" + bm25_sql(["license"], TAGS) + RANKED + ")), "
-    "legs AS (SELECT doc_id, 0 AS leg, rank FROM dense WHERE rank < 1000 UNION ALL SELECT doc_id, 1, rank FROM kw UNION ALL SELECT doc_id, 2, rank FROM tg), "
+    "legs AS (SELECT doc_id, 0 AS leg, rank FROM dense UNION ALL SELECT doc_id, 1, rank FROM kw UNION ALL SELECT doc_id, 2, rank FROM tg), "
     "fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS rrf, min(leg) AS first_leg, arg_min(rank, leg) AS first_rank FROM legs GROUP BY doc_id), "
     "pool AS (SELECT * FROM fused ORDER BY rrf DESC, first_leg, first_rank, doc_id LIMIT 80)"
 )
 
 
-def hybrid_pool(spark, sf_dir) -> DataFrame:
+def hybrid_pool(spark, sf_dir, texts: bool = False) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
     dense = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-    return search.pool(search.fuse(search.dense_leg(dense, query_vector(spark, sf_dir)), search.keyword_leg(d, "license"), search.tag_leg(tag_texts(spark, sf_dir), "license")))
+    tags = tag_texts(spark, sf_dir)
+    found = search.pool(search.fuse(search.dense_leg(dense, query_vector(spark, sf_dir)), search.keyword_leg(d, "license"), search.tag_leg(tags, "license")))
+    return search.with_text(found, d, tags) if texts else found
 
 
 @query(LEGS + " SELECT doc_id, round(rrf, 9) AS rrf, first_leg, first_rank::INT AS first_rank FROM pool")
@@ -183,12 +203,12 @@ LOGIT = "round(ln((contains(lower(snippet), 'license')::INT + 0.01) / (1.01 - co
 
 @query(LEGS + f", s AS (SELECT doc_id, {SNIP} AS snippet FROM pool JOIN documents USING (doc_id)) SELECT doc_id, snippet, {LOGIT}::DOUBLE AS score FROM s ORDER BY score DESC, doc_id LIMIT 5")
 def hybrid_search(spark, sf_dir):
-    return search.rerank(hybrid_pool(spark, sf_dir), search.lexical_score("license"), floor=-100.0).select("doc_id", "snippet", "score")
+    return search.rerank(hybrid_pool(spark, sf_dir, texts=True), search.lexical_score("license"), floor=-100.0).select("doc_id", "snippet", "score")
 
 
 @query(LEGS + f", s AS (SELECT doc_id, {SNIP} AS snippet FROM pool JOIN documents USING (doc_id)) SELECT doc_id, {LOGIT}::DOUBLE AS score FROM s WHERE {LOGIT} >= -2.5 ORDER BY score DESC, doc_id LIMIT 5")
 def rerank_floor_topk(spark, sf_dir):
-    return search.rerank(hybrid_pool(spark, sf_dir), search.lexical_score("license")).select("doc_id", "score")
+    return search.rerank(hybrid_pool(spark, sf_dir, texts=True), search.lexical_score("license")).select("doc_id", "score")
 
 
 def doc_files(spark, sf_dir) -> DataFrame:
@@ -440,7 +460,8 @@ def untagged_short(spark, sf_dir):
 
 @query("WITH t AS (SELECT doc_id, unnest([CASE WHEN quality = 1 THEN 'quality good' ELSE 'quality poor' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'harmless' END, lang]) AS name FROM labels JOIN documents USING (doc_id)) SELECT doc_id, string_agg(name, ',' ORDER BY name) AS tags FROM t GROUP BY doc_id")
 def tags_per_document(spark, sf_dir):
-    return label_tags(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("tags"))
+    names = tagging.by_name(label_tags(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "name", F.lit(1.0).alias("confidence")))
+    return names.select(F.col("document_id").alias("doc_id"), F.array_join(F.transform("tags", lambda x: x["name"]), ",").alias("tags"))
 
 
 @query("SELECT CASE WHEN quality = 1 THEN 'tagged' ELSE 'untagged' END AS status, count(*) AS n FROM labels GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,13 @@ def classify(path: Column, header: Column, rules: tuple = RULES) -> Column:
     kind = F.when(overridden, ext).otherwise(F.coalesce(magic, ext, F.lit("unknown")))
     by = F.when(overridden, "extension_override").when(magic.isNotNull(), "magic_bytes").when(ext.isNotNull(), "extension")
     return F.struct(kind.alias("basic_type"), by.alias("matched_by"))
+
+
+def load_rules(path: str) -> tuple:
+    """Rules of a JSON file, in their order: a list of objects with ``type``, ``extensions`` and ``signatures`` (hex); broken entries are an error."""
+    with open(path, encoding="utf-8") as f:
+        rows = json.load(f)
+    for r in rows:
+        if not r.get("type") or not isinstance(r.get("extensions", []), list) or not all(len(bytes.fromhex(x)) <= HEADER_BYTES for x in r.get("signatures", [])):
+            raise ValueError(f"not a rule: {r}")
+    return tuple((r["type"], tuple(e.lower() for e in r.get("extensions", [])), tuple(x.upper() for x in r.get("signatures", []))) for r in rows)

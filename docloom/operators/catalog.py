@@ -1,7 +1,9 @@
-"""The tables of the index: versioned Parquet snapshots, upserts, ghosts, incremental selection."""
+"""The tables of the index: Parquet snapshots behind manifests, upserts, ghosts, incremental selection."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,37 +18,71 @@ SCHEMAS = {
     "embeddings": "document_id long, chunk_index int, model_id long, dimension int, vector array<float>",
     "tags": "id long, name string, created_at timestamp",
     "tagging_results": "document_id long, confidence double, status string, reasoning string, created_at timestamp",
-    "document_tags": "document_id long, tag_id long, confidence double",
+    "document_tags": "document_id long, tag_id long, confidence double, at int",
+    "refresh_runs": "directory string, status string, started_at timestamp, ended_at timestamp, stats_json string",
 }
 
 
 class Catalog:
-    """Tables in ``root/name/v=N``; a new version is whole before readers see it."""
+    """Tables as Parquet folders of their own names, and manifests that say which folder is current for each.
+
+    ``write`` puts a table in a fresh folder that only this catalog sees; ``publish`` makes all of them current at once, by
+    one more manifest. A run that fails before leaves nothing behind that others see, or that the next run meets.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.pending: dict[str, str] = {}
 
-    def versions(self, name: str) -> list[int]:
+    def manifests(self) -> list[str]:
+        """The folders of whole manifests, oldest first."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         done = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and done(s.getPath()))
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("m=") and done(s.getPath()))
+
+    def current(self) -> dict[str, str]:
+        """The folder of each published table."""
+        known = self.manifests()
+        if not known:
+            return {}
+        rows = self.spark.read.schema("name string, folder string").json(f"{self.root}/manifests/{known[-1]}").collect()  # a row a table
+        return {r["name"]: r["folder"] for r in rows}
 
     def read(self, name: str) -> DataFrame:
-        versions = self.versions(name)
-        if not versions:
+        folder = self.pending.get(name) or self.current().get(name)
+        if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v={versions[-1]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        version = max(self.versions(name), default=0) + 1
+        folder = f"{name}/{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns]).write.parquet(f"{self.root}/{name}/v={version}")
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns]).write.parquet(f"{self.root}/{folder}")
+        self.pending[name] = folder
         return self.read(name)
 
+    def scratch(self, rows: DataFrame) -> DataFrame:
+        """rows in a folder of no table."""
+        path = f"{self.root}/scratch/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def publish(self) -> None:
+        """Makes the written tables current."""
+        known = self.manifests()
+        number = int(known[-1][2:12]) + 1 if known else 1
+        entries = sorted((self.current() | self.pending).items())
+        self.spark.createDataFrame(entries, "name string, folder string").coalesce(1).write.json(f"{self.root}/manifests/m={number:010d}-{uuid.uuid4().hex}")
+        self.pending = {}
+
+    def rollback(self) -> None:
+        """Forgets the written tables."""
+        self.pending = {}
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those with their key."""
@@ -65,11 +101,6 @@ def replace_content(old: DataFrame, new: DataFrame, key: str = "document_id") ->
     return upsert(old, new, key)
 
 
-def orphans_removed(content: DataFrame, documents: DataFrame) -> DataFrame:
-    """Content of documents that exist; takes the part of a cascade."""
-    return content.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-
-
 def is_ghost(run_id: int, directory: str | None = None) -> Column:
     """Whether a present document was not seen by a run over the directory."""
     out = F.col("is_present") & ~F.col("last_seen_run_id").eqNullSafe(F.lit(run_id))
@@ -105,12 +136,25 @@ def searchable(documents: DataFrame, extractions: DataFrame, chunks: DataFrame,
     return chunks.join(ok, "document_id", "left_semi").join(vectors, ["document_id", "chunk_index"]).select(F.col("document_id").alias("doc_id"), "chunk_index", "text", "vector")
 
 
+#: First characters of a key whose rows are numbered together.
+PREFIX = 2
+
+
 def with_ids(known: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
-    """(id, key): known entries and new ones, numbered onwards in the order of the key."""
-    new = names.select(key).where(F.trim(key) != "").distinct().join(known, key, "left_anti")
+    """(id, key): known entries and new ones, numbered onwards in the order of the key: each prefix after those before it."""
+    new = names.select(key).where(F.trim(key) != "").distinct().join(known, key, "left_anti").withColumn("prefix", F.substring(key, 1, PREFIX))
     start = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # a dictionary of names; numbering them takes them in order
-    return known.select("id", key).unionByName(new.select((F.row_number().over(Window.orderBy(key)) + start).cast("long").alias("id"), key))
+    sizes = new.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("prefix", (F.sum("n").over(Window.orderBy("prefix")) - F.col("n") + start).alias("before"))  # a row for each prefix
+    own = F.row_number().over(Window.partitionBy("prefix").orderBy(key))
+    return known.select("id", key).unionByName(new.join(before, "prefix").select((own + F.col("before")).cast("long").alias("id"), key))
+
+
+def clear_tags(db: Catalog) -> None:
+    """Empties all tables of tags, at once."""
+    for name in ("tags", "tagging_results", "document_tags"):
+        db.write(name, db.read(name).where("false"))
+    db.publish()
 
 
 def check_vectors(chunks: DataFrame, embeddings: DataFrame, dimension: int) -> DataFrame:
@@ -118,9 +162,3 @@ def check_vectors(chunks: DataFrame, embeddings: DataFrame, dimension: int) -> D
     rows = chunks.select("document_id", "chunk_index").join(embeddings, ["document_id", "chunk_index"], "left")
     bad = F.col("vector").isNull() | (F.size("vector") != dimension)
     return rows.withColumn("vector", F.when(bad, F.raise_error(F.lit("a chunk without a vector of the model's dimension"))).otherwise(F.col("vector")))
-
-
-def run_statistics(files: DataFrame) -> DataFrame:
-    """One row of counters over (status, supported, skipped, n_chunks)."""
-    is_ = lambda s: F.count_if(F.col("status") == s)
-    return files.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("status").isNotNull()).alias("indexed"), is_("success").alias("success"), is_("no_text").alias("no_text"), is_("error").alias("error"), F.count_if(~F.col("supported")).alias("unsupported"), F.count_if("skipped").alias("skipped_unchanged"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunk_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,28 @@ def undo_plan(log: DataFrame, trash: DataFrame, existing: DataFrame) -> DataFram
     rows = open_.join(found, ["sha256", "size_bytes"], "left").join(taken, "deleted_path", "left")
     status = F.when(F.col("trash_path").isNull(), "missing").when(F.col("taken"), "occupied").otherwise("restore")
     return rows.select("sha256", "trash_path", F.col("deleted_path").alias("restore_to"), status.alias("status"))
+
+
+LOG = "timestamp string, sha256 string, kept_path string, deleted_path string, size_bytes long, restored_path string"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The clean-up log, JSON lines of removals and restorations; lines that are blank or no JSON are passed over."""
+    return spark.read.schema(LOG).option("mode", "PERMISSIVE").json(path).where("sha256 is not null")
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Adds removals or restorations to the log."""
+    entries.select(*[name for name, _ in (x.split() for x in LOG.split(", "))]).write.mode("append").json(path)
+
+
+def trash_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, size, sha256) of all files in trash folders."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def report_lines(members: DataFrame) -> DataFrame:
+    """(sha256, keep, path, line): a report of groups as Markdown, one line a file, the keeper first."""
+    mark = F.when(F.col("keep"), "keep").otherwise("duplicate")
+    return members.select("sha256", "keep", "path", F.concat(F.lit("- "), mark, F.lit(": "), F.col("path"), F.format_string(" (%d bytes)", "size")).alias("line")).orderBy("sha256", F.col("keep").desc(), "path")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +111,23 @@ def bm25(rows: DataFrame, query: Phrases, text: str = "text") -> DataFrame:
     return rows.where(matches(F.col(text), query)).withColumn("bm25", score)
 
 
-def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None) -> DataFrame:
-    """(doc_id, chunk_index, text, score, rank): the best chunk of each document by BM25, then ranks."""
+def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, chunk_index, score, rank): the best chunk of each document by BM25, then ranks.
+
+    Statistics cover all chunks; ``present`` leaves out hits afterwards, as a filter of the results does.
+    """
     parsed = parse(query)
     if parsed is None or not parsed.any_of:
-        return chunks.select("doc_id", "chunk_index", "text", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
+        return chunks.select("doc_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
     hits = bm25(chunks, parsed)
     hits = hits if present is None else hits.where(present)
-    best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_index", "text")).alias("b")).select("doc_id", "b.chunk_index", "b.text", F.col("b.bm25").alias("score"))
-    return ranked(best, F.col("score").asc())
+    best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_index")).alias("b")).select("doc_id", "b.chunk_index", F.col("b.bm25").alias("score"))
+    return ranked(best, most)
 
 
-def tag_leg(tags: DataFrame, query: str) -> DataFrame:
-    """The same over (doc_id, tags_text)."""
-    rows = keyword_leg(tags.select("doc_id", F.lit(-1).alias("chunk_index"), F.col("tags_text").alias("text")), query)
-    return rows.withColumn("text", F.concat(F.lit(TAG_HIT), "text"))
+def tag_leg(tags: DataFrame, query: str, most: int | None = None) -> DataFrame:
+    """The same over (doc_id, tags_text); the chunk_index of a tag hit is -1."""
+    return keyword_leg(tags.select("doc_id", F.lit(-1).alias("chunk_index"), F.col("tags_text").alias("text")), query, most=most)
 
 
 def tag_matches(tags: DataFrame, query: str) -> DataFrame:
@@ -145,39 +149,99 @@ def similarity(vector: Column, query: list[float], normalized: bool = True) -> C
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def dense_leg(chunks: DataFrame, query: list[float], normalized: bool = True) -> DataFrame:
-    """(doc_id, chunk_index, text, score, rank) over (doc_id, chunk_index, text, vector)."""
-    scored = chunks.select("doc_id", "chunk_index", "text", similarity(F.col("vector"), query, normalized).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("score", "chunk_index", "text"), F.struct("score", -F.col("chunk_index"))).alias("b")).select("doc_id", "b.chunk_index", "b.text", "b.score")
-    return ranked(best, F.col("score").desc())
+def dense_leg(chunks: DataFrame, query: list[float], normalized: bool = True, most: int | None = None) -> DataFrame:
+    """(doc_id, chunk_index, score, rank) over (doc_id, chunk_index, vector)."""
+    scored = chunks.select("doc_id", "chunk_index", similarity(F.col("vector"), query, normalized).alias("score"))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("c"))).alias("b")).select("doc_id", (-F.col("b.c")).alias("chunk_index"), "b.score")
+    return ranked(best, most, ascending=False)
+
+
+#: Places at which the scores of a leg are cut into runs that are numbered apart.
+RUNS = 64
+
 
+#: Rows (of a few numbers each) up to which one task numbers all of them.
+RANK_ROWS = 100_000
 
-def ranked(rows: DataFrame, order: Column, most: int | None = None) -> DataFrame:
-    """rows with ``rank`` from 0; equal rows by doc_id. Ranks are cut to the candidates that can count."""
-    top = rows.orderBy(order, "doc_id").limit(most or 1_000)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(order, "doc_id")) - 1)
+
+def ranked(rows: DataFrame, most: int | None = None, ascending: bool = True, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """rows with ``rank`` from 0 by ``score``, equal scores by doc_id; all of them, or the first ``most``.
+
+    More than ``rank_rows`` rows are numbered in runs: of scores between two quantiles, and, where one score is a quantile itself, of ids
+    between two quantiles. A run's first rank is the number of rows in the runs before it.
+    """
+    score = F.col("score") if ascending else -F.col("score")
+    whole = F.row_number().over(Window.orderBy(score, "doc_id")) - 1
+    if most is not None:
+        return rows.orderBy(score, "doc_id").limit(most).withColumn("rank", whole)
+    at = [i / RUNS for i in range(1, RUNS)]
+    cuts = rows.agg(F.percentile_approx(score, at, 10_000).alias("s"), F.percentile_approx("doc_id", at, 10_000).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    if cuts["n"] <= rank_rows:
+        return rows.withColumn("rank", whole)
+    bounds = sorted(set(cuts["s"] or []))
+    below = lambda values, c: sum((F.lit(float(v) if isinstance(v, float) else v) < c).cast("int") for v in values) if values else F.lit(0)
+    tie = score.isin(bounds) if bounds else F.lit(False)
+    run = F.struct((2 * below(bounds, score) + tie.cast("int")).alias("s"), F.when(tie, below(sorted(set(cuts["d"] or [])), F.col("doc_id"))).otherwise(0).alias("d"))  # a tie with a quantile comes after all that is below it
+    parts = rows.withColumn("run", run)
+    sizes = {(r["run"]["s"], r["run"]["d"]): r["n"] for r in parts.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RUNS * RUNS rows
+    first, total = [], 0
+    for key in sorted(sizes):
+        first.append((*key, total))
+        total += sizes[key]
+    offsets = rows.sparkSession.createDataFrame(first or [(0, 0, 0)], "s int, d int, first long").select(F.struct("s", "d").alias("run"), "first")
+    own = F.row_number().over(Window.partitionBy("run").orderBy(score, "doc_id")) - 1
+    return parts.withColumn("own", own).join(F.broadcast(offsets), "run").withColumn("rank", (F.col("first") + F.col("own")).cast("int")).drop("run", "own", "first")
 
 
 def fuse(*legs: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion: (doc_id, chunk_index, text, rrf, first_leg, first_rank); the first leg of a document shows."""
+    """Reciprocal rank fusion: (doc_id, chunk_index, rrf, first_leg, first_rank); the first leg of a document shows."""
     both = None
     for i, leg in enumerate(legs):
-        part = leg.select("doc_id", "chunk_index", "text", F.lit(i).alias("leg"), "rank")
+        part = leg.select("doc_id", "chunk_index", F.lit(i).alias("leg"), "rank")
         both = part if both is None else both.unionByName(part)
-    one = both.groupBy("doc_id").agg(F.sum(1.0 / (RRF_K + F.col("rank") + 1)).alias("rrf"), F.min(F.struct("leg", "rank", "chunk_index", "text")).alias("f"))
-    return one.select("doc_id", "f.chunk_index", "f.text", "rrf", F.col("f.leg").alias("first_leg"), F.col("f.rank").alias("first_rank"))
+    one = both.groupBy("doc_id").agg(F.sum(1.0 / (RRF_K + F.col("rank") + 1)).alias("rrf"), F.min(F.struct("leg", "rank", "chunk_index")).alias("f"))
+    return one.select("doc_id", "f.chunk_index", "rrf", F.col("f.leg").alias("first_leg"), F.col("f.rank").alias("first_rank"))
 
 
 def pool(fused: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     return fused.orderBy(F.col("rrf").desc(), "first_leg", "first_rank", "doc_id").limit(candidates)
 
 
+def with_text(candidates: DataFrame, chunks: DataFrame, tags: DataFrame) -> DataFrame:
+    """A pool of candidates with the text of the chunk, or of the tags, that shows; the pool is small and is sent to the texts."""
+    few = F.broadcast(candidates)
+    plain = chunks.select("doc_id", "chunk_index", "text").join(few.where("chunk_index >= 0"), ["doc_id", "chunk_index"])
+    tagged = tags.select("doc_id", F.concat(F.lit(TAG_HIT), "tags_text").alias("text")).join(few.where("chunk_index < 0"), "doc_id")
+    return plain.unionByName(tagged)
+
+
 def rerank(candidates: DataFrame, score: Column, floor: float = FLOOR, top_k: int = TOP_K) -> DataFrame:
     """The best candidates of a pairwise score, from a floor up; what is scored is the compacted snippet."""
     scored = candidates.withColumn("snippet", compact_text(F.col("text"))).withColumn("score", score)
+    return best(scored, floor, top_k)
+
+
+def best(scored: DataFrame, floor: float = FLOOR, top_k: int = TOP_K) -> DataFrame:
     return scored.where(F.col("score") >= floor).orderBy(F.col("score").desc(), "doc_id").limit(top_k)
 
 
+#: Raw scores of a query against texts.
+Reranker = Callable[[str, list[str]], list[float]]
+
+
+def scored_by(candidates: DataFrame, query: str, load: Callable[[], Reranker]) -> DataFrame:
+    """candidates with ``snippet`` and ``score`` by a pairwise model that is loaded once a task."""
+    rows = candidates.withColumn("snippet", compact_text(F.col("text")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in it:
+            yield b.assign(score=[float(x) for x in model(query, b["snippet"].tolist())])
+
+    return rows.mapInPandas(batches, f"{schema}, score double")
+
+
 def lexical_score(query: str, text: str = "snippet") -> Column:
     """The stand-in for a cross-encoder: a logit of the share of query words that a text has."""
     words = list(dict.fromkeys(w for w in re.split(r"\W+", query.lower()) if w))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import looks_complete, snippet, strip, suffix
+from docloom.functions.text import SENTENCE_ENDS, snippet, strip, suffix
+from docloom.operators.vectors import tag_confidence
 
 MIN_CHARS = 30
 NO_EXTENSION = "无扩展名"
@@ -43,41 +45,78 @@ def basic_tags(documents: DataFrame, extractions: DataFrame, results: DataFrame,
     return rows.select(F.col("id").alias("document_id"), tags.alias("tags"), F.lit(0.0).alias("confidence"), F.lit("basic").alias("status"), F.lit(BASIC_REASON).alias("reasoning"))
 
 
-def frequent_words(texts: pd.Series) -> list[tuple[str, list[str]]]:
+#: (reason, names) of each text; None where the model failed.
+Tagger = Callable[[pd.Series], list[tuple[str, list[str]] | None]]
+
+
+def frequent_words(texts: pd.Series) -> list[tuple[str, list[str]] | None]:
     """The stand-in for a language model: the most frequent longer words."""
     out = []
     for t in texts:
-        words = pd.Series([w for w in str(t).lower().split() if len(w) > 4 and w.isalpha()], dtype=object)
-        counts = words.value_counts().reset_index()
-        counts.columns = ["word", "n"]
-        top = counts.sort_values(["n", "word"], ascending=[False, True])["word"].head(3).tolist()
+        counts = Counter(w for w in str(t).lower().split() if len(w) > 4 and w.isalpha())
+        top = sorted(counts, key=lambda w: (-counts[w], w))[:3]
         out.append((f"Frequent words: {', '.join(top)}.", top))
     return out
 
 
-def tag_documents(rows: DataFrame, tagger: Callable[[pd.Series], list[tuple[str, list[str]]]] = frequent_words) -> DataFrame:
-    """Results of a tagger over pending rows; a result without tags or a whole sentence as its reason counts as untagged."""
+#: Times that a text is given to the tagger before it counts as untagged.
+ATTEMPTS = 2
+
+
+def accepted(result: tuple[str, list[str]] | None) -> tuple[str, list[str]] | None:
+    """A result with tags and a whole sentence as its reason."""
+    if result is None:
+        return None
+    reason, names = result
+    names = list(dict.fromkeys(n.strip() for n in names if n and n.strip()))
+    whole = bool(reason) and reason.rstrip().endswith(tuple(SENTENCE_ENDS))
+    return (reason, names) if names and whole else None
+
+
+def tag_documents(rows: DataFrame, tagger: Tagger = frequent_words, category: str | None = None) -> DataFrame:
+    """Results of a tagger over pending rows; what it fails on twice, and what is too short, is untagged.
+
+    With ``category`` (of projects), tagged rows have it as a sure first tag.
+    """
     ready = long_enough(rows).select("document_id", snippet(F.col("full_text"), F.col("path")).alias("snippet"))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            found = tagger(b["snippet"])
-            yield pd.DataFrame({"document_id": b["document_id"], "reasoning": [r for r, _ in found], "names": [n for _, n in found]})
+            found: list[tuple[str, list[str]] | None] = [None] * len(b)
+            for _ in range(ATTEMPTS):
+                left = [i for i, x in enumerate(found) if x is None]
+                for i, x in zip(left, tagger(b["snippet"].iloc[left]) if left else [], strict=True):
+                    found[i] = accepted(x)
+            yield pd.DataFrame({"document_id": b["document_id"], "reasoning": [x[0] if x else "" for x in found], "names": [x[1] if x else [] for x in found]})
 
     raw = ready.mapInPandas(batches, "document_id long, reasoning string, names array<string>")
-    names = F.array_distinct(F.filter(F.transform("names", strip), lambda x: x != ""))
-    good = (F.size(names) > 0) & looks_complete(F.col("reasoning"))
-    tags = F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(DEFAULT_CONFIDENCE).alias("confidence")))
+    tags = F.transform("names", lambda x: F.struct(x.alias("name"), F.lit(DEFAULT_CONFIDENCE).alias("confidence")))
     empty = F.array().cast("array<struct<name:string,confidence:double>>")
+    if category is not None:
+        tags = F.concat(F.array(F.struct(F.lit(category).alias("name"), F.lit(1.0).alias("confidence"))), tags)
+    good = F.size("names") > 0
     done = raw.select("document_id", F.when(good, tags).otherwise(empty).alias("tags"), F.when(good, DEFAULT_CONFIDENCE).otherwise(0.0).alias("confidence"), F.when(good, "tagged").otherwise("untagged").alias("status"), "reasoning")
     short = too_short(rows).select("document_id", empty.alias("tags"), F.lit(0.0).alias("confidence"), F.lit("untagged").alias("status"), F.lit("").alias("reasoning"))
     return done.unionByName(short)
 
 
-def tag_projects(rows: DataFrame, tagger: Callable[[pd.Series], list[tuple[str, list[str]]]] = frequent_words) -> DataFrame:
-    """Results over pending projects, by their summaries; their type is a sure tag."""
-    sure = F.array(F.struct(F.lit("project").alias("name"), F.lit(1.0).alias("confidence")))
-    return tag_documents(rows.withColumn("full_text", F.substring("full_text", 1, 2500)), tagger).withColumn("tags", F.concat(sure, "tags"))
+def tag_projects(rows: DataFrame, tagger: Tagger = frequent_words) -> DataFrame:
+    """Results over pending projects, by their summaries; their type is a sure tag of those that are tagged."""
+    return tag_documents(rows.withColumn("full_text", F.substring("full_text", 1, 2500)), tagger, category="project")
+
+
+def scored(results: DataFrame, vectors: DataFrame, embed: DataFrame) -> DataFrame:
+    """results with each tag's confidence, its clipped product with the document's vector, and their mean.
+
+    vectors is (doc_id, vector), embed (name, tag_vector). Sure tags (1.0) and basic results stay; without a vector 0.5 counts.
+    """
+    each = results.where("status = 'tagged'").select("document_id", F.posexplode("tags").alias("at", "t")).select(F.col("document_id").alias("doc_id"), "at", "t.name", "t.confidence")
+    open_ = tag_confidence(each.where("confidence < 1").join(embed, "name").select("doc_id", "name", "tag_vector", "at"), vectors, keep=("at",))
+    both = open_.unionByName(each.where("confidence = 1").select("doc_id", "name", "confidence", "at"))
+    lists = both.groupBy(F.col("doc_id").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("at", "name", F.col("confidence").alias("c")))).alias("l"), F.avg("confidence").alias("mean"))
+    lists = lists.select("document_id", F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["c"].alias("confidence"))).alias("found"), "mean")
+    rows = results.join(lists, "document_id", "left")
+    return rows.select("document_id", F.coalesce("found", "tags").alias("tags"), F.coalesce("mean", "confidence").alias("confidence"), "status", "reasoning")
 
 
 def mean_confidence(tags: DataFrame) -> DataFrame:
@@ -96,18 +135,33 @@ def tags_text(tags: DataFrame) -> DataFrame:
     return tags.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), " ").alias("tags_text"))
 
 
+def by_name(tags: DataFrame) -> DataFrame:
+    """(document_id, tags) of tags (document_id, name, confidence), in the order of their names."""
+    return tags.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("name", F.col("confidence").alias("c")))).alias("tags"))
+
+
 def tag_report(documents: DataFrame, results: DataFrame, tags: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(document_id, path, status, confidence, reasoning, created_at, tags), newest first; tags in the order of their names."""
-    names = tags.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("name", F.col("confidence").alias("c")))).alias("tags"))
-    rows = results.join(documents.select(F.col("id").alias("document_id"), "path"), "document_id").join(names, "document_id", "left")
+    """(document_id, path, status, confidence, reasoning, created_at, tags), newest first; tags in the order of their names.
+
+    only is (document_id), or (document_id, bm25) of a search, whose order then counts.
+    """
+    rows = results.join(documents.select(F.col("id").alias("document_id"), "path"), "document_id").join(by_name(tags), "document_id", "left")
+    if only is not None and "bm25" in only.columns:
+        return rows.join(only, "document_id").orderBy("bm25", "document_id")
     rows = rows if only is None else rows.join(only, "document_id", "left_semi")
     return rows.orderBy(F.col("created_at").desc(), "document_id")
 
 
+#: A mark for each status.
+ICONS = {"tagged": "✅", "untagged": "⚪", "basic": "📄"}
+
+
 def report_lines(rows: DataFrame) -> DataFrame:
-    """The report as lines of Markdown, one a document; ``n`` is their order."""
+    """(document_id, line): the report as Markdown, one item a document; its score is shown where the rows have one."""
     tags = F.array_join(F.transform("tags", lambda t: F.format_string("%s (%.2f)", t["name"], t["c"])), ", ")
-    return rows.select("document_id", F.concat_ws(" | ", F.col("path"), F.col("status"), F.format_string("%.2f", "confidence"), tags).alias("line"))
+    icon = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ICONS.items() for x in kv]), F.col("status")), F.lit("•"))
+    score = [F.format_string("bm25 %.4f", "bm25")] if "bm25" in rows.columns else []
+    return rows.select("document_id", F.concat(F.lit("- "), F.concat_ws(" | ", F.concat(icon, F.lit(" "), F.col("path")), F.col("status"), F.format_string("%.2f", "confidence"), *score, tags)).alias("line"))
 
 
 def status_counts(results: DataFrame) -> DataFrame:

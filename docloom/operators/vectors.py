@@ -22,7 +22,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def tag_confidence(tags: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, name, confidence) for tags (doc_id, name, tag_vector) and docs (doc_id, vector): clipped dot products, 0.5 without a vector."""
+def tag_confidence(tags: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, name, confidence, *keep) for tags (doc_id, name, tag_vector) and docs (doc_id, vector): clipped dot products, 0.5 without a vector."""
     joined = tags.join(docs, "doc_id", "left")
-    return joined.select("doc_id", "name", F.when(F.col("vector").isNull(), 0.5).otherwise(F.least(F.greatest(dot(F.col("tag_vector"), F.col("vector")), F.lit(0.0)), F.lit(1.0))).alias("confidence"))
+    return joined.select("doc_id", "name", F.when(F.col("vector").isNull(), 0.5).otherwise(F.least(F.greatest(dot(F.col("tag_vector"), F.col("vector")), F.lit(0.0)), F.lit(1.0))).alias("confidence"), *keep)
+
+
+def document_vectors(chunks: DataFrame, embeddings: DataFrame, model_id: int) -> DataFrame:
+    """(doc_id, vector): the chunks' vectors under a model, weighted by the lengths of the chunks; present or not."""
+    rows = chunks.join(embeddings.where(F.col("model_id") == model_id).select("document_id", "chunk_index", "vector"), ["document_id", "chunk_index"])
+    return pool_vectors(rows.select(F.col("document_id").alias("doc_id"), "vector", F.length("text").alias("weight")))

@@ -3,122 +3,238 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.classify import classify, header_hex
-from docloom.functions.text import is_tabular, stored_text, volume_label
+from docloom.functions.classify import RULES, classify, header_hex
+from docloom.functions.text import compact_text, is_tabular, stored_text, volume_label
 from docloom.operators import catalog, chunking, duplicates, models, search, tagging
 from docloom.operators.catalog import Catalog
+from docloom.operators.vectors import document_vectors
 from docloom.sources import extract, files
 
 EMBEDDER = "hashing-64"
 DIMENSION = 64
+#: Sizes up to which a listing is filtered by them.
+SIZE_FILTERS = 200
+#: Seconds after which a refresh that has not ended counts as broken off.
+BUSY_S = 6 * 3600
 
 
 def embedder() -> models.Embedder:
     return models.hashing_embedder(DIMENSION)
 
 
-def build_index(db: Catalog, directory: str, force: bool = False, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER) -> dict[str, int]:
-    """Indexes a directory: new and changed files are extracted, chunked and embedded; files that are gone become ghosts."""
+def build_index(db: Catalog, directory: str, force: bool = False, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER, rules: tuple = RULES) -> dict[str, int]:
+    """Indexes a directory: new and changed files are extracted, chunked and embedded; files that are gone become ghosts.
+
+    A run is published when it starts and, with all its tables at once, when it ends: a run that fails changes no table
+    but its own entry, and the next one finds the same files to do. Only contents of new and changed files are read.
+    """
     spark = db.spark
+    db.rollback()
     runs = db.read("index_runs")
     run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
-    listed = files.read_files(spark, directory)
+    run = spark.range(1).select(F.lit(run_id).cast("long").alias("id"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("ended_at"), F.lit(directory).alias("target_dir"), F.lit(model).alias("model_name"), F.lit(DIMENSION).alias("model_dimension"), F.lit(None).cast("string").alias("stats_json"))
+    runs = db.write("index_runs", runs.unionByName(run))
+    db.publish()
+    listed = db.scratch(files.read_files(spark, directory).drop("content"))
     roots = files.project_roots(listed.select("path"), directory)
-    found = files.walk(listed, directory)
-    kind = classify(F.col("path"), header_hex(F.col("content")))["basic_type"]
-    seen = found.select("path", "size_bytes", "mtime_ns", kind.alias("basic_type"), volume_label(F.col("path")).alias("volume_label"))
-    projects = roots.select(F.col("root").alias("path"), F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("long").alias("mtime_ns"), F.lit("project").alias("basic_type"), volume_label(F.col("root")).alias("volume_label"))
+    found = db.scratch(files.walk(listed, directory))
     before = db.read("documents")
     model_ids = catalog.with_ids(db.read("embedding_models").select("id", F.col("model_name").alias("name")), spark.range(1).select(F.lit(model).alias("name")))
     model_id = model_ids.where(F.col("name") == model).first()["id"]
     db.write("embedding_models", model_ids.select("id", F.col("name").alias("model_name"), F.lit(DIMENSION).alias("dimension"), F.lit(True).alias("normalized")))
     work = catalog.changed(found, before, db.read("embeddings").where(F.col("model_id") == model_id), force)
+    since = work.agg(F.min("mtime_ns")).first()[0]
+    contents = files.read_files(spark, directory, since).join(work.select("path"), "path", "left_semi")
+    kinds = contents.select("path", classify(F.col("path"), header_hex(F.col("content")), rules)["basic_type"].alias("new_type"))
+    known = before.select("path", F.col("basic_type").alias("old_type"))
+    seen = found.join(kinds, "path", "left").join(known, "path", "left").select("path", "size_bytes", "mtime_ns", F.coalesce("new_type", "old_type").alias("basic_type"), volume_label(F.col("path")).alias("volume_label"))
+    projects = roots.select(F.col("root").alias("path"), F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("long").alias("mtime_ns"), F.lit("project").alias("basic_type"), volume_label(F.col("root")).alias("volume_label"))
     documents = db.write("documents", catalog.mark_ghosts(catalog.upsert_documents(before, seen.unionByName(projects), run_id), run_id, directory))
     ids = documents.select(F.col("id").alias("document_id"), "path")
-    texts = extract.extract(work).where("status <> 'unsupported'").join(ids, "path").withColumn("created_at", F.current_timestamp())
-    summaries = files.project_summaries(listed, roots).join(ids.withColumnRenamed("path", "root"), "root").select("document_id", F.lit("project-summary").alias("extractor_name"), F.when(F.col("summary") == "", "no_text").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error"), F.col("summary").alias("full_text"), F.length("summary").cast("long").alias("char_count"), F.current_timestamp().alias("created_at"))
+    texts = extract.extract(contents).where("status <> 'unsupported'").join(ids, "path").withColumn("created_at", F.current_timestamp())
+    summaries = files.project_summaries(files.read_files(spark, directory), roots).join(ids.withColumnRenamed("path", "root"), "root").select("document_id", F.lit("project-summary").alias("extractor_name"), F.when(F.col("summary") == "", "no_text").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error"), F.col("summary").alias("full_text"), F.length("summary").cast("long").alias("char_count"), F.current_timestamp().alias("created_at"))
     columns = ["document_id", "extractor_name", "status", "error", "full_text", "char_count", "created_at"]
-    staged = Catalog(spark, f"{db.root}/staged-{run_id}").write("extractions", texts.select(columns))  # whole texts, for the chunks
+    staged = db.scratch(texts.select(columns))  # whole texts, for the chunks
     kept = staged.withColumn("full_text", stored_text(F.col("full_text")))
-    extractions = db.write("extractions", catalog.replace_content(db.read("extractions"), kept.unionByName(summaries.select(columns))))
+    db.write("extractions", catalog.replace_content(db.read("extractions"), kept.unionByName(summaries.select(columns))))
     good = staged.where("status = 'success'").select("document_id", "extractor_name", F.col("full_text").alias("text"))
     plain = chunking.chunk_text(good.where(~is_tabular(F.col("extractor_name"))), key="document_id")
     tables = chunking.chunk_tabular(good.where(is_tabular(F.col("extractor_name"))), key="document_id")
     new = chunking.sample_evenly(plain.unionByName(tables), "document_id", "chunk_index")
     redone = staged.select("document_id").distinct()
     chunks = db.write("chunks", db.read("chunks").join(redone, "document_id", "left_anti").unionByName(new))
-    fresh = models.embed_chunks(chunks.join(redone, "document_id", "left_semi"), load, model_id)
+    fresh_chunks = chunks.join(redone, "document_id", "left_semi")
+    fresh = catalog.check_vectors(fresh_chunks, models.embed_chunks(fresh_chunks, load, model_id), DIMENSION)
     embeddings = db.read("embeddings")
     db.write("embeddings", embeddings.join(redone, "document_id", "left_anti").unionByName(fresh.select(embeddings.columns)))
     status = {r["status"]: r["n"] for r in staged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     scanned, todo = found.count(), work.count()
-    stats = {"scanned": scanned, "indexed": sum(status.values()), "success": status.get("success", 0), "no_text": status.get("no_text", 0), "error": status.get("error", 0), "unsupported": todo - sum(status.values()), "skipped_unchanged": scanned - todo, "chunk_count": chunks.join(redone, "document_id", "left_semi").count(), "project_count": roots.count(), "removed": before.where("is_present").join(documents.where("not is_present").select("id"), "id", "left_semi").count()}
-    assert extractions.columns == columns
-    db.write("index_runs", runs.unionByName(spark.range(1).select(F.lit(run_id).cast("long").alias("id"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("ended_at"), F.lit(directory).alias("target_dir"), F.lit(model).alias("model_name"), F.lit(DIMENSION).alias("model_dimension"), F.lit(json.dumps(stats)).alias("stats_json"))))
+    stats = {"scanned": scanned, "indexed": sum(status.values()), "success": status.get("success", 0), "no_text": status.get("no_text", 0), "error": status.get("error", 0), "unsupported": todo - sum(status.values()), "skipped_unchanged": scanned - todo, "chunk_count": fresh_chunks.count(), "project_count": roots.count(), "removed": before.where("is_present").join(documents.where("not is_present").select("id"), "id", "left_semi").count()}
+    ended = F.when(F.col("id") == run_id, F.current_timestamp()).otherwise(F.col("ended_at"))
+    db.write("index_runs", runs.withColumns({"ended_at": ended, "stats_json": F.when(F.col("id") == run_id, F.lit(json.dumps(stats))).otherwise(F.col("stats_json"))}))
+    db.publish()
     return stats
 
 
-def hybrid(chunks: DataFrame, tags: DataFrame, query: str, vector: list[float], candidates: int = search.CANDIDATES) -> DataFrame:
-    """The fused candidates of the three legs over (doc_id, chunk_index, text, vector) and (doc_id, tags_text)."""
-    return search.pool(search.fuse(search.dense_leg(chunks, vector), search.keyword_leg(chunks, query), search.tag_leg(tags, query)), candidates)
+def legs(chunks: DataFrame, vectors: DataFrame, tags: DataFrame, query: str, vector: list[float], present: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three rankings over chunks (doc_id, chunk_index, text), vectors (doc_id, chunk_index, vector) and (doc_id, tags_text)."""
+    return search.dense_leg(vectors, vector), search.keyword_leg(chunks, query, present), search.tag_leg(tags, query)
+
+
+def named_tags(db: Catalog) -> DataFrame:
+    """(document_id, name, confidence, at) of all tags."""
+    return db.read("document_tags").join(db.read("tags").select(F.col("id").alias("tag_id"), "name"), "tag_id").select("document_id", "name", "confidence", "at")
 
 
-def search_documents(db: Catalog, query: str, top_k: int = search.TOP_K, candidates: int = search.CANDIDATES, floor: float = search.FLOOR, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER) -> DataFrame:
+def search_documents(db: Catalog, query: str, top_k: int = search.TOP_K, candidates: int = search.CANDIDATES, floor: float = search.FLOOR, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER, reranker: Callable[[], search.Reranker] | None = None) -> DataFrame:
     """(path, score, chunk_index, text), best first."""
+    return search_with_statistics(db, query, top_k, candidates, floor, load, model, reranker)[0]
+
+
+def search_with_statistics(db: Catalog, query: str, top_k: int = search.TOP_K, candidates: int = search.CANDIDATES, floor: float = search.FLOOR, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER, reranker: Callable[[], search.Reranker] | None = None) -> tuple[DataFrame, dict]:
+    """The results, and counts and seconds of each step. Text statistics cover all chunks; hits of absent documents are left out afterwards."""
     known = db.read("embedding_models").where(F.col("model_name") == model).first()
     if known is None:
         raise ValueError(f"no vectors of the model {model}")
-    documents = db.read("documents")
-    chunks = catalog.searchable(documents, db.read("extractions"), db.read("chunks"), db.read("embeddings"), known["id"])
-    names = db.read("document_tags").join(db.read("tags").select(F.col("id").alias("tag_id"), "name"), "tag_id").withColumn("at", F.col("tag_id"))
-    tags = tagging.tags_text(names).join(documents.where("is_present").select(F.col("id").alias("document_id")), "document_id").withColumnRenamed("document_id", "doc_id")
-    found = hybrid(chunks, tags, query, load()([query])[0].tolist(), candidates)
-    best = search.rerank(found, search.lexical_score(query), floor, top_k)
-    return best.join(documents.select(F.col("id").alias("doc_id"), "path"), "doc_id").select("path", "score", "chunk_index", "text").orderBy(F.col("score").desc(), "path")
+    clock = [time.monotonic()]
 
+    def lap() -> float:
+        clock.append(time.monotonic())
+        return clock[-1] - clock[-2]
 
-def tag(db: Catalog, tagger: Callable = tagging.frequent_words, force: bool = False) -> dict[str, int]:
-    """Tags what is pending, and gives basic tags to what has no text."""
+    documents = db.read("documents")
+    vector = load()([query])[0].tolist()
+    stats: dict = {"query_embed_seconds": lap()}
+    vectors = catalog.searchable(documents, db.read("extractions"), db.read("chunks"), db.read("embeddings"), known["id"])
+    present = documents.where("is_present").select(F.col("id").alias("doc_id"), F.lit(True).alias("present"))
+    chunks = db.read("chunks").select(F.col("document_id").alias("doc_id"), "chunk_index", "text").join(present, "doc_id", "left")
+    tags = tagging.tags_text(named_tags(db)).withColumnRenamed("document_id", "doc_id").join(present, "doc_id", "left_semi")
+    stats["chunk_count"] = vectors.count()
+    parts = []
+    for name, count, leg in zip(("vector", "keyword", "tag"), ("dense", "sparse", "tag"), legs(chunks, vectors, tags, query, vector, F.col("present")), strict=True):
+        parts.append(db.scratch(leg))
+        stats |= {f"{count}_hit_count": parts[-1].count(), f"{name}_search_seconds": lap()}
+    pooled = search.with_text(search.pool(search.fuse(*parts), candidates), chunks, tags)
+    scored = db.scratch(search.scored_by(pooled, query, reranker) if reranker else pooled.withColumn("snippet", compact_text(F.col("text"))).withColumn("score", search.lexical_score(query)))
+    seen = scored.agg(F.count(F.lit(1)).alias("pool"), F.max("score").alias("top"), F.count_if(F.col("score") >= floor).alias("over")).first()
+    stats |= {"candidate_pool_size": seen["pool"], "top1_score": seen["top"], "document_count": seen["over"], "rerank_seconds": lap()}
+    rows = search.best(scored, floor, top_k).join(documents.select(F.col("id").alias("doc_id"), "path"), "doc_id")
+    return rows.select("path", "score", "chunk_index", "text").orderBy(F.col("score").desc(), "path"), stats
+
+
+def tag(db: Catalog, tagger: tagging.Tagger | None = tagging.frequent_words, force: bool = False, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER) -> dict[str, int]:
+    """Tags what is pending, scores tags by the vectors of documents, and gives basic tags to what has no text; ten counters.
+
+    Without a tagger (it is not healthy) only basic tags are given, and what is pending stays so.
+    """
+    db.rollback()
     documents, extractions, old = db.read("documents"), db.read("extractions"), db.read("tagging_results")
     known = old.where("false") if force else old
-    rows = tagging.tag_documents(tagging.pending(documents, extractions, known), tagger).unionByName(tagging.tag_projects(tagging.pending(documents, extractions, known, projects=True), tagger)).unionByName(tagging.basic_tags(documents, extractions, old, force))
-    staged = rows.withColumn("created_at", F.current_timestamp())
-    folder = f"{db.root}/staged-tags/v={len(db.versions('tagging_results')) + 1}"
-    staged.write.mode("overwrite").parquet(folder)
-    new = db.spark.read.parquet(folder)
-    names = tagging.clean_tags(new)
-    dictionary = db.write("tags", catalog.with_ids(db.read("tags"), names.select("name")).withColumn("created_at", F.current_timestamp()))
-    links = names.join(dictionary.select(F.col("id").alias("tag_id"), "name"), "name").select("document_id", "tag_id", "confidence")
+    plain, projects = db.scratch(tagging.pending(documents, extractions, known)), db.scratch(tagging.pending(documents, extractions, known, projects=True))
+    basic = tagging.basic_tags(documents, extractions, old, force)
+    rows = basic if tagger is None else tagging.tag_documents(plain, tagger).unionByName(tagging.tag_projects(projects, tagger)).unionByName(basic)
+    raw = db.scratch(rows)
+    names = raw.where("status = 'tagged'").select(F.explode("tags").alias("t")).where("t.confidence < 1").select("t.name").distinct()
+    embedded = models.embed_chunks(names.select(F.xxhash64("name").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("name").alias("text")), load, 0)
+    of_names = names.join(embedded.select(F.col("document_id").alias("h"), F.col("vector").alias("tag_vector")), F.xxhash64("name") == F.col("h")).select("name", "tag_vector")
+    model_row = db.read("embedding_models").where(F.col("model_name") == model).first()
+    vectors = document_vectors(db.read("chunks"), db.read("embeddings"), model_row["id"] if model_row else 0)
+    new = db.scratch(tagging.scored(raw, vectors, of_names).withColumn("created_at", F.current_timestamp()))
+    clean = db.scratch(tagging.clean_tags(new))
+    dictionary = db.write("tags", catalog.with_ids(db.read("tags"), clean.select("name")).withColumn("created_at", F.current_timestamp()))
+    links = clean.join(dictionary.select(F.col("id").alias("tag_id"), "name"), "name").select("document_id", "tag_id", "confidence", "at")
     db.write("document_tags", db.read("document_tags").join(new.select("document_id"), "document_id", "left_anti").unionByName(links))
     db.write("tagging_results", catalog.upsert(old, new.select(old.columns), "document_id"))
-    return {r["status"]: r["n"] for r in tagging.status_counts(new).collect()}
+    db.publish()
+    counts = {r["status"]: r["n"] for r in tagging.status_counts(new).collect()}
+    n_plain, n_projects = plain.count(), projects.count()
+    short = tagging.too_short(plain.unionByName(projects)).count()
+    given = 0 if tagger is None else n_plain + n_projects - short
+    return {"pending": n_plain, "projects": n_projects, "too_short": short, "given": given, "tagged": counts.get("tagged", 0), "failed": given - counts.get("tagged", 0), "untagged": counts.get("untagged", 0), "basic": counts.get("basic", 0), "tags": clean.count(), "total": sum(counts.values())}
 
 
 def tags_report(db: Catalog, query: str | None = None) -> DataFrame:
-    """All tagging results, or those whose tags match a query."""
-    names = db.read("document_tags").join(db.read("tags").select(F.col("id").alias("tag_id"), "name"), "tag_id").withColumn("at", F.col("tag_id"))
-    only = None if query is None else search.tag_matches(tagging.tags_text(names).withColumnRenamed("document_id", "doc_id"), query).select(F.col("doc_id").alias("document_id"))
+    """All tagging results, newest first, or those whose tags match a query, by their BM25."""
+    names = named_tags(db)
+    only = None if query is None else search.tag_leg(tagging.tags_text(names).withColumnRenamed("document_id", "doc_id"), query).select(F.col("doc_id").alias("document_id"), F.col("score").alias("bm25"))
     return tagging.tag_report(db.read("documents"), db.read("tagging_results"), names, only)
 
 
 def find_duplicates(db: Catalog, directory: str) -> DataFrame:
-    """(sha256, path, size, mtime, keep, keeper) of files with equal contents; only sizes that repeat are read."""
-    listed = files.walk(files.read_files(db.spark, directory), directory).select("path", F.col("size_bytes").alias("size"), F.col("mtime_ns").alias("mtime"), "content")
-    return duplicates.members(duplicates.hashed(listed))
+    """(sha256, path, size, mtime, keep, keeper) of files with equal contents."""
+    return duplicates.members(hashed_files(db, directory))
 
 
-def refresh(db: Catalog, directories: list[str]) -> list[dict]:
-    """Builds each directory's index and the basic tags; one that fails does not stop the others."""
+def hashed_files(db: Catalog, directory: str) -> DataFrame:
+    """(path, size, mtime, sha256) of files whose size another file has; only contents of such sizes are read."""
+    listed = db.scratch(files.walk(files.read_files(db.spark, directory).drop("content"), directory))
+    several = db.scratch(duplicates.same_size(listed.select("path", F.col("size_bytes").alias("size"), F.col("mtime_ns").alias("mtime"))))
+    sizes = [r["size"] for r in several.select("size").distinct().limit(SIZE_FILTERS + 1).collect()]
+    contents = files.read_files(db.spark, directory)
+    if len(sizes) <= SIZE_FILTERS:  # a filter of the listing; more sizes are filtered by the join alone
+        contents = contents.where(reduce(lambda a, b: a | b, [F.col("size_bytes") == n for n in sizes], F.lit(False)))
+    rows = several.join(contents.select("path", "content"), "path")
+    return rows.withColumn("sha256", F.sha2("content", 256)).drop("content")
+
+
+def plan_cleanup(db: Catalog, directory: str, log: str, decisions: DataFrame | None = None) -> DataFrame:
+    """The clean-up plan of a directory, appended to a log of JSON lines; nothing is deleted here."""
+    plan = db.scratch(duplicates.cleanup_plan(db.scratch(hashed_files(db, directory)), decisions))
+    duplicates.append_log(plan.withColumns({"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "restored_path": F.lit(None).cast("string")}), log)
+    return plan
+
+
+def plan_undo(db: Catalog, log: str, trash_dirs: list[str], directory: str) -> DataFrame:
+    """What of the log's removals can be restored from the given trash folders."""
+    listed = files.read_files(db.spark, directory).select("path")
+    return duplicates.undo_plan(duplicates.read_log(db.spark, log), duplicates.trash_files(db.spark, trash_dirs), listed)
+
+
+def refresh(db: Catalog, directories: list[str], tagger: tagging.Tagger = tagging.frequent_words, healthy: Callable[[], bool] = lambda: True, min_gap_s: float = 0.0, busy_s: float = BUSY_S) -> list[dict]:
+    """Builds each directory's index and the tags; one that fails does not stop the others.
+
+    A directory is left out (``throttled``) if its last good refresh began less than ``min_gap_s`` ago, and (``busy``) if
+    another began within ``busy_s`` and has not ended. Every attempt has an entry in ``refresh_runs``. If the tagger is not
+    healthy, only basic tags are given; the number of documents that stay pending is in the last entry's ``pending``.
+    """
     out = []
     for d in directories:
+        db.rollback()
+        runs = db.read("refresh_runs")
+        age = (F.unix_micros(F.current_timestamp()) - F.unix_micros("started_at")) / 1e6
+        last = runs.where(F.col("directory") == d).select(F.min(F.when(F.col("status") == "ok", age)).alias("ok"), F.min(F.when(F.col("ended_at").isNull(), age)).alias("open")).first()
+        if last["open"] is not None and last["open"] < busy_s:
+            out.append({"directory": d, "status": "busy"})
+            continue
+        if last["ok"] is not None and last["ok"] < min_gap_s:
+            out.append({"directory": d, "status": "throttled"})
+            continue
+        begun = runs.where((F.col("directory") != d) | F.col("ended_at").isNotNull())
+        db.write("refresh_runs", begun.unionByName(refresh_row(db, d, "running", False)))
+        db.publish()
+        started = db.read("refresh_runs").where((F.col("directory") == d) & F.col("ended_at").isNull()).select("started_at").first()[0]
         try:
-            out.append({"directory": d, "status": "ok", **build_index(db, d)})
+            entry = {"directory": d, "status": "ok", **build_index(db, d)}
         except Exception as e:  # each directory stands for itself
-            out.append({"directory": d, "status": f"error: {type(e).__name__}"})
-    tag(db)
+            entry = {"directory": d, "status": f"error: {type(e).__name__}"}
+            db.rollback()
+        out.append(entry)
+        others = db.read("refresh_runs").where((F.col("directory") != d) | F.col("ended_at").isNotNull())
+        db.write("refresh_runs", others.unionByName(refresh_row(db, d, entry["status"], True, json.dumps(entry)).withColumn("started_at", F.lit(started))))
+        db.publish()
+    counts = tag(db, tagger if healthy() else None)
+    if out:
+        out[-1]["pending"] = 0 if healthy() else counts["pending"] + counts["projects"]
     return out
+
+
+def refresh_row(db: Catalog, directory: str, status: str, ended: bool, stats: str | None = None) -> DataFrame:
+    now = F.current_timestamp()
+    return db.spark.range(1).select(F.lit(directory).alias("directory"), F.lit(status).alias("status"), now.alias("started_at"), (now if ended else F.lit(None).cast("timestamp")).alias("ended_at"), F.lit(stats).cast("string").alias("stats_json"))

@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import re
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -105,7 +106,7 @@ def from_xlsx(raw: bytes) -> str:
 
 
 def from_spreadsheet_xml(raw: bytes) -> str:
-    text = re.sub(r"&(?!#?\w+;)", "&amp;", decode(raw))
+    text = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;", decode(raw))  # no other entity is known to XML
     text = re.sub(r"^<\?xml[^>]*\?>", "", text.lstrip())
     attribute = lambda n, name: next((v for k, v in n.attrib.items() if k.rpartition("}")[2] == name), "")
     sheets = (n for n in ElementTree.fromstring(text).iter() if tag_of(n) == "Worksheet")
@@ -123,10 +124,15 @@ def from_docx(raw: bytes) -> str:
 
 
 def from_xls(raw: bytes) -> str:
-    if raw[:2] == b"PK":
-        return from_xlsx(raw)
-    if raw.lstrip()[:5] == b"<?xml":
-        return from_spreadsheet_xml(raw)
+    return XLS[xls_kind(raw)](raw)
+
+
+def xls_kind(raw: bytes) -> str:
+    """What a file that is called .xls holds."""
+    return "openpyxl-compatible" if raw[:2] == b"PK" else "xml-SpreadsheetML" if raw.lstrip()[:5] == b"<?xml" else "xlrd"
+
+
+def from_ole_xls(raw: bytes) -> str:
     import xlrd
 
     book = xlrd.open_workbook(file_contents=raw)
@@ -135,6 +141,9 @@ def from_xls(raw: bytes) -> str:
     return "\n\n".join(x for x in out if x)
 
 
+XLS: dict[str, Callable[[bytes], str]] = {"openpyxl-compatible": from_xlsx, "xml-SpreadsheetML": from_spreadsheet_xml, "xlrd": from_ole_xls}
+
+
 def from_pdf(raw: bytes) -> str:
     import fitz
 
@@ -158,18 +167,45 @@ EXTRACTORS: dict[str, tuple[str, Callable[[bytes], str]]] = {
 }
 
 
-def extract(files: DataFrame) -> DataFrame:
+#: Seconds that one file may take.
+TIME_LIMIT_S = 30
+
+
+def within(read: Callable[[bytes], str], raw: bytes, seconds: float) -> str:
+    """The text, or a TimeoutError; a reader that does not end is left behind in its thread."""
+    out: list = []
+
+    def work() -> None:
+        try:
+            out.append((read(raw), None))
+        except Exception as e:  # raised again by the caller
+            out.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise TimeoutError(f"over {seconds} s")
+    text, error = out[0]
+    if error is not None:
+        raise error
+    return text
+
+
+def extract(files: DataFrame, time_limit_s: float = TIME_LIMIT_S, extractors: dict[str, tuple[str, Callable[[bytes], str]]] | None = None) -> DataFrame:
     """(path, status, extractor_name, full_text, char_count, error) for files (path, content)."""
+    known = EXTRACTORS if extractors is None else extractors
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
             for ext, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                name, read = EXTRACTORS.get(ext, (None, None))
+                name, read = known.get(ext, (None, None))
                 text = error = None
                 if read is not None:
                     try:
-                        text = read(raw or b"")
+                        name = xls_kind(raw or b"") if read is from_xls else name
+                        text = within(read, raw or b"", time_limit_s)
                     except Exception as e:  # a broken file is a row, not a failed job
                         error = f"{type(e).__name__}: {e}"
                 out.append((name, text, error))

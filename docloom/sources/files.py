@@ -13,9 +13,14 @@ DEPENDENCY_DIRS = ("node_modules", "venv", "dist", "build", "oh_modules", "__pyc
 SUMMARY_FILES = ("README.md", "readme.md", "README.txt", "CLAUDE.md")
 
 
-def read_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, size_bytes, mtime_ns, content) of all files under a directory."""
+def read_files(spark: SparkSession, directory: str, since_ns: int | None = None) -> DataFrame:
+    """(path, size_bytes, mtime_ns, content) of all files under a directory, or of those changed since a time.
+
+    Contents are read only where the column is used; the time is a filter of the listing.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    if since_ns is not None:
+        rows = rows.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(since_ns // 1000)))
     return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
 
 

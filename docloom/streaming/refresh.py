@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,23 +19,23 @@ def throttle(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S) -
     """events with ``accepted``: at least the gap after the last accepted event of the key (greedy, in order of time and event_id).
 
     Rows are sorted by key and time and read in batches with the last accepted time as the only state, so that a key
-    of any size is never gathered.
+    of any size is never gathered; rows that repeat each keep a flag of their own.
     """
+    names = events.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
         for b in it:
-            flags = []
-            for k, t in zip(b["k"], b["t"], strict=True):
-                ok = last.get("key", last) != k or t - last["t"] >= min_gap_s
-                if ok:
-                    last.update(key=k, t=t)
-                flags.append(ok)
-            yield pd.DataFrame({"event_id": b["event_id"], "accepted": flags})
-
-    rows = events.select(F.col(key).alias("k"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), "event_id")
-    flags = rows.repartition("k").sortWithinPartitions("k", "t", "event_id").mapInPandas(batches, "event_id long, accepted boolean")
-    return events.join(flags, "event_id")
+            keys, times = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_numpy(zero_copy_only=False)
+            flags = np.zeros(b.num_rows, bool)
+            for i, k in enumerate(keys):
+                if last is None or k != last_key or times[i] - last >= min_gap_s * 1_000_000:
+                    flags[i], last_key, last = True, k, times[i]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(flags)], [*names, "accepted"])
+
+    rows = events.withColumns({"_key": F.col(key), "_micros": F.unix_micros(F.col(ts).cast("timestamp"))})
+    return rows.repartition("_key").sortWithinPartitions("_key", "_micros", "event_id").mapInArrow(batches, f"{schema}, accepted boolean")
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S) -> DataFrame:
