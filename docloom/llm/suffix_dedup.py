@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BYTE_VALUE, bounded, checkpoint, group_starts, grouped, range_hashes, slices, splitmix, text_buffer, text_bytes
+from docloom.llm.common import BYTE_VALUE, bounded, checkpoint, group_starts, grouped, join_few, range_hashes, slices, splitmix, text_buffer, text_bytes
 
 MIN_BYTES = 200
 #: Bytes of a minimizer.
@@ -195,12 +195,12 @@ def segments(docs: DataFrame, min_bytes: int) -> DataFrame:
                     continue
                 base = int(o[0])
                 seg = range_hashes(BYTE_VALUE[data[base : o[-1]]], first - base, last - base + min_bytes)
-                seg = splitmix(seg + ((place - first) * 256 + (last - first)).astype(np.uint64))
+                seg = splitmix(seg + ((place - first) * 65536 + (last - first)).astype(np.uint64))
                 both = h ^ splitmix(seg)
                 _, at, inverse, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
                 known = np.ones(len(row), bool)
                 known[at] = False
-                where = ((first - o[row]) << 16) | ((place - first) << 8) | (last - first)
+                where = ((first - o[row]) << 32) | ((place - first) << 16) | (last - first)
                 deal = np.where(known, splitmix(both + where.astype(np.uint64)), h)
                 ids = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal.view(np.int64), known, h.view(np.int64), seg.view(np.int64))] + [b.column(0).take(ids), b.column(1).take(ids), pa.array(where), pa.array(n[inverse] > 1)], ["deal", "known", "h", "seg", "doc_id", "th", "place", "many"])
@@ -247,7 +247,7 @@ def resolve(docs: DataFrame, reps: DataFrame, min_bytes: int, hot_segments: int)
     """(doc_id, th, first, last): strings of the segments ``reps`` that another segment of their bucket has."""
     size = reps.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
     hot = size.where(F.col("size") > hot_segments).select("h", F.lit(True).alias("hot"))
-    wanted = reps.join(hot, "h", "left").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "place", "dup", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    wanted = join_few(reps, hot, "h", "left").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "place", "dup", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     texts = packed(docs).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th")).select("d.doc_id", "d.th", "d.text", "w.wanted")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def resolve(docs: DataFrame, reps: DataFrame, min_bytes: int, hot_segments: int)
             rows, out = [], []
             for k, (text, wanted) in enumerate(zip(unpacked(b.column(2)), b.column(3), strict=True)):
                 for w in wanted.as_py():
-                    first, extent = w["place"] >> 16, w["place"] & 255
+                    first, extent = w["place"] >> 32, w["place"] & 65535
                     rows.append(k)
                     out.append((w["h"], first, w["dup"], w["hot"], text[first : first + extent + min_bytes]))
             if rows:
@@ -297,20 +297,23 @@ def resolve(docs: DataFrame, reps: DataFrame, min_bytes: int, hot_segments: int)
                 s = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts) + o[seg]
                 key = range_hashes(BYTE_VALUE[data[offsets[a] : offsets[e]]], s, s + min_bytes)
                 at = pa.array(seg + a)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).take(at), b.column(2).take(at), pa.array(b.column(3).to_numpy()[a:e][seg] + s - o[seg]), b.column(4).take(at)], ["key", "doc_id", "th", "first", "dup"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(b.column(3).to_numpy()[a:e][seg] + s - o[seg]), b.column(4).take(at)], ["key", "h", "doc_id", "th", "first", "dup"])
 
     parts = checkpoint(texts.mapInArrow(cut, "h long, doc_id long, th long, first long, dup boolean, hot boolean, seg binary"))
     span = "doc_id long, th long, first long, last long"
     cold = parts.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(index, span)
-    each = parts.where("hot").mapInArrow(strings, "key long, doc_id long, th long, first long, dup boolean")
-    again = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return cold.unionByName(each.where("not dup").join(again, "key").select("doc_id", "th", "first", F.col("first").alias("last")))
+    each = parts.where("hot").mapInArrow(strings, "key long, h long, doc_id long, th long, first long, dup boolean")
+    again = each.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "key")  # 128 bits together
+    return cold.unionByName(each.where("not dup").join(again, ["h", "key"]).select("doc_id", "th", "first", F.col("first").alias("last")))
 
 
 def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, th, spans) for rows of docs that lose bytes; spans are (first start, last start) of repeated strings, unordered."""
+    if not ANCHOR <= min_bytes <= PIECE:
+        raise ValueError(f"min_bytes must be {ANCHOR} to {PIECE}")
+    hot_segments = max(1, min(hot_segments, INDEX_BYTES // (2 * min_bytes)))  # a segment has fewer than 2 * min_bytes bytes
     found = checkpoint(segments(docs, min_bytes))
-    sure = found.where("dup").select("doc_id", "th", F.shiftright("place", 16).alias("first"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255))).alias("last"))
+    sure = found.where("dup").select("doc_id", "th", F.shiftright("place", 32).alias("first"), (F.shiftright("place", 32) + F.col("place").bitwiseAND(F.lit(65535))).alias("last"))
     spans = sure.unionByName(resolve(docs, found.where("rep"), min_bytes, hot_segments))
     return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 

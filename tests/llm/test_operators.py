@@ -369,6 +369,45 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.where("false"), url_rules(spark)).count() == 0
 
 
+def test_url_filters_with_many_rules(spark):
+    """Nested rules, ties, null ids, long URLs, hosts that fill several partitions, against a scan of all rules."""
+    rng = random.Random(21)
+    labels = ["com", "org", "a", "b", "c", "xn--9", "www", "m"]
+    hosts = [".".join(rng.choice(labels) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    paths = ["/", "/a", "/a/b", "/a/b/c", "", "/x" * 30]
+    rules = {(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(150)} | {("a.com", "/tie", "allow"), ("a.com", "/tie", "block")}
+    urls = [f"https://{rng.choice(['', 'q.', 'W.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '/z', '?q', '#f', 'b'])}" for _ in range(400)] + ["http://a.com/tie/x"] * 200 + ["http://a.com/" + "y" * 50_000]
+    pages = spark.createDataFrame([(None if i % 50 == 0 else i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(4)
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1].split("#")[0].split("?")[0]
+        host = rest.split("/")[0].lower()
+        path = rest[len(host) :]
+        fits = {}
+        for h, p, v in rules:
+            if (host == h or host.endswith("." + h)) and path.startswith(p):
+                fits[h + p] = "block" if "block" in (v, fits.get(h + p)) else v
+        rule = max(fits, key=lambda r: (len(r), r), default=None)
+        want.append((None if i % 50 == 0 else i, host, path, rule, fits.get(rule, "allow")))
+    found = url_filters.judge(pages, spark.createDataFrame(sorted(rules), "host string, path string, verdict string"), 40)
+    assert got(found) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("min_bytes", [64, 150, 319, 400, 1000])
+def test_suffix_dedup_of_other_lengths(spark, min_bytes):
+    rng = random.Random(min_bytes)
+    block = "".join(rng.choice("abcd ") for _ in range(2500))
+    data = [(1, "x" + block[:1900]), (2, block[100:2000] + "tail"), (3, block), (4, "".join(rng.choice("abcd ") for _ in range(3000))), (5, "é" * 900), (6, None), (7, "short")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert got(suffix_dedup.drop_repeats(docs, min_bytes=min_bytes).drop("kept")) == brute_repeats(data, min_bytes)
+
+
+def test_suffix_dedup_refuses_what_it_cannot_pack(spark, none):
+    for n in (63, suffix_dedup.PIECE + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.drop_repeats(none, min_bytes=n)
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(9)
     items = [(i, " ".join(f"Q{rng.randrange(500)}" for _ in range(rng.randrange(15, 60)))) for i in range(30)] + [(90, None), (91, " "), (92, "tiny item"), (93, "alpha"), (None, BASE)]
