@@ -4,13 +4,14 @@ Every window of a document that has as many words as a benchmark item is a candi
 any shingle of an item of their size have similarity zero and are passed over; the others get a 64-bit SimHash of
 their word shingles (from running bit counts). A multi-index finds all items of that size whose fingerprints differ
 in ``RADIUS`` bits or fewer: 64 bits are cut into ``BLOCKS`` blocks, at least one of which then differs in
-RADIUS // BLOCKS bits or fewer, and all such values of each item's blocks are listed. Candidates are verified by the
-exact similarity of weighted shingles (the weight of a shingle is its number): sum of minima over sum of maxima.
+RADIUS // BLOCKS bits or fewer; the different values of each block are listed with their items. Candidates are verified by
+the exact similarity of weighted shingles (the weight of a shingle is its number): sum of minima over sum of maxima.
 
 A text of fewer words than an item has no such window; all of it is then compared to the item in the same way, if it is
 not too short to be as similar.
 
-Items are taken in blocks of ``BLOCK_ITEMS``, each of which is sent to all tasks; every block meets every document.
+Items are taken in blocks of ``BLOCK_ITEMS`` and ``BLOCK_BYTES`` at most, each of which is sent to all tasks; every block
+meets every document, so a million items of 300 bytes take some 36 passes.
 
 Cases: words are lower-cased (A-Z); texts and items without words never match; an item of fewer words than a shingle
 is one shingle; nulls are empty; repeated rows and items each give their own pairs; no items, no pairs.
@@ -18,9 +19,7 @@ is one shingle; nulls are empty; repeated rows and items each give their own pai
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,11 @@ MIN_SIMILARITY = 0.8
 #: Sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9.
 RADIUS = 19
 BLOCKS = 4
-BLOCK_ITEMS = 2_000
+#: Items, and bytes of them, that are sent to all tasks at a time; an index of them takes some 64 bytes a word.
+BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 8 << 20
+#: Pairs of a window and a block value that are compared at a time.
+COMPARED = 1 << 22
 #: Shingles of windows that are fingerprinted at a time, at 320 bytes each.
 WINDOW_WORDS = 1 << 18
 
@@ -47,6 +50,17 @@ def simhashes(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(2 * (ones[starts + length] - ones[starts]) > length, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def block_of(fps: np.ndarray, k: int) -> np.ndarray:
+    width = 64 // BLOCKS
+    return (fps >> np.uint64(k * width) & np.uint64((1 << width) - 1)).astype(np.uint16)
+
+
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The sum of the lesser weights of two weighted sets (sorted values, weights)."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum())
+
+
 class ItemIndex:
     """Items by size, with the multi-index of their fingerprints."""
 
@@ -59,22 +73,21 @@ class ItemIndex:
                 _, s = window_hashes(row, h, min(shingle, len(h)))
                 self.ids.append(item_id)
                 self.sizes.append(len(h))
-                self.shingles.append(Counter(s.tolist()))
+                self.shingles.append(np.unique(s, return_counts=True))
                 fps.append(int(simhashes(s, np.zeros(1, np.int64), len(s))[0]))
         self.fps = np.array(fps, np.uint64)
         self.by_size = {n: np.flatnonzero(np.array(self.sizes) == n) for n in sorted(set(self.sizes))}
-        self.of_size = {n: np.array(sorted({s for i in at for s in self.shingles[i]}), np.uint64) for n, at in self.by_size.items()}
+        self.of_size = {n: np.unique(np.concatenate([self.shingles[i][0] for i in at])) for n, at in self.by_size.items()}
         self.any = {k: np.unique(np.concatenate(v)) for k in range(1, shingle + 1) if (v := [s for n, s in self.of_size.items() if min(n, shingle) == k])}
         self.seen = {k: self._filter(v) for k, v in self.any.items()}
-        width = 64 // BLOCKS
-        near = np.array([sum(1 << b for b in c) for r in range(radius // BLOCKS + 1) for c in combinations(range(width), r)], np.uint64)
-        self.tables = []
-        for k in range(BLOCKS):
-            own = self.fps >> np.uint64(k * width) & np.uint64((1 << width) - 1)
-            keys = (np.array(self.sizes, np.uint64)[:, None] << np.uint64(width) | own[:, None] ^ near).ravel()
-            item = np.repeat(np.arange(len(self.fps)), len(near))
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], item[order]))
+        self.tables = {n: [self._table(at, k) for k in range(BLOCKS)] for n, at in self.by_size.items()}
+
+    def _table(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, first, items): the different values of a block, and where the items of each begin."""
+        own = block_of(self.fps[at], k)
+        order = np.argsort(own, kind="stable")
+        values, first = np.unique(own[order], return_index=True)
+        return values, np.append(first, len(at)), at[order]
 
     @staticmethod
     def _filter(hashes: np.ndarray) -> np.ndarray:
@@ -88,18 +101,20 @@ class ItemIndex:
         return at[np.isin(h[at], self.any[k])]
 
     def near(self, size: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in fps, item) of that size within the radius."""
-        width = 64 // BLOCKS
+        """Pairs (place in fps, item) of that size within the radius; a block of such a pair differs in radius // BLOCKS bits at most."""
         pairs = []
-        for k, (keys, items) in enumerate(self.tables):
-            own = np.uint64(size << width) | fps >> np.uint64(k * width) & np.uint64((1 << width) - 1)
-            a, e = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            n = e - a
-            q = np.repeat(np.arange(len(fps)), n)
-            pairs.append(np.stack((q, items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)])))
+        for k, (values, first, items) in enumerate(self.tables[size]):
+            step = max(1, COMPARED // len(values))
+            for at in range(0, len(fps), step):
+                own = block_of(fps[at : at + step], k)
+                q, v = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= self.radius // BLOCKS)
+                n = first[v + 1] - first[v]
+                i = items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[v], n)]
+                q = np.repeat(q + at, n)
+                close = np.bitwise_count(fps[q] ^ self.fps[i]) <= self.radius
+                pairs.append(np.stack((q[close], i[close])))
         q, i = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        close = np.bitwise_count(fps[q] ^ self.fps[i]) <= self.radius
-        return q[close], i[close]
+        return q, i
 
     def matches(self, data: np.ndarray, offsets: np.ndarray, min_similarity: float) -> dict[tuple[int, int], tuple[float, int, int]]:
         """(row, item) -> (best similarity, first word of that window, windows)."""
@@ -155,8 +170,7 @@ class ItemIndex:
         local = w - np.repeat(first, lengths) + np.repeat(base, lengths)
         q, item = self.near(size, simhashes(whole[place], local, n))
         for a, i in zip(w[q].tolist(), item.tolist(), strict=True):
-            window, own = Counter(whole[a : a + n].tolist()), self.shingles[i]
-            least = sum((window & own).values())
+            least = common(np.unique(whole[a : a + n], return_counts=True), self.shingles[i])
             similarity = least / (n + size - min(size, self.shingle) + 1 - least)
             if similarity >= min_similarity:
                 key = int(row[a]), i
@@ -167,13 +181,14 @@ class ItemIndex:
 
 
 def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The items, a block at a time; only one block is in the driver's memory."""
-    block = []
+    """The items, a block of bounded size at a time; only one block is in the driver's memory."""
+    block, size = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text")).toLocalIterator():
-        block.append((r["item_id"], bytes(r["text"])))
-        if len(block) == block_items:
+        if block and (len(block) == block_items or size + len(r["text"]) > BLOCK_BYTES):
             yield block
-            block = []
+            block, size = [], 0
+        block.append((r["item_id"], bytes(r["text"])))
+        size += len(r["text"])
     if block:
         yield block
 

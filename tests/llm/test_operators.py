@@ -433,6 +433,44 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, bench.where("false")).count() == len(rows())
 
 
+def test_decontamination_with_many_items(spark):
+    """20,000 items at once: planted items are found, and nothing else."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12, 60)))) for i in range(20_000)]
+    docs, want = [], {}
+    for d in range(300):
+        body = [rng.choice(words) for _ in range(200)]
+        if d % 3 == 0:
+            i = rng.randrange(20_000)
+            body[50:50] = items[i][1].split()
+            want[d] = i
+        docs.append((d, " ".join(body)))
+    found = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string").coalesce(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == set(want.items())
+
+
+def test_recall_of_the_radius():
+    """Of items with words changed, to a similarity of 0.8 or little more, the index finds nine in ten or more at each size."""
+    rng = np.random.default_rng(4)
+    for size in (12, 20, 40, 80):
+        near = total = 0
+        while total < 400:
+            w = rng.integers(0, 10**6, size).astype(str).tolist()
+            v = list(w)
+            for at in rng.integers(0, size, max(1, size // 40)):
+                v[at] = "x"
+            index = decontaminate.ItemIndex([(1, " ".join(w).encode())])
+            h = decontaminate.ItemIndex([(1, " ".join(v).encode())])
+            same = decontaminate.common(index.shingles[0], h.shingles[0])
+            if same / (2 * (size - 4) - same) < 0.8:
+                v = w[1:] + ["x"]  # a shifted window
+                h = decontaminate.ItemIndex([(1, " ".join(v).encode())])
+            total += 1
+            near += len(index.near(size, h.fps)[0])
+        assert near >= 0.9 * total
+
+
 def test_decontamination_of_short_texts(spark):
     """A text of fewer words than the item is one window; similarity is of weighted shingles, each side with its own length."""
     rng = random.Random(12)
