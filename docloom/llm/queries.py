@@ -116,8 +116,9 @@ recurring AS (SELECT template FROM (SELECT DISTINCT template, text FROM t) JOIN
 gone AS (SELECT text, pos FROM t JOIN recurring USING (template)),
 kept AS (SELECT l.text AS whole, count(g.pos) AS n_dropped_lines, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text FROM l LEFT JOIN gone g USING (text, pos) GROUP BY l.text)
 SELECT doc_id, coalesce(n_dropped_lines, 0)::BIGINT AS n_dropped_lines, length(k.text)::BIGINT AS n_chars_kept, sha256(k.text) AS kept_sha256 FROM documents LEFT JOIN kept k ON documents.text = k.whole"""
+APOSTROPHE = "'"
 OP4 = rf"""
-WITH t(name, unit) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.TEMPLATES)}),
+WITH t(name, unit) AS (VALUES {", ".join(f"('{a}#{k}', '{b.replace(APOSTROPHE, APOSTROPHE * 2)}')" for k, (a, b) in enumerate(license_scan.ALL_TEMPLATES))}),
 d AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{license_scan.CUE}')) AS ls FROM documents),
 h AS (SELECT * FROM d WHERE len(ls) > 0),
 u AS (
@@ -130,7 +131,7 @@ idf AS (SELECT term, ln(((SELECT count(DISTINCT id) FROM v) + 1) / (count(*) + 1
 raw AS (SELECT id, term, tf * idf AS x FROM v JOIN idf USING (term)),
 n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY id),
 w AS (SELECT id, term, x / norm AS w FROM raw JOIN n USING (id)),
-c AS (SELECT a.id, b.id[2:] AS licence, round(sum(a.w * b.w), 9) AS cosine FROM w a JOIN w b USING (term) WHERE a.id[1] = 'U' AND b.id[1] = 'T' GROUP BY ALL HAVING sum(a.w * b.w) >= {license_scan.MIN_COSINE}),
+c AS (SELECT a.id, split_part(b.id[2:], '#', 1) AS licence, round(sum(a.w * b.w), 9) AS cosine FROM w a JOIN w b USING (term) WHERE a.id[1] = 'U' AND b.id[1] = 'T' GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= {license_scan.MIN_COSINE}),
 best AS (SELECT id[2:] AS unit, cosine, licence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, licence) AS k FROM c) WHERE k = 1),
 s AS (SELECT doc_id, path, kind, licence, cosine FROM u JOIN best USING (unit)),
 own AS (SELECT doc_id, any_value(licence) FILTER (k = 1) AS own_licence, max(cosine) AS cosine, bool_or(kind = 'file') AS is_file FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS k FROM s) GROUP BY doc_id),

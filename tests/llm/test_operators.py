@@ -281,6 +281,21 @@ def test_license_scan(spark, odd, none):
     assert found == {1: ("MIT", "file", None), 2: ("GPL-3.0", "inherited", "/a/b"), 3: ("Apache-2.0", "header", None), 4: ("GPL-3.0", "file", None), 5: ("MIT", "inherited", "/a"), 6: (None, "none", None), 7: (None, "none", None)}
 
 
+def test_whole_licence_texts(spark):
+    """Licence files, wrapped and with a head of their own, are found by whole texts; ties between files go to the more frequent, then the first."""
+    import textwrap
+
+    for name, text in license_scan.WHOLE_TEXTS:
+        body = "Copyright (c) 2021 Some One\n\n" + textwrap.fill(text, 72)
+        tree = [(1, f"/p/{name}/LICENSE.txt", body), (2, f"/p/{name}/src/a.py", "code"), (3, "/q/COPYING", "nothing of the kind at all"), (4, "/q/x.py", "code")]
+        found = {r["doc_id"]: (r["licence"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(tree, "doc_id long, path string, text string")).collect()}
+        assert found == {1: (name, "file"), 2: (name, "inherited"), 3: (None, "none"), 4: (None, "none")}
+    apache, mit = "Licensed under the Apache License, Version 2.0", "Released under the MIT License"
+    tree = [(1, "/a/LICENSE", mit), (2, "/a/NOTICE", apache), (3, "/a/x", "code"), (4, "/b/LICENSE", mit), (5, "/b/LICENSE-2", mit), (6, "/b/NOTICE", apache), (7, "/b/x", None), (7, "/b/x", None)]
+    found = sorted((r["doc_id"], r["licence"]) for r in license_scan.scan(spark.createDataFrame(tree, "doc_id long, path string, text string")).where("origin = 'inherited'").collect())
+    assert found == [(3, "Apache-2.0"), (7, "MIT"), (7, "MIT")]
+
+
 def brute_repeats(data, m):
     texts = [(d, (t or "").encode()) for d, t in data]
     c = Counter(t[i : i + m] for _, t in texts for i in range(len(t) - m + 1))
