@@ -213,6 +213,49 @@ def test_near_duplicates_of_long_texts(spark, hot_rows):
     assert all(found[i] in (want[i], i) for i in want) and missed <= 1  # bands miss 0.006 of pairs
 
 
+def similar_pairs(texts, least=0.8):
+    """All pairs (i, j) of texts whose shingle sets have that similarity, by counting common shingles."""
+    sets = [np.unique(simhash.shingle_hashes((t or "").encode(), 5)) for t in texts]
+    every = np.unique(np.concatenate(sets))
+    own = [np.searchsorted(every, x) for x in sets]
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(np.concatenate(own), kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate(own), minlength=len(every)))))
+    doc, size = doc[order], np.array([len(x) for x in sets])
+    for i, x in enumerate(own):
+        n = first[x + 1] - first[x]
+        both = np.bincount(doc[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)], minlength=len(sets)) if len(x) else np.zeros(len(sets), int)
+        for j in np.flatnonzero((both >= least * np.maximum(1, size[i] + size - both)) & (np.arange(len(sets)) > i)).tolist():
+            yield i, j
+
+
+def test_recall_of_near_duplicates(spark):
+    """Bands, index and sketches together, on 10,000 documents against all pairs of similarity 0.8: nearly all links, and no others."""
+    rows_ = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").collect()
+    root = list(range(len(rows_)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    pairs = list(similar_pairs([r["text"] for r in rows_]))
+    for i, j in pairs:
+        root[find(j)] = find(i)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").repartition(8)
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    of = [group[r["doc_id"]] for r in rows_]
+    different = [(i, j) for i, j in pairs if rows_[i]["text"] != rows_[j]["text"]]
+    recall = sum(of[i] == of[j] for i, j in different) / len(different)
+    print("recall of links between different texts", recall, "of", len(different))
+    assert recall >= 0.97
+    least = {}
+    for k in range(len(rows_)):
+        least.setdefault(of[k], find(k))
+        assert least[of[k]] == find(k)  # nothing is joined that brute force does not join
+
+
 def test_near_duplicates_with_repeated_sentences(spark):
     """Similarity is of sets: a sentence that is added 40 times counts once."""
     rng = random.Random(10)
