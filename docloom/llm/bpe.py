@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +66,14 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """(entries, offsets): the entry of the pair (x, y), at offsets[x] + y, is x << 20 | rank << 1 | (x == y)."""
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
+    """(entries, offsets): the entry of the pair (x, y), at offsets[x] + y, is x << 20 | rank << 1 | (x == y); None: no pair."""
     ids = max(ranks.values(), default=-1) + 1
     rows: dict[int, list[tuple[int, int]]] = {}
     for (x, y), rank in merges(ranks).items():
         rows.setdefault(x, []).append((y, rank))
     room = 4 * sum(map(len, rows.values())) + 4 * ids
-    taken, entries, offsets, low = bytearray(room), np.full(room, NONE), np.zeros(ids, np.int64), ids
+    taken, entries, offsets, low = bytearray(room), {}, [0] * ids, ids
     for x, row in sorted(rows.items(), key=lambda r: -len(r[1])):  # the longest rows first, each at the next place that fits
         others = [y - row[0][0] for y, _ in row[1:]]
         at, tried = taken.find(0, low), 0
@@ -85,11 +86,27 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
             place = at + y - row[0][0]
             taken[place] = 1
             entries[place] = x << 20 | rank << 1 | (x == y)
-    return entries[: max(taken.rfind(1), 0) + ids + 1].tolist(), offsets.tolist()
+    return [entries.get(i) for i in range(max(taken.rfind(1), 0) + 1)], offsets
 
 
-def literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def literal(text: str, kind: str) -> Column:
+    return F.from_json(F.lit(text), f"array<{kind}>")
+
+
+@lru_cache(maxsize=1)
+def literals(ranks: tuple[tuple[bytes, int], ...]) -> dict[str, str]:
+    """The literals of a rank table as JSON; made once for a table, since they take seconds and plans hold them."""
+    of = dict(ranks)
+    entries, offsets = rank_map(of)
+    pieces = [""] * (max(of.values(), default=-1) + 1)
+    for piece, rank in of.items():
+        pieces[rank] = piece.hex()
+    show = lambda values: json.dumps(values, separators=(",", ":"))
+    return {"entries": show(entries), "offsets": show(offsets), "bytes": show([of[bytes([b])] for b in range(256)]), "pieces": show(pieces), "words": show([i.to_bytes(4, "little").hex() for i in range(len(pieces))])}
+
+
+def tables(ranks: dict[bytes, int]) -> dict[str, str]:
+    return literals(tuple(ranks.items()))
 
 
 def fold(word: Column, entries: Column, offsets: Column, byte_ids: Column) -> Column:
@@ -229,28 +246,23 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_bytes: int = BATCH_BYTES, slice_batches: int = SLICE_BATCHES) -> DataFrame:
     """(doc_id, ids), a row for each row of docs; ids as an array."""
-    entries, offsets = rank_map(ranks)
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    known = tables(ranks)
     parts = checkpoint(cut(docs, pattern, batch_bytes))
     packed = parts.where("words is not null").select("batch", F.col("doc_id").alias("n"), "words")
     slices_ = -(-packed.count() // slice_batches)
     rows = words_of(packed).withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(max(1, slices_))).cast("int"))
     words = rows.repartition("part", "word").sortWithinPartitions("part", "word").select("part", "word", "batch", "at").mapInArrow(gathered, "bytes array<smallint>, places array<struct<batch:long,at:int>>")
-    folded = let(literal(entries, "bigint"), lambda e: let(literal(offsets, "bigint"), lambda o: let(literal(byte_ids, "bigint"), lambda b: fold(F.col("bytes"), e, o, b))))
+    folded = let(literal(known["entries"], "bigint"), lambda e: let(literal(known["offsets"], "bigint"), lambda o: let(literal(known["bytes"], "bigint"), lambda b: fold(F.col("bytes"), e, o, b))))
     of_batch = words.select(folded.alias("ids"), "places").mapInArrow(dealt, "batch long, packed binary")
     return parts.where("text is not null").select("batch", "doc_id", "text").groupBy("batch").cogroup(of_batch.groupBy("batch")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded (doc_id, ids) with ``decoded``, the bytes of the ids."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    return encoded.withColumn("decoded", let(literal(pieces, "string"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))))
+    return encoded.withColumn("decoded", let(literal(tables(ranks)["pieces"], "string"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))))
 
 
 def digests(decoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded); ids are hashed as little-endian unsigned 32-bit integers."""
-    words = literal([i.to_bytes(4, "little").hex() for i in range(max(ranks.values(), default=-1) + 1)], "string")
-    little = let(words, lambda w: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(w, i)), "")))
+    little = let(literal(tables(ranks)["words"], "string"), lambda w: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(w, i)), "")))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

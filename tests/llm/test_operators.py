@@ -634,3 +634,47 @@ def test_pipeline(spark):
         kept = after
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == ids
+
+
+def test_pipeline_of_odd_rows_equals_brute_force(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, columns with clashing names: the rows of run() against each stage by brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    own = lambda n=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item = own(30)
+    texts = [f"{own()}\nshare this page {i} with your friends\n{own()}" for i in range(12)]
+    near = own(300)
+    texts += [near, near.upper(), f"{near} and more", f"{own(20)} {item} {own(20)}", item]
+    extra = [(1000 + i, t, "en", "s", len(t), 1, 2, "k", 3) for i, t in enumerate(texts)]
+    data = [*rows(), *extra, extra[12], (1000, own(), "en", "s", 1, 1, 2, "k", 3)]
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # nothing is trusted, so all are kept; of the lines only the planted one recurs
+    kept = [(d, None if t is None else "\n".join(x for x in t.split("\n") if not x.startswith("share this page"))) for d, t, *_ in data]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in kept]
+    label = components(list(range(len(kept))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    first = {c: min((k for k in range(len(kept)) if label[k] == c), key=lambda k: (kept[k][0] is None, kept[k][0] or 0)) for c in set(label)}
+    v = item.split()
+    windows = lambda w, n, k: [Counter(tuple(w[a : a + n][i : i + k]) for i in range(len(w[a : a + n]) - k + 1)) for a in range(max(1, len(w) - n + 1))]
+    goal = windows(v, len(v), 5)[0]
+    dirty = lambda t: any(2 * sum((m & goal).values()) - sum(m.values()) >= 0.8 * (2 * sum(goal.values()) - sum(m.values())) or sum((m & goal).values()) >= 0.8 * sum((m | goal).values()) for m in windows((t or "").lower().split(), len(v), 5))
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own_bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for k in first.values():
+        d, t = kept[k]
+        if not dirty(t):
+            ids = np.array(own_bpe.encode_ordinary(t or ""), "<u4")
+            want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got(corpus_pipeline.run(spark, str(tmp_path))) == sorted(want, key=str)
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
