@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the characters that a strip removes.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
 SPACES = f"[{SPACE}]"
+#: The same but for the end of a line.
+BLANKS = f"[{SPACE}&&[^\n]]"
+#: Markdown links of images and of texts.
+IMAGE_LINK, TEXT_LINK = r"!\[[^\]]*\]\([^)]*\)", r"\[([^\]]*)\]\([^)]*\)"
 #: The note before a sampled text, and the marker of a sheet.
 NOTE_HEAD, NOTE_TAIL = "（提示：原文共 ", " 字符，数量过多，这里是均匀抽样保留的代表性内容，不是完整原文）"
 NOTE = r"^（提示：原文共 [0-9]+ 字符，数量过多，[^）]*）\n?"
@@ -25,10 +29,10 @@ def collapse(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Without image links, with link texts only; each line stripped, runs of blank lines made one."""
-    c = F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", "")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    c = F.regexp_replace(c, IMAGE_LINK, "")
+    c = F.regexp_replace(c, TEXT_LINK, "$1")
     c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.array_join(F.transform(F.split(c, "\n"), strip), "\n")
+    c = F.regexp_replace(c, f"(?md)^{BLANKS}++|{BLANKS}++$", "")  # of each line
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import normalize_text, suffix
 
+#: Suffixes of plain text.
 PLAIN = (".txt .md .markdown .log .py .js .jsx .ts .tsx .vue .svelte .css .scss .sass .less .java .go .rs .rb .php .c .h .cpp .hpp .cs .swift .kt .m .mm .sh .bash .zsh .ps1 .bat .yaml .yml .toml .ini .cfg .sql .xml").split()
 
 
