@@ -342,7 +342,31 @@ def extraction_status_counts(spark, sf_dir):
     return extract.visible_text(table(spark, sf_dir, "pages")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def lit_sql(x: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in x)
+
+
+def chunk_sql(most: int = chunking.MAX_CHARS, overlap: int = chunking.OVERLAP) -> str:
+    """Chunks by recursion: each ends at the last of the first separator in the second half of its reach, by rank."""
+
+    def stop(start: str) -> str:
+        reach = f"text[{start} + {most // 2 + 1}:{start} + {most}]"
+        place = lambda x: f"({most - most // 2} + 1 - {len(x)} - nullif(strpos(reverse({reach}), {lit_sql(x[::-1])}), 0))"
+        cases = " ".join(f"WHEN {place(x)} > 0 THEN {start} + {most // 2} + {place(x)} + {after * len(x)}" for after, xs in chunking.TIERS for x in xs)
+        return f"CASE WHEN {start} + {most} >= n THEN n {cases} ELSE {start} + {most} END"
+
+    tail = f"text[stop - {overlap} + 1:stop]"
+    first = ", ".join("least(" + ", ".join(f"nullif(strpos({tail}, {lit_sql(x)}), 0)" for x in xs) + ")" for _, xs in chunking.TIERS)
+    nxt = f"greatest(stop - {overlap} + coalesce({first}, 1) - 1, start + 1)"
+    return f"""WITH RECURSIVE c AS (
+      SELECT doc_id, text, n, 0::BIGINT AS start, ({stop("0")})::BIGINT AS stop FROM (SELECT doc_id, text, length(text) AS n FROM documents) WHERE n > 0
+      UNION ALL SELECT doc_id, text, n, nx, ({stop("nx")})::BIGINT FROM (SELECT *, ({nxt})::BIGINT AS nx FROM c WHERE stop < n)),
+    b AS (SELECT doc_id, start, text[start + 1:stop] AS body FROM c),
+    v AS (SELECT doc_id, start, {STRIP("body")} AS text, start + length(body) - length(regexp_replace(body, '^{S}+', '')) AS first FROM b)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_index, text, first::INT AS start_offset, (first + length(text))::INT AS end_offset FROM v WHERE text <> ''"""
+
+
+@query(chunk_sql())
 def chunk_text(spark, sf_dir):
     return chunking.chunk_text(table(spark, sf_dir, "documents"))
 
