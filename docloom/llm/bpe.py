@@ -138,6 +138,15 @@ def fold(word: Column, entries: Column, offsets: Column, byte_ids: Column) -> Co
     return F.aggregate(steps, start, step, lambda s: F.transform(s["ids"], lambda x: x.cast("int")))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes before all second ones and so on, which packs better."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def cut(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
     """Rows (batch, doc_id, words, text): the texts of a batch as packed numbers of words, then its packed different words."""
 
@@ -152,7 +161,7 @@ def cut(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
             known = [w.encode() for w in index]
             known = [known[i] for i in often.tolist()]
             words = squeeze(np.fromiter(map(len, known), np.int32, len(known)).tobytes() + b"".join(known))
-            packed = [squeeze(number[t].tobytes()) for t in texts]
+            packed = [squeeze(planes(number[t])) for t in texts]
             return pa.RecordBatch.from_arrays([pa.array([batch] * (len(ids) + 1), pa.int64()), pa.array([*ids, len(index)], pa.int64()), pa.array([None] * len(ids) + [words], pa.binary()), pa.array([*packed, None], pa.binary())], ["batch", "doc_id", "words", "text"])
 
         for b in it:
@@ -217,7 +226,7 @@ def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in np.split(order, heads[1:]):
             got = ids.take(pa.array(word[part]))
             of.append(int(batch[part[0]]))
-            packed.append(squeeze(np.array([len(part)], np.int32).tobytes() + at[part].astype(np.int32).tobytes() + np.diff(got.offsets.to_numpy()).astype(np.int32).tobytes() + got.flatten().to_numpy().astype(np.int32).tobytes()))
+            packed.append(squeeze(planes(np.concatenate(([len(part)], at[part], np.diff(got.offsets.to_numpy()), got.flatten().to_numpy())))))
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(packed, pa.binary())], ["batch", "packed"])
 
 
@@ -226,7 +235,7 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
     expand = zstandard.ZstdDecompressor().decompress
     at, sizes, ids = [], [], []
     for x in words.column("packed"):
-        raw = np.frombuffer(expand(x.as_py()), np.int32)
+        raw = from_planes(expand(x.as_py()))
         n = int(raw[0])
         at.append(raw[1 : n + 1])
         sizes.append(raw[n + 1 : 2 * n + 1])
@@ -236,7 +245,7 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
     size[at], start[at] = sizes, np.cumsum(sizes) - sizes
     out = []
     for x in texts.column("text"):
-        own = np.frombuffer(expand(x.as_py()), np.int32)
+        own = from_planes(expand(x.as_py()))
         n = size[own]
         ends = np.cumsum(n)
         out.append(ids[np.arange(ends[-1] if len(n) else 0) + np.repeat(start[own] - (ends - n), n)])
