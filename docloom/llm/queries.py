@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_dedup, quality_rules, sharding, simhash, suffix_dedup, url_filters
+from docloom.llm import bpe, decontaminate, divergence, filter_audit, kneser_ney, license_scan, line_dedup, quality_rules, sharding, simhash, suffix_dedup, url_filters
 from docloom.llm.common import table
 
 #: Host, path, verdict.
@@ -63,6 +63,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_simhash, op3_line_dedup, op4_license_scan, op5_suffix_dedup, op6_hilbert_sharding, op7_byte_bpe, op8_url_filter, op9_decontamination, op10_quality_classifier, pipeline)
+    ops = (op1_quality_rules, op2_simhash, op3_line_dedup, op4_license_scan, op5_suffix_dedup, op6_hilbert_sharding, op7_byte_bpe, op8_url_filter, op9_decontamination, op10_quality_classifier, op12_filter_audit, op13_source_divergence, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -147,6 +155,36 @@ u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]
 m AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (page_id)"""
 
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT unnest([{", ".join(f"'{x}'" for x in filter_audit.orders())}]) AS filter_order),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+e AS (SELECT part, n, good, toxic, filter_order, step, fails[ascii(filter_order[step]) - 64] AS fail, list_bool_or([false] || list_transform(range(1, step), lambda k: fails[ascii(filter_order[k]) - 64])) AS gone, len(list_filter(fails, lambda x: x)) AS k FROM c, s)
+SELECT part, filter_order, step::INT AS step, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant, sum(n) FILTER (fail AND k = 1) AS unique_fails,
+  sum(good) FILTER (fail AND NOT gone) AS good_lost, sum(toxic) FILTER (fail AND NOT gone) AS toxic_lost, filter_order[step] AS letter FROM e GROUP BY ALL"""
+OP12 = f"""
+WITH r AS ({OP12}), h AS (SELECT part, letter, sum(removed)::BIGINT AS shapley FROM r GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(shapley, 0)::BIGINT AS shapley
+FROM r JOIN h USING (part, letter)"""
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+vocab AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lt FROM vocab GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN vocab USING (lang, term) GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS gn FROM c GROUP BY ALL) USING (lang, source)),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(gn, 0) + v))::HUGEINT AS p, (1 + (1000000000::HUGEINT * (total + 1)) // (lt + v))::HUGEINT AS q FROM g JOIN vocab USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM dense WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op4_license_scan": OP4, "op8_url_filter": OP8}
+    return {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op4_license_scan": OP4, "op8_url_filter": OP8, "op12_filter_audit": OP12, "op13_source_divergence": OP13}
