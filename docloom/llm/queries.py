@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, divergence, filter_audit, kneser_ney, license_scan, line_dedup, quality_rules, sharding, simhash, suffix_dedup, url_filters
+from docloom.llm import bpe, decontaminate, divergence, filter_audit, kneser_ney, license_scan, line_dedup, pii, quality_rules, sharding, simhash, suffix_dedup, url_filters
 from docloom.llm.common import table
 
 #: Host, path, verdict.
@@ -63,6 +63,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_simhash, op3_line_dedup, op4_license_scan, op5_suffix_dedup, op6_hilbert_sharding, op7_byte_bpe, op8_url_filter, op9_decontamination, op10_quality_classifier, op12_filter_audit, op13_source_divergence, pipeline)
+    ops = (op1_quality_rules, op2_simhash, op3_line_dedup, op4_license_scan, op5_suffix_dedup, op6_hilbert_sharding, op7_byte_bpe, op8_url_filter, op9_decontamination, op10_quality_classifier, op11_pii, op12_filter_audit, op13_source_divergence, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -155,6 +159,37 @@ u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]
 m AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (page_id)"""
 
+FOLD = f"'{url_filters.UPPER}', '{url_filters.LOWER}'"
+NO_TERM, A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The patterns of personal data as the contract has them.
+PERSONAL = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: (1 + (i + 1) % 2) * reverse({DIGITS})[i]::INT - CASE WHEN i % 2 = 0 AND reverse({DIGITS})[i]::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+PLACED = "list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT row, {k} AS place, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM d" for k, (kind, pattern) in enumerate(PERSONAL))}),
+a AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT row, place, kind, found[i] AS value, ({PLACED})::INT AS start, pieces[i] AS before, pieces[i + 1] AS after FROM a),
+base AS (
+  SELECT *, start + length(value) AS stop, CASE kind WHEN 'email' THEN translate(value, {FOLD}) WHEN 'ip' THEN value ELSE {DIGITS} END AS entity,
+    CASE WHEN length(before) > 80 THEN regexp_replace(right(before, 80), '^{A_TERM}', '') ELSE before END || chr(10) || CASE WHEN length(after) > 80 THEN regexp_replace(left(after, 80), '{A_TERM}$', '') ELSE after END AS near
+  FROM s WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN CASE WHEN length({DIGITS}) BETWEEN 13 AND 19 THEN {LUHN} ELSE false END WHEN 'phone' THEN length({DIGITS}) BETWEEN 9 AND 15 ELSE true END),
+known AS (SELECT kind, entity, count(DISTINCT row) AS mentioned FROM base GROUP BY ALL HAVING mentioned >= {pii.MIN_MENTIONS}),
+w AS (SELECT row, kind, entity, list_filter(string_split_regex(translate(near, {FOLD}), '{NO_TERM}'), lambda x: x <> '') AS words FROM base JOIN known USING (kind, entity)),
+c AS (SELECT *, list_min(list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: md5(array_to_string(words[i:i + 2], ' ')))) AS context FROM w),
+n AS (SELECT row, kind, entity, term, min(context) AS context FROM (SELECT *, unnest(words) AS term FROM c) WHERE length(term) >= {pii.MIN_TERM} GROUP BY ALL),
+pairs AS (SELECT kind, entity, term, sum(n) AS n_both FROM (SELECT kind, entity, term, context, count(*) AS n FROM n GROUP BY ALL) GROUP BY ALL HAVING sum(n) * sum(n) >= {pii.MIN_CONTEXTS} * sum(n * n)),
+held AS (SELECT term, count(DISTINCT row) AS held FROM (SELECT row, unnest(string_split_regex(translate(text, {FOLD}), '{NO_TERM}')) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+telling AS (SELECT kind, entity, term FROM pairs JOIN held USING (term) JOIN known USING (kind, entity), (SELECT count(*) AS total FROM d) WHERE mentioned < total AND n_both / held >= pow(mentioned / total, {1 - pii.DISCLOSURE})),
+told AS (SELECT DISTINCT row, term FROM base JOIN telling USING (kind, entity)),
+b AS (SELECT row, regexp_extract_all(text, '{A_TERM}') AS found, string_split_regex(text, '{A_TERM}') AS pieces FROM d WHERE row IN (SELECT row FROM told)),
+e AS (SELECT row, found[i] AS value, ({PLACED})::INT AS start FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM b)),
+added AS (SELECT e.row, start, start + length(value) AS stop FROM e JOIN told ON told.row = e.row AND translate(value, {FOLD}) = term WHERE NOT EXISTS (SELECT * FROM base WHERE base.row = e.row AND base.start < e.start + length(e.value) AND base.stop > e.start)),
+spans AS (SELECT row, place, kind, start, stop FROM base UNION ALL SELECT row, 4, '{pii.TERM_KIND}', start, stop FROM added),
+digest AS (SELECT row, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (place < 4) AS base, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _ in PERSONAL)} FROM spans GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind, _ in PERSONAL)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN digest USING (row)"""
 OP12 = rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
@@ -187,4 +222,4 @@ UNION ALL SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op4_license_scan": OP4, "op8_url_filter": OP8, "op12_filter_audit": OP12, "op13_source_divergence": OP13}
+    return {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op4_license_scan": OP4, "op8_url_filter": OP8, "op11_pii": OP11, "op12_filter_audit": OP12, "op13_source_divergence": OP13}
