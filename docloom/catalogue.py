@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.classify import RULES, classify
-from docloom.operators import catalog, chunking, duplicates, models, search, tagging, vectors
+from docloom.operators import catalog, chunking, duplicates, models, search, tables, tagging, vectors
 from docloom.plans import engine
 from docloom.sources import extract, files
 from docloom.streaming import refresh
@@ -383,7 +383,7 @@ def chunk_stats(spark, sf_dir):
 @query("WITH n AS (SELECT doc_id, CASE WHEN length(text) <= 800 THEN 1 ELSE 1 + ceil((length(text) - 800) / 700.0) END::BIGINT AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, least(n, 8))) AS i FROM n) SELECT doc_id, CASE WHEN n <= 8 THEN i ELSE floor(i * (n / 8.0)) END::INT AS chunk_index FROM i")
 def chunk_cap(spark, sf_dir):
     solid = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "x").alias("text"))
-    return chunking.sample_evenly(chunking.chunk_text(solid), "doc_id", "chunk_index", 8).select("doc_id", "chunk_index")
+    return chunking.sample_evenly(tables.written(chunking.chunk_text(solid)), "doc_id", "chunk_index", 8).select("doc_id", "chunk_index")
 
 
 def order_tables(spark, sf_dir) -> DataFrame:

@@ -6,9 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.tables import Write, positions, written
+
 MAX_CHARS = 800
 OVERLAP = 100
 MAX_CHUNKS = 500
@@ -102,19 +104,17 @@ def chunk_tabular(docs: DataFrame, max_chars: int = MAX_CHARS, key: str = "doc_i
     return chunked(docs, lambda t: table_chunks(t, max_chars), key)
 
 
-def sample_evenly(rows: DataFrame, group: str, order: str, most: int = MAX_CHUNKS) -> DataFrame:
-    """At most ``most`` rows of each group, evenly spaced in the order, which keep their numbers."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(order)) - 1
-    rows = rows.withColumns({"n_": n, "at_": at})
-    # the rows floor(i * n / most): those where a multiple of n / most lies in [at, at + 1)
-    taken = F.floor((F.col("at_") + 1) * most / F.col("n_") - 1e-9) > F.floor(F.col("at_") * most / F.col("n_") - 1e-9)
-    return rows.where((F.col("n_") <= most) | (most <= 0) | (F.col("at_") == 0) | taken).drop("n_", "at_")
-
-
-def sampled(items: Column, most: int) -> Column:
-    """The same for an array."""
-    picks = F.transform(F.sequence(F.lit(0), F.lit(max(most, 1) - 1)), lambda i: F.get(items, F.floor(i * (F.size(items) / F.lit(most))).cast("int")))
-    return F.when((F.size(items) <= most) | F.lit(most <= 0), items).otherwise(picks)
+def sample_evenly(rows: DataFrame, group: str, order: str, most: int = MAX_CHUNKS, write: Write = written) -> DataFrame:
+    """At most ``most`` rows of each group, evenly spaced in the order, which keep their numbers.
+
+    Groups within the bound pass as they are; only the rows of larger groups are numbered, in ranges, so that a group of
+    any size is spread over many tasks. Of n rows, those at floor(i * n / most) stay: where a multiple of n / most lies in [at, at + 1).
+    """
+    if most <= 0:
+        return rows
+    large = write(rows.groupBy(F.col(group).alias("_large")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("_large"))
+    in_large = F.col(group).eqNullSafe(F.col("_large"))
+    placed = positions(rows.join(large, in_large, "left_semi"), [order], [group], write)
+    # integers: the least i with i * n >= at * most is below the least i with i * n >= (at + 1) * most
+    taken = F.expr(f"(at * {most} + group_size - 1) div group_size < ((at + 1) * {most} + group_size - 1) div group_size")
+    return rows.join(large, in_large, "left_anti").unionByName(placed.where(taken).select(rows.columns))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import compact_text
+from docloom.operators.tables import Write, written
 
 RRF_K = 60
 CANDIDATES = 80
@@ -95,23 +97,42 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def bm25(rows: DataFrame, query: Phrases, text: str = "text") -> DataFrame:
-    """rows that match, with ``bm25`` (lower is better); statistics cover all rows, in one pass."""
-    phrases = query.all
-    trigrams = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(trigrams(F.col(text))).alias("avg"), *[F.sum(has(F.col(text), p).cast("long")).alias(f"p{i}") for i, p in enumerate(phrases)]).first()
-    n, mean = stats["n"], stats["avg"] or 0.0
-    score = F.lit(0.0)
-    for i, p in enumerate(phrases):
-        hit = stats[f"p{i}"] or 0
-        idf = F.lit((n - hit + 0.5) / (hit + 0.5))
-        weight = F.greatest(F.log(idf), F.lit(1e-6)) if n - hit > hit else F.lit(1e-6)
-        f = F.regexp_count(F.lower(F.col(text)), F.lit(f"(?={re.escape(p)})")).cast("double")
-        score = score - weight * f * (K1 + 1) / (f + K1 * (1 - B + B * trigrams(F.col(text)) / (mean or 1.0)))
-    return rows.where(matches(F.col(text), query)).withColumn("bm25", score)
+def trigrams(text: Column) -> Column:
+    """The trigrams of a text, which are its length in scores."""
+    return F.greatest(F.length(text) - 2, F.lit(0))
 
 
-def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, most: int | None = None) -> DataFrame:
+def weights(n: int, containing: list[int]) -> list[float]:
+    """The weight of each phrase, of n texts of which so many contain it."""
+    return [max(math.log((n - c + 0.5) / (c + 0.5)), 1e-6) for c in containing]
+
+
+def score(counts: list[Column], size: Column, n: int, mean: float, containing: list[int]) -> Column:
+    """BM25 (lower is better) of a text of so many trigrams that has each phrase so many times."""
+    out = F.lit(0.0)
+    for f, w in zip(counts, weights(n, containing), strict=True):
+        out = out - F.lit(w) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / (mean or 1.0)))
+    return out
+
+
+def bm25(rows: DataFrame, query: Phrases, text: str = "text", write: Write = written) -> DataFrame:
+    """rows that match, without their text, with ``bm25`` (lower is better).
+
+    One pass over the texts: it observes the statistics of all rows while the hits, with their counts of each phrase, are written.
+    """
+    phrases, of = query.all, F.col(text)
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(trigrams(of)).alias("size"), *[F.sum(has(of, p).cast("long")).alias(f"p{i}") for i, p in enumerate(phrases)])
+    counts = [F.regexp_count(F.lower(of), F.lit(f"(?={re.escape(p)})")).cast("double").alias(f"_f{i}") for i, p in enumerate(phrases)]
+    others = [c for c in rows.columns if c != text]
+    hits = write(observed.where(matches(of, query)).select(*others, trigrams(of).alias("_size"), *counts))
+    stats = seen.get
+    n = stats["n"]
+    value = score([F.col(f"_f{i}") for i in range(len(phrases))], F.col("_size"), n, (stats["size"] or 0) / max(n, 1), [stats[f"p{i}"] or 0 for i in range(len(phrases))])
+    return hits.select(*others, value.alias("bm25"))
+
+
+def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, most: int | None = None, write: Write = written) -> DataFrame:
     """(doc_id, chunk_index, score, rank): the best chunk of each document by BM25, then ranks.
 
     Statistics cover all chunks; ``present`` leaves out hits afterwards, as a filter of the results does.
@@ -119,15 +140,19 @@ def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, mo
     parsed = parse(query)
     if parsed is None or not parsed.any_of:
         return chunks.select("doc_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    hits = bm25(chunks, parsed)
+    return best_chunks(bm25(chunks, parsed, write=write), present, most)
+
+
+def best_chunks(hits: DataFrame, present: Column | None = None, most: int | None = None) -> DataFrame:
+    """The best chunk of each document of written hits (doc_id, chunk_index, bm25), ranked."""
     hits = hits if present is None else hits.where(present)
     best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_index")).alias("b")).select("doc_id", "b.chunk_index", F.col("b.bm25").alias("score"))
     return ranked(best, most)
 
 
-def tag_leg(tags: DataFrame, query: str, most: int | None = None) -> DataFrame:
+def tag_leg(tags: DataFrame, query: str, most: int | None = None, write: Write = written) -> DataFrame:
     """The same over (doc_id, tags_text); the chunk_index of a tag hit is -1."""
-    return keyword_leg(tags.select("doc_id", F.lit(-1).alias("chunk_index"), F.col("tags_text").alias("text")), query, most=most)
+    return keyword_leg(tags.select("doc_id", F.lit(-1).alias("chunk_index"), F.col("tags_text").alias("text")), query, most=most, write=write)
 
 
 def tag_matches(tags: DataFrame, query: str) -> DataFrame:
@@ -149,11 +174,11 @@ def similarity(vector: Column, query: list[float], normalized: bool = True) -> C
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def dense_leg(chunks: DataFrame, query: list[float], normalized: bool = True, most: int | None = None) -> DataFrame:
+def dense_leg(chunks: DataFrame, query: list[float], normalized: bool = True, most: int | None = None, write: Write = written) -> DataFrame:
     """(doc_id, chunk_index, score, rank) over (doc_id, chunk_index, vector)."""
     scored = chunks.select("doc_id", "chunk_index", similarity(F.col("vector"), query, normalized).alias("score"))
     best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("c"))).alias("b")).select("doc_id", (-F.col("b.c")).alias("chunk_index"), "b.score")
-    return ranked(best, most, ascending=False)
+    return ranked(best if most is not None else write(best), most, ascending=False)
 
 
 #: Places at which the scores of a leg are cut into runs that are numbered apart.
@@ -165,7 +190,7 @@ RANK_ROWS = 100_000
 
 
 def ranked(rows: DataFrame, most: int | None = None, ascending: bool = True, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """rows with ``rank`` from 0 by ``score``, equal scores by doc_id; all of them, or the first ``most``.
+    """rows, written before, with ``rank`` from 0 by ``score``, equal scores by doc_id; all of them, or the first ``most``.
 
     More than ``rank_rows`` rows are numbered in runs: of scores between two quantiles, and, where one score is a quantile itself, of ids
     between two quantiles. A run's first rank is the number of rows in the runs before it.
@@ -207,12 +232,15 @@ def pool(fused: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     return fused.orderBy(F.col("rrf").desc(), "first_leg", "first_rank", "doc_id").limit(candidates)
 
 
-def with_text(candidates: DataFrame, chunks: DataFrame, tags: DataFrame) -> DataFrame:
-    """A pool of candidates with the text of the chunk, or of the tags, that shows; the pool is small and is sent to the texts."""
-    few = F.broadcast(candidates)
+def with_text(candidates: DataFrame, chunks: DataFrame, tags: DataFrame, write: Write = written) -> DataFrame:
+    """A pool of candidates with the text of the chunk, or of the tags, that shows; the pool is small and is sent to the texts.
+
+    Both are written, so that what is computed of the texts afterwards is computed for the pool alone, not where they are scanned.
+    """
+    few = F.broadcast(write(candidates))
     plain = chunks.select("doc_id", "chunk_index", "text").join(few.where("chunk_index >= 0"), ["doc_id", "chunk_index"])
     tagged = tags.select("doc_id", F.concat(F.lit(TAG_HIT), "tags_text").alias("text")).join(few.where("chunk_index < 0"), "doc_id")
-    return plain.unionByName(tagged)
+    return write(plain.unionByName(tagged))
 
 
 def rerank(candidates: DataFrame, score: Column, floor: float = FLOOR, top_k: int = TOP_K) -> DataFrame:
