@@ -188,7 +188,8 @@ def hybrid_pool(spark, sf_dir, texts: bool = False) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
     dense = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
     tags = tag_texts(spark, sf_dir)
-    found = search.pool(search.fuse(search.dense_leg(dense, query_vector(spark, sf_dir)), search.keyword_leg(d, "license"), search.tag_leg(tags, "license")))
+    legs = search.at_once(lambda: search.dense_leg(dense, query_vector(spark, sf_dir)), lambda: search.keyword_leg(d, "license"), lambda: search.tag_leg(tags, "license"))
+    found = search.pool(search.fuse(*legs))
     return search.with_text(found, d, tags) if texts else found
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,8 +32,14 @@ class Phrases:
 
     @property
     def all(self) -> list[str]:
+        """The phrases that count for the score."""
         return list(dict.fromkeys(p for option in self.any_of for group, _ in option for p in group))
 
+    @property
+    def named(self) -> list[str]:
+        """All phrases, those that must be absent included."""
+        return list(dict.fromkeys([*self.all, *(p for option in self.any_of for _, out in option for x in out for p in x)]))
+
 
 def parse(query: str) -> Phrases | None:
     """Words and quoted phrases, with AND, OR and NOT; a phrase under three characters has no trigram.
@@ -78,8 +85,9 @@ def has(text: Column, phrase: str) -> Column:
     return F.contains(F.lower(text), F.lit(phrase))
 
 
-def matches(text: Column, query: Phrases) -> Column:
-    every = lambda group: _all([has(text, p) for p in group])
+def matches(query: Phrases, held: Callable[[str], Column]) -> Column:
+    """Whether a text that holds some phrases is found."""
+    every = lambda group: _all([held(p) for p in group])
     return _any([_all([every(g) & ~_any([every(x) for x in out if x]) for g, out in option]) for option in query.any_of])
 
 
@@ -97,6 +105,14 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+#: Places at which the scores of a leg are cut into runs that are numbered apart.
+RUNS = 64
+
+
+#: Rows (of a few numbers each) up to which one task numbers all of them.
+RANK_ROWS = 100_000
+
+
 def trigrams(text: Column) -> Column:
     """The trigrams of a text, which are its length in scores."""
     return F.greatest(F.length(text) - 2, F.lit(0))
@@ -115,21 +131,22 @@ def score(counts: list[Column], size: Column, n: int, mean: float, containing: l
     return out
 
 
-def bm25(rows: DataFrame, query: Phrases, text: str = "text", write: Write = written) -> DataFrame:
-    """rows that match, without their text, with ``bm25`` (lower is better).
+def bm25(rows: DataFrame, query: Phrases, text: str = "text", write: Write = written) -> tuple[DataFrame, int]:
+    """rows that match, without their text, with ``bm25`` (lower is better), and how many they are.
 
     One pass over the texts: it observes the statistics of all rows while the hits, with their counts of each phrase, are written.
     """
-    phrases, of = query.all, F.col(text)
-    seen = Observation()
-    observed = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(trigrams(of)).alias("size"), *[F.sum(has(of, p).cast("long")).alias(f"p{i}") for i, p in enumerate(phrases)])
+    phrases, every, of = query.all, query.named, F.col(text)
+    seen, found = Observation(), Observation()
+    tested = rows.withColumns({f"_h{i}": has(of, p) for i, p in enumerate(every)} | {"_size": trigrams(of)})
+    observed = tested.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size"), *[F.sum(F.col(f"_h{every.index(p)}").cast("long")).alias(f"p{i}") for i, p in enumerate(phrases)])
     counts = [F.regexp_count(F.lower(of), F.lit(f"(?={re.escape(p)})")).cast("double").alias(f"_f{i}") for i, p in enumerate(phrases)]
     others = [c for c in rows.columns if c != text]
-    hits = write(observed.where(matches(of, query)).select(*others, trigrams(of).alias("_size"), *counts))
+    hits = write(observed.where(matches(query, lambda p: F.col(f"_h{every.index(p)}"))).select(*others, "_size", *counts).observe(found, F.count(F.lit(1)).alias("n")))
     stats = seen.get
     n = stats["n"]
     value = score([F.col(f"_f{i}") for i in range(len(phrases))], F.col("_size"), n, (stats["size"] or 0) / max(n, 1), [stats[f"p{i}"] or 0 for i in range(len(phrases))])
-    return hits.select(*others, value.alias("bm25"))
+    return hits.select(*others, value.alias("bm25")), found.get["n"]
 
 
 def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, most: int | None = None, write: Write = written) -> DataFrame:
@@ -140,14 +157,14 @@ def keyword_leg(chunks: DataFrame, query: str, present: Column | None = None, mo
     parsed = parse(query)
     if parsed is None or not parsed.any_of:
         return chunks.select("doc_id", "chunk_index", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    return best_chunks(bm25(chunks, parsed, write=write), present, most)
+    return best_chunks(*bm25(chunks, parsed, write=write), present, most)
 
 
-def best_chunks(hits: DataFrame, present: Column | None = None, most: int | None = None) -> DataFrame:
-    """The best chunk of each document of written hits (doc_id, chunk_index, bm25), ranked."""
+def best_chunks(hits: DataFrame, n: int, present: Column | None = None, most: int | None = None) -> DataFrame:
+    """The best chunk of each document of n written hits (doc_id, chunk_index, bm25), ranked."""
     hits = hits if present is None else hits.where(present)
     best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_index")).alias("b")).select("doc_id", "b.chunk_index", F.col("b.bm25").alias("score"))
-    return ranked(best, most)
+    return ranked(best, most, few=n <= RANK_ROWS)
 
 
 def tag_leg(tags: DataFrame, query: str, most: int | None = None, write: Write = written) -> DataFrame:
@@ -160,7 +177,7 @@ def tag_matches(tags: DataFrame, query: str) -> DataFrame:
     parsed = parse(query)
     if parsed is None or not parsed.any_of:
         return tags.select("doc_id").where("false")
-    return tags.where(matches(F.col("tags_text"), parsed)).select("doc_id").distinct()
+    return tags.where(matches(parsed, lambda p: has(F.col("tags_text"), p))).select("doc_id").distinct()
 
 
 def similarity(vector: Column, query: list[float], normalized: bool = True) -> Column:
@@ -178,31 +195,27 @@ def dense_leg(chunks: DataFrame, query: list[float], normalized: bool = True, mo
     """(doc_id, chunk_index, score, rank) over (doc_id, chunk_index, vector)."""
     scored = chunks.select("doc_id", "chunk_index", similarity(F.col("vector"), query, normalized).alias("score"))
     best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("c"))).alias("b")).select("doc_id", (-F.col("b.c")).alias("chunk_index"), "b.score")
-    return ranked(best if most is not None else write(best), most, ascending=False)
-
-
-#: Places at which the scores of a leg are cut into runs that are numbered apart.
-RUNS = 64
-
-
-#: Rows (of a few numbers each) up to which one task numbers all of them.
-RANK_ROWS = 100_000
+    if most is not None:
+        return ranked(best, most, ascending=False)
+    seen = Observation()
+    rows = write(best.observe(seen, F.count(F.lit(1)).alias("n")))
+    return ranked(rows, ascending=False, few=seen.get["n"] <= RANK_ROWS)
 
 
-def ranked(rows: DataFrame, most: int | None = None, ascending: bool = True, rank_rows: int = RANK_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, most: int | None = None, ascending: bool = True, few: bool = False) -> DataFrame:
     """rows, written before, with ``rank`` from 0 by ``score``, equal scores by doc_id; all of them, or the first ``most``.
 
-    More than ``rank_rows`` rows are numbered in runs: of scores between two quantiles, and, where one score is a quantile itself, of ids
+    A few rows (``few``) are numbered by one task, more in runs: of scores between two quantiles, and, where one score is a quantile itself, of ids
     between two quantiles. A run's first rank is the number of rows in the runs before it.
     """
     score = F.col("score") if ascending else -F.col("score")
     whole = F.row_number().over(Window.orderBy(score, "doc_id")) - 1
     if most is not None:
         return rows.orderBy(score, "doc_id").limit(most).withColumn("rank", whole)
-    at = [i / RUNS for i in range(1, RUNS)]
-    cuts = rows.agg(F.percentile_approx(score, at, 10_000).alias("s"), F.percentile_approx("doc_id", at, 10_000).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if cuts["n"] <= rank_rows:
+    if few:
         return rows.withColumn("rank", whole)
+    at = [i / RUNS for i in range(1, RUNS)]
+    cuts = rows.agg(F.percentile_approx(score, at, 10_000).alias("s"), F.percentile_approx("doc_id", at, 10_000).alias("d")).first()
     bounds = sorted(set(cuts["s"] or []))
     below = lambda values, c: sum((F.lit(float(v) if isinstance(v, float) else v) < c).cast("int") for v in values) if values else F.lit(0)
     tie = score.isin(bounds) if bounds else F.lit(False)
@@ -218,6 +231,12 @@ def ranked(rows: DataFrame, most: int | None = None, ascending: bool = True, ran
     return parts.withColumn("own", own).join(F.broadcast(offsets), "run").withColumn("rank", (F.col("first") + F.col("own")).cast("int")).drop("run", "own", "first")
 
 
+def at_once(*legs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The legs of a search, whose jobs run at the same time."""
+    with ThreadPoolExecutor(len(legs)) as threads:
+        return [x.result() for x in [threads.submit(leg) for leg in legs]]
+
+
 def fuse(*legs: DataFrame) -> DataFrame:
     """Reciprocal rank fusion: (doc_id, chunk_index, rrf, first_leg, first_rank); the first leg of a document shows."""
     both = None

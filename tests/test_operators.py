@@ -171,10 +171,10 @@ def test_ranks_in_runs_equal_a_sort(spark):
     leg = spark.createDataFrame(rows, "doc_id long, chunk_index int, score double").repartition(5)
     for ascending in (True, False):
         want = sorted(((s if ascending else -s), d) for d, _, s in rows)
-        got = search.ranked(leg, ascending=ascending, rank_rows=10).orderBy("rank").collect()
+        got = search.ranked(leg, ascending=ascending).orderBy("rank").collect()
         assert [r["rank"] for r in got] == list(range(len(rows))) and [((r["score"] if ascending else -r["score"]), r["doc_id"]) for r in got] == want
         assert [r["doc_id"] for r in search.ranked(leg, 50, ascending).orderBy("rank").collect()] == [d for _, d in want[:50]]
-    assert search.ranked(leg.where("false"), rank_rows=10).count() == 0
+    assert search.ranked(leg.where("false")).count() == 0
 
 
 def test_reranker_scores_by_batches(spark):
