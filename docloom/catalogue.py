@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.classify import RULES, classify
-from docloom.operators import catalog, chunking, duplicates, models, search, tables, tagging, vectors
+from docloom.operators import catalog, chunking, clusters, duplicates, models, postings, search, tables, tagging, vectors
 from docloom.plans import engine
 from docloom.sources import extract, files
 from docloom.streaming import refresh
@@ -82,6 +82,15 @@ def cosine_unnormalized(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(search.similarity(scaled, q, normalized=False), 6).alias("score"))
 
 
+@query(SQL["dense_search_topk"])
+def dense_search_clusters(spark, sf_dir):
+    """The same from clusters, most of which stay closed where vectors are many."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("vector"))
+    centres = clusters.fit(rows, rows.count())
+    members = tables.written(clusters.assigned(rows, centres))
+    return clusters.nearest(members, clusters.spread(members, centres), query_vector(spark, sf_dir), 80)[0].select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def bm25_sql(phrases: list[str], rows: str = "SELECT doc_id, text FROM documents", where: str | None = None) -> str:
     """Phrases must not overlap themselves here."""
     f = lambda p: f"((length(lower(text)) - length(replace(lower(text), '{p}', ''))) / {len(p)})"
@@ -131,6 +140,25 @@ def tags_in_input_order(spark, sf_dir):
     return tagging.tags_text(d.select(F.col("doc_id").alias("document_id"), F.explode(names).alias("n")).select("document_id", "n.*")).select(F.col("document_id").alias("doc_id"), F.col("tags_text").alias("tags"))
 
 
+def posted(spark, sf_dir, q: str) -> DataFrame:
+    """A keyword leg from trigram postings of documents, without their texts."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text")
+    n, size = postings.statistics(rows)
+    index = tables.written(postings.laid_out(postings.post(rows, 1, size)))
+    versions = rows.select("document_id", F.lit(1).cast("long").alias("version"))
+    return search.best_chunks(*postings.bm25(index, versions, n, size, search.parse(q))).select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SQL["keyword_multi_phrase"])
+def keyword_postings(spark, sf_dir):
+    return posted(spark, sf_dir, '"the and" license')
+
+
+@query(bm25_sql(["license"], where="contains(lower(text), 'license') AND NOT contains(lower(text), 'apache')") + RANKED)
+def keyword_postings_not(spark, sf_dir):
+    return posted(spark, sf_dir, "license NOT apache")
+
+
 @query("SELECT doc_id, 0.0::DOUBLE AS score, 0 AS rank FROM documents WHERE false")
 def keyword_syntax_error_empty(spark, sf_dir):
     return keyword(spark, sf_dir, "what's license?")

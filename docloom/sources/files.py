@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ DEPENDENCY_DIRS = ("node_modules", "venv", "dist", "build", "oh_modules", "__pyc
 SUMMARY_FILES = ("README.md", "readme.md", "README.txt", "CLAUDE.md")
 
 
+#: Paths that are opened by name; more are filtered by time where they are listed.
+LISTED = 10_000
+LISTING = "path string, size_bytes long, mtime_ns long, content binary"
+
+
 def read_files(spark: SparkSession, directory: str, since_ns: int | None = None) -> DataFrame:
     """(path, size_bytes, mtime_ns, content) of all files under a directory, or of those changed since a time.
 
@@ -21,9 +28,28 @@ def read_files(spark: SparkSession, directory: str, since_ns: int | None = None)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     if since_ns is not None:
         rows = rows.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(since_ns // 1000)))
+    return named(rows)
+
+
+def named(rows: DataFrame) -> DataFrame:
     return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
 
 
+def read_listed(spark: SparkSession, directory: str, wanted: DataFrame, most: int = LISTED) -> DataFrame:
+    """The same of chosen files (path, mtime_ns) only: nothing is opened if there are none.
+
+    Up to ``most`` files are opened by their names; of more, the listing leaves out what is older than all of them, and the
+    join the rest. A file that is gone by then ends the run, and the next one finds it gone.
+    """
+    paths = [r["path"] for r in wanted.select("path").limit(most + 1).collect()]
+    if not paths:
+        return spark.createDataFrame([], LISTING)
+    if len(paths) <= most:
+        return named(spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths]))
+    since = wanted.agg(F.min("mtime_ns")).first()[0]
+    return read_files(spark, directory, since).join(wanted.select("path"), "path", "left_semi")
+
+
 def segments(path: Column, directory: str) -> Column:
     return F.split(F.substring(path, len(directory.rstrip("/")) + 2, 1 << 20), "/")
 
@@ -64,6 +90,12 @@ def walk(files: DataFrame, directory: str) -> DataFrame:
     return kept.join(inside, "path", "left_anti")
 
 
+def summary_files(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The listed files that describe a project root."""
+    rows = listed.where(basename(F.col("path")).isin(*SUMMARY_FILES, "package.json", "pyproject.toml"))
+    return rows.withColumn("root", parent(F.col("path"))).join(roots, "root", "left_semi").drop("root")
+
+
 def project_summaries(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, summary): readme texts, package name and description, and project file of each root."""
     name, text = basename(F.col("path")), F.decode("content", "UTF-8")
