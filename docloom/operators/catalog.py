@@ -106,10 +106,11 @@ class Catalog:
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
         columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in folders]).select(columns)
+        base = {"basePath": f"{self.root}/{name}"} if name in PARTITIONS else {}
+        return self.spark.read.schema(SCHEMAS[name]).options(**base).parquet(*[f"{self.root}/{f}" for f in folders]).select(columns)
 
     def store(self, name: str, rows: DataFrame) -> str:
-        folder = f"{name}/{uuid.uuid4().hex}"
+        folder = f"{name}/segment=s{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns]).write.parquet(f"{self.root}/{folder}", partitionBy=PARTITIONS.get(name))
         if self.snapshot is None:
