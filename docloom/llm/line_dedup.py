@@ -6,13 +6,14 @@ a digit are variable fields. In a leaf of several lines a place is constant if o
 with them belong to it. Any other line is its own template.
 
 A template is dropped if it recurs across documents that are not copies of each other: the documents that have it
-must fall into ``MIN_FAMILIES`` families at least, and into one for each ``PER_FAMILY`` different texts. A family is
-found from ``VOICES`` least hashes of the three-word shingles of a text: texts with two common voices are kin, and take
-the least voice among their kin, and among the kin of their kin. Copies, however many and wherever edited, are one family or
-few; finding them is another operator's task. Unrelated documents with a common block are kin only by chance.
+must fall into ``MIN_FAMILIES`` families at least, and into one for each ``PER_FAMILY`` different texts. Each text that has a
+template of ``MIN_FAMILIES`` texts is heard by its ``VOICES`` least hashes of shingles of three words. If at least a third of these are
+in no other such text, much of the text is its own, and it is a family by itself, whatever block it shares: a block makes texts kin
+only where little else is in them. Other texts are kin if they have two of their four least voices in common, and take the least voice
+among their kin, and among the kin of their kin. So copies, however many and wherever edited, are one family or few.
 
-Texts are tokenised once, into a row of hashes for each document; what else is shuffled are the different texts of a
-template, and the lines of leaves with several lines.
+Texts are tokenised once, into a row of hashes for each document, and those with such templates once more; what else is shuffled are
+the different texts of a template, their voices, and the lines of leaves with several lines.
 
 Cases: lines without a token are never dropped; a null text stays null; a text may become empty; repeated rows count
 once and are all cleaned; null ids are ids like others; an empty table gives an empty result; a column that is called
@@ -31,7 +32,8 @@ CONSTANT = 0.8
 SHARE = 0.6
 MIN_FAMILIES = 5
 PER_FAMILY = 200
-VOICES = 4
+VOICES = 32
+KIN_VOICES = 4
 SHINGLE = 3
 EVERY = 4
 #: Lines of a leaf below which it has no template.
@@ -61,22 +63,34 @@ def voices(words: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(th, voices, lines) of each text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
+    """(th, lines) of each text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
     line = lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)).alias("leaf"), F.xxhash64(w).alias("own"), F.transform(w, lambda t: F.hash(t)).alias("words"))
-    both = let(F.transform(F.split("text", "\n"), tokens), lambda ws: F.struct(voices(F.flatten(ws)).alias("voices"), F.filter(F.transform(ws, line), lambda x: F.size(x["words"]) > 0).alias("lines")))
-    return docs.where("text is not null").select(F.xxhash64("text").alias("th"), both.alias("x")).select("th", "x.voices", "x.lines")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: line(tokens(x), i)), lambda x: F.size(x["words"]) > 0)
+    return docs.where("text is not null").select(F.xxhash64("text").alias("th"), lines.alias("lines"))
+
+
+def heard(docs: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(th, voices) of the texts among speakers (th), each text once."""
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").join(few(speakers), "th", "left_semi")
+    words = F.flatten(F.transform(F.split("text", "\n"), tokens))
+    return written(texts.select("th", voices(words).alias("voices")).dropDuplicates(["th"]))
 
 
 def families(texts: DataFrame) -> DataFrame:
-    """(th, family) of texts (th, voices): the least voice of the kin of a text's kin."""
-    pairs = F.flatten(F.transform("voices", lambda v, i: F.transform(F.slice("voices", i + 2, F.lit(VOICES)), lambda w: F.xxhash64(v, w))))
+    """(th, family) of texts (th, voices): a text of its own is one; else the least voice of the kin of a text's kin."""
+    each = texts.select("th", F.explode("voices").alias("voice"))
+    single = each.groupBy("voice").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).where("n = 1").groupBy("th").agg(F.count(F.lit(1)).alias("single"))
+    alone = texts.join(single, "th").where(3 * F.col("single") >= F.size("voices")).select("th")
+    own = alone.select("th", F.struct(F.lit(True).alias("own"), F.col("th").alias("of")).alias("family"))
+    first = texts.join(alone, "th", "left_anti").select("th", F.slice("voices", 1, KIN_VOICES).alias("voices"))
+    pairs = F.flatten(F.transform("voices", lambda v, i: F.transform(F.slice("voices", i + 2, F.lit(KIN_VOICES)), lambda w: F.xxhash64(v, w))))
     keys = F.when(F.size("voices") > 1, pairs).otherwise(F.transform("voices", lambda v: F.xxhash64(v)))
-    of = texts.select("th", F.explode(keys).alias("key"), F.array_min("voices").alias("family"))
+    of = first.select("th", F.explode(keys).alias("key"), F.array_min("voices").alias("family"))
     for last in (False, True):
         least = of.groupBy("key").agg(F.min("family").alias("least"))
         near = of.select("th", "key").join(least, "key").groupBy("th").agg(F.min("least").alias("family"))
-        of = near if last else texts.select("th", F.explode(keys).alias("key")).join(near, "th")
-    return of
+        of = near if last else first.select("th", F.explode(keys).alias("key")).join(near, "th")
+    return own.unionByName(of.select("th", F.struct(F.lit(False).alias("own"), F.col("family").alias("of")).alias("family")))
 
 
 def leaf_templates(lines: DataFrame) -> DataFrame:
@@ -100,8 +114,11 @@ def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFr
     general = leaf_templates(lines)
     of = lines.select("th", "at", "own").distinct().join(general, ["th", "at"], "left").select("th", "at", F.coalesce("leaf", "own").alias("template"))
     of = written(of.groupBy("th", "template").agg(F.collect_set("at").alias("places")))
+    often = of.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_families).select("template")
+    of = written(join_few(of, often, "template"))
     # each family counts once for a template: texts are summed before families are counted
-    votes = of.select("th", "template").join(checkpoint(families(texts.select("th", "voices").dropDuplicates(["th"]))), "th").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
+    kin = checkpoint(families(heard(docs, written(of.select("th").distinct()))))
+    votes = of.select("th", "template").join(kin, "th").groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
     recurring = votes.groupBy("template").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("texts")).where((F.col("families") >= min_families) & (F.col("families") * PER_FAMILY >= F.col("texts")))
     return join_few(of, recurring.select("template"), "template").groupBy("th").agg(F.flatten(F.collect_list("places")).alias("places"))
 

@@ -117,13 +117,16 @@ places AS (SELECT leaf, place, CASE WHEN max(n) >= 0.8 * sum(n) THEN arg_max(tok
 shape AS (SELECT leaf, list(token ORDER BY place) AS shape FROM places GROUP BY leaf HAVING avg((token IS NOT NULL)::INT::DOUBLE) FILTER (WHERE place >= 3) >= 0.6),
 agree AS (SELECT text, pos, leaf FROM (SELECT text, pos, leaf, unnest(words) AS a, unnest(shape) AS b FROM found JOIN shape USING (leaf)) GROUP BY ALL HAVING bool_and(b IS NULL OR a = b)),
 t AS (SELECT x.text, x.pos, coalesce('L' || agree.leaf, 'O' || own) AS template FROM x LEFT JOIN agree USING (text, pos)),
-all_words AS (SELECT text, flatten(list(words ORDER BY pos)) AS ws FROM x GROUP BY text),
+often AS (SELECT template FROM (SELECT DISTINCT template, text FROM t) GROUP BY template HAVING count(*) >= 5),
+all_words AS (SELECT text, flatten(list(words ORDER BY pos)) AS ws FROM x WHERE text IN (SELECT text FROM t JOIN often USING (template)) GROUP BY text),
 spots AS (SELECT text, ws, range(1, greatest(len(ws) - 2, 1) + 1) AS p FROM all_words),
-heard AS (SELECT text, list_sort(list_distinct(list_transform(CASE WHEN len(list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0)) < 4 THEN p ELSE list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0) END, lambda i: md5(array_to_string(ws[i:i + 2], ' ')))))[1:4] AS voices FROM spots),
-v AS (SELECT text, unnest(CASE WHEN len(voices) = 1 THEN voices ELSE flatten(list_transform(range(1, len(voices)), lambda i: list_transform(range(i + 1, len(voices) + 1), lambda j: voices[i] || voices[j]))) END) AS voice, voices[1] AS family FROM heard),
+heard AS (SELECT text, list_sort(list_distinct(list_transform(CASE WHEN len(list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0)) < 32 THEN p ELSE list_filter(p, lambda i: (ascii(ws[i]) + length(ws[i])) % 4 = 0) END, lambda i: md5(array_to_string(ws[i:i + 2], ' ')))))[1:32] AS voices FROM spots),
+alone AS (SELECT text FROM (SELECT text, count(*) OVER (PARTITION BY voice) AS n FROM (SELECT text, unnest(voices) AS voice FROM heard)) GROUP BY text HAVING 3 * count(*) FILTER (n = 1) >= count(*)),
+told AS (SELECT text, voices[1:4] AS voices FROM heard WHERE text NOT IN (SELECT text FROM alone)),
+v AS (SELECT text, unnest(CASE WHEN len(voices) = 1 THEN voices ELSE flatten(list_transform(range(1, len(voices)), lambda i: list_transform(range(i + 1, len(voices) + 1), lambda j: voices[i] || voices[j]))) END) AS voice, voices[1] AS family FROM told),
 kin1 AS (SELECT text, min(least) AS family FROM v JOIN (SELECT voice, min(family) AS least FROM v GROUP BY voice) USING (voice) GROUP BY text),
 v1 AS (SELECT v.text, voice, kin1.family FROM v JOIN kin1 USING (text)),
-kin AS (SELECT text, min(least) AS family FROM v1 JOIN (SELECT voice, min(family) AS least FROM v1 GROUP BY voice) USING (voice) GROUP BY text),
+kin AS (SELECT text, min(least) AS family FROM v1 JOIN (SELECT voice, min(family) AS least FROM v1 GROUP BY voice) USING (voice) GROUP BY text UNION ALL SELECT text, 'own ' || text FROM alone),
 recurring AS (SELECT template FROM (SELECT DISTINCT template, text FROM t) JOIN kin USING (text) GROUP BY template HAVING count(DISTINCT family) >= 5 AND count(DISTINCT family) * 200 >= count(*)),
 gone AS (SELECT text, pos FROM t JOIN recurring USING (template)),
 kept AS (SELECT l.text AS whole, count(g.pos) AS n_dropped_lines, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text FROM l LEFT JOIN gone g USING (text, pos) GROUP BY l.text)

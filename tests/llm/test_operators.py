@@ -307,6 +307,22 @@ def test_recurring_blocks(spark):
     assert all(kept[100 + i] == docs[24 + i][1] for i in range(4))
 
 
+def test_blocks_of_short_texts(spark):
+    """A block goes from unrelated texts although it outweighs their prose, and stays in edited copies of one text."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    block = "\n".join(["all of our rights remain with the owner of this page as the law says", "share this with all of your friends and with theirs", "terms of use apply to everyone who reads this far down", "ask us for more about what we do"])
+    footer = "all rights remain with the owner of this very page here"
+    for n, tail in ((60, block), (30, block), (8, footer)):
+        docs = [(i, f"{own(n)}\n{tail}") for i in range(60)]
+        assert piped_lines(spark, docs) == {i: d.split("\n")[0] for i, d in docs}
+    lines = [own(14) for _ in range(12)]
+    docs = []
+    for i in range(300):  # one word in forty is another one
+        docs.append((i, "\n".join(" ".join(own(1) if rng.random() < 0.025 else w for w in x.split()) for x in lines)))
+    assert piped_lines(spark, docs) == dict(docs)
+
+
 def test_template_of_a_leaf(spark):
     """A field without digits is found as a place that varies in its leaf."""
     names = ["anna", "bert", "carl", "dora", "emil", "fred", "gina"]
