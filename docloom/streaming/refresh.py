@@ -2,40 +2,129 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators.tables import Write, written
+
 MIN_GAP_S = 1800
 FALLBACK_S = 3 * 3600
 
 
-def throttle(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S) -> DataFrame:
+def key_runs(keys: pa.Array) -> list[int]:
+    """Where the runs of equal keys begin, and the end."""
+    if not len(keys):
+        return [0]
+    change = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(change) + 1).tolist(), len(keys)]
+
+
+def accepted(times: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:
+    """The places of sorted times that are accepted after the last accepted one, and the last one then."""
+    at, out = 0 if last is None else int(np.searchsorted(times, last + gap)), []
+    while at < len(times):
+        out.append(at)
+        last = int(times[at])
+        at = int(np.searchsorted(times, last + gap))
+    return out, last
+
+
+def passage(times: np.ndarray, gap: int) -> tuple[list[int], list[int]]:
+    """What sorted times do to the last accepted time before them: (until, after), up to ``until[i]`` it becomes ``after[i]``; beyond, it stays.
+
+    Only the rows of one gap can be the first accepted; their chains are followed together, and mostly meet.
+    """
+    following = np.searchsorted(times, times + gap)
+    first = np.arange(min(len(times), int(following[0]) + 1))
+    at = first
+    while (more := following[at] < len(times)).any():
+        at = np.where(more, following[at], at)
+    after = times[at]
+    ends = np.append(np.flatnonzero(np.diff(after)), len(first) - 1)  # the chains that meet are one
+    return (times[first[ends]] - gap).tolist(), after[ends].tolist()
+
+
+def throttle(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S, write: Write = written) -> DataFrame:
     """events with ``accepted``: at least the gap after the last accepted event of the key (greedy, in order of time and event_id).
 
-    Rows are sorted by key and time and read in batches with the last accepted time as the only state, so that a key
-    of any size is never gathered; rows that repeat each keep a flag of their own.
+    Events are dealt to ranges of (key, time), so a key spans as many tasks as it needs. Each range says what it does to the last
+    accepted time of the key that comes in from the range before (``passage``); these summaries, one a range and at most as long as
+    a gap has events, are composed in order, and then each range is flagged from the time it begins with. Rows that repeat each keep
+    a flag of their own.
     """
-    names = events.columns
+    names, gap = events.columns, min_gap_s * 1_000_000
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    rows = events.withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), "_micros": F.unix_micros(F.col(ts).cast("timestamp"))})
+    ranged = rows.repartitionByRange("_key", "_micros", "event_id").sortWithinPartitions("_key", "_micros", "event_id")
+    lying = write(ranged.withColumns({"_part": F.spark_partition_id(), "_number": F.monotonically_increasing_id()}))
+    dealt = lambda *columns: lying.select(*columns, "_part", "_key", "_micros", "_number").repartition("_part").sortWithinPartitions("_number")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, None
+    def columns(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        return tuple(b.column(b.num_columns - 4 + i) if i == 1 else b.column(b.num_columns - 4 + i).to_numpy(zero_copy_only=False) for i in range(3))
+
+    def runs(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+        """(part, key, times) of each run; a run that batches cut comes in pieces."""
+        for b in it:
+            parts, keys, times = columns(b)
+            edges = sorted({*key_runs(keys), *(np.flatnonzero(np.diff(parts)) + 1).tolist()})
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                yield int(parts[lo]), keys[lo].as_py(), times[lo:hi]
+
+    def summaries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, dict] = {}
+        pieces: list[np.ndarray] = []
+        for part, k, times in runs(it):
+            if part not in out:
+                pieces = []
+            own = out.setdefault(part, {"first": k, "last": k, "until": [], "after": [], "end": None})
+            if k != own["last"]:
+                own["last"], own["end"] = k, None
+            if k == own["first"]:
+                pieces.append(times)
+                own["until"], own["after"] = [], []
+                own["head"] = pieces
+            own["end"] = accepted(times, own["end"], gap)[1]
+        for own in out.values():
+            own["until"], own["after"] = passage(np.concatenate(own.pop("head")), gap)
+        if out:
+            yield pa.RecordBatch.from_pylist([{"part": p, **own} for p, own in out.items()], schema=pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("until", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("end", pa.int64())]))
+
+    begins: dict[int, int] = {}
+    before: tuple[str, int] | None = None
+    for r in sorted(dealt().mapInArrow(summaries, "part int, first string, last string, until array<long>, after array<long>, end long").collect(), key=lambda r: r["part"]):  # a row for each range
+        last = r["end"]
+        if before is not None and before[0] == r["first"]:
+            begins[r["part"]] = before[1]
+            at = bisect_left(r["until"], before[1])
+            if r["first"] == r["last"]:
+                last = r["after"][at] if at < len(r["until"]) else before[1]
+        before = (r["last"], last)
+
+    def flags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = state_key = last = None
         for b in it:
-            keys, times = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_numpy(zero_copy_only=False)
-            flags = np.zeros(b.num_rows, bool)
-            for i, k in enumerate(keys):
-                if last is None or k != last_key or times[i] - last >= min_gap_s * 1_000_000:
-                    flags[i], last_key, last = True, k, times[i]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(flags)], [*names, "accepted"])
-
-    rows = events.withColumns({"_key": F.col(key), "_micros": F.unix_micros(F.col(ts).cast("timestamp"))})
-    return rows.repartition("_key").sortWithinPartitions("_key", "_micros", "event_id").mapInArrow(batches, f"{schema}, accepted boolean")
+            parts, keys, times = columns(b)
+            found = np.zeros(b.num_rows, bool)
+            edges = sorted({*key_runs(keys), *(np.flatnonzero(np.diff(parts)) + 1).tolist()})
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                k = keys[lo].as_py()
+                if int(parts[lo]) != part:
+                    part, state_key, last = int(parts[lo]), k, begins.get(int(parts[lo]))
+                elif k != state_key:
+                    state_key, last = k, None
+                hits, last = accepted(times[lo:hi], last, gap)
+                found[lo + np.array(hits, np.int64)] = True
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found)], [*names, "accepted"])
+
+    return dealt(*names).mapInArrow(flags, f"{schema}, accepted boolean")
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S) -> DataFrame:
