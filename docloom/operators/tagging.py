@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SENTENCE_ENDS, snippet, strip, suffix
+from docloom.functions.text import SENTENCE_ENDS, basename, snippet, strip, suffix
 from docloom.operators.vectors import tag_confidence
 
 MIN_CHARS = 30
@@ -73,48 +74,80 @@ def accepted(result: tuple[str, list[str]] | None) -> tuple[str, list[str]] | No
     return (reason, names) if names and whole else None
 
 
-def tag_documents(rows: DataFrame, tagger: Tagger = frequent_words, category: str | None = None) -> DataFrame:
-    """Results of a tagger over pending rows; what it fails on twice, and what is too short, is untagged.
+EMPTY = "array<struct<name:string,confidence:double>>"
 
-    With ``category`` (of projects), tagged rows have it as a sure first tag.
-    """
-    ready = long_enough(rows).select("document_id", snippet(F.col("full_text"), F.col("path")).alias("snippet"))
+
+def attempts(rows: DataFrame, tagger: Callable, accept: Callable, text: str, schema: str) -> DataFrame:
+    """What is accepted of a tagger over the texts of rows, asked twice for what it fails on; null where it fails again."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            found: list[tuple[str, list[str]] | None] = [None] * len(b)
+            found: list = [None] * len(b)
             for _ in range(ATTEMPTS):
                 left = [i for i, x in enumerate(found) if x is None]
-                for i, x in zip(left, tagger(b["snippet"].iloc[left]) if left else [], strict=True):
-                    found[i] = accepted(x)
-            yield pd.DataFrame({"document_id": b["document_id"], "reasoning": [x[0] if x else "" for x in found], "names": [x[1] if x else [] for x in found]})
+                for i, x in zip(left, tagger(b[text].iloc[left]) if left else [], strict=True):
+                    found[i] = accept(x)
+            columns = [c.split()[0] for c in schema.split(", ")]
+            yield pd.DataFrame({"document_id": b["document_id"], **{c: [None if x is None else x[i] for x in found] for i, c in enumerate(columns)}})
+
+    return rows.select("document_id", text).mapInPandas(batches, f"document_id long, {schema}")
 
-    raw = ready.mapInPandas(batches, "document_id long, reasoning string, names array<string>")
+
+def tag_documents(rows: DataFrame, tagger: Tagger = frequent_words) -> DataFrame:
+    """Results of a tagger over pending rows; what it fails on twice, and what is too short, is untagged."""
+    ready = long_enough(rows).select("document_id", snippet(F.col("full_text"), F.col("path")).alias("snippet"))
+    raw = attempts(ready, tagger, accepted, "snippet", "reasoning string, names array<string>")
     tags = F.transform("names", lambda x: F.struct(x.alias("name"), F.lit(DEFAULT_CONFIDENCE).alias("confidence")))
-    empty = F.array().cast("array<struct<name:string,confidence:double>>")
-    if category is not None:
-        tags = F.concat(F.array(F.struct(F.lit(category).alias("name"), F.lit(1.0).alias("confidence"))), tags)
-    good = F.size("names") > 0
-    done = raw.select("document_id", F.when(good, tags).otherwise(empty).alias("tags"), F.when(good, DEFAULT_CONFIDENCE).otherwise(0.0).alias("confidence"), F.when(good, "tagged").otherwise("untagged").alias("status"), "reasoning")
+    empty, good = F.array().cast(EMPTY), F.col("names").isNotNull()
+    done = raw.select("document_id", F.when(good, tags).otherwise(empty).alias("tags"), F.when(good, DEFAULT_CONFIDENCE).otherwise(0.0).alias("confidence"), F.when(good, "tagged").otherwise("untagged").alias("status"), F.coalesce("reasoning", F.lit("")).alias("reasoning"))
     short = too_short(rows).select("document_id", empty.alias("tags"), F.lit(0.0).alias("confidence"), F.lit("untagged").alias("status"), F.lit("").alias("reasoning"))
     return done.unionByName(short)
 
 
-def tag_projects(rows: DataFrame, tagger: Tagger = frequent_words) -> DataFrame:
-    """Results over pending projects, by their summaries; their type is a sure tag of those that are tagged."""
-    return tag_documents(rows.withColumn("full_text", F.substring("full_text", 1, 2500)), tagger, category="project")
+#: (reason, names, category) of each project's summary; None where the model failed.
+ProjectTagger = Callable[[pd.Series], list[tuple[str, list[str], str] | None]]
+SUMMARY_CHARS = 2500
+#: The text of a project without a summary, and the reason of one that the model fails on.
+NO_SUMMARY = "（没有找到 README/CLAUDE.md/package.json 等自描述文件，只能凭项目名字判断）"
+PROJECT_FAILED = "项目打标签 SLM 输出解析失败"
+
+
+def project_words(texts: pd.Series) -> list[tuple[str, list[str], str] | None]:
+    """The stand-in for a language model that is asked about projects: frequent words, and whether there is a package."""
+    return [(reason, names, "package" if re.search("(?m)^name: ", t) else "project") for t, (reason, names) in zip(texts, frequent_words(texts), strict=True)]
+
+
+def accepted_project(result: tuple[str, list[str], str] | None) -> tuple[str, list[str], str] | None:
+    """A result with a category."""
+    if result is None or not (result[2] or "").strip():
+        return None
+    return (result[0] or "").strip(), [n.strip() for n in result[1] if n and n.strip()], result[2].strip()
+
+
+def tag_projects(rows: DataFrame, tagger: ProjectTagger = project_words) -> DataFrame:
+    """Results over pending projects, by their names and the first ``SUMMARY_CHARS`` of their summaries, however short.
+
+    The tags and, last, the category that the model gives are sure; the result's own confidence is zero.
+    """
+    summary = F.when(F.trim(F.coalesce("full_text", F.lit(""))) == "", NO_SUMMARY).otherwise(F.substring("full_text", 1, SUMMARY_CHARS))
+    ready = rows.select("document_id", F.concat(basename(F.regexp_replace("path", "/+$", "")), F.lit("\n"), summary).alias("summary"))
+    raw = attempts(ready, tagger, accepted_project, "summary", "reasoning string, names array<string>, category string")
+    sure = lambda c: F.struct(c.alias("name"), F.lit(1.0).alias("confidence"))
+    good = F.col("category").isNotNull()
+    tags = F.when(good, F.concat(F.transform("names", sure), F.array(sure(F.col("category"))))).otherwise(F.array().cast(EMPTY))
+    return raw.select("document_id", tags.alias("tags"), F.lit(0.0).alias("confidence"), F.when(good, "tagged").otherwise("untagged").alias("status"), F.when(good, F.col("reasoning")).otherwise(PROJECT_FAILED).alias("reasoning"))
 
 
 def scored(results: DataFrame, vectors: DataFrame, embed: DataFrame) -> DataFrame:
     """results with each tag's confidence, its clipped product with the document's vector, and their mean.
 
-    vectors is (doc_id, vector), embed (name, tag_vector). Sure tags (1.0) and basic results stay; without a vector 0.5 counts.
+    vectors is (doc_id, vector), embed (name, tag_vector). Sure tags (1.0) stay, and so do results with no other tags; without a vector 0.5 counts.
     """
     each = results.where("status = 'tagged'").select("document_id", F.posexplode("tags").alias("at", "t")).select(F.col("document_id").alias("doc_id"), "at", "t.name", "t.confidence")
-    open_ = tag_confidence(each.where("confidence < 1").join(embed, "name").select("doc_id", "name", "tag_vector", "at"), vectors, keep=("at",))
-    both = open_.unionByName(each.where("confidence = 1").select("doc_id", "name", "confidence", "at"))
-    lists = both.groupBy(F.col("doc_id").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("at", "name", F.col("confidence").alias("c")))).alias("l"), F.avg("confidence").alias("mean"))
-    lists = lists.select("document_id", F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["c"].alias("confidence"))).alias("found"), "mean")
+    open_ = tag_confidence(each.where("confidence < 1").join(embed, "name").select("doc_id", "name", "tag_vector", "at"), vectors, keep=("at",)).withColumn("open", F.lit(True))
+    both = open_.unionByName(each.where("confidence = 1").select("doc_id", "name", "confidence", "at", F.lit(False).alias("open")))
+    lists = both.groupBy(F.col("doc_id").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("at", "name", F.col("confidence").alias("c")))).alias("l"), F.avg("confidence").alias("mean"), F.bool_or("open").alias("open"))
+    lists = lists.where("open").select("document_id", F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["c"].alias("confidence"))).alias("found"), "mean")
     rows = results.join(lists, "document_id", "left")
     return rows.select("document_id", F.coalesce("found", "tags").alias("tags"), F.coalesce("mean", "confidence").alias("confidence"), "status", "reasoning")
 

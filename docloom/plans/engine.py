@@ -190,20 +190,20 @@ def search_with_statistics(db: Catalog, query: str, top_k: int = search.TOP_K, c
     return rows.select("path", "score", "chunk_index", "text").orderBy(F.col("score").desc(), "path"), stats
 
 
-def tag(db: Catalog, tagger: tagging.Tagger | None = tagging.frequent_words, force: bool = False, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER) -> dict[str, int]:
+def tag(db: Catalog, tagger: tagging.Tagger | None = tagging.frequent_words, force: bool = False, load: Callable[[], models.Embedder] = embedder, model: str = EMBEDDER, project_tagger: tagging.ProjectTagger = tagging.project_words) -> dict[str, int]:
     """Tags what is pending, scores tags by the vectors of documents, and gives basic tags to what has no text; ten counters.
 
     Without a tagger (it is not healthy) only basic tags are given, and what is pending stays so.
     """
-    return from_what_is_current(db, lambda: tag_pending(db, tagger, force, load, model))
+    return from_what_is_current(db, lambda: tag_pending(db, tagger, project_tagger, force, load, model))
 
 
-def tag_pending(db: Catalog, tagger: tagging.Tagger | None, force: bool, load: Callable[[], models.Embedder], model: str) -> dict[str, int]:
+def tag_pending(db: Catalog, tagger: tagging.Tagger | None, project_tagger: tagging.ProjectTagger, force: bool, load: Callable[[], models.Embedder], model: str) -> dict[str, int]:
     documents, extractions, old = db.read("documents"), db.read("extractions"), db.read("tagging_results")
     known = old.where("false") if force else old
     plain, projects = db.scratch(tagging.pending(documents, extractions, known)), db.scratch(tagging.pending(documents, extractions, known, projects=True))
     basic = tagging.basic_tags(documents, extractions, old, force)
-    rows = basic if tagger is None else tagging.tag_documents(plain, tagger).unionByName(tagging.tag_projects(projects, tagger)).unionByName(basic)
+    rows = basic if tagger is None else tagging.tag_documents(plain, tagger).unionByName(tagging.tag_projects(projects, project_tagger)).unionByName(basic)
     raw = db.scratch(rows)
     names = raw.where("status = 'tagged'").select(F.explode("tags").alias("t")).where("t.confidence < 1").select("t.name").distinct()
     embedded = models.embed_chunks(names.select(F.xxhash64("name").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("name").alias("text")), load, 0)
@@ -222,7 +222,7 @@ def tag_pending(db: Catalog, tagger: tagging.Tagger | None, force: bool, load: C
     db.write("tagging_results", catalog.upsert(old, new.select(old.columns), "document_id"))
     counts = {r["status"]: r["n"] for r in tagging.status_counts(new).collect()}
     n_plain, n_projects = plain.count(), projects.count()
-    short = tagging.too_short(plain.unionByName(projects)).count()
+    short = tagging.too_short(plain).count()
     given = 0 if tagger is None else n_plain + n_projects - short
     return {"pending": n_plain, "projects": n_projects, "too_short": short, "given": given, "tagged": counts.get("tagged", 0), "failed": given - counts.get("tagged", 0), "untagged": counts.get("untagged", 0), "basic": counts.get("basic", 0), "tags": clean.count(), "total": sum(counts.values())}
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
+import ctypes
 import io
 import json
+import multiprocessing
 import re
-import threading
+import signal
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -172,25 +175,55 @@ EXTRACTORS: dict[str, tuple[str, Callable[[bytes], str]]] = {
 TIME_LIMIT_S = 30
 
 
-def within(read: Callable[[bytes], str], raw: bytes, seconds: float) -> str:
-    """The text, or a TimeoutError; a reader that does not end is left behind in its thread."""
-    out: list = []
-
-    def work() -> None:
+class Reader:
+    """Reads files in a process of its own, which is ended where a file takes too long, and replaced for the next one.
+
+    So nothing goes on after the limit, not even code of a library that cannot be interrupted, and a reader that
+    takes its process down costs one file only.
+    """
+
+    def __init__(self, known: dict[str, tuple[str, Callable[[bytes], str]]]):
+        self.known, self.process, self.pipe = known, None, None
+
+    def start(self) -> None:
+        forks = multiprocessing.get_context("fork")
+        self.pipe, theirs = forks.Pipe()
+        self.process = forks.Process(target=self.serve, args=(self.pipe, theirs), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def serve(self, ours, theirs) -> None:
+        ours.close()  # so that the pipe ends with the task
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).prctl(1, signal.SIGKILL)  # and the process with its parent, where the system can do that
+        with contextlib.suppress(EOFError, BrokenPipeError):
+            while True:
+                ext, raw = theirs.recv()
+                try:
+                    theirs.send((self.known[ext][1](raw), None))
+                except Exception as e:  # a broken file is a row, not a failed job
+                    theirs.send((None, f"{type(e).__name__}: {e}"))
+
+    def stop(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+    def read(self, ext: str, raw: bytes, seconds: float) -> tuple[str | None, str | None]:
+        """The text, or an error."""
+        if self.process is None:
+            self.start()
         try:
-            out.append((read(raw), None))
-        except Exception as e:  # raised again by the caller
-            out.append((None, e))
-
-    thread = threading.Thread(target=work, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if not out:
-        raise TimeoutError(f"over {seconds} s")
-    text, error = out[0]
-    if error is not None:
-        raise error
-    return text
+            self.pipe.send((ext, raw))
+            if self.pipe.poll(seconds):
+                return self.pipe.recv()
+            error = f"TimeoutError: over {seconds} s"
+        except (EOFError, OSError):
+            error = "ChildProcessError: the reader ended without an answer"
+        self.stop()
+        return None, error
 
 
 def extract(files: DataFrame, time_limit_s: float = TIME_LIMIT_S, extractors: dict[str, tuple[str, Callable[[bytes], str]]] | None = None) -> DataFrame:
@@ -198,20 +231,21 @@ def extract(files: DataFrame, time_limit_s: float = TIME_LIMIT_S, extractors: di
     known = EXTRACTORS if extractors is None else extractors
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = []
-            for ext, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                name, read = known.get(ext, (None, None))
-                text = error = None
-                if read is not None:
-                    try:
+        reader = Reader(known)
+        try:
+            for b in it:
+                out = []
+                for ext, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    name, read = known.get(ext, (None, None))
+                    text = error = None
+                    if read is not None:
                         name = xls_kind(raw or b"") if read is from_xls else name
-                        text = within(read, raw or b"", time_limit_s)
-                    except Exception as e:  # a broken file is a row, not a failed job
-                        error = f"{type(e).__name__}: {e}"
-                out.append((name, text, error))
-            names, texts, errors = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (names, texts, errors))], ["path", "extractor_name", "text", "error"])
+                        text, error = reader.read(ext, raw or b"", time_limit_s)
+                    out.append((name, text, error))
+                names, texts, errors = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (names, texts, errors))], ["path", "extractor_name", "text", "error"])
+        finally:
+            reader.stop()
 
     raw = files.select("path", suffix(F.col("path")).alias("ext"), "content").mapInArrow(batches, "path string, extractor_name string, text string, error string")
     text = normalize_text(F.coalesce("text", F.lit("")))

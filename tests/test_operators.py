@@ -267,8 +267,20 @@ def test_tagger_gets_two_attempts(spark):
 
         return run
 
-    got = {r["document_id"]: (r["status"], [t["name"] for t in r["tags"]]) for r in tagging.tag_projects(rows, tagger()).collect()}
-    assert got == {0: ("untagged", []), 1: ("tagged", ["project", "a", "b"]), 2: ("untagged", []), 9: ("untagged", [])}
+    got = {r["document_id"]: (r["status"], [t["name"] for t in r["tags"]]) for r in tagging.tag_documents(rows, tagger()).collect()}
+    assert got == {0: ("untagged", []), 1: ("tagged", ["a", "b"]), 2: ("untagged", []), 9: ("untagged", [])}
+
+
+def test_projects_have_the_category_of_the_model(spark):
+    rows = spark.createDataFrame([(1, "/p/one", "short"), (2, "/p/two/", "  "), (3, "/p/bad", "x" * 9000)], "document_id long, path string, full_text string").coalesce(1)
+    seen = lambda texts: [("why", [f"{len(t)}", " ", t.split("\n")[0]], "" if t.startswith("bad") else " a study ") for t in texts]
+    got = {r["document_id"]: (r["status"], [tuple(t) for t in r["tags"]], r["confidence"], r["reasoning"]) for r in tagging.tag_projects(rows, seen).collect()}
+    assert got == {1: ("tagged", [("9", 1.0), ("one", 1.0), ("a study", 1.0)], 0.0, "why"), 2: ("tagged", [(f"{4 + len(tagging.NO_SUMMARY)}", 1.0), ("two", 1.0), ("a study", 1.0)], 0.0, "why"), 3: ("untagged", [], 0.0, tagging.PROJECT_FAILED)}
+    vectors_, embed = spark.createDataFrame([(1, [1.0])], "doc_id long, vector array<double>"), spark.createDataFrame([("one", [1.0])], "name string, tag_vector array<double>")
+    scored = {r["document_id"]: r["confidence"] for r in tagging.scored(tagging.tag_projects(rows, seen), vectors_, embed).collect()}
+    assert scored == {1: 0.0, 2: 0.0, 3: 0.0}
+    names = tagging.project_words(__import__("pandas").Series(["one\nname: p\ndescription: several words", "two\nother"]))
+    assert [x[2] for x in names] == ["package", "project"]
 
 
 def test_tags_are_scored_by_vectors(spark):
@@ -333,6 +345,13 @@ def test_extraction_limits_and_entities(spark):
     slow = {".txt": ("slow", lambda raw: time.sleep(20) or "x")}
     row = extract.extract(spark.createDataFrame([("a.txt", b"x")], "path string, content binary"), 0.2, slow).first()
     assert row["status"] == "error" and row["error"].startswith("TimeoutError")
+    import re
+
+    stuck = {".txt": ("stuck", lambda raw: re.match(r"(a+)+$", "a" * 60 + "b") or "x"), ".md": ("gone", lambda raw: __import__("os")._exit(3)), ".log": ("plain", extract.decode)}
+    began = time.time()
+    files_ = spark.createDataFrame([(f"{i}.{x}", b"text") for i, x in enumerate(("txt", "log", "md", "log", "txt"))], "path string, content binary").coalesce(1)
+    ended = [(r["status"], (r["error"] or "").split(":")[0], r["full_text"]) for r in extract.extract(files_, 1.0, stuck).orderBy("path").collect()]
+    assert ended == [("error", "TimeoutError", ""), ("success", "", "text"), ("error", "ChildProcessError", ""), ("success", "", "text"), ("error", "TimeoutError", "")] and time.time() - began < 30
     assert callable(load_rules)
 
 
