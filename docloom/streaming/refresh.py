@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators.tables import Write, written
@@ -145,6 +146,67 @@ def throttle_stream(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_G
     return events.select(key, "event_id", ts).groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, {ts} timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+class Triggers(StatefulProcessor):
+    """For each directory: runs that a change starts, at most one a gap, and a timer for the run that is due when nothing came for long."""
+
+    def __init__(self, key: str, ts: str, min_gap_s: int, fallback_s: int):
+        self.key, self.ts, self.gap, self.wait = key, ts, min_gap_s * 1_000_000, fallback_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "accepted long, seen long, event long")
+
+    def due(self, seen: int, event: int) -> tuple[int, str, pd.Timestamp]:
+        return event, "fallback", pd.Timestamp((seen + self.wait) * 1000)
+
+    def timer(self, seen: int) -> int:
+        return -(-(seen + self.wait) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        accepted_at, seen, event = self.state.get() if self.state.exists() else (None, None, None)
+        out: list = []
+        if event is None:
+            seen = None  # its fallback was said
+        before = seen
+        new = pd.concat(list(rows)).sort_values([self.ts, "event_id"])  # one micro-batch of a key
+        for i, t in zip(new["event_id"].tolist(), new[self.ts], strict=True):
+            micros = t.value // 1000
+            if seen is not None and micros > seen + self.wait:
+                out.append(self.due(seen, event))
+            if accepted_at is None or micros - accepted_at >= self.gap:
+                accepted_at = micros
+                out.append((i, "change", t))
+            seen, event = micros, i
+        if before is not None:
+            self.handle.deleteTimer(self.timer(before))
+        self.handle.registerTimer(self.timer(seen))
+        self.state.update((accepted_at, seen, event))
+        yield self.rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            _, seen, event = self.state.get()
+            if event is not None and self.timer(seen) == expiredTimerInfo.getExpiryTimeInMs():
+                self.state.update((self.state.get()[0], seen, None))  # said once: nothing is due until the next event
+                yield self.rows(key, [self.due(seen, event)])
+
+    def rows(self, key, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in out], columns=[self.key, "event_id", "reason", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def trigger_stream(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GAP_S, fallback_s: int = FALLBACK_S, late: str = "0 seconds") -> DataFrame:
+    """(key, event_id, reason, at): the runs that a stream of file changes starts, in event time.
+
+    ``change`` rows are the events that ``throttle`` accepts, ``fallback`` rows those of ``needs_fallback`` at the time
+    that is due; the state of a directory is three numbers and a timer. It needs the RocksDB state store.
+    """
+    grouped = events.select(key, "event_id", ts).withWatermark(ts, late).groupBy(key)
+    return grouped.transformWithStateInPandas(Triggers(key, ts, min_gap_s, fallback_s), f"{key} long, event_id long, reason string, at timestamp", "Append", "EventTime")
+
+
 def needs_fallback(events: DataFrame, key: str, ts: str, gap_s: int = FALLBACK_S) -> DataFrame:
     """Events after which nothing came for the fallback interval: a timed run is due."""
     after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, "event_id"))

@@ -42,3 +42,28 @@ def test_passages_compose():
         until, after = refresh.passage(times[cut:], gap)
         at = refresh.bisect_left(until, last)
         assert (after[at] if at < len(until) else last) == refresh.accepted(times, None, gap)[1]
+
+
+def test_triggers_of_a_stream_equal_the_batch(spark, tmp_path):
+    rng = random.Random(9)
+    start = datetime(2024, 1, 1)
+    times = sorted(rng.randrange(0, 400_000) for _ in range(400))
+    rows = [(rng.randrange(6), start + timedelta(seconds=t), i) for i, t in enumerate(times)]
+    schema = "user_id long, ts timestamp, event_id long"
+    for k in range(5):
+        spark.createDataFrame(rows[k * 80 : (k + 1) * 80], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([(99, start + timedelta(days=30), 999)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/5")  # time goes on
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        found = refresh.trigger_stream(stream, "user_id", "ts", 1800, 10_800)
+        found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    got = spark.read.parquet(f"{tmp_path}/out").where("user_id < 99").collect()
+    events = spark.createDataFrame(rows, schema)
+    assert sorted(r["event_id"] for r in got if r["reason"] == "change") == sorted(r["event_id"] for r in refresh.throttle(events, "user_id", "ts").where("accepted").collect())
+    due = {r["event_id"]: r["due"] for r in refresh.needs_fallback(events, "user_id", "ts").collect()}
+    assert len(due) == sum(r["reason"] == "fallback" for r in got)
+    assert {r["event_id"]: r["at"] for r in got if r["reason"] == "fallback"} == due
