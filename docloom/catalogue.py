@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -568,6 +569,43 @@ def filtered_files(spark, sf_dir):
     return files.walk(site_paths(spark, sf_dir), "/w").select("page_id", "path")
 
 
+#: query, expectation, parts of the first path, parts of no path; and its phrases and condition in SQL (none: nothing is found).
+SEARCH_CASES = (
+    ("license", "match", ["/src"], [], ["license"], None),
+    ("apache license", "match", [], ["/none/"], ["apache", "license"], None),
+    ("apache zz", "match", [], [], ["apache"], None),
+    ("LICENSE NOT apache", "match", [], [], ["license"], "contains(lower(text), 'license') AND NOT contains(lower(text), 'apache')"),
+    ('apache OR "mit license"', "match", [], [], ["apache", "mit license"], "contains(lower(text), 'apache') OR contains(lower(text), 'mit license')"),
+    ("unger", "match", ["/de/"], [], ["unger"], None),
+    ("thingthe", "match", ["/en/"], ["/fr/", "/es/"], ["thingthe"], None),
+    ('"the and"', "match", ["/en/"], [], ["the and"], None),
+    ("zz", "empty", [], [], None, None),
+    ("qqqxyz", "empty", [], [], ["qqqxyz"], None),
+    ("what's license", "empty", [], [], None, None),
+    ("license NOT license", "empty", [], [], None, None),
+    ("license AND zz", "empty", [], [], None, None),
+    ("mit", "note_only", [], [], ["mit"], None),
+)
+
+
+def _cases_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT {k} AS k, doc_id, rank FROM ({bm25_sql(phrases, where=where)}{RANKED} LIMIT 5)" for k, (*_, phrases, where) in enumerate(SEARCH_CASES) if phrases)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    any_of = lambda path, parts: " OR ".join(f"contains({path}, '{p}')" for p in parts) or "false"
+    judged = " UNION ALL ".join(f"SELECT {quoted(q)} AS query, '{expect}' AS expect, (SELECT count(*) FROM r WHERE k = {k}) AS n_results, (SELECT arg_min(path, rank) FROM r WHERE k = {k}) AS first_path, {'(SELECT count(*) FROM r WHERE k = %d) = 0' % k if expect == 'empty' else 'CAST(NULL AS BOOLEAN)' if expect == 'note_only' else f'(SELECT count(*) > 0 AND NOT bool_or({any_of("path", none)}) AND ({any_of("arg_min(path, rank)", first) if first else "true"}) FROM r WHERE k = {k})'} AS passed" for k, (q, expect, first, none, _, _) in enumerate(SEARCH_CASES))
+    return f"WITH {DOCS}, r AS (SELECT k, path, rank FROM ({found}) JOIN d USING (doc_id)) {judged}"
+
+
+@query(_cases_sql())
+def search_regression_cases(spark, sf_dir):
+    """A regression set over the documents: the first five results of each query against what is expected of it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    leg = lambda q: search.keyword_leg(rows, q).where("rank < 5").select(F.lit(q).alias("query"), "doc_id", "rank")
+    found = functools.reduce(DataFrame.unionByName, search.at_once(*[functools.partial(leg, case[0]) for case in SEARCH_CASES]))
+    results = found.join(docs(spark, sf_dir).select("doc_id", "path"), "doc_id").select("query", "path", "rank")
+    return search.judge(results, spark.createDataFrame([c[:4] for c in SEARCH_CASES], search.CASES))
+
+
 @query("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS ok FROM events WHERE false")
 def search_regression_empty(spark, sf_dir):
     """Queries that must find nothing."""

@@ -78,7 +78,9 @@ def parse(query: str) -> Phrases | None:
                 target.append(word.lower())
     if not counts[-1]:
         return None
-    return Phrases([o for o in options if all(group for group, _ in o)])
+    # an alternative that asks for what it excludes finds nothing
+    possible = lambda o: not any(x and set(x) <= {p for group, _ in o for p in group} for _, out in o for x in out)
+    return Phrases([o for o in options if all(group for group, _ in o) and possible(o)])
 
 
 def has(text: Column, phrase: str) -> Column:
@@ -294,3 +296,20 @@ def lexical_score(query: str, text: str = "snippet") -> Column:
     words = list(dict.fromkeys(w for w in re.split(r"\W+", query.lower()) if w))
     share = sum((has(F.col(text), w).cast("double") for w in words), F.lit(0.0)) / max(1, len(words))
     return F.round(F.log((share + 0.01) / (1.01 - share)), 6)
+
+
+#: Cases of a regression set: what is expected of a query, parts of the first result's path (any), and parts that no result's path may have.
+CASES = "query string, expect string, first_has array<string>, none_has array<string>"
+
+
+def judge(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query, expect, n_results, first_path, passed) of CASES and the results (query, path, rank) of their queries.
+
+    ``match`` wants results, ``empty`` none; ``note_only`` is not judged.
+    """
+    has = lambda path, parts: F.exists(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.contains(path, x))
+    rows = cases.join(results, "query", "left")
+    each = rows.groupBy("query", "expect", "first_has").agg(F.count("path").alias("n_results"), F.min_by("path", "rank").alias("first_path"), F.coalesce(F.bool_or(has(F.col("path"), F.col("none_has"))), F.lit(False)).alias("wrong"))
+    right = (F.col("n_results") > 0) & ~F.col("wrong") & ((F.coalesce(F.size("first_has"), F.lit(0)) <= 0) | has(F.col("first_path"), F.col("first_has")))
+    passed = F.when(F.col("expect") == "empty", F.col("n_results") == 0).when(F.col("expect") == "match", right)
+    return each.select("query", "expect", "n_results", "first_path", passed.alias("passed"))

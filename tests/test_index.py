@@ -15,7 +15,7 @@ from docloom.operators.tables import numbered, positions
 from docloom.plans import engine
 from docloom.sources import files
 
-QUERIES = ("apples", "app", "aaaa", "abab", '"s and p"', "apples pears", "apples OR pears", "apples NOT pears", "äpfel", "ab", "ÄPFEL zz", "nowhere", '"a.b"', "日本語", "pears OR (")
+QUERIES = ("apples", "app", "aaaa", "abab", '"s and p"', "apples pears", "apples OR pears", "apples NOT pears", "apples NOT apples", "apples NOT apples OR pears", "äpfel", "ab", "ÄPFEL zz", "nowhere", '"a.b"', "日本語", "pears OR (")
 
 
 @pytest.fixture(scope="module")

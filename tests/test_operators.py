@@ -93,6 +93,13 @@ def test_text_functions(spark):
     assert one(lambda c: T.under(c, "/a/b"), "/a/bc") is False
 
 
+def test_names_of_reports(spark):
+    import hashlib
+
+    r = spark.range(1).select(T.report_tag(F.lit("/a/b")).alias("one"), T.report_tag_all(F.lit("/x.db")).alias("all")).first()
+    assert r == (f"b_{hashlib.sha256(b'/a/b').hexdigest()[:8]}", f"全库_{hashlib.sha256(b'/x.db').hexdigest()[:8]}")
+
+
 def test_classification(spark):
     cases = [("a.docx", "504B0304", "document"), ("a.apk", "504B0304", "executable"), ("a.zip", "504B0304", "archive"), ("a.webp", "52494646", "media"), ("a.msi", "D0CF11E0", "document"), ("a.txt", "4D5A", "executable"), ("a", "", "unknown"), ("a.csv", "", "data")]
     got = spark.createDataFrame(cases, "p string, h string, w string").select("w", classify(F.col("p"), F.col("h"))["basic_type"].alias("g")).collect()
