@@ -39,13 +39,14 @@ EVERY = 4
 #: Lines of a leaf below which it has no template.
 MIN_LINES = 5
 FIELD = "<*>"
-SPACE = r"\x20\x09-\x0D"
+#: One by one, which Java tests faster than ranges.
+SPACE, DIGIT = r"\x20\x09\x0A\x0B\x0C\x0D", "0123456789"
 
 
 def tokens(line: Column) -> Column:
     """The tokens of a line, variable fields generalised."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}0-9]*[0-9][^{SPACE}]*", FIELD)).otherwise(line)
-    return F.filter(F.split(masked, f"[{SPACE}]+"), lambda t: t != "")
+    masked = F.when(line.rlike(f"[{DIGIT}]"), F.regexp_replace(line, f"[^{SPACE}{DIGIT}]*[{DIGIT}][^{SPACE}]*", FIELD)).otherwise(line)
+    return F.array_remove(F.split(masked, f"[{SPACE}]+"), "")
 
 
 def voices(words: Column) -> Column:
@@ -65,7 +66,7 @@ def voices(words: Column) -> Column:
 def parsed(docs: DataFrame) -> DataFrame:
     """(th, lines) of each text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
     line = lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)).alias("leaf"), F.xxhash64(w).alias("own"), F.transform(w, lambda t: F.hash(t)).alias("words"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: line(tokens(x), i)), lambda x: F.size(x["words"]) > 0)
+    lines = F.filter(F.transform(F.transform(F.split("text", "\n"), tokens), line), lambda x: F.size(x["words"]) > 0)  # tokens of a line are made once
     return docs.where("text is not null").select(F.xxhash64("text").alias("th"), lines.alias("lines"))
 
 
