@@ -362,7 +362,20 @@ def sample_evenly(spark, sf_dir):
     return chunking.sample_evenly(rows, "role", "k", 25).select("role", "conv_id", "turn")
 
 
-@query()
+HIDDEN = "<!--.*?-->|" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in extract.Visible.HIDDEN)
+
+
+def _html_sql() -> str:
+    """For pages whose only entities are these four."""
+    text = f"regexp_replace(html, '(?s)(?:{HIDDEN}|<[^>]*>)+', chr(10), 'g')"
+    for name, c in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{c}', 'g')"
+    links = f"regexp_replace(regexp_replace({text}, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+    lines = f"array_to_string(list_transform(string_split(replace(replace({links}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {STRIP('x')}), chr(10))"
+    return f"WITH a AS (SELECT page_id, {lines} AS t FROM pages), b AS (SELECT page_id, {STRIP("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM a) SELECT page_id, CASE WHEN text = '' THEN 'no_text' ELSE 'success' END AS status, text FROM b"
+
+
+@query(_html_sql())
 def html_visible_text(spark, sf_dir):
     return extract.visible_text(table(spark, sf_dir, "pages"))
 
