@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Writes rows where all executors see them, and returns them read anew.
@@ -36,6 +36,22 @@ def written(rows: DataFrame) -> DataFrame:
 WITHIN = 33
 
 
+def ranged(rows: DataFrame, group: str, order: list[str], write: Write = written) -> DataFrame:
+    """rows with ``_part``, the range of (group, order) that each lies in: a window over (_part, group) never sees more than a range."""
+    return write(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def carried(parts: DataFrame, group: str, value: Column, name: str, preceding: bool) -> DataFrame:
+    """(_part, group, name): what the ranges before (or after) each one carry into it, of parts with a row for each group and range."""
+    beside = Window.partitionBy(group).orderBy("_part")
+    frame = beside.rowsBetween(Window.unboundedPreceding, -1) if preceding else beside.rowsBetween(1, 1)
+    return parts.select("_part", F.col(group).alias("_group"), (F.max(value) if preceding else F.first(value)).over(frame).alias(name))
+
+
+def with_carried(rows: DataFrame, other: DataFrame, group: str) -> DataFrame:
+    return rows.join(other.withColumnRenamed("_part", "_other"), (F.col("_part") == F.col("_other")) & F.col(group).eqNullSafe(F.col("_group")), "left").drop("_other", "_group")
+
+
 def positions(rows: DataFrame, order: list[str], group: list[str] | None = None, write: Write = written) -> DataFrame:
     """rows with ``at``, from 0 in the order of columns within each group (of all rows, without a group), and ``group_size``.
 

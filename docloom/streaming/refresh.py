@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.operators.tables import Write, written
+from docloom.operators.tables import Write, carried, ranged, with_carried, written
 
 MIN_GAP_S = 1800
 FALLBACK_S = 3 * 3600
@@ -207,17 +207,23 @@ def trigger_stream(events: DataFrame, key: str, ts: str, min_gap_s: int = MIN_GA
     return grouped.transformWithStateInPandas(Triggers(key, ts, min_gap_s, fallback_s), f"{key} long, event_id long, reason string, at timestamp", "Append", "EventTime")
 
 
-def needs_fallback(events: DataFrame, key: str, ts: str, gap_s: int = FALLBACK_S) -> DataFrame:
-    """Events after which nothing came for the fallback interval: a timed run is due."""
-    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, "event_id"))
-    rows = events.withColumns({"after": after, "due": F.col(ts) + F.make_interval(secs=F.lit(gap_s))})
-    return rows.where(F.col("after").isNull() | (F.col("after") > F.col("due"))).drop("after")
+def needs_fallback(events: DataFrame, key: str, ts: str, gap_s: int = FALLBACK_S, write: Write = written) -> DataFrame:
+    """Events after which nothing came for the fallback interval: a timed run is due. A key may span many ranges and tasks."""
+    rows = ranged(events, key, [ts, "event_id"], write)
+    firsts = rows.groupBy("_part", key).agg(F.min(ts).alias("first"))
+    near = F.lead(ts).over(Window.partitionBy("_part", key).orderBy(ts, "event_id"))
+    both = with_carried(rows.withColumn("_near", near), carried(firsts, key, F.col("first"), "_far", preceding=False), key)
+    after, due = F.coalesce("_near", "_far"), F.col(ts) + F.make_interval(secs=F.lit(gap_s))
+    return both.withColumn("due", due).where(after.isNull() | (after > F.col("due"))).drop("_part", "_near", "_far")
 
 
-def overlapping(runs: DataFrame) -> DataFrame:
-    """Runs (run_id, target, started, ended) that begin before an earlier run of their target has ended."""
-    before = F.max("ended").over(Window.partitionBy("target").orderBy("started", "run_id").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("busy_until", before).where(F.col("started") < F.col("busy_until"))
+def overlapping(runs: DataFrame, write: Write = written) -> DataFrame:
+    """Runs (run_id, target, started, ended) that begin before an earlier run of their target has ended. A target may span many ranges and tasks."""
+    rows = ranged(runs, "target", ["started", "run_id"], write)
+    ends = rows.groupBy("_part", "target").agg(F.max("ended").alias("ended"))
+    near = F.max("ended").over(Window.partitionBy("_part", "target").orderBy("started", "run_id").rowsBetween(Window.unboundedPreceding, -1))
+    both = with_carried(rows.withColumn("_near", near), carried(ends, "target", F.col("ended"), "_far", preceding=True), "target")
+    return both.withColumn("busy_until", F.greatest("_near", "_far")).where(F.col("started") < F.col("busy_until")).drop("_part", "_near", "_far")
 
 
 def latest(events: DataFrame, key: str, ts: str) -> DataFrame:

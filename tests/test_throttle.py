@@ -67,3 +67,28 @@ def test_triggers_of_a_stream_equal_the_batch(spark, tmp_path):
     due = {r["event_id"]: r["due"] for r in refresh.needs_fallback(events, "user_id", "ts").collect()}
     assert len(due) == sum(r["reason"] == "fallback" for r in got)
     assert {r["event_id"]: r["at"] for r in got if r["reason"] == "fallback"} == due
+
+
+def test_neighbours_across_ranges(spark):
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), start + timedelta(seconds=rng.randrange(0, 900_000)), i, rng.randrange(1, 4000)) for i in range(3000)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, n int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        due = {r["event_id"] for r in refresh.needs_fallback(events, "user_id", "ts", 2000).collect()}
+        runs = events.selectExpr("event_id AS run_id", "user_id AS target", "ts AS started", "ts + make_interval(0, 0, 0, 0, 0, 0, n) AS ended")
+        busy = {r["run_id"]: r["busy_until"] for r in refresh.overlapping(runs).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want_due, want_busy = set(), {}
+    for k in (1, 2, None):
+        own = sorted((t, i, n) for u, t, i, n in rows if u == k)
+        until = None
+        for (t, i, n), after in zip(own, [*own[1:], None], strict=True):
+            if after is None or after[0] > t + timedelta(seconds=2000):
+                want_due.add(i)
+            if until is not None and t < until:
+                want_busy[i] = until
+            until = max(until or t, t + timedelta(seconds=n))
+    assert due == want_due and busy == want_busy
