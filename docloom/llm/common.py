@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.tables import bounded  # noqa: F401  shared with the operators of this subpackage
+
 #: Fixed value: the word of every word-based contract, a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,18 +35,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Bytes of an Arrow batch, where the session does not say otherwise; Spark's own bound by rows lets long texts grow a batch without end.
-BATCH_BYTES = "8m"
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """docs, in a session that bounds the bytes that go to Python at a time (a longer row is a batch of its own)."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is None:
-        conf.set(key, BATCH_BYTES)
-    return docs
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``; on one machine (tests), where it is unset, one of this process."""
     sc = spark.sparkContext

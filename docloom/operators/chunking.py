@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.tables import Write, positions, written
+from docloom.operators.tables import PIECE_BYTES, Write, bounded, positions, written
 
 MAX_CHARS = 800
 OVERLAP = 100
@@ -84,13 +84,26 @@ def table_chunks(text: str, max_chars: int = MAX_CHARS) -> Iterator[Chunk]:
 
 
 def chunked(docs: DataFrame, split: Callable[[str], Iterator[Chunk]], key: str) -> DataFrame:
+    def batch(ids: list[int | None], found: list[Chunk]) -> pa.RecordBatch:
+        index, text, start, end = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int32()), pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "chunk_index", "text", "start_offset", "end_offset"])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of PIECE_BYTES characters at a time, however many a text or a batch of texts has."""
+        ids, found, size = [], [], 0
         for b in it:
-            found = [(i, *c) for i, t in enumerate(b.column(1)) if (x := t.as_py()) for c in split(x)]
-            row, index, text, start, end = zip(*found, strict=True) if found else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(index, pa.int32()), pa.array(text, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "chunk_index", "text", "start_offset", "end_offset"])
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col("text")).mapInArrow(batches, "id long, chunk_index int, text string, start_offset int, end_offset int").withColumnRenamed("id", key)
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                for c in split(t.as_py() or ""):
+                    ids.append(i.as_py())
+                    found.append(c)
+                    size += len(c[1])
+                    if size >= PIECE_BYTES:
+                        yield batch(ids, found)
+                        ids, found, size = [], [], 0
+        if found:
+            yield batch(ids, found)
+
+    return bounded(docs).select(F.col(key).cast("long").alias("id"), F.col("text")).mapInArrow(batches, "id long, chunk_index int, text string, start_offset int, end_offset int").withColumnRenamed("id", key)
 
 
 def chunk_text(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:

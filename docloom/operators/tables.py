@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,31 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, where the session does not say otherwise; Spark's own bound by rows lets long texts grow a batch without end.
+BATCH_BYTES = "8m"
+#: Bytes of texts that a Python task works on at a time, and characters that it gives back at a time.
+PIECE_BYTES = 1 << 20
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows, in a session that bounds the bytes that go to Python at a time (a longer row is a batch of its own)."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return rows
+
+
+def pieces(b: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of a text or binary column; a longer row is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < b.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
 #: Bits of a generated row number that count within its partition; the others are the partition.
 WITHIN = 33
 
