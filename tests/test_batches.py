@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from docloom.operators import chunking, tables
+from docloom.sources import extract
 
 
 class Taken:
@@ -38,3 +39,11 @@ def test_chunks_come_in_small_batches(spark, texts):
     assert len(out) > 1 and max(b.nbytes for b in out) < 2 * tables.PIECE_BYTES
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert rows == [(i, *c) for i, t in enumerate(texts) for c in chunking.text_chunks(t or "")]
+
+
+def test_files_are_read_in_small_pieces(spark):
+    taken, files = Taken(spark), [TEXT.encode()] * 1000 + [None]
+    extract.extract(taken)
+    n = len(files)
+    out = list(taken.f(iter([pa.RecordBatch.from_arrays([pa.array([f"{i}.txt" for i in range(n)]), pa.array([".txt"] * n), pa.array(files, pa.binary())], ["path", "ext", "content"])])))
+    assert len(out) > 1 and [r["text"] for b in out for r in b.to_pylist()] == [TEXT] * 1000 + [""]
