@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docloom.operators import search
-from docloom.operators.tables import Write, written
+from docloom.operators.tables import Write, bounded, pieces, written
 
 SCHEMA = "buckets int, bucket int, trigram string, document_id long, chunk_index int, version long, size int, positions array<int>"
 #: Code points for each of which a bucket is made, in powers of BASE, and the most powers.
@@ -36,7 +36,7 @@ def post(chunks: DataFrame, version: int, total: int = 0) -> DataFrame:
     """SCHEMA rows of chunks (document_id, chunk_index, text), whose sizes add up to about ``total``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (p for whole in it for p in pieces(whole, 2)):
             texts = [np.frombuffer(x.as_py().encode("utf-32-le"), np.uint32) for x in b.column(2)]
             lengths = np.array([len(x) for x in texts], np.int64)
             points = np.concatenate([*texts, np.zeros(2, np.uint32)]).astype(np.uint64)
@@ -57,7 +57,7 @@ def post(chunks: DataFrame, version: int, total: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), b.column(0).take(owner), b.column(1).take(owner), b.column(3).take(owner), places], ["trigram", "document_id", "chunk_index", "size", "positions"])
 
     rows = chunks.select(F.col("document_id").cast("long"), F.col("chunk_index").cast("int"), F.lower("text").alias("lowered"), search.trigrams(F.col("text")).cast("int").alias("size"))
-    found = rows.where(F.col("lowered").isNotNull()).mapInArrow(batches, "trigram string, document_id long, chunk_index int, size int, positions array<int>")
+    found = bounded(rows).where(F.col("lowered").isNotNull()).mapInArrow(batches, "trigram string, document_id long, chunk_index int, size int, positions array<int>")
     buckets = BASE ** powers(total)
     return found.withColumns({"version": F.lit(version).cast("long"), "buckets": F.lit(buckets), "bucket": bucket(F.col("trigram"), buckets)})
 

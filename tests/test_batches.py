@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from docloom.operators import chunking, tables
+from docloom.operators import chunking, postings, tables
 from docloom.sources import extract
 
 
@@ -41,6 +41,15 @@ def test_chunks_come_in_small_batches(spark, texts):
     assert rows == [(i, *c) for i, t in enumerate(texts) for c in chunking.text_chunks(t or "")]
 
 
+def test_postings_are_sorted_in_small_pieces(spark):
+    taken, texts = Taken(spark), [TEXT.lower()] * 2000
+    postings.post(taken, 1)
+    n = len(texts)
+    out = list(taken.f(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array(texts), pa.array([len(TEXT) - 2] * n, pa.int32())], ["document_id", "chunk_index", "lowered", "size"])])))
+    assert max(sum(len(p) for p in b.column(4).to_pylist()) for b in out) <= tables.PIECE_BYTES
+    assert sum(len(p) for b in out for p in b.column(4).to_pylist()) == n * (len(TEXT) - 2)
+
+
 def test_files_are_read_in_small_pieces(spark):
     taken, files = Taken(spark), [TEXT.encode()] * 1000 + [None]
     extract.extract(taken)
