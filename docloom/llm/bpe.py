@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, checkpoint, group_starts, grouped, let, text_buffer, text_bytes
+from docloom.llm.common import bounded, bucketed, group_starts, grouped, let, text_buffer, text_bytes
 
 #: Bytes of text whose distinct words are joined together.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 25
 #: Batches whose words are encoded together; bounds the places of a frequent word.
 SLICE_BATCHES = 1024
 #: Ranks are below it; an entry of the map holds a rank, whether it joins twins, and the first id.
@@ -256,7 +256,7 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_bytes: int = BATCH_BYTES, slice_batches: int = SLICE_BATCHES) -> DataFrame:
     """(doc_id, ids), a row for each row of docs; ids as an array."""
     known = tables(ranks)
-    parts = checkpoint(cut(docs, pattern, batch_bytes))
+    parts = bucketed(cut(docs, pattern, batch_bytes), "batch")
     packed = parts.where("words is not null").select("batch", F.col("doc_id").alias("n"), "words")
     slices_ = -(-packed.count() // slice_batches)
     rows = words_of(packed).withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(max(1, slices_))).cast("int"))

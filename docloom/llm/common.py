@@ -59,6 +59,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``written``, with the rows of a key in one bucket: grouped by it, they are read where they belong and not shuffled."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{checkpoint_folder(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 #: Estimated bytes up to which ``join_few`` broadcasts.
 BROADCAST_BYTES = 16 << 20
 

@@ -420,6 +420,13 @@ def test_bpe(spark, odd, none, name, batch_bytes, slice_batches):
     assert got(bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, batch_bytes, slice_batches), ranks), ranks)) == sorted(want, key=str)
 
 
+def test_bpe_batches_are_not_shuffled(spark):
+    """Only the ids of words are dealt by batch; the texts are read where they were written."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plan = bpe.encode(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), ranks, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(batch") == 1
+
+
 def test_bpe_refuses_other_ranks():
     ranks = {bytes([b]): b for b in range(256)}
     assert bpe.merges(ranks | {b"ab": 256, b"abc": 257}) == {(97, 98): 256, (256, 99): 257}
