@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, checkpoint, few, join_few, join_written, slices, text_buffer, text_bytes, written
+from docloom.llm.common import bounded, bucketed, checkpoint, few, join_few, join_written, slices, text_buffer, text_bytes, written
 
 #: Bytes of a gram; a key holds at most seven and a tag.
 ORDER = 5
@@ -45,8 +45,8 @@ PRIOR = 150
 #: Grams of a window that is tried for toxicity, and nats added to the quantile of held-out documents.
 WINDOW = 16
 TOXIC_MARGIN = 3.0
-#: Bytes of text whose distinct grams are looked up together.
-SLICE_BYTES = 1 << 24
+#: Bytes of text whose distinct grams are looked up together, and that are worked on at a time.
+SLICE_BYTES, BLOCK_BYTES = 1 << 25, 1 << 20
 
 
 @dataclass
@@ -97,7 +97,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
             for toxic in (False, True):
                 rows = b.filter(b.column(1) if toxic else pc.invert(b.column(1)))
                 data, offsets = text_buffer(rows.column(0))
-                for at, end in slices(offsets):
+                for at, end in slices(offsets, BLOCK_BYTES):
                     found = pa.array(grams(data, offsets[at : end + 1], order)[0]).value_counts()
                     none = pa.array(np.zeros(len(found), np.int64))
                     counts = [none, found.field("counts")] if toxic else [found.field("counts"), none]
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of rows with their packed texts and the number of their slice; after a slice, its packed distinct grams."""
-        squeeze, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
+        squeeze, number = zstandard.ZstdCompressor(level=5).compress, TaskContext.get().partitionId() << 32
         names, found, size = ["slice", "rows", "sizes", "packed"], [], 0
 
         def row(rows: pa.Array | None, sizes: np.ndarray, packed: bytes) -> pa.RecordBatch:
@@ -214,16 +214,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([number]), block, pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names)
 
         def last() -> pa.RecordBatch:
-            g = np.unique(np.concatenate(found))
+            g = found[0]
             return row(None, np.array([len(g)]), squeeze(np.diff(g, prepend=0).tobytes()))
 
         for b in it:
             data, offsets = text_buffer(b.column(3))
-            for at, end in slices(offsets):
+            for at, end in slices(offsets, BLOCK_BYTES):
                 if size and size + offsets[end] - offsets[at] > SLICE_BYTES:
                     yield last()
                     number, found, size = number + 1, [], 0
-                found.append(np.unique(grams(data, offsets[at : end + 1], order)[0]))
+                for i, j in slices(offsets[at : end + 1], BLOCK_BYTES // 4):
+                    found.append(np.unique(grams(data, offsets[at + i : at + j + 1], order)[0]))
+                found = [np.unique(np.concatenate(found))]
                 size += int(offsets[end] - offsets[at])
                 rows = pa.StructArray.from_arrays([b.column(k)[at:end] for k in range(3)], fields=list(ROW))
                 yield row(rows, np.diff(offsets[at : end + 1]), squeeze(data[offsets[at] : offsets[end]].tobytes()))
@@ -238,21 +240,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), s)), pa.array(g)], ["slice", "gram"])
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed values of each slice in a batch."""
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        """Packed values of each slice in a batch, all first bytes before all second ones and so on."""
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in it:
             s, g, a_, b_ = (c.to_numpy() for c in b.columns)
             by = np.lexsort((g, s))
             for part in np.split(by, np.flatnonzero(np.diff(s[by])) + 1):
                 if len(part):
-                    packed = squeeze(np.diff(g[part], prepend=0).tobytes() + a_[part].tobytes() + b_[part].tobytes())
+                    values = np.stack([np.diff(g[part], prepend=0), a_[part].view(np.int64), b_[part].view(np.int64)])
+                    packed = squeeze(values.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([s[part[0]]]), pa.array([len(part)], pa.int64()), pa.array([packed], pa.binary())], ["slice", "n", "packed"])
 
     def add(texts: pa.Table, values: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
-        known = [np.frombuffer(expand(x.as_py()), np.int64).reshape(3, -1) for x in values.column("packed")]
+        planes = (np.frombuffer(expand(x.as_py()), np.uint8).reshape(3, 8, -1) for x in values.column("packed"))
+        known = [np.ascontiguousarray(x.transpose(0, 2, 1)).view(np.int64)[:, :, 0] for x in planes]
         gram = np.concatenate([np.cumsum(x[0]) for x in known] or [np.empty(0, np.int64)])
-        a, b = (np.concatenate([x[k].view(np.float64) for x in known] or [np.empty(0)]) for k in (1, 2))
+        a, b = (np.concatenate([np.ascontiguousarray(x[k]).view(np.float64) for x in known] or [np.empty(0)]) for k in (1, 2))
         by = np.argsort(gram)
         gram, a, b = gram[by], a[by], b[by]
         out = []
@@ -262,7 +266,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out.append(pa.table({**{f.name: own.field(f.name) for f in ROW}, "n": pa.array(n), "loss": pa.array(loss), "toxicity": pa.array(toxicity)}))
         return pa.concat_tables(out)
 
-    parts = written(rows.mapInArrow(cut, "slice long, rows array<struct<doc_id:long,lang:string,th:long>>, sizes array<long>, packed binary"))
+    parts = bucketed(rows.mapInArrow(cut, "slice long, rows array<struct<doc_id:long,lang:string,th:long>>, sizes array<long>, packed binary"), "slice")
     needs = parts.where("rows is null").select("slice", "packed").mapInArrow(unpack, "slice long, gram long")
     values = written(log_probabilities(written(needs.select("gram").distinct()), model))
     of_slice = needs.join(values, "gram").select("slice", "gram", "a", "b").mapInArrow(deal, "slice long, n long, packed binary")

@@ -618,6 +618,13 @@ def test_kneser_ney_equals_brute_force(spark, order):
         assert abs(sum(np.exp(r["a"]) for r in kneser_ney.log_probabilities(context, model).collect()) - 1) < 1e-9
 
 
+def test_slices_are_not_shuffled(spark):
+    """Only the values of grams are dealt by slice; the texts are read where they were written."""
+    model = kneser_ney.train(spark.createDataFrame([("abracadabra", False)], "text string, toxic boolean"))
+    plan = kneser_ney.score(spark.createDataFrame([(1, "en", "abra"), (2, None, None)], "doc_id long, lang string, text string"), model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slice") == 1
+
+
 def test_classifier_languages_labels_and_odd_rows(spark, odd, none):
     """Few held-out documents of a language: the quantile of all; contradicting labels train nothing; nulls and empty texts are kept."""
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, 1, 0), (4, None, None), (5, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
