@@ -2,9 +2,9 @@
 
 Texts are split into words by the tokenizer's pattern, and the distinct words of batches of texts meet by a shuffle.
 Each distinct word (of ``SLICE_BATCHES`` batches) is encoded once, by Spark higher-order functions: a word is an array of bytes over
-which ``aggregate`` folds the merges, each step joining all pairs of the least rank, which a literal map of ranks
+which ``aggregate`` folds the merges, each step joining all pairs of the least rank, which a map of ranks
 gives; the ids are joined back to the words of each batch, and the batch puts them in the order of its texts. Decoding
-concatenates the binary pieces of the ids, from a literal list.
+concatenates the binary pieces of the ids, from a list. Map and list are scalar subqueries.
 
 The rank map holds, for each mergeable pair of ids, the id of the joined piece. Ranks are those of a trained BPE: the
 bytes of every piece merge, by lower ranks, into two pieces. Then a pair can only be of those two, joining a pair never
@@ -19,7 +19,6 @@ repeated rows and empty tables are no special case. The rank file is a parameter
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, bucketed, group_starts, grouped, let, text_buffer, text_bytes
@@ -89,24 +88,23 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
     return [entries.get(i) for i in range(max(taken.rfind(1), 0) + 1)], offsets
 
 
-def literal(text: str, kind: str) -> Column:
-    return F.from_json(F.lit(text), f"array<{kind}>")
-
-
 @lru_cache(maxsize=1)
-def literals(ranks: tuple[tuple[bytes, int], ...]) -> dict[str, str]:
-    """The literals of a rank table as JSON; made once for a table, since they take seconds and plans hold them."""
+def columns(ranks: tuple[tuple[bytes, int], ...]) -> dict[str, pa.Array]:
     of = dict(ranks)
     entries, offsets = rank_map(of)
     pieces = [""] * (max(of.values(), default=-1) + 1)
     for piece, rank in of.items():
         pieces[rank] = piece.hex()
-    show = lambda values: json.dumps(values, separators=(",", ":"))
-    return {"entries": show(entries), "offsets": show(offsets), "bytes": show([of[bytes([b])] for b in range(256)]), "pieces": show(pieces), "words": show([i.to_bytes(4, "little").hex() for i in range(len(pieces))])}
+    longs = lambda values: pa.array([values], pa.list_(pa.int64()))
+    texts = lambda values: pa.array([values], pa.list_(pa.string()))
+    return {"entries": longs(entries), "offsets": longs(offsets), "byte_ids": longs([of[bytes([b])] for b in range(256)]), "pieces": texts(pieces), "words": texts([i.to_bytes(4, "little").hex() for i in range(len(pieces))])}
 
 
-def tables(ranks: dict[bytes, int]) -> dict[str, str]:
-    return literals(tuple(ranks.items()))
+def with_arrays(df: DataFrame, ranks: dict[bytes, int], *names: str) -> DataFrame:
+    """df with arrays that are made from the ranks, as scalar subqueries: literals would be written out in every description of a
+    plan, which the driver keeps. A following select that names each of them once takes them in, so that no row holds them."""
+    known = columns(tuple(ranks.items()))
+    return df.select("*", *[df.sparkSession.createDataFrame(pa.table({name: known[name]})).scalar().alias(name) for name in names])
 
 
 def fold(word: Column, entries: Column, offsets: Column, byte_ids: Column) -> Column:
@@ -255,23 +253,22 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_bytes: int = BATCH_BYTES, slice_batches: int = SLICE_BATCHES) -> DataFrame:
     """(doc_id, ids), a row for each row of docs; ids as an array."""
-    known = tables(ranks)
     parts = bucketed(cut(docs, pattern, batch_bytes), "batch")
     packed = parts.where("words is not null").select("batch", F.col("doc_id").alias("n"), "words")
     slices_ = -(-packed.count() // slice_batches)
     rows = words_of(packed).withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(max(1, slices_))).cast("int"))
     words = rows.repartition("part", "word").sortWithinPartitions("part", "word").select("part", "word", "batch", "at").mapInArrow(gathered, "bytes array<smallint>, places array<struct<batch:long,at:int>>")
-    folded = let(literal(known["entries"], "bigint"), lambda e: let(literal(known["offsets"], "bigint"), lambda o: let(literal(known["bytes"], "bigint"), lambda b: fold(F.col("bytes"), e, o, b))))
-    of_batch = words.select(folded.alias("ids"), "places").mapInArrow(dealt, "batch long, packed binary")
+    folded = let(F.col("entries"), lambda e: let(F.col("offsets"), lambda o: let(F.col("byte_ids"), lambda b: fold(F.col("bytes"), e, o, b))))
+    of_batch = with_arrays(words, ranks, "entries", "offsets", "byte_ids").select(folded.alias("ids"), "places").mapInArrow(dealt, "batch long, packed binary")
     return parts.where("text is not null").select("batch", "doc_id", "text").groupBy("batch").cogroup(of_batch.groupBy("batch")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded (doc_id, ids) with ``decoded``, the bytes of the ids."""
-    return encoded.withColumn("decoded", let(literal(tables(ranks)["pieces"], "string"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))))
+    return with_arrays(encoded, ranks, "pieces").select(*encoded.columns, let(F.col("pieces"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))).alias("decoded"))
 
 
 def digests(decoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded); ids are hashed as little-endian unsigned 32-bit integers."""
-    little = let(literal(tables(ranks)["words"], "string"), lambda w: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(w, i)), "")))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    little = let(F.col("words"), lambda w: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(w, i)), "")))
+    return with_arrays(decoded, ranks, "words").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -708,3 +708,11 @@ def test_pipeline_of_an_empty_table(spark, none, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_plans_do_not_hold_the_ranks(spark):
+    """The driver keeps descriptions of plans; written out, the arrays of a rank table take megabytes in each."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    out = bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks), ranks)
+    assert out.count() == 2 and len(out._jdf.queryExecution().toString()) < 100_000
