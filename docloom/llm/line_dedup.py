@@ -12,8 +12,8 @@ in no other such text, much of the text is its own, and it is a family by itself
 only where little else is in them. Other texts are kin if they have two of their four least voices in common, and take the least voice
 among their kin, and among the kin of their kin. So copies, however many and wherever edited, are one family or few.
 
-Texts are tokenised once, into a row of hashes for each document, and those with such templates once more; what else is shuffled are
-the different texts of a template, their voices, and the lines of leaves with several lines.
+Lines are hashed once, into a row for each document. Only lines of leaves with several lines, and texts with such templates, are read and
+tokenised once more. What else is shuffled are the different texts of a template, their voices, and those lines.
 
 Cases: lines without a token are never dropped; a null text stays null; a text may become empty; repeated rows count
 once and are all cleaned; null ids are ids like others; an empty table gives an empty result; a column that is called
@@ -35,18 +35,26 @@ PER_FAMILY = 200
 VOICES = 32
 KIN_VOICES = 4
 SHINGLE = 3
+#: A power of two.
 EVERY = 4
 #: Lines of a leaf below which it has no template.
 MIN_LINES = 5
 FIELD = "<*>"
 #: One by one, which Java tests faster than ranges.
-SPACE, DIGIT = r"\x20\x09\x0A\x0B\x0C\x0D", "0123456789"
+DIGIT, SPACE, OTHER_SPACE = "0123456789", r"\x20\x09\x0A\x0B\x0C\x0D", r"\x09\x0B\x0C\x0D"
+
+
+def plain_lines(text: Column) -> Column:
+    """The tokens of each line of a text, variable fields generalised, with one blank between them; most lines are so already."""
+    field = f"(?<![^{SPACE}])[^{SPACE}{DIGIT}]*+[{DIGIT}][^{SPACE}]*+"  # from the first character of a token to its last one
+    clean = F.when(text.rlike(f"[{DIGIT}{OTHER_SPACE}]"), F.regexp_replace(F.regexp_replace(text, f"[{OTHER_SPACE}]", " "), field, FIELD)).otherwise(text)
+    blanks = lambda x: F.concat(F.lit(" "), x, F.lit(" ")).contains("  ")
+    return F.transform(F.split(clean, "\n"), lambda x: F.when(blanks(x), F.array_join(F.array_remove(F.split(x, " "), ""), " ")).otherwise(x))
 
 
 def tokens(line: Column) -> Column:
-    """The tokens of a line, variable fields generalised."""
-    masked = F.when(line.rlike(f"[{DIGIT}]"), F.regexp_replace(line, f"[^{SPACE}{DIGIT}]*[{DIGIT}][^{SPACE}]*", FIELD)).otherwise(line)
-    return F.array_remove(F.split(masked, f"[{SPACE}]+"), "")
+    """The tokens of a line of ``plain_lines`` that has some."""
+    return F.split(line, " ")
 
 
 def voices(words: Column) -> Column:
@@ -54,26 +62,39 @@ def voices(words: Column) -> Column:
     word has a first character and a length that sum up to a multiple of ``EVERY``; over all shingles if those are fewer than VOICES."""
 
     def of(ws: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0)))
-        some = F.filter(places, lambda i: let(F.get(ws, i), lambda w: (F.ascii(w) + F.length(w)) % EVERY == 0))
-        hashes = lambda at: F.transform(at, lambda i: F.md5(F.concat_ws(" ", *[F.get(ws, i + k) for k in range(SHINGLE)])))
-        all_ = let(some, lambda x: F.when(F.size(x) < VOICES, hashes(places)).otherwise(hashes(x)))
-        return F.transform(F.slice(F.array_sort(F.array_distinct(all_)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
+        first = F.slice(ws, 1, F.greatest(F.size(ws) - SHINGLE + 1, F.lit(1)))
+        after = lambda i: [F.get(ws, i + k) for k in range(1, SHINGLE)]
+        whole = lambda w, i: F.concat(w, *[x for word in after(i) for x in (F.lit(" "), word)])  # noqa: E731  null in a text of fewer words
+        some = F.filter(F.transform(first, lambda w, i: F.when((F.ascii(w) + F.length(w)).bitwiseAND(F.lit(EVERY - 1)) == 0, F.md5(whole(w, i)))), lambda h: h.isNotNull())
+        hashes = let(some, lambda x: F.when(F.size(x) < VOICES, F.transform(first, lambda w, i: F.md5(F.concat_ws(" ", w, *after(i))))).otherwise(x))
+        return F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, VOICES), lambda h: F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
 
     return let(words, lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(of(ws)))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(th, lines) of each text, lines as (at, leaf, own, words): hashes of the leaf, of the line and of its tokens."""
-    line = lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)).alias("leaf"), F.xxhash64(w).alias("own"), F.transform(w, lambda t: F.hash(t)).alias("words"))
-    lines = F.filter(F.transform(F.transform(F.split("text", "\n"), tokens), line), lambda x: F.size(x["words"]) > 0)  # tokens of a line are made once
+    """(th, lines) of each text, lines with tokens as (at, leaf, own): hashes of the leaf and of the line."""
+
+    def line(x: Column, i: Column) -> Column:
+        return F.when(x != "", F.struct(i.alias("at"), F.xxhash64(F.size(tokens(x)), F.substring_index(x, " ", DEPTH)).alias("leaf"), F.xxhash64(x).alias("own")))
+
+    lines = F.filter(F.transform(plain_lines(F.col("text")), line), lambda x: x.isNotNull())
     return docs.where("text is not null").select(F.xxhash64("text").alias("th"), lines.alias("lines"))
 
 
+def worded(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(th, at, leaf, words) of the lines spots (th, at, leaf) of over DEPTH tokens, each once: hashes of their tokens."""
+    of = written(spots.groupBy("th").agg(F.collect_set(F.struct("at", "leaf")).alias("spots")))
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").join(few(of), "th")
+    words = lambda x: F.transform(tokens(x), lambda t: F.hash(t))
+    found = let(plain_lines(F.col("text")), lambda lines: F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["leaf"].alias("leaf"), words(F.get(lines, s["at"])).alias("words"))))
+    return texts.select("th", F.explode(found).alias("x")).select("th", "x.at", "x.leaf", "x.words").where(F.size("words") > DEPTH).dropDuplicates(["th", "at"])
+
+
 def heard(docs: DataFrame, speakers: DataFrame) -> DataFrame:
     """(th, voices) of the texts among speakers (th), each text once."""
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").join(few(speakers), "th", "left_semi")
-    words = F.flatten(F.transform(F.split("text", "\n"), tokens))
+    words = F.flatten(F.transform(F.filter(plain_lines(F.col("text")), lambda x: x != ""), tokens))
     return written(texts.select("th", voices(words).alias("voices")).dropDuplicates(["th"]))
 
 
@@ -94,11 +115,11 @@ def families(texts: DataFrame) -> DataFrame:
     return own.unionByName(of.select("th", F.struct(F.lit(False).alias("own"), F.col("family").alias("of")).alias("family")))
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
-    """(th, at, leaf) of lines (th, at, leaf, own, words) that belong to the template of their leaf."""
+def leaf_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(th, at, leaf) of the lines (th, at, leaf, own) of docs that belong to the template of their leaf."""
     different = lines.groupBy("leaf", "own", "th", "at").agg(F.count(F.lit(1))).groupBy("leaf", "own")  # equal texts count once
     several = different.agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owns")).where((F.col("n") >= MIN_LINES) & (F.col("owns") > 1)).select("leaf")
-    found = written(join_few(lines, several, "leaf").where(F.size("words") > DEPTH).select("th", "at", "leaf", "words").dropDuplicates(["th", "at"]))
+    found = written(worded(docs, join_few(lines, several, "leaf").select("th", "at", "leaf")))
     counts = found.select("leaf", F.posexplode("words").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= CONSTANT * F.col("all"), F.col("top.token"))
@@ -111,8 +132,8 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
     """(th, places) of the texts that have lines to drop; th is the text's hash."""
     texts = written(parsed(docs))
-    lines = texts.select("th", F.explode("lines").alias("x")).select("th", "x.at", "x.leaf", "x.own", "x.words")
-    general = leaf_templates(lines)
+    lines = texts.select("th", F.explode("lines").alias("x")).select("th", "x.at", "x.leaf", "x.own")
+    general = leaf_templates(docs, lines)
     of = lines.select("th", "at", "own").distinct().join(general, ["th", "at"], "left").select("th", "at", F.coalesce("leaf", "own").alias("template"))
     of = written(of.groupBy("th", "template").agg(F.collect_set("at").alias("places")))
     often = of.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_families).select("template")

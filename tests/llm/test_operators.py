@@ -716,3 +716,23 @@ def test_plans_do_not_hold_the_ranks(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     out = bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks), ranks)
     assert out.count() == 2 and len(out._jdf.queryExecution().toString()) < 100_000
+
+
+def test_lines_with_other_spaces(spark):
+    """Lines are equal if their tokens are, whatever white space lies between them; fields with digits are masked as whole tokens."""
+    rng = random.Random(21)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    spaces = [" ", "\t", "  ", "\x0b", "\f", "\r", " \t ", "\r\r"]
+    docs = [(i, f"{own()}\n{s}the{s}page no{'é' * i}{i}x{s}ends here{s}\n{own()}") for i, s in enumerate(spaces)]
+    kept = piped_lines(spark, docs)
+    assert kept == {i: "\n".join(t.split("\n")[::2]) for i, t in docs}
+
+
+def test_lines_that_are_long_words(spark):
+    """Masking is linear in the length of a word; it was quadratic in a line with a digit."""
+    import time
+
+    docs = [(i, f"{'x' * 400_000} {i}") for i in range(2)]
+    began = time.time()
+    assert piped_lines(spark, docs) == dict(docs)
+    assert time.time() - began < 60
