@@ -45,8 +45,12 @@ PRIOR = 150
 #: Grams of a window that is tried for toxicity, and nats added to the quantile of held-out documents.
 WINDOW = 16
 TOXIC_MARGIN = 3.0
-#: Bytes of text whose distinct grams are looked up together, and that are worked on at a time.
+#: Bytes of text whose distinct grams are looked up together, and that are packed together.
 SLICE_BYTES, BLOCK_BYTES = 1 << 25, 1 << 20
+#: A slice ends at so many distinct grams, whatever its bytes.
+SLICE_GRAMS = 1 << 20
+#: Bytes of text whose grams are made at a time; a gram takes some 100 bytes of arrays while it is worked on.
+GRAM_BYTES = 1 << 18
 
 
 @dataclass
@@ -76,16 +80,17 @@ def key(kind: int, k: Column | int, gram: Column) -> Column:
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The grams of rows offsets[i]:offsets[i + 1] as numbers, and where each row's begin."""
     base = int(offsets[0])
-    text = data[base : offsets[-1]].astype(np.int64)
+    text = data[base : offsets[-1]]
     n = max(0, len(text) - order + 1)
     g = np.zeros(n, np.int64)
     for k in range(order):
-        g = g << 8 | text[k : k + n]
+        g <<= 8
+        g |= text[k : k + n]
     ends = np.maximum(offsets[1:] - base - order + 1, offsets[:-1] - base)
-    inside = np.zeros(len(text) + 1, np.int64)
+    inside = np.zeros(len(text) + 1, np.int32)
     np.add.at(inside, offsets[:-1] - base, 1)
     np.add.at(inside, ends, -1)
-    kept = np.cumsum(inside)[:n] > 0
+    kept = np.cumsum(inside, dtype=np.int32)[:n] > 0
     return g[kept], np.concatenate(([0], np.cumsum(ends - (offsets[:-1] - base))))
 
 
@@ -98,10 +103,12 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
                 rows = b.filter(b.column(1) if toxic else pc.invert(b.column(1)))
                 data, offsets = text_buffer(rows.column(0))
                 for at, end in slices(offsets, BLOCK_BYTES):
-                    found = pa.array(grams(data, offsets[at : end + 1], order)[0]).value_counts()
+                    made = [grams(data, offsets[at + i : at + j + 1], order)[0] for i, j in slices(offsets[at : end + 1], GRAM_BYTES)]
+                    found = pa.chunked_array(made, pa.int64()).value_counts()
                     none = pa.array(np.zeros(len(found), np.int64))
                     counts = [none, found.field("counts")] if toxic else [found.field("counts"), none]
                     yield pa.RecordBatch.from_arrays([found.field("values"), *counts], ["gram", "a", "b"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, and with it what counting took
 
     rows = bounded(texts).select(text_bytes().alias("text"), "toxic").mapInArrow(batches, "gram long, a long, b long")
     return rows.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -220,10 +227,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in it:
             data, offsets = text_buffer(b.column(3))
             for at, end in slices(offsets, BLOCK_BYTES):
-                if size and size + offsets[end] - offsets[at] > SLICE_BYTES:
+                if size and (size + offsets[end] - offsets[at] > SLICE_BYTES or len(found[0]) > SLICE_GRAMS):
                     yield last()
                     number, found, size = number + 1, [], 0
-                for i, j in slices(offsets[at : end + 1], BLOCK_BYTES // 4):
+                for i, j in slices(offsets[at : end + 1], GRAM_BYTES):
                     found.append(np.unique(grams(data, offsets[at + i : at + j + 1], order)[0]))
                 found = [np.unique(np.concatenate(found))]
                 size += int(offsets[end] - offsets[at])
@@ -261,9 +268,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         gram, a, b = gram[by], a[by], b[by]
         out = []
         for rows, sizes, packed in zip(texts.column("rows"), texts.column("sizes"), texts.column("packed"), strict=True):
-            n, loss, toxicity = summed(np.frombuffer(expand(packed.as_py()), np.uint8), np.concatenate(([0], np.cumsum(sizes.as_py()))).astype(np.int64), order, gram, a, b)
-            own = rows.values
-            out.append(pa.table({**{f.name: own.field(f.name) for f in ROW}, "n": pa.array(n), "loss": pa.array(loss), "toxicity": pa.array(toxicity)}))
+            data, offsets = np.frombuffer(expand(packed.as_py()), np.uint8), np.concatenate(([0], np.cumsum(sizes.values.to_numpy()))).astype(np.int64)
+            for i, j in slices(offsets, GRAM_BYTES):
+                n, loss, toxicity = summed(data, offsets[i : j + 1], order, gram, a, b)
+                own = rows.values.slice(i, j - i)
+                out.append(pa.table({**{f.name: own.field(f.name) for f in ROW}, "n": pa.array(n), "loss": pa.array(loss), "toxicity": pa.array(toxicity)}))
         return pa.concat_tables(out)
 
     parts = bucketed(rows.mapInArrow(cut, "slice long, rows array<struct<doc_id:long,lang:string,th:long>>, sizes array<long>, packed binary"), "slice")

@@ -1,8 +1,14 @@
 """What a Python task works on and gives back at a time is bounded by bytes, however large its batches and texts are."""
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from docloom.llm import kneser_ney
 from docloom.operators import chunking, postings, tables
 from docloom.sources import extract
 
@@ -56,3 +62,40 @@ def test_files_are_read_in_small_pieces(spark):
     n = len(files)
     out = list(taken.f(iter([pa.RecordBatch.from_arrays([pa.array([f"{i}.txt" for i in range(n)]), pa.array([".txt"] * n), pa.array(files, pa.binary())], ["path", "ext", "content"])])))
     assert len(out) > 1 and [r["text"] for b in out for r in b.to_pylist()] == [TEXT] * 1000 + [""]
+
+
+def test_kernels_of_the_classifier_hold_little(spark, monkeypatch):
+    """Arrays of grams are those of a quarter of a megabyte of text, and a slice ends at a number of distinct grams."""
+
+    class All(Taken):
+        def mapInArrow(self, f, schema):  # noqa: N802
+            self.all = [*self.__dict__.get("all", []), f]
+            return self
+
+        applyInArrow = mapInArrow  # noqa: N815
+
+    def most(f):
+        tracemalloc.start()
+        out = f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    for name in ("bucketed", "written", "log_probabilities"):
+        monkeypatch.setattr(kneser_ney, name, lambda rows, *_: rows)
+    monkeypatch.setattr(kneser_ney, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    counted, scored = All(spark), All(spark)
+    kneser_ney.count_grams(counted, 5)
+    kneser_ney.score(scored, SimpleNamespace(order=5))
+    cut, unpack, deal, add = scored.all
+    texts = [(TEXT + str(i)).encode() for i in range(2000)]
+    n, peak = most(lambda: sum(pc.sum(b.column(1)).as_py() for b in counted.all[0](iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * 2000)], ["text", "toxic"])]))))
+    assert n == sum(len(t) - 4 for t in texts) and peak < 32 << 20
+    of = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.nulls(len(texts), pa.string()), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "lang", "th", "text"])
+    parts = pa.Table.from_batches(cut(iter([of(texts)])))
+    needs = pa.Table.from_batches(unpack(parts.filter(pc.is_null(parts.column("rows"))).select(["slice", "packed"]).to_batches()))
+    values = needs.append_column("a", pa.array([-1.0] * len(needs))).append_column("b", pa.array([-2.0] * len(needs)))
+    got, peak = most(lambda: add(parts.filter(pc.is_valid(parts.column("rows"))), pa.Table.from_batches(deal(values.to_batches()))))
+    assert [(r["doc_id"], r["n"], r["loss"], r["toxicity"]) for r in got.to_pylist()] == [(i, len(t) - 4, len(t) - 4, -1) for i, t in enumerate(texts)] and peak < 32 << 20
+    noise = [np.random.default_rng(i).bytes(1 << 14) for i in range(256)]
+    assert len(set(pa.Table.from_batches(cut(iter([of(noise)]))).column("slice").to_pylist())) > 1
