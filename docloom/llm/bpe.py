@@ -19,11 +19,13 @@ repeated rows and empty tables are no special case. The rank file is a parameter
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -34,6 +36,8 @@ from docloom.llm.common import bounded, bucketed, group_starts, grouped, let, te
 
 #: Bytes of text whose distinct words are joined together.
 BATCH_BYTES = 1 << 25
+#: Words of texts that are held, packed and given back at a time, and ids of texts that are put together; bytes beyond which a text is by itself.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 16, 1 << 20
 #: Batches whose words are encoded together; bounds the places of a frequent word.
 SLICE_BATCHES = 1024
 #: Ranks are below it; an entry of the map holds a rank, whether it joins twins, and the first id.
@@ -145,34 +149,89 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+class Batch:
+    """The texts of a batch as numbers of their words, packed a block at a time, and its different words.
+
+    Words are Python strings in the block that is being filled only; the others lie in one Arrow array.
+    """
+
+    def __init__(self, number: int, pattern: regex.Pattern):
+        self.number, self.pattern, self.size = number, pattern, 0
+        self.known, self.seen = pa.array([], pa.binary()), np.empty(0, np.int64)
+        self.blocks: list[tuple[list[int | None], list[int], bytes]] = []  # ids, where texts after the first begin, packed numbers
+        self.ids, self.ends, self.words = [], [], []
+        self.squeeze, self.expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+    def add(self, doc_id: int | None, raw: bytes) -> None:
+        text = raw.decode("utf-8", "replace")
+        self.size += len(raw)
+        if len(raw) > BLOCK_BYTES:  # a block by itself; its words are never all there
+            self.close()
+            self.pack([doc_id], [], (m[0] for m in self.pattern.finditer(text)))
+            return
+        self.words += self.pattern.findall(text)
+        self.ids.append(doc_id)
+        self.ends.append(len(self.words))
+        if len(self.words) >= BLOCK_WORDS:
+            self.close()
+
+    def close(self) -> None:
+        if self.ids:
+            self.pack(self.ids, self.ends[:-1], self.words)
+            self.ids, self.ends, self.words = [], [], []
+
+    def pack(self, ids: list[int | None], stops: list[int], words: Iterable[str]) -> None:
+        numbers = [self.numbered(w) for w in batched(words, BLOCK_WORDS)]
+        self.blocks.append((ids, stops, self.squeeze(planes(np.concatenate(numbers) if numbers else np.empty(0, np.int32)))))
+
+    def numbered(self, words: tuple[str, ...]) -> np.ndarray:
+        """Numbers of words, in the order in which they were first seen."""
+        coded = pa.array(words, pa.string()).cast(pa.binary()).dictionary_encode()
+        own, n = coded.dictionary, len(self.known)
+        found = pc.fill_null(pc.index_in(self.known, value_set=own), -1).to_numpy()
+        number, known = np.full(len(own), -1, np.int32), np.flatnonzero(found >= 0)
+        number[found[known]] = known
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(n, n + len(new))
+        at = coded.indices.to_numpy()
+        self.known = pa.concat_arrays([self.known, own.take(pa.array(new))])
+        self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+        self.seen[number] += np.bincount(at, minlength=len(own))
+        return number[at]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.close()
+        often = np.argsort(-self.seen, kind="stable")
+        number = np.empty(len(often), np.int32)  # frequent words have small numbers, which pack well
+        number[often] = np.arange(len(often), dtype=np.int32)
+        for ids, stops, packed in self.blocks:
+            texts = np.split(number[from_planes(self.expand(packed))], stops)
+            yield self.of(ids, None, [self.squeeze(planes(t)) for t in texts])
+        data, offsets = text_buffer(self.known.take(pa.array(often)))
+        yield self.of([len(often)], self.squeeze(np.diff(offsets).astype(np.int32).tobytes() + data[offsets[0] : offsets[-1]].tobytes()), [None])
+
+    def of(self, ids: list[int | None], words: bytes | None, texts: list[bytes | None]) -> pa.RecordBatch:
+        columns = [pa.array([self.number] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([words] * len(ids), pa.binary()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "doc_id", "words", "text"])
+
+
 def cut(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
     """Rows (batch, doc_id, words, text): the texts of a batch as packed numbers of words, then its packed different words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
-        batch, ids, texts, index, size = TaskContext.get().partitionId() << 24, [], [], {}, 0
-
-        def flush() -> pa.RecordBatch:
-            often = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(index)), kind="stable")
-            number = np.empty(len(index), np.int32)  # frequent words have small numbers, which pack well
-            number[often] = np.arange(len(index), dtype=np.int32)
-            known = [w.encode() for w in index]
-            known = [known[i] for i in often.tolist()]
-            words = squeeze(np.fromiter(map(len, known), np.int32, len(known)).tobytes() + b"".join(known))
-            packed = [squeeze(planes(number[t])) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array([batch] * (len(ids) + 1), pa.int64()), pa.array([*ids, len(index)], pa.int64()), pa.array([None] * len(ids) + [words], pa.binary()), pa.array([*packed, None], pa.binary())], ["batch", "doc_id", "words", "text"])
-
+        split = regex.compile(pattern)
+        batch = Batch(TaskContext.get().partitionId() << 24, split)
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_py()
-                if size and size + len(raw) > batch_bytes:
-                    yield flush()
-                    batch, ids, texts, index, size = batch + 1, [], [], {}, 0
-                ids.append(doc_id)
-                texts.append(np.array([index.setdefault(w, len(index)) for w in split(raw.decode("utf-8", "replace"))], np.int32))
-                size += len(raw)
-        if ids:
-            yield flush()
+                if batch.size and batch.size + len(raw) > batch_bytes:
+                    yield from batch.rows()
+                    batch = Batch(batch.number + 1, split)
+                batch.add(doc_id, raw)
+        if batch.ids or batch.blocks:
+            yield from batch.rows()
+        del batch
+        pa.default_memory_pool().release_unused()  # the worker lives on, and with it what cutting took
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     return rows.mapInArrow(batches, "batch long, doc_id long, words binary, text binary")
@@ -241,14 +300,24 @@ def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
     at, sizes, ids = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (at, sizes, ids))
     size, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     size[at], start[at] = sizes, np.cumsum(sizes) - sizes
-    out = []
-    for x in texts.column("text"):
+    out, ends, parts = [], [0], []
+    ids_of = texts.column("doc_id").combine_chunks()
+
+    def part(last: int) -> pa.RecordBatch:
+        first = sum(p.num_rows for p in parts)
+        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
+        return pa.RecordBatch.from_arrays([ids_of.slice(first, last - first), own], ["doc_id", "ids"])
+
+    for k, x in enumerate(texts.column("text"), 1):
         own = from_planes(expand(x.as_py()))
         n = size[own]
-        ends = np.cumsum(n)
-        out.append(ids[np.arange(ends[-1] if len(n) else 0) + np.repeat(start[own] - (ends - n), n)])
-    offsets = np.cumsum([0, *map(len, out)])
-    return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(out) if out else [], pa.int32()))})
+        stops = np.cumsum(n)
+        out.append(ids[np.arange(stops[-1] if len(n) else 0) + np.repeat(start[own] - (stops - n), n)])
+        ends.append(ends[-1] + len(out[-1]))
+        if ends[-1] >= BLOCK_WORDS:
+            parts.append(part(k))
+            out, ends = [], [0]
+    return pa.Table.from_batches([*parts, part(len(ids_of))])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_bytes: int = BATCH_BYTES, slice_batches: int = SLICE_BATCHES) -> DataFrame:

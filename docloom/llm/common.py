@@ -147,8 +147,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 
-#: Bytes of text that the array kernels take at a time; bounds their memory.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that the array kernels take at a time; bounds their memory, of which a byte takes some 150 bytes and the powers below keep 16.
+SLICE_BYTES = 1 << 19
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -231,6 +231,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, min_similarity: float =
                 for a, e in slices(offsets):
                     clean[[a + r for r, _ in index.matches(data, offsets[a : e + 1], min_similarity)]] = False
                 yield b.filter(pa.array(clean))
+            pa.default_memory_pool().release_unused()  # the worker lives on, and with it what copies of texts took
 
         docs = bounded(docs).mapInArrow(batches, schema)
     return docs

@@ -252,6 +252,7 @@ def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
         for b in it:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle_words)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, and with it what the sets took
 
     return texts.mapInArrow(batches, "node long, shingles binary")
 

@@ -34,6 +34,8 @@ HOT_SEGMENTS = 6_000
 #: Bytes of segments that one index holds; places and ranks then fit 21 bits each.
 INDEX_BYTES = 1 << 21
 PIECE = 1 << 15
+#: Bytes of text whose equal segments are found before the shuffle.
+SEGMENT_BYTES = 1 << 21
 KEY = "h long, seg long, doc_id long, th long, place long"
 
 
@@ -188,7 +190,7 @@ def segments(docs: DataFrame, min_bytes: int) -> DataFrame:
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, offsets = text_buffer(b.column(2))
-            for a, e in slices(offsets):
+            for a, e in slices(offsets, SEGMENT_BYTES):
                 o = offsets[a : e + 1]
                 row, first, last, place, h = runs(data, o, min_bytes)
                 if not len(row):
@@ -290,7 +292,7 @@ def resolve(docs: DataFrame, reps: DataFrame, min_bytes: int, hot_segments: int)
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, offsets = text_buffer(b.column(6))
-            for a, e in slices(offsets):
+            for a, e in slices(offsets, SEGMENT_BYTES):
                 o = offsets[a : e + 1] - offsets[a]
                 counts = np.diff(o) - min_bytes + 1
                 seg = np.repeat(np.arange(e - a), counts)

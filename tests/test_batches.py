@@ -6,9 +6,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import public_tokenizers
 import pytest
+import zstandard
 
-from docloom.llm import kneser_ney
+from docloom.llm import bpe, common, kneser_ney
 from docloom.operators import chunking, postings, tables
 from docloom.sources import extract
 
@@ -99,3 +101,34 @@ def test_kernels_of_the_classifier_hold_little(spark, monkeypatch):
     assert [(r["doc_id"], r["n"], r["loss"], r["toxicity"]) for r in got.to_pylist()] == [(i, len(t) - 4, len(t) - 4, -1) for i, t in enumerate(texts)] and peak < 32 << 20
     noise = [np.random.default_rng(i).bytes(1 << 14) for i in range(256)]
     assert len(set(pa.Table.from_batches(cut(iter([of(noise)]))).column("slice").to_pylist())) > 1
+
+
+def test_kernels_of_the_encoder_hold_little(spark, monkeypatch):
+    """Different words of a batch are not Python objects, and texts and ids are given back a block at a time."""
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    taken, long_text = Taken(spark), "ä 1b" * 400_000
+    bpe.cut(taken, public_tokenizers.PATTERN, bpe.BATCH_BYTES)
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}{'x' * (i % 7)}{i * 300 + k}" for k in range(300)) for i in range(1500)] + ["", "same", "same", long_text]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    tracemalloc.start()
+    out = list(taken.f(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expand, words = zstandard.ZstdDecompressor().decompress, pa.Table.from_batches(out).filter(pc.is_valid(pc.field("words"))).to_pylist()
+    assert peak < 48 << 20 and max(b.num_rows for b in out) < 500 and len(words) == 1 and {b for t in out for b in t.column(0).to_pylist()} == {1 << 24}
+    raw, n = expand(words[0]["words"]), words[0]["doc_id"]
+    ends = 4 * n + np.cumsum(np.frombuffer(raw, np.int32, n))
+    known = np.array([raw[a:b].decode() for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)], object)
+    packed = pa.Table.from_batches(out).filter(pc.is_valid(pc.field("text"))).select(["doc_id", "text"])
+    got = {r["doc_id"]: "".join(known[bpe.from_planes(expand(r["text"]))]) for r in packed.to_pylist()}
+    assert got == dict(enumerate(texts)) and len(set(known)) == n
+    of_words = zstandard.ZstdCompressor().compress(bpe.planes(np.concatenate(([n], np.arange(n), np.full(n, 2), np.repeat(np.arange(n), 2) * 2 + np.tile([0, 1], n)))))
+    ids = bpe.assembled(packed, pa.table({"packed": pa.array([of_words], pa.binary())}))
+    assert len(ids.column("ids").chunks) > 2 and ids.column("doc_id").to_pylist() == packed.column("doc_id").to_pylist()
+    assert all((np.array(x[::2], int) // 2 == bpe.from_planes(expand(t))).all() and [b - a for a, b in zip(x[::2], x[1::2], strict=True)] == [1] * (len(x) // 2) for x, t in zip(ids.column("ids").to_pylist(), packed.column("text").to_pylist(), strict=True))
+
+
+def test_kept_powers_are_small(monkeypatch):
+    """What every worker keeps for hashes of ranges is 16 MB at most."""
+    monkeypatch.setattr(common, "_POWERS", [])
+    assert sum(p.nbytes for p in common.powers(1)) <= 16 << 20
