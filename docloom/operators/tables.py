@@ -28,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(rows: DataFrame) -> DataFrame:
+def written(rows: DataFrame, **options: str) -> DataFrame:
     """rows as a Parquet table of the shared folder: computed once, and read back after the loss of an executor."""
     path = f"{shared_folder(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

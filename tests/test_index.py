@@ -9,7 +9,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
-from docloom.operators import catalog, chunking, clusters, postings, search
+from docloom.operators import catalog, chunking, clusters, postings, search, tables
 from docloom.operators.catalog import Catalog, Conflict
 from docloom.operators.tables import numbered, positions
 from docloom.plans import engine
@@ -40,6 +40,33 @@ def test_postings_find_and_score_as_a_scan_does(spark, chunks, query):
     assert pairs(got) == pairs(want)
 
 
+@pytest.mark.parametrize("query", ["aaaa", '"s and p"', "apples OR pears", "apples NOT pears", "äpfel", "日本語", "nowhere"])
+def test_packed_postings_find_and_score_as_a_scan_does(spark, chunks, query):
+    far = F.col("document_id") * F.when(F.col("document_id") % 2 == 0, -(1 << 40)).otherwise((1 << 55) + 1)
+    known = chunks.where("text is not null").withColumns({"document_id": far, "chunk_index": F.col("chunk_index") - 1})
+    index = tables.written(postings.packed(known.unionByName(known.limit(9).withColumn("document_id", F.lit(None).cast("long"))), 1), **postings.PAGES)
+    got = postings.bm25(index, known.select("document_id", F.lit(1).cast("long").alias("version")).distinct(), *postings.statistics(known), search.parse(query))[0]
+    want = search.bm25(known.select(F.col("document_id").alias("doc_id"), "chunk_index", "text"), search.parse(query))[0]
+    pairs = lambda rows: {(r["doc_id"], r["chunk_index"]): round(r["bm25"], 9) for r in rows.collect()}
+    assert pairs(got) == pairs(want) and got.columns == ["doc_id", "chunk_index", "bm25"]
+
+
+def test_packed_postings_are_those_that_are_not(spark, chunks):
+    rows = lambda x: sorted((r["trigram"], r["document_id"], r["chunk_index"], r["version"], r["size"], *r["positions"]) for r in x.collect())
+    packed = postings.packed(chunks, 3)
+    assert rows(postings.unpacked(packed)) == rows(postings.post(chunks, 3))
+    assert packed.count() < postings.post(chunks, 3).count() / 10 and packed.columns != postings.post(chunks, 3).columns
+
+
+def test_numbers_of_any_size_are_packed():
+    values = np.array([0, 1, 127, 128, 1 << 14, (1 << 14) - 1, 1 << 40, (1 << 63) - 1, -1, -(1 << 63)], np.int64)
+    first = np.array([0, 3, 4])
+    assert (postings.unzigzag(postings.numbers(postings.varints(postings.zigzag(values), first))) == values).all()
+    assert len(postings.varints(values, first)) == 3 and (postings.numbers(postings.varints(values, first)[1:]) == values[3:]).all()
+    assert (postings.summed(postings.gaps(values, first), first, np.array([3, 1, 6])) == values).all()
+    assert len(postings.numbers(postings.varints(values, first)[:0])) == 0
+
+
 def write(folder, texts):
     folder.mkdir(exist_ok=True)
     for name, body in texts.items():
